@@ -33,12 +33,13 @@ def association(pos: int, neg: int, all_pos: int, all_neg: int) -> tuple[float,
 class Crf:
     """Two states, clean (0) and toxic (1); word features score state 1, transitions the change.
 
-    ``weights`` by feature, ``bias``, ``trans`` (2 x 2, log), and ``a, b``, which turn the
-    highest marginal of a document into its score.
+    ``weights`` by feature, ``bias``, ``trans`` (2 x 2, log), and ``calibration``, which turns the
+    highest marginal of a document and the sum of its marginals into its score.
     """
 
-    def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray, a: float = 1.0, b: float = 0.0):
-        self.weights, self.bias, self.trans, self.a, self.b = weights, bias, trans, a, b
+    def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray):
+        self.weights, self.bias, self.trans = weights, bias, trans
+        self.calibration = np.array([0.0, 1.0, 1.0])
         self.cache: dict[str, float] = {}
 
     def emission(self, word: str) -> float:
@@ -55,14 +56,18 @@ class Crf:
             return np.zeros(0)
         return forward_backward(np.array([self.emission(w) for w in words])[None, :], np.array([len(words)]), self.trans)[0][0]
 
-    def score(self, top: float) -> float:
-        """A document's score from its highest marginal."""
-        p = min(max(top, 1e-9), 1 - 1e-9)
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.a * math.log(p / (1 - p)) + self.b))))
+    def scores(self, tops: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Documents' scores from their highest and summed marginals."""
+        return 1 / (1 + np.exp(-np.clip(doc_features(tops, sums) @ self.calibration, -30, 30)))
 
 
-def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals of state 1 (rows x time) and expected transitions (2 x 2) of padded rows.
+def doc_features(tops: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    p = np.clip(tops, 1e-6, 1 - 1e-6)
+    return np.stack((np.ones(len(p)), np.log(p / (1 - p)), np.log(sums + 1e-3)), axis=1)
+
+
+def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, counts: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals of state 1 (rows x time) of padded rows and, if asked for, expected transitions (2 x 2).
 
     Messages are the ratio of state 1 to state 0, so each is one number a row.
     """
@@ -80,7 +85,7 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -
     odds = forward * backward
     p = odds / (1 + odds)
     expected = np.zeros((2, 2))
-    for t in range(n - 1):
+    for t in range(n - 1 if counts else 0):
         live = t + 1 < lengths
         r = (e[:, t + 1] * backward[t + 1])[live]
         f = forward[t][live]
@@ -89,14 +94,32 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray) -
     return p.T, expected
 
 
-def train(texts: list[tuple[str, int]], *, rounds: int = 60, seq: int = 48, most_seqs: int = 20_000, least_ratio: float = 20.0, least_odds: float = 2.0) -> Crf | None:
+def train(texts: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0)) -> Crf | None:
     """A field from document labels; None if one of the labels is missing.
 
-    A token of a toxic document is labelled toxic if one of its features goes with toxic
-    documents by log odds and likelihood ratio; all other tokens are labelled clean. Gradients are
-    expected less observed counts over sequences of ``seq`` words.
+    Scores are calibrated on every second document by a field that the others give, so that
+    words known by heart don't count; ``weight`` is how many documents one of either label stands for.
     """
     docs = [(WORD.findall(t.lower()), y) for t, y in texts]
+    model = fitted(docs)
+    if model:
+        half = fitted(docs[::2]) or model
+        rest = docs[1::2] if any(y for _, y in docs[1::2]) else docs
+        y = np.array([y for _, y in rest], float)
+        model.calibration = calibrated(doc_features(*doc_marginals(half, [w for w, _ in rest])), y, np.where(y > 0, weight[1], weight[0]))
+    return model
+
+
+def fitted(
+    docs: list[tuple[list[str], int]], *, rounds: int = 60, seq: int = 48, most_seqs: int = 20_000,
+    least_ratio: float = 20.0, least_odds: float = 3.0, least_share: float = 0.02,
+) -> Crf | None:
+    """Weights of the field, without calibration.
+
+    A token of a toxic document is labelled toxic if one of its features goes with toxic
+    documents by log odds and likelihood ratio and is in ``least_share`` of them; all other
+    tokens are labelled clean. Gradients are expected less observed counts over sequences of ``seq`` words.
+    """
     all_pos = sum(y for _, y in docs)
     all_neg = len(docs) - all_pos
     if not all_pos or not all_neg:
@@ -107,9 +130,9 @@ def train(texts: list[tuple[str, int]], *, rounds: int = 60, seq: int = 48, most
     strong = set()
     for f, n in pos.items():
         odds, ratio = association(n, neg[f], all_pos, all_neg)
-        if odds >= least_odds and ratio >= least_ratio:
+        if odds >= least_odds and ratio >= least_ratio and n >= max(3, least_share * all_pos):
             strong.add(f)
-    kept = {f for f in strong} | {f for f, n in (pos + neg).items() if n >= 5}
+    kept = {f for f in strong} | {f for f, n in (pos + neg).items() if n >= 10}
     ids = {f: i for i, f in enumerate(sorted(kept))}
     seqs: list[tuple[list[str], list[int]]] = []
     clean = 0
@@ -145,30 +168,26 @@ def train(texts: list[tuple[str, int]], *, rounds: int = 60, seq: int = 48, most
     m, v, step = np.zeros(len(theta) + 4), np.zeros(len(theta) + 4), 0.25
     for it in range(1, rounds + 1):
         emit = theta[-1] + np.bincount(where, theta[which], n * seq).reshape(n, seq)
-        p, expected = forward_backward(emit, lengths, trans)
+        p, expected = forward_backward(emit, lengths, trans, counts=True)
         gap = ((tags - p) * live).reshape(-1)
         grad = np.concatenate((np.bincount(which, gap[where], len(ids)), [gap.sum()], (observed - expected).reshape(-1)))
         grad -= 0.05 * np.concatenate((theta, trans.reshape(-1)))
         m, v = 0.9 * m + 0.1 * grad, 0.98 * v + 0.02 * grad**2
         move = step * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.98**it)) + 1e-8)
         theta, trans = theta + move[:-4], trans + move[-4:].reshape(2, 2)
-    model = Crf({f: float(theta[i]) for f, i in ids.items() if abs(theta[i]) > 1e-3}, float(theta[-1]), trans - trans[0, 0])
-    tops = np.array([max(1e-9, min(1 - 1e-9, float(model.marginals(w).max(initial=0.0)))) for w, _ in docs])
-    model.a, model.b = calibrated(np.log(tops / (1 - tops)), np.array([y for _, y in docs], float))
-    return model
+    return Crf({f: float(theta[i]) for f, i in ids.items() if abs(theta[i]) > 1e-3}, float(theta[-1]), trans - trans[0, 0])
 
 
-def calibrated(x: np.ndarray, y: np.ndarray, rounds: int = 25) -> tuple[float, float]:
-    """Slope and intercept of a logistic regression of ``y`` on ``x``, by Newton steps; the slope is positive."""
-    a, b = 1.0, 0.0
+def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Coefficients of a weighted logistic regression of ``y`` on ``x``, by damped Newton steps."""
+    beta = np.array([0.0, 0.5, 0.5])
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -30, 30)))
-        w = p * (1 - p) + 1e-6
-        g = np.array([((y - p) * x).sum() - 0.1 * (a - 1), (y - p).sum()])
-        h = np.array([[(w * x * x).sum() + 0.1, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
-        da, db = np.linalg.solve(h, g)
-        a, b = max(0.05, a + float(np.clip(da, -1, 1))), b + float(np.clip(db, -2, 2))
-    return float(a), float(b)
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        w = weight * (p * (1 - p) + 1e-6)
+        grad = x.T @ (weight * (y - p)) - 0.1 * (beta - [0.0, 0.5, 0.5])
+        beta = beta + np.clip(np.linalg.solve((x * w[:, None]).T @ x + 0.1 * np.eye(3), grad), -1, 1)
+        beta[1:] = np.maximum(beta[1:], 0.0)
+    return beta
 
 
 def learn(labelled: DataFrame, *, most_docs: int = 3000, chars: int = 4000) -> Crf | None:
@@ -178,31 +197,32 @@ def learn(labelled: DataFrame, *, most_docs: int = 3000, chars: int = 4000) -> C
     """
     rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    share = F.when(F.col("label") == 1, min(1.0, most_docs / max(counts.get(1, 0), 1))).otherwise(min(1.0, most_docs / max(counts.get(0, 0), 1)))
+    shares = [min(1.0, most_docs / max(counts.get(y, 0), 1)) for y in (0, 1)]
+    share = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
     start = (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
     sample = rows.where(hash_share([F.col("text")], "toxicity") < share).select(F.substring("text", start, F.lit(chars)).alias("text"), "label")
-    return train(sorted((r["text"], r["label"]) for r in sample.collect()))
+    return train(sorted((r["text"], r["label"]) for r in sample.collect()), (1 / shares[0], 1 / shares[1]))
 
 
-def top_marginals(model: Crf, docs: list[list[str]], width: int = 256) -> np.ndarray:
-    """The highest marginal of each document, in rows of like length."""
-    out = np.zeros(len(docs))
+def doc_marginals(model: Crf, docs: list[list[str]], width: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The highest marginal and the sum of those from 0.25 of each document, in rows of like length."""
+    tops, sums = np.zeros(len(docs)), np.zeros(len(docs))
     emit = model.emission
     scored = [np.array([emit(w) for w in words]) for words in docs]
     order = sorted((i for i in range(len(docs)) if len(scored[i])), key=lambda i: len(scored[i]))
-    for at in range(0, len(order), width):
+    at = 0
+    while at < len(order):
         part = order[at : at + width]
-        lengths = np.array([len(scored[i]) for i in part])
-        for lo in range(0, len(part), max(1, min(width, 2_000_000 // int(lengths[-1])))):
-            sub = part[lo : lo + max(1, min(width, 2_000_000 // int(lengths[-1])))]
-            n = np.array([len(scored[i]) for i in sub])
-            e = np.zeros((len(sub), n.max()))
-            for r, i in enumerate(sub):
-                e[r, : n[r]] = scored[i]
-            p = forward_backward(e, n, model.trans)[0]
-            p[np.arange(p.shape[1])[None, :] >= n[:, None]] = 0.0
-            out[sub] = p.max(axis=1)
-    return out
+        part = part[: max(1, 2_000_000 // len(scored[part[-1]]))]
+        at += len(part)
+        n = np.array([len(scored[i]) for i in part])
+        e = np.zeros((len(part), n.max()))
+        for r, i in enumerate(part):
+            e[r, : n[r]] = scored[i]
+        p = forward_backward(e, n, model.trans)[0]
+        p[np.arange(p.shape[1])[None, :] >= n[:, None]] = 0.0
+        tops[part], sums[part] = p.max(axis=1), np.where(p >= 0.25, p, 0.0).sum(axis=1)
+    return tops, sums
 
 
 def spans_of(model: Crf, text: str, least: float = 0.5) -> list[dict]:
@@ -233,8 +253,7 @@ def score(docs: DataFrame, model: Crf | None, *, keep: list[str], text_col: str
         field, texts = sent.value, batch.column("_judged").to_pylist()
         if field is None:
             return [[0.0] * len(texts), [0] * len(texts), [[] for _ in texts]]
-        tops = top_marginals(field, [WORD.findall(t.lower()) if t else [] for t in texts])
-        scores = [field.score(float(p)) for p in tops]
+        scores = field.scores(*doc_marginals(field, [WORD.findall(t.lower()) if t else [] for t in texts])).tolist()
         return [scores, [int(s >= threshold) for s in scores], [spans_of(field, t) if s >= threshold and t else [] for t, s in zip(texts, scores)]]
 
     return with_columns(df, make, "score double, predicted int, spans array<struct<from:int,to:int,p:double>>", drop=("_judged",))

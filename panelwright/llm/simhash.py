@@ -14,6 +14,8 @@ from .common import LOWER, UPPER, checkpointed, with_columns
 
 SEGMENTS, BITS = 4, 16
 DISTANCE = 3
+#: Fingerprints with more than this part of all rows are joined by broadcast, so there are fewer than this.
+MOST_HOT = 10_000
 _LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 
 
@@ -123,12 +125,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     any other but never names a class, unless it has no other row. Other columns are ignored.
     """
     marked = checkpointed(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), text_col="_text", words=words))
-    fps = checkpointed(marked.groupBy("fp").agg(F.min("_id").alias("least")))
+    fps = checkpointed(marked.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("rows")))
     roots = components(links(fps))
     least = fps.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("named"))
     named = roots.join(least, "root").select("node", "named")
-    classes = fps.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("named", "least").alias("component_id"))
-    return marked.join(classes, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+    classes = fps.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("named", "least").alias("component_id"), "rows")
+    classes, share = checkpointed(classes), F.lit(marked.count() / MOST_HOT)
+    hot = F.broadcast(classes.where(F.col("rows") > share).select(F.col("fp").alias("hot"), F.col("component_id").alias("hot_id")))
+    split = marked.join(hot, F.col("fp") == F.col("hot"), "left")
+    frequent = split.where("hot is not null").select(F.col("_id").alias(id_col), "fp", F.col("hot_id").alias("component_id"))
+    rest = split.where("hot is null").join(classes.where(F.col("rows") <= share), "fp")
+    return frequent.unionByName(rest.select(F.col("_id").alias(id_col), "fp", "component_id"))
 
 
 def fingerprint_hex(fp: Column) -> Column:

@@ -1 +1,40 @@
-ORACLES: dict[str, str] = {}
+"""DuckDB SQL for the queries of this subpackage that SQL can express.
+
+The others rest on trained models, XXH64 or CRC-32, which it lacks; tests hold them against
+brute-force versions and held-out labels.
+"""
+
+WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLES: dict[str, str] = {
+    "op4_decontamination": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+n AS (SELECT item, w, least(len(w), 10) AS k FROM b WHERE len(w) > 0),
+win AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM n)),
+ks AS (SELECT DISTINCT k FROM n),
+dg AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, ks)),
+hit AS (SELECT DISTINCT doc_id, item, dg.k AS k, i FROM dg JOIN win ON dg.k = win.k AND dg.g = win.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id""",
+    "op8_source_mix": r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS k FROM s),
+w AS (SELECT *, CASE k % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * source_size AS cap FROM r),
+l AS (SELECT *, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+  sum(w) OVER (ORDER BY cap / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS ws FROM w),
+f AS (SELECT *, rest / ws AS level, rest / ws * w < cap AS free FROM l),
+g AS (SELECT *, least(cap, (SELECT arg_min(level, cap / w) FROM f WHERE free) * w) AS t FROM f),
+goal AS (SELECT source, source_size, coalesce(t, cap) AS target,
+  CAST(CAST('0x' || substr(md5(CASE WHEN source IS NULL THEN '-' ELSE '+' || source END || '|29'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0::DOUBLE AS u FROM g),
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, doc_id NULLS LAST) - 1 AS place FROM d),
+c AS (SELECT p.doc_id, p.size, CAST(goal.source_size AS BIGINT) AS source_size, goal.target,
+  CAST(CASE WHEN goal.source_size > 0 THEN floor(u + target / goal.source_size * (place + 1)) - floor(u + target / goal.source_size * place) ELSE 0 END AS BIGINT) AS copies
+  FROM p JOIN goal ON p.source IS NOT DISTINCT FROM goal.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c""",
+}

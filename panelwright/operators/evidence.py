@@ -155,6 +155,14 @@ def is_valid(prefix: Column, method: str, published: Column) -> Column:
     return valid if method == "closing_statement" else valid & ~any_of(prefix, INTRADAY_CUES)
 
 
+def valid_match(head: Column, method: str, published: Column):
+    def test(m: Column) -> Column:
+        before = F.regexp_extract(F.substr(head, F.lit(1), m["start"]), r"[^。！？\n]*$", 0)
+        return is_valid(squeezed(F.concat(before, m["found"])), method, published)
+
+    return test
+
+
 def observation(title: Column, text: Column, published: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
     """One exact rating of an article as (star, evidence, method, confidence), or null.
 
@@ -165,8 +173,7 @@ def observation(title: Column, text: Column, published: Column, vocabulary: Voca
     number = lambda found: F.regexp_extract(found, r"([1-5](?:\.\d)?)(?:\s*星(?:级)?)?$", 1).try_cast("double")
     tried = []
     for method, pattern, sure in REALTIME_PATTERNS:
-        prefix = lambda m: squeezed(F.concat(F.regexp_extract(F.substr(head, F.lit(1), m["start"]), r"[^。！？\n]*$", 0), m["found"]))
-        valid = F.filter(matches(head, pattern), lambda m, p=prefix, k=method: is_valid(p(m), k, published))
+        valid = F.filter(matches(head, pattern), valid_match(head, method, published))
         one = F.try_element_at(valid, F.lit(1 if method == "opening_state_statement" else -1))
         tried.append(F.when(one.isNotNull(), F.struct(number(one["found"]).alias("star"), squeezed(one["found"]).alias("evidence"), F.lit(method).alias("method"), F.lit(sure).alias("confidence"))))
     part = lambda m, i: F.regexp_extract(m["found"], r"目前\s*(\d{4})年(\d{1,2})月(\d{1,2})日", i).try_cast("int")

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def moments(rows: DataFrame, by: list[str], features: list[str], target: str, weight: str) -> DataFrame:
@@ -47,7 +48,7 @@ def solve(row: dict, p: int, signs: list[int] | None = None) -> tuple[float, lis
 
 def fitted(sums: DataFrame, by: list[str], features: list[str], signs: list[int] | None = None) -> DataFrame:
     """A model for each row of moments: ``intercept double, coefs array<double>, sse double``."""
-    schema = sums.select(*by, "n").schema.add("intercept", "double").add("coefs", "array<double>").add("sse", "double")
+    schema = sums.select(*by, "n").schema.add("intercept", "double").add("coefs", ArrayType(DoubleType())).add("sse", "double")
 
     def run(batches):
         for batch in batches:
@@ -93,5 +94,5 @@ def scores(rows: DataFrame, by: list[str], *, p: str = "prediction", star: str =
 def largest_with_ties(rows: DataFrame, c: str, n: int) -> DataFrame:
     """Rows whose absolute value is among the ``n`` largest, ties of the last one included."""
     sized = rows.withColumn("_abs", F.abs(c)).where("_abs is not null")
-    least = sized.orderBy(F.desc("_abs")).limit(n).agg(F.min("_abs").alias("_least"))
-    return sized.join(F.broadcast(least), F.col("_abs") >= F.col("_least")).drop("_abs", "_least")
+    least = sized.orderBy(F.desc("_abs")).limit(n).agg(F.min("_abs")).first()[0]
+    return sized.where(F.col("_abs") >= F.lit(least)).drop("_abs")

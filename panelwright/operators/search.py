@@ -10,10 +10,10 @@ K1, B = 1.2, 0.75
 
 def trigrams(text: Column) -> Column:
     """Lower-cased character trigrams in order, repeats included; none under three characters."""
-    low = F.lower(text)
-    return F.when(F.length(text) >= 3, F.transform(F.sequence(F.lit(1), F.length(text) - 2), lambda i: F.substr(low, i, F.lit(3)))).otherwise(
-        F.array().cast("array<string>")
-    )
+    chars = F.split(F.lower(text), "")
+    size = F.length(text)
+    parts = [F.slice(chars, i, F.greatest(size - 2, F.lit(0))) for i in (1, 2, 3)]
+    return F.transform(F.arrays_zip(*[p.alias(f"c{i}") for i, p in enumerate(parts)]), lambda z: F.concat(z["c0"], z["c1"], z["c2"]))
 
 
 def words(text: Column) -> Column:

@@ -58,15 +58,15 @@ w AS (SELECT *, count(value) OVER rows20 AS n, avg(value) OVER rows20 AS m,
     list(value) OVER (PARTITION BY code ORDER BY date RANGE BETWEEN INTERVAL 1 YEAR PRECEDING AND CURRENT ROW) AS vs
   FROM joined WINDOW rows20 AS (PARTITION BY code ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
 SELECT code, date, value, period_end, available_date, level, CAST(date_diff('day', available_date, date) AS INTEGER) AS age_days,
-  CASE WHEN n >= 10 THEN round(m, 3) END AS mean_20,
-  round((len(list_filter(vs, x -> x < value)) + 0.5 * len(list_filter(vs, x -> x = value))) / len(vs), 6) AS percentile_1y
+  CASE WHEN n >= 10 THEN round(m, 6) END AS mean_20,
+  round((len(list_filter(vs, lambda x: x < value)) + 0.5 * len(list_filter(vs, lambda x: x = value))) / len(vs), 6) AS percentile_1y
 FROM w""")
 def flagship_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily series as-of joined to a lagged monthly level, with age, rolling mean and one-year percentile."""
     rows = panel(spark, sf_dir)
     return rows.select(
         "code", "date", "value", "period_end", "available_date", "level", F.datediff("date", "available_date").alias("age_days"),
-        F.round(rolling.rolling("value", rolling.last_rows("code", "date", 20), 10), 3).alias("mean_20"),
+        F.round(rolling.rolling("value", rolling.last_rows("code", "date", 20), 10), 6).alias("mean_20"),
         F.round(rolling.mid_rank("value", rolling.calendar_values("value", "code", "date", 1)), 6).alias("percentile_1y"),
     )
 
@@ -113,8 +113,8 @@ def rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {DAILY}, w AS (SELECT *, list(value) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 251 PRECEDING AND CURRENT ROW) AS a,
   list(value) OVER (PARTITION BY code ORDER BY date ROWS BETWEEN 499 PRECEDING AND CURRENT ROW) AS b FROM daily)
-SELECT code, date, CASE WHEN len(a) >= 120 THEN round((len(list_filter(a, x -> x < value)) + 0.5 * len(list_filter(a, x -> x = value))) / len(a), 6) END AS mid_rank_252,
-  CASE WHEN len(b) >= 180 THEN round((len(list_filter(b, x -> x < value)) + 0.5 * (len(list_filter(b, x -> x = value)) + 1)) / len(b), 6) END AS average_rank_500 FROM w""")
+SELECT code, date, CASE WHEN len(a) >= 120 THEN round((len(list_filter(a, lambda x: x < value)) + 0.5 * len(list_filter(a, lambda x: x = value))) / len(a), 6) END AS mid_rank_252,
+  CASE WHEN len(b) >= 180 THEN round((len(list_filter(b, lambda x: x < value)) + 0.5 * (len(list_filter(b, lambda x: x = value)) + 1)) / len(b), 6) END AS average_rank_500 FROM w""")
 def rolling_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = (rolling.last_rows("code", "date", n) for n in (252, 500))
     return daily(spark, sf_dir).select(
@@ -307,8 +307,8 @@ PHRASE = "onthe"
 
 
 @query(f"""WITH g AS (SELECT DISTINCT substr('{PHRASE}', i, 3) AS g FROM range(1, {len(PHRASE) - 1}) r(i)),
-d AS (SELECT doc_id, lower(text) AS t, greatest(length(text) - 2, 0) AS dl FROM documents),
-c AS (SELECT doc_id, dl, t, g, CAST(len(list_filter(range(1, length(t) - 1), i -> substr(t, i, 3) = g)) AS DOUBLE) AS tf FROM d, g),
+d AS (SELECT doc_id, lower(text) AS t, string_split(lower(text), '') AS cs, greatest(length(text) - 2, 0) AS dl FROM documents),
+c AS (SELECT doc_id, dl, t, g, CAST(len(list_filter(range(1, len(cs) - 1), lambda i: cs[i] || cs[i + 1] || cs[i + 2] = g)) AS DOUBLE) AS tf FROM d, g),
 s AS (SELECT g, count(*) FILTER (WHERE tf > 0) AS df FROM c GROUP BY g), n AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d)
 SELECT doc_id AS doc, round(-sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS rank
 FROM c JOIN s USING (g), n WHERE contains(t, '{PHRASE}') GROUP BY doc_id ORDER BY 2, 1 LIMIT 20""")
@@ -316,7 +316,8 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), PHRASE, doc="doc_id", text="text").withColumn("rank", F.round("rank", 6))
 
 
-@query("""WITH p AS (SELECT doc_id, unnest(list_transform(range(1, greatest(length(text) - 1, 1)), i -> substr(lower(text), i, 3))) AS term FROM documents)
+@query("""WITH c AS (SELECT doc_id, string_split(lower(text), '') AS cs FROM documents),
+p AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(cs) - 1, 1)), lambda i: cs[i] || cs[i + 1] || cs[i + 2])) AS term FROM c)
 SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM p GROUP BY term""")
 def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     posted = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text", search.trigrams(F.col("text")))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,6 +17,7 @@ from pyspark.sql.types import StructType
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
+ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,12 +67,29 @@ def hash_share(keys: list[Column], salt: str) -> Column:
     return F.pmod(F.xxhash64(F.lit(salt), *keys), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows of an Arrow batch: texts are long, and a batch is held in the JVM and in Python at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS:
+        spark.conf.set(name, str(ROWS))
+
+
+def give_back() -> None:
+    """Returns what a finished task leaves unused in its Python worker to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """Adds the columns that ``make`` gives for each Arrow batch; the others pass through as they are.
 
-    Batches are cut to about 8 MB, so that a run of very long texts stays within memory.
-    ``drop`` names input columns that only ``make`` needs.
+    Batches have ``ROWS`` rows at most and are cut to about 8 MB, so that a run of very long
+    texts stays within memory, and a task gives its memory back at its end, as its worker
+    outlives it. ``drop`` names input columns that only ``make`` needs.
     """
+    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c not in drop]
     extra = StructType.fromDDL(fields)
     schema = StructType(df.select(*kept).schema.fields + extra.fields)
@@ -82,5 +103,6 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields:
                 new = make(part)
                 arrays = [part.column(c) for c in kept] + [pa.array(x, arrow.field(len(kept) + i).type) for i, x in enumerate(new)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
+        give_back()
 
     return df.mapInArrow(run, schema)

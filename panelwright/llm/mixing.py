@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -72,7 +72,8 @@ def mix(
     )
     order = [F.col("_source").asc_nulls_last(), F.col("_size").asc(), F.col("_id").asc_nulls_last()]
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    placed = checkpointed(placed.withColumn("_part", F.shiftright("_at", 33)))
+    narrow = all(docs.schema[c].dataType.simpleString() != "string" for c in keep)
+    placed = (checkpointed if narrow else written)(placed.withColumn("_part", F.shiftright("_at", 33)))
 
     parts = checkpointed(
         placed.groupBy("_part", "_source").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"), F.min("_at").alias("_first"))

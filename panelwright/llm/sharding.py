@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import checkpointed, written
+from .common import checkpointed, give_back, small_batches, written
 
 OVERHEAD = 8
 
@@ -32,6 +32,7 @@ def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = np.maximum.accumulate(np.where(new, before, began))
         total, group, began = int(before[-1] + size[-1]), (int(crc[-1]), int(key[-1])), int(start[-1])
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.int64()), pa.array(start, pa.int64())], names=[*batch.schema.names, "_before", "_start"])
+    give_back()
 
 
 def offsets(totals: list) -> tuple[int, list[tuple]]:
@@ -60,6 +61,7 @@ def assign(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", k
     each partition reaches the driver.
     """
     keep = keep or [id_col]
+    small_batches(docs.sparkSession)
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
         *[F.col(c).alias(f"_in_{c}") for c in keep],

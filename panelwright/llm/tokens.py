@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns, written
+from .common import small_batches, with_columns, written
 
 SPACE = "▁"
 
@@ -86,6 +86,7 @@ def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text_col: str =
         return pa.RecordBatch.from_arrays([pa.array([w for w, _ in often], pa.string()), pa.array([n for _, n in often], pa.int64())], names=["word", "n"])
 
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(*[F.col(c).alias(f"_in_{c}") for c in keep], F.col(text_col).alias("_text"))
     words = rows.select("_text").mapInArrow(frequent, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = words.orderBy(F.desc("n"), "word").limit(common).select("word")

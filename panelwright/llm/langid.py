@@ -41,16 +41,15 @@ class Automata:
         codes = code_table(tuple(self.codes.items()))[points]
         return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))] if len(codes) else codes
 
-    def phrases(self, blocks: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Phrases of each column of ``blocks`` (time first, padded) for each language."""
-        pads = blocks.shape[0] - lengths
+    def phrases(self, blocks: np.ndarray) -> np.ndarray:
+        """Phrases of each column of ``blocks`` (time first, PAD after the last letter) for each language."""
         out = np.empty((len(self.langs), blocks.shape[1]), np.int64)
         for k, table in enumerate(self.tables):
             state, ends = np.zeros(blocks.shape[1], np.int32), np.zeros(blocks.shape[1], np.int32)
             for row in blocks:
                 state = table.take(state + row)
                 ends += state == 0
-            out[k] = ends - pads + (state != 0)
+            out[k] = ends
         return out
 
 
@@ -89,7 +88,9 @@ def suffix_table(codes: list[int]) -> np.ndarray:
                 q = twin
             link[new] = q
         last = new
-    table = np.zeros((len(step), WIDTH), np.int32)
+    # At the end, an open phrase goes to the start and so counts; what is at the start goes to a last state and stays.
+    table = np.zeros((len(step) + 1, WIDTH), np.int32)
+    table[-1] = table[0, PAD] = len(step) * WIDTH
     for s, out in enumerate(step):
         for c, t in out.items():
             if c not in (1, PAD):
@@ -126,11 +127,10 @@ def judge(model: Automata, texts: list[str | None], most_blocks: int = 8192) ->
     def flush() -> None:
         if pieces:
             order = np.argsort([-len(p) for p in pieces], kind="stable")
-            longest = len(pieces[order[0]])
-            blocks = np.full((len(pieces), longest), PAD, np.uint8)
+            blocks = np.full((len(pieces), len(pieces[order[0]]) + 1), PAD, np.uint8)
             for i, k in enumerate(order):
                 blocks[i, : len(pieces[k])] = pieces[k]
-            got = model.phrases(np.ascontiguousarray(blocks.T), np.array([len(pieces[k]) for k in order]))
+            got = model.phrases(np.ascontiguousarray(blocks.T))
             for lang in range(len(model.langs)):
                 np.add.at(counts[lang], np.array(owner)[order], got[lang])
         pieces.clear()

@@ -54,8 +54,8 @@ def loaded(path: str):
 
 
 def piece_counts(path: str, words: list[str]) -> list[int]:
-    """Pieces of each pre-token; the model adds the one space that was taken off it in front."""
-    return [len(x) for x in loaded(path).encode(words, num_threads=1)]
+    """Pieces of each pre-token; the model adds the one space that was taken off it in front, but not to nothing."""
+    return [len(x) or 1 for x in loaded(path).encode(words, num_threads=1)]
 
 
 def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text_col: str = "text", common: int = 200_000, least: int = 8) -> DataFrame:

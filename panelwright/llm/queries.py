@@ -45,9 +45,8 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = held_out(F.col("doc_id"))
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("labelled"), F.col("toxic").alias("label"))
-    known = docs.where(~out).join(labels, F.col("doc_id") == F.col("labelled")).select("text", "label")
-    model = toxicity.learn(known)
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.learn(docs.where(~out), labels)
     scored = toxicity.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
 

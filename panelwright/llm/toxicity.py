@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, with_columns
+from .common import checkpointed, hash_share, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 4
@@ -190,17 +190,24 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 3
     return beta
 
 
-def learn(labelled: DataFrame, *, most_docs: int = 3000, chars: int = 4000) -> Crf | None:
-    """A field from a bounded sample of ``text, label``: about ``most_docs`` rows of either label.
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", most_docs: int = 3000, chars: int = 4000) -> Crf | None:
+    """A field from ``docs`` (id, text) and ``labels`` (id, label): about ``most_docs`` different texts of either label.
 
-    Rows are chosen by a hash of the text and a slice of ``chars`` of each is used.
+    Texts are chosen by their hash, each once for a label however many copies it has, and a slice of ``chars`` of each
+    is used. Only ids and hashes meet the labels; the texts of the chosen ids are then fetched by a
+    broadcast of about twice ``most_docs`` rows. Null ids and texts and other labels are left out.
     """
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).where("text is not null and label in (0, 1)")
-    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    texts = docs.select(F.col(id_col).alias("_id"), "text", F.xxhash64("text").alias("_hash")).where("_id is not null and text is not null")
+    marks = labels.select(F.col(id_col).alias("_marked"), F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    met = texts.select("_id", "_hash").join(marks, F.col("_id") == F.col("_marked"))
+    known = checkpointed(met.groupBy("_hash", "label").agg(F.min("_id").alias("_id")))
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     shares = [min(1.0, most_docs / max(counts.get(y, 0), 1)) for y in (0, 1)]
     share = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
-    start = (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
-    sample = rows.where(hash_share([F.col("text")], "toxicity") < share).select(F.substring("text", start, F.lit(chars)).alias("text"), "label")
+    chosen = known.where(hash_share([F.col("_hash")], "toxicity") < share).select(F.col("_id").alias("_chosen"), F.col("_hash").alias("_text"), "label")
+    start = (F.pmod("_hash", F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
+    fetched = texts.join(F.broadcast(chosen), (F.col("_id") == F.col("_chosen")) & (F.col("_hash") == F.col("_text")))
+    sample = fetched.select("_hash", "label", F.substring("text", start, F.lit(chars)).alias("text")).groupBy("_hash", "label").agg(F.min("text").alias("text"))
     return train(sorted((r["text"], r["label"]) for r in sample.collect()), (1 / shares[0], 1 / shares[1]))
 
 

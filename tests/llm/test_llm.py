@@ -100,6 +100,21 @@ def test_toxicity_learns_marked_words(spark):
     assert toxicity.train([("a", 0)]) is None
 
 
+def test_toxicity_sample_takes_a_text_once(spark):
+    odd = [(None, "clean river"), (1, None), (2, "")]
+    bad, good = [(10 + i, "foulword stone") for i in range(300)], [(1000 + i, f"river tree {i}") for i in range(60)]
+    docs = spark.createDataFrame(odd + bad + good + [(5000 + i, f"foulword cloud {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 1000 or i >= 5000)) for i, _ in bad + good] + [(5000 + i, 1) for i in range(20)] + [(None, 1), (2, None), (77777, 1)], "doc_id long, label int")
+    seen = []
+    real, toxicity.train = toxicity.train, lambda texts, weight: seen.extend(texts)
+    try:
+        toxicity.learn(docs, labels)
+        assert sorted(seen) == sorted([("foulword stone", 1)] + [(t, 0) for _, t in good] + [(f"foulword cloud {i}", 1) for i in range(20)])
+        toxicity.learn(docs.limit(0), labels)
+    finally:
+        toxicity.train = real
+
+
 def brute_hits(text, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda s: word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in s or ""))

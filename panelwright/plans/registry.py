@@ -177,12 +177,12 @@ def coalesced_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.consolidate(loads, ["o_custkey", "date"], "o_orderkey", ["date", "o_custkey"])
 
 
-OBSERVED = """obs AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 3 AS DOUBLE) / 2 + 3 AS star, 1.0 - (o_orderkey % 7) / 100.0 AS confidence FROM orders WHERE o_orderkey % 5 = 0)"""
+OBSERVED = """obs AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS date, CAST(o_orderkey % 3 AS DOUBLE) / 2 + 3 AS star, 1.0 - (o_orderkey % 7) / 100.0 AS confidence FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 
 def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("o_orderkey")
-    return table(spark, sf_dir, "orders").where(key % 5 == 0).select(
+    return table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(
         key.alias("id"), F.col("o_orderdate").cast("date").alias("date"), ((key % 3).cast("double") / 2 + 3).alias("star"), (1.0 - (key % 7) / 100.0).alias("confidence")
     )
 
@@ -276,7 +276,7 @@ def evidence_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FILES = """f AS (SELECT 'a/[2024-01-01-0000] t ' || doc_id || '.md' AS path, '[2024-01-01-0000]t' || doc_id AS key, '.md' AS suffix, text, CAST(NULL AS VARCHAR) AS url FROM documents
-  UNION ALL SELECT 'b/[2024-01-01-0000]t' || doc_id || '.html', '[2024-01-01-0000]t' || doc_id, '.html', text, 'u' || doc_id FROM documents WHERE doc_id % 3 = 0)"""
+  UNION ALL SELECT 'b/[2024-01-01-0000]t' || doc_id || '.html', '[2024-01-01-0000]t' || doc_id, '.html', text, 'u' || doc_id FROM documents)"""
 
 
 @query(f"""WITH {FILES}, h AS (SELECT *, substr(sha1(path), 1, 20) AS id, sha256(text) AS h FROM f),
@@ -285,9 +285,9 @@ SELECT id AS article_id, key AS article_key, CASE WHEN first_id <> id THEN first
   row_number() OVER k = 1 AS is_canonical, first_value(id) OVER k AS canonical_article_id, coalesce(url, max(url) OVER (PARTITION BY key)) AS source_url
 FROM d WINDOW k AS (PARTITION BY key ORDER BY CASE suffix WHEN '.md' THEN 0 ELSE 1 END, first_id <> id, path)""")
 def canonical_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("d"), "text", F.col("doc_id").alias("n"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("d"), "text")
     md = docs.select(F.concat(F.lit("a/[2024-01-01-0000] t "), "d", F.lit(".md")).alias("relative_path"), F.lit(".md").alias("suffix"), "text", F.lit(None).cast("string").alias("source_url"))
-    html = docs.where("n % 3 = 0").select(F.concat(F.lit("b/[2024-01-01-0000]t"), "d", F.lit(".html")).alias("relative_path"), F.lit(".html").alias("suffix"), "text", F.concat(F.lit("u"), "d").alias("source_url"))
+    html = docs.select(F.concat(F.lit("b/[2024-01-01-0000]t"), "d", F.lit(".html")).alias("relative_path"), F.lit(".html").alias("suffix"), "text", F.concat(F.lit("u"), "d").alias("source_url"))
     rows = md.unionByName(html)
     rows = rows.withColumn("stem", F.regexp_extract("relative_path", r"([^/]+?)\.[^./]+$", 1))
     rows = rows.select(

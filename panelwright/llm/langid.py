@@ -102,7 +102,7 @@ def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int =
     """Automata from a bounded sample of ``text, lang``: at most ``chars_per_lang`` of each.
 
     About ``docs_per_lang`` rows a language are chosen by a hash of the text, and
-    of each a slice of ``chars_per_doc`` is used. Rows without text or lang are left out.
+    of each a slice of ``chars_per_doc`` is used, once however many copies a text has. Rows without text or lang are left out.
     """
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -111,7 +111,7 @@ def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int =
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, docs_per_lang / n))])
     key = hash_share([F.col("text")], "langid")
     start = (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars_per_doc, F.lit(1))) + 1).cast("int")
-    sample = rows.where(key < share[F.col("lang")]).select("lang", key.alias("key"), F.substring("text", start, F.lit(chars_per_doc)).alias("text"))
+    sample = rows.where(key < share[F.col("lang")]).select("lang", key.alias("key"), F.substring("text", start, F.lit(chars_per_doc)).alias("text")).distinct()
     texts: dict[str, str] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["key"], r["text"])):
         if len(have := texts.get(r["lang"], "")) < chars_per_lang:

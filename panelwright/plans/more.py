@@ -97,16 +97,16 @@ FOLDS = [(1996, 1997, 1997), (1997, 1998, 1998)]
 @query()
 def factor_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates beside the base factor over two expanding folds; two-variable solves have no plain SQL."""
-    return screen.screened(labelled(spark, sf_dir), period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=1)
+    return screen.screened(labelled(spark, sf_dir), period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=0)
 
 
 @query()
 def holdout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base alone, the best factor and the best slow factor on the years after the last fold."""
     rows = labelled(spark, sf_dir)
-    found = screen.screened(rows, period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=1)
+    found = screen.screened(rows, period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=0)
     chosen = sorted({f for f in (screen.best_feature(found), screen.best_feature(found, ["slow"])) if f})
-    tested = screen.holdout(rows, period="year", base="x", extras=chosen, split=1998, last=9999, base_sign=1)
+    tested = screen.holdout(rows, period="year", base="x", extras=chosen, split=1998, last=9999, base_sign=0)
     return fit.scores(tested, ["feature"])
 
 

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators import evidence, fit, history, rolling, screen, valuation
+from panelwright.operators import audit, evidence, fit, history, rolling, screen, valuation
 from panelwright.plans.registry import DAILY, LINES, articles, daily, lines, query, table
+from panelwright.sources import io
 
 
 def rated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +84,35 @@ def legacy_gap_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.gap_fill(of("5-LOW").withColumn("status", F.lit("exact")), [of("1-URGENT"), of("2-HIGH")]).select("article_id", "date", "status", "weight")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS article_id, CASE WHEN o_orderkey % 12 = 10 THEN 'excluded_market_closed' ELSE 'kept' END AS review_status
+FROM orders WHERE o_orderkey % 12 IN (4, 6, 7, 9, 10)""")
+def closed_market(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The review queue of daily articles, split into what stays and the closed days."""
+    rows = articles(spark, sf_dir).where(evidence.is_daily(F.col("title")))
+    rows = rows.where(evidence.observation(F.col("title"), F.col("text"), F.col("publish_date")).isNull())
+    queue, closed = history.closed_market(rows.select("article_id", evidence.review(F.col("title"), F.col("text"))["reason"].alias("reason")))
+    return queue.select("article_id", F.lit("kept").alias("review_status")).unionByName(closed.select("article_id", "review_status"))
+
+
+@query(f"""WITH {DAILY} SELECT code, date, value, CAST(year(date) AS INTEGER) AS year FROM daily""")
+def panel_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series written as Parquet by year, and read back."""
+    path = io.shared_path(spark, "panel")
+    io.write_panel(daily(spark, sf_dir), path, "date")
+    return io.read_parts(spark, path)
+
+
+@query(f"""WITH {DAILY} SELECT CAST(to_json({{'code': code, 'n_rows': count(*), 'first_date': strftime(min(date), '%Y-%m-%d'), 'last_date': strftime(max(date), '%Y-%m-%d')}}) AS VARCHAR) AS value
+FROM daily GROUP BY code""")
+def span_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and dates of each series as JSON, written as an audit file and read back."""
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    spans = audit.span(daily(spark, sf_dir), "code", "date").select("code", "n_rows", day("first_date"), day("last_date"))
+    path = io.shared_path(spark, "audit")
+    io.write_audit(spans, path)
+    return spark.read.text(path)
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as labels: the log price is the target, known to a tenth."""
     rows = lines(spark, sf_dir)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
@@ -50,10 +53,27 @@ def write_csv(table: DataFrame, path: str) -> None:
     table.write.mode("overwrite").option("header", True).csv(path)
 
 
+def audit_json(audit: DataFrame) -> DataFrame:
+    """Each row of a summary as one JSON text in ``value``."""
+    return audit.select(F.to_json(F.struct("*")).alias("value"))
+
+
 def write_audit(audit: DataFrame, path: str) -> None:
     """A one-row summary as JSON."""
-    audit.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)
+    audit_json(audit).write.mode("overwrite").text(path)
 
 
 def write_panel(panel: DataFrame, path: str, date: str) -> None:
+    """Parquet in a folder for each year; rows of a null date are in the folder of no year."""
     panel.withColumn("year", F.year(date)).write.mode("overwrite").partitionBy("year").parquet(path)
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, local mode takes a temporary folder and a cluster the warehouse.
+    """
+    if (where := spark.conf.get("spark.checkpoint.dir", None)) is None:
+        local = spark.sparkContext.master.startswith("local")
+        where = tempfile.mkdtemp(prefix="panelwright-") if local else spark.conf.get("spark.sql.warehouse.dir")
+    return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

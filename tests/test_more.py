@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.operators import history, screen, valuation
+from panelwright.sources import io
 
 DAY = dt.date(2024, 1, 1)
 
@@ -101,3 +102,19 @@ def test_valuation_launches_and_breadth(spark):
     series = spark.createDataFrame([("a", DAY + dt.timedelta(i), float(9 - i)) for i in range(9)] + [("b", DAY + dt.timedelta(i), float(i)) for i in range(9)], "k string, date date, v double")
     last = valuation.breadth(series, "k", "date", "v", 1).orderBy(F.desc("date")).first()
     assert (last["members"], last["share_below"]) == (2, 0.5)
+
+
+def test_closed_days_leave_the_queue_and_a_null_reason_stays(spark):
+    queue = spark.createDataFrame([("a", "market_closed_no_new_target"), ("b", "approximate_range"), ("c", None)], "article_id string, reason string")
+    kept, closed = history.closed_market(queue)
+    assert sorted(r["article_id"] for r in kept.collect()) == ["b", "c"]
+    assert [(r["article_id"], r["review_status"]) for r in closed.collect()] == [("a", "excluded_market_closed")]
+
+
+def test_sinks_keep_null_dates_and_every_row(spark, tmp_path):
+    rows = spark.createDataFrame([(DAY, 1.0), (DAY + dt.timedelta(366), None), (None, 3.0)], "date date, value double")
+    io.write_panel(rows, str(tmp_path / "panel"), "date")
+    got = {r["date"]: (r["value"], r["year"]) for r in spark.read.parquet(str(tmp_path / "panel")).collect()}
+    assert got == {DAY: (1.0, 2024), DAY + dt.timedelta(366): (None, 2025), None: (3.0, None)}
+    io.write_audit(rows.where("value = 3").select("value"), str(tmp_path / "audit"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "audit")).collect()] == ['{"value":3.0}']

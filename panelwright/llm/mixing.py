@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, written
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A table of partitions and sources with more rows than this isn't broadcast but joined by shuffle.
+MOST_PARTS = 100_000
 
 
 def word_count(text: Column) -> Column:
@@ -63,7 +65,8 @@ def mix(
     than ``most`` copies, rounded up, and the words taken differ from the target by about
     one longest document. The position within a source comes from a range partitioning by
     source, size and id: the place in the partition plus the totals of the partitions
-    before, so a source of any size is spread over tasks. A null source is one
+    before, so a source of any size is spread over tasks. Those totals, at most a row for each partition
+    and one for each source, are broadcast up to ``MOST_PARTS`` rows and joined by shuffle beyond. A null source is one
     of the sources; rows without words count with size 0; equal rows may swap places.
     """
     keep = keep or [id_col]
@@ -85,6 +88,7 @@ def mix(
     known = parts.join(goal, F.col("_source").eqNullSafe(F.col("source"))).select(
         F.col("_part").alias("_p"), F.col("_source").alias("_s"), "_before", "source_size", "target", offset(F.col("_source"), seed).alias("_u")
     )
+    known = F.broadcast(known) if parts.count() <= MOST_PARTS else known
     joined = placed.join(known, (F.col("_part") == F.col("_p")) & F.col("_source").eqNullSafe(F.col("_s")))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     place = F.col("_at") + F.col("_before")

@@ -158,6 +158,7 @@ def contamination(
     item_text: str = "text",
     window: int = 10,
     most_words: int = 200_000,
+    cut: bool = False,
 ) -> DataFrame:
     """``docs`` with ``_n_words long, _spans array<array<long>>, _items array<string>``.
 
@@ -167,14 +168,16 @@ def contamination(
     Null texts have no words; items with null id, null text or no words are left out; items
     that share an id count once; repeated rows are judged alike. Items are taken in blocks of
     ``most_words``, one automaton and one pass over the texts for each block, so that what
-    is sent to the executors is bounded.
+    is sent to the executors is bounded. With ``cut``, the last pass puts ``_cut string``, the text
+    without its spans, in place of the text.
     """
-    first = True
-    for automaton in blocks_of_items(items, item_id, item_text, window, most_words):
+    blocks = blocks_of_items(items, item_id, item_text, window, most_words)
+    for at, automaton in enumerate(blocks):
+        first, cuts = at == 0, cut and at == len(blocks) - 1
         sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
-        def make(batch: pa.RecordBatch, sent=sent, first=first) -> list:
-            model, n_words, all_spans, all_items = sent.value, [], [], []
+        def make(batch: pa.RecordBatch, sent=sent, first=first, cuts=cuts) -> list:
+            model, n_words, all_spans, all_items, texts = sent.value, [], [], [], []
             old = None if first else list(zip(batch.column("_spans").to_pylist(), batch.column("_items").to_pylist()))
             for i, text in enumerate(batch.column(text_col).to_pylist()):
                 words = words_of(text)
@@ -185,14 +188,17 @@ def contamination(
                 n_words.append(len(words))
                 all_spans.append([list(s) for s in spans])
                 all_items.append(sorted(names))
-            return [n_words, all_spans, all_items]
+                if cuts:
+                    texts.append(cut_spans(text, spans) if spans else text)
+            return [n_words, all_spans, all_items, *([texts] if cuts else [])]
 
+        drop = (text_col,) if cuts else ()
+        last = ", _cut string" if cuts else ""
         if first:
-            docs = with_columns(docs, make, "_n_words long, _spans array<array<long>>, _items array<string>")
+            docs = with_columns(docs, make, f"_n_words long, _spans array<array<long>>, _items array<string>{last}", drop=drop)
         else:
-            more = with_columns(docs, make, "_w long, _s array<array<long>>, _i array<string>", drop=("_n_words", "_spans", "_items"))
+            more = with_columns(docs, make, f"_w long, _s array<array<long>>, _i array<string>{last}", drop=("_n_words", "_spans", "_items", *drop))
             docs = more.withColumnsRenamed({"_w": "_n_words", "_s": "_spans", "_i": "_items"})
-        first = False
     return docs
 
 
@@ -214,7 +220,7 @@ def items_digest(items: Column) -> Column:
     return F.sha2(F.array_join(items, ","), 256)
 
 
-def cut_spans(text: str, spans: list[list[int]]) -> str:
+def cut_spans(text: str, spans: list) -> str:
     """The text without the words of ``spans`` and what stands between those words."""
     data = text.encode("utf-8", "replace")
     flat = data.translate(_WORDS)
@@ -236,12 +242,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text",
     """``docs`` without benchmark passages: hit spans are cut out of the texts, and rows of
     which more than ``most_covered`` of the words are hit are dropped. Clean rows stay as they are.
     """
-    found = contamination(docs, items, text_col=text_col, **options)
+    found = contamination(docs, items, text_col=text_col, cut=True, **options)
     found = found.where(hit_words(F.col("_spans")) <= F.lit(most_covered) * F.col("_n_words"))
-
-    def make(batch: pa.RecordBatch) -> list:
-        pairs = zip(batch.column(text_col).to_pylist(), batch.column("_spans").to_pylist())
-        return [[cut_spans(t, s) if s else t for t, s in pairs]]
-
-    cut = with_columns(found, make, "_cut string", drop=("_n_words", "_spans", "_items"))
-    return cut.withColumn(text_col, F.col("_cut")).select(*docs.columns)
+    return found.withColumn(text_col, F.col("_cut")).select(*docs.columns)

@@ -11,6 +11,8 @@ from panelwright.llm.common import held_out, written
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: A text of so many letters is rejected if no language explains it better than this.
 MOST_PHRASES, LEAST_LETTERS = 0.6, 40
+#: Texts are near copies if so much of their shingles of so many words is common to both.
+SIMILARITY, SHINGLE_WORDS = 0.8, 5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +25,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each class."""
-    return simhash.keep_one(docs).select(*COLUMNS)
+    """Keeps the document with the smallest id of each class: near by fingerprint, or by overlap of word shingles."""
+    return simhash.keep_one(docs, similarity=SIMILARITY, overlap_words=SHINGLE_WORDS).select(*COLUMNS)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Near-duplicate classes by 64-bit SimHash, with pigeonring filtering of candidates."""
+"""Near-duplicate classes by 64-bit SimHash, with pigeonring filtering of candidates, and by overlap of shingles."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import overlap
 from .common import LOWER, UPPER, checkpointed, with_columns
 
 SEGMENTS, BITS = 4, 16
@@ -48,6 +49,17 @@ def fingerprints(docs: DataFrame, *, text_col: str = "text", words: int = 3) ->
     return with_columns(docs, make, "fp long", drop=(text_col,))
 
 
+def signatures(docs: DataFrame, words: int, overlap_words: int) -> DataFrame:
+    """``docs`` without ``_text``, with ``fp`` and what ``overlap.links`` needs: shingles ``_n`` and ``_bands``."""
+
+    def make(batch: pa.RecordBatch) -> list:
+        texts = batch.column("_text").to_pylist()
+        sizes, bands = overlap.signed(texts, overlap_words)
+        return [np.array([fingerprint(t, words) for t in texts], dtype=np.uint64).view(np.int64), sizes, bands]
+
+    return with_columns(docs, make, "fp long, _n int, _bands array<long>", drop=("_text",))
+
+
 def segment(fp: Column, i: int) -> Column:
     return F.shiftrightunsigned(fp, BITS * (i % SEGMENTS)).bitwiseAND(0xFFFF)
 
@@ -117,16 +129,30 @@ def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None, overlap_words: int = 5
+) -> DataFrame:
     """``id_col, fp, component_id`` for every row: the smallest id reachable over linked fingerprints.
 
     Rows with equal fingerprints are linked, so a repeated row is in one class with itself, and null,
     empty and blank texts (fingerprint 0) are one class. A null id is a row like
     any other but never names a class, unless it has no other row. Other columns are ignored.
+    With ``similarity``, texts whose sets of ``overlap_words``-word shingles have at least that Jaccard
+    similarity are linked as well (``overlap``).
     """
-    marked = checkpointed(fingerprints(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), text_col="_text", words=words))
+    source = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    if similarity is None:
+        marked = checkpointed(fingerprints(source, text_col="_text", words=words))
+    else:
+        source = source.withColumn("_hash", F.xxhash64("_text"))
+        signed = checkpointed(signatures(source, words, overlap_words))
+        marked = signed.select("_id", "fp")
     fps = checkpointed(marked.groupBy("fp").agg(F.min("_id").alias("least"), F.count("*").alias("rows")))
-    roots = components(links(fps))
+    near = links(fps)
+    if similarity is not None:
+        near = checkpointed(near)
+        near = near.unionByName(overlap.links(source, signed, near, components, overlap_words, similarity))
+    roots = components(near)
     least = fps.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least").alias("named"))
     named = roots.join(least, "root").select("node", "named")
     classes = fps.join(named, F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("named", "least").alias("component_id"), "rows")
@@ -142,12 +168,14 @@ def fingerprint_hex(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
+def keep_one(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, similarity: float | None = None, overlap_words: int = 5
+) -> DataFrame:
     """The rows of ``docs`` whose id names their class; of rows that share that id, one.
 
     A class without any id keeps one row of each text.
     """
-    found = checkpointed(near_duplicates(docs, id_col=id_col, text_col=text_col, words=words))
+    found = checkpointed(near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity, overlap_words=overlap_words))
     named = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows"))
     same = F.col(id_col) == F.col("_kept")
     kept = docs.join(named, same, "left_semi")

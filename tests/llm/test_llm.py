@@ -197,6 +197,38 @@ def test_classes_with_null_and_repeated_ids(spark):
     assert got == [(-1, -1), (-1, 7), (7, 7), (7, 7)]
 
 
+def test_near_duplicate_stage_against_brute_force_overlap(spark):
+    random.seed(11)
+    texts = [*ODD, "Same  TEXT here now", "a b c", "A b c"]
+    for n in (30, 120, 400):
+        for _ in range(6):
+            base = [f"w{random.randrange(5000)}" for _ in range(n)]
+            for changes in (1, n // 60, n // 45, n // 40, n // 30, n // 20):
+                copy = list(base)
+                for at in random.sample(range(n), changes):
+                    copy[at] = f"x{random.randrange(5000)}"
+                texts.append(" ".join(copy))
+    random.shuffle(texts)
+    docs = rows(spark, texts)
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    fps = [simhash.fingerprint(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for i in range(len(texts)):
+        for j in range(i):
+            alike = 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            if alike or bin(fps[i] ^ fps[j]).count("1") <= 3:
+                parent[max(find(i), find(j))] = min(find(i), find(j))
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()}
+    assert kept == {find(i) for i in range(len(texts))}
+    assert kept < {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+
+
 def test_token_counts_equal_the_library(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     texts = [*ODD, "  lead  and   trail  ", "a▁b <s> </s>\n\n\tc", "日本語 テスト ☃", "　 x", "rare" * 50, " ", "▁"]

@@ -7,7 +7,7 @@ from collections import Counter
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import hash_share, with_columns
@@ -101,21 +101,30 @@ def suffix_table(codes: list[int]) -> np.ndarray:
 def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int = 2000, chars_per_lang: int = 16_000) -> Automata:
     """Automata from a bounded sample of ``text, lang``: at most ``chars_per_lang`` of each.
 
-    About ``docs_per_lang`` rows a language are chosen by a hash of the text, and
-    of each a slice of ``chars_per_doc`` is used, once however many copies a text has. Rows without text or lang are left out.
+    Distinct texts of a language are taken in the order of a hash: of each a slice of ``chars_per_doc`` is used, until
+    ``chars_per_lang`` is filled or the language has no more. The share drawn first holds about ``docs_per_lang`` of
+    a language's distinct texts; a language that it doesn't fill is drawn again with a wider share, up to all its texts.
+    Rows without text or lang are left out.
     """
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    if not counts:
-        return Automata({})
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, docs_per_lang / n))])
     key = hash_share([F.col("text")], "langid")
+    hashed = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    counts = {r["lang"]: r["count"] for r in hashed.groupBy("lang").count().collect()}
     start = (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars_per_doc, F.lit(1))) + 1).cast("int")
-    sample = rows.where(key < share[F.col("lang")]).select("lang", key.alias("key"), F.substring("text", start, F.lit(chars_per_doc)).alias("text")).distinct()
+    piece = F.substring("text", start, F.lit(chars_per_doc)).alias("text")
     texts: dict[str, str] = {}
-    for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["key"], r["text"])):
-        if len(have := texts.get(r["lang"], "")) < chars_per_lang:
-            texts[r["lang"]] = (have + "\n" + r["text"])[:chars_per_lang]
+    shares = {lang: min(1.0, docs_per_lang / n) for lang, n in counts.items()}
+    while shares:
+        share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
+        sample = rows.where(key < share[F.col("lang")]).select("lang", key.alias("key"), F.xxhash64("text").alias("hash"), piece).distinct()
+        last = Window.partitionBy("lang").orderBy("key", "text", "hash").rowsBetween(Window.unboundedPreceding, -1)
+        sample = sample.withColumn("before", F.coalesce(F.sum(F.length("text") + 1).over(last), F.lit(0))).where(F.col("before") < chars_per_lang + 1)
+        found: dict[str, str] = {}
+        for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["key"], r["text"])):
+            if len(have := found.get(r["lang"], "")) < chars_per_lang:
+                found[r["lang"]] = (have + "\n" + r["text"])[:chars_per_lang]
+        texts |= found
+        shares = {lang: min(1.0, share * 16) for lang, share in shares.items() if share < 1 and len(found.get(lang, "")) < chars_per_lang}
     return Automata(texts)
 
 

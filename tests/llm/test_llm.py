@@ -76,6 +76,14 @@ def test_language_held_out_accuracy_and_awkward_rows(spark, documents):
     assert langid.learn(documents.limit(0)).langs == []
 
 
+def test_language_sample_counts_distinct_texts(spark):
+    few = spark.range(40_000).select(F.concat(F.lit("zab quo "), (F.col("id") % 20).cast("string")).alias("text"), F.lit("copied").alias("lang"))
+    many = spark.range(3000).select(F.concat(F.lit("lorem ipsum "), F.sha2(F.col("id").cast("string"), 256)).alias("text"), F.lit("various").alias("lang"))
+    model = langid.learn(few.union(many))
+    assert model.langs == ["copied", "various"]
+    assert model.sizes == [len(model.encode("\n" + "\n".join(["zab quo "] * 20))), model.sizes[1]] and model.sizes[1] > 8000
+
+
 def test_field_marginals_against_enumeration():
     rng = np.random.RandomState(3)
     emit, trans = rng.randn(1, 5), rng.randn(2, 2)

@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 from .common import hash_share, with_columns
 
-#: Codes 0 (between words), 1 (a letter unknown to all languages) and PAD never extend a match.
-WIDTH, PAD = 64, 63
+#: Codes 1 (a letter unknown to a language) and PAD never extend a match; 0 is what stands between words. Learnt letters follow.
+PAD, LETTERS = 2, 3
+#: Languages of more codes than this keep sparse transitions.
+DENSE = 256
 BLOCK = 1024
 
 
 class Automata:
-    """Suffix automata of the labelled texts as dense next-state tables.
+    """Suffix automata of the labelled texts as next-state tables over all letters that a language's text holds.
 
     A state is stored as its row's offset; 0 is the start, which no other state leads
     to, so reaching 0 means that no substring of the text goes on this way: a phrase ends.
@@ -26,44 +28,47 @@ class Automata:
 
     def __init__(self, texts: dict[str, str]):
         letters = Counter(c for t in texts.values() for c in t.lower() if c.isalpha())
-        self.codes = {c: i + 2 for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0]))[: PAD - 2])}
-        self.langs, self.tables, self.sizes = [], [], []
+        self.codes = {c: i + LETTERS for i, (c, _) in enumerate(sorted(letters.items(), key=lambda x: (-x[1], x[0])))}
+        self.points = letter_points().astype(np.min_scalar_type(len(self.codes) + LETTERS))
+        for c, i in self.codes.items():
+            self.points[ord(c)] = i
+        self.langs, self.tables, self.columns, self.sizes = [], [], [], []
         for lang in sorted(texts):
             codes = self.encode(texts[lang])
             if len(codes):
+                own = np.unique(codes[codes >= LETTERS])
+                columns = np.ones(len(self.codes) + LETTERS, np.int32)
+                columns[0], columns[PAD], columns[own] = 0, PAD, np.arange(len(own)) + LETTERS
                 self.langs.append(lang)
-                self.tables.append(suffix_table(codes.tolist()))
+                self.tables.append((Dense if len(own) + LETTERS <= DENSE else Sparse)(columns[codes].tolist(), len(own) + LETTERS))
+                self.columns.append(columns)
                 self.sizes.append(len(codes))
 
     def encode(self, text: str) -> np.ndarray:
         """Lower-case letters as codes, everything between words as a single 0."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
-        codes = code_table(tuple(self.codes.items()))[points]
+        codes = self.points[np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)]
         return codes[np.concatenate(([True], (codes[1:] != 0) | (codes[:-1] != 0)))] if len(codes) else codes
 
     def phrases(self, blocks: np.ndarray) -> np.ndarray:
         """Phrases of each column of ``blocks`` (time first, PAD after the last letter) for each language."""
         out = np.empty((len(self.langs), blocks.shape[1]), np.int64)
-        for k, table in enumerate(self.tables):
-            state, ends = np.zeros(blocks.shape[1], np.int32), np.zeros(blocks.shape[1], np.int32)
+        for k, (table, columns) in enumerate(zip(self.tables, self.columns)):
+            state, ends = np.zeros(blocks.shape[1], table.kind), np.zeros(blocks.shape[1], np.int32)
             for row in blocks:
-                state = table.take(state + row)
+                state = table.next(state + columns.take(row))
                 ends += state == 0
             out[k] = ends
         return out
 
 
-@lru_cache(maxsize=4)
-def code_table(codes: tuple) -> np.ndarray:
-    table = np.zeros(0x110000, np.uint8)
-    table[[i for i in range(0x110000) if chr(i).isalpha()]] = 1
-    for c, i in codes:
-        table[ord(c)] = i
-    return table
+@lru_cache(maxsize=1)
+def letter_points() -> np.ndarray:
+    """1 for each code point that is a letter."""
+    return np.array([chr(i).isalpha() for i in range(0x110000)], np.uint8)
 
 
-def suffix_table(codes: list[int]) -> np.ndarray:
-    """The automaton of all substrings of ``codes``, as a flat table of row offsets."""
+def suffix_steps(codes: list[int]) -> list[dict[int, int]]:
+    """The transitions of the automaton of all substrings of ``codes``."""
     step, link, size, last = [{}], [-1], [0], 0
     for c in codes:
         new = len(step)
@@ -88,14 +93,43 @@ def suffix_table(codes: list[int]) -> np.ndarray:
                 q = twin
             link[new] = q
         last = new
-    # At the end, an open phrase goes to the start and so counts; what is at the start goes to a last state and stays.
-    table = np.zeros((len(step) + 1, WIDTH), np.int32)
-    table[-1] = table[0, PAD] = len(step) * WIDTH
-    for s, out in enumerate(step):
-        for c, t in out.items():
-            if c not in (1, PAD):
-                table[s, c] = t * WIDTH
-    return table.reshape(-1)
+    return step
+
+
+# At the end, an open phrase goes to the start and so counts; what is at the start goes to a last state and stays.
+class Dense:
+    """Row offsets for every state and code."""
+
+    kind = np.int32
+
+    def __init__(self, codes: list[int], width: int):
+        step = suffix_steps(codes)
+        table = np.zeros((len(step) + 1, width), np.int32)
+        table[-1] = table[0, PAD] = len(step) * width
+        for s, out in enumerate(step):
+            for c, t in out.items():
+                table[s, c] = t * width
+        self.table = table.reshape(-1)
+
+    def next(self, at: np.ndarray) -> np.ndarray:
+        return self.table.take(at)
+
+
+class Sparse:
+    """Only the transitions there are, sorted: an alphabet of thousands of letters takes no more room than its text."""
+
+    kind = np.int64
+
+    def __init__(self, codes: list[int], width: int):
+        step = suffix_steps(codes)
+        self.end = len(step) * width
+        moves = {s * width + c: t * width for s, out in enumerate(step) for c, t in out.items()} | {PAD: self.end}
+        self.keys = np.array(sorted(moves), np.int64)
+        self.to = np.array([moves[k] for k in self.keys.tolist()], np.int64)
+
+    def next(self, at: np.ndarray) -> np.ndarray:
+        i = np.minimum(np.searchsorted(self.keys, at), len(self.keys) - 1)
+        return np.where(at >= self.end, self.end, np.where(self.keys[i] == at, self.to[i], 0))
 
 
 def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int = 2000, chars_per_lang: int = 16_000) -> Automata:
@@ -136,7 +170,7 @@ def judge(model: Automata, texts: list[str | None], most_blocks: int = 8192) ->
     def flush() -> None:
         if pieces:
             order = np.argsort([-len(p) for p in pieces], kind="stable")
-            blocks = np.full((len(pieces), len(pieces[order[0]]) + 1), PAD, np.uint8)
+            blocks = np.full((len(pieces), len(pieces[order[0]]) + 1), PAD, model.points.dtype)
             for i, k in enumerate(order):
                 blocks[i, : len(pieces[k])] = pieces[k]
             got = model.phrases(np.ascontiguousarray(blocks.T))

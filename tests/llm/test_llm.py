@@ -84,6 +84,23 @@ def test_language_sample_counts_distinct_texts(spark):
     assert model.sizes == [len(model.encode("\n" + "\n".join(["zab quo "] * 20))), model.sizes[1]] and model.sizes[1] > 8000
 
 
+def test_language_alphabets_keep_every_letter():
+    random.seed(12)
+    scripts = {"cyrillic": range(0x430, 0x450), "greek": [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)], "han": range(0x4E00, 0x4E00 + 900), "latin": range(0x61, 0x7B)}
+    for names in (("cyrillic", "greek", "latin"), tuple(scripts)):
+        samples = {k: "".join(random.choices([*map(chr, scripts[k]), " "], k=6000)) for k in names}
+        model = langid.Automata(samples)
+        assert set(model.codes) == {c for t in samples.values() for c in t if c != " "} and len(model.codes) > 61
+        clean = {k: re.sub(" +", " ", v) for k, v in samples.items()}
+        texts = [clean[k][at : at + 40].strip() for k in names for at in (0, 777, 3000)]
+        got = langid.judge(model, texts)
+        assert got[0] == [k for k in names for _ in range(3)] and max(got[2]) < 0.1
+        codes = [model.encode(t) for t in texts]
+        for t, c in zip(texts, codes):
+            found = model.phrases(np.append(c, [langid.PAD] * 3).astype(c.dtype)[:, None])[:, 0]
+            assert list(found) == [longest_phrases(clean[k], t) for k in sorted(names)]
+
+
 def test_field_marginals_against_enumeration():
     rng = np.random.RandomState(3)
     emit, trans = rng.randn(1, 5), rng.randn(2, 2)

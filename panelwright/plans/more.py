@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators import audit, evidence, fit, history, rolling, screen, valuation
+from panelwright.operators import audit, evidence, fit, history, resolve, rolling, screen, valuation
 from panelwright.plans.registry import DAILY, LINES, articles, daily, lines, query, table
 from panelwright.sources import io
 
@@ -239,3 +239,44 @@ def nested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         one = fit.scores(scored, ["fold"]).withColumn("n_factors", F.lit(k))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+EVERY = """obs AS (SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || o_orderpriority AS day, CAST(o_orderkey % 3 AS DOUBLE) / 2 + 3 AS star,
+  1.0 - (o_orderkey % 7) / 100.0 AS confidence FROM orders)"""
+
+
+def every_observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order as an observation; ``day`` is its date and priority."""
+    key = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        key.alias("id"), F.concat_ws(" ", F.col("o_orderdate").cast("date").cast("string"), "o_orderpriority").alias("day"),
+        ((key % 3).cast("double") / 2 + 3).alias("star"), (1.0 - (key % 7) / 100.0).alias("confidence"),
+    )
+
+
+@query(f"""WITH {EVERY}, g AS (SELECT *, min(star) OVER (PARTITION BY day) = max(star) OVER (PARTITION BY day) AS agree,
+  row_number() OVER (PARTITION BY day ORDER BY id % 7, id) AS k FROM obs) SELECT day, star, id FROM g WHERE agree AND k = 1""")
+def unanimous_targets_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.unanimous(every_observed(spark, sf_dir), "day", "star", [F.desc("confidence"), F.asc("id")]).select("day", "star", "id")
+
+
+@query(f"""WITH {EVERY} SELECT day, array_to_string(list_sort(list(DISTINCT CAST(star AS VARCHAR))), '|') AS values,
+  array_to_string(list_sort(list(DISTINCT CAST(id AS VARCHAR))), '|') AS ids FROM obs GROUP BY day HAVING count(DISTINCT star) > 1""")
+def same_day_conflicts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.conflicts(every_observed(spark, sf_dir), "day", "star", "id")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS date, o_orderstatus AS s FROM orders),
+u AS (SELECT date, CASE WHEN bool_or(s = 'F') THEN 'direct' WHEN bool_or(s = 'O') THEN 'range' ELSE 'fallback' END AS status FROM d WHERE s IN ('F', 'O', 'P') GROUP BY 1)
+SELECT CAST(year(date) AS INTEGER) AS year, count(*) FILTER (WHERE status = 'direct') AS direct, count(*) FILTER (WHERE status = 'range') AS range,
+  count(*) FILTER (WHERE status = 'fallback') AS fallback FROM u WHERE date IN (SELECT CAST(l_shipdate AS DATE) FROM lineitem) GROUP BY 1""")
+def unified_by_year_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``unified_by_year`` over the orders of every priority."""
+    days = table(spark, sf_dir, "orders").select(F.col("o_orderdate").cast("date").alias("date"), "o_orderstatus").distinct()
+    source = lambda s, name: days.where(F.col("o_orderstatus") == s).select("date", F.lit(name).alias("status"))
+    direct = source("F", "direct")
+    ranged = resolve.overlay([direct], source("O", "range"), "date")
+    rest = resolve.overlay([direct, ranged], source("P", "fallback"), "date")
+    calendar = table(spark, sf_dir, "lineitem").select(F.col("l_shipdate").cast("date").alias("date"))
+    rows = resolve.on_calendar(direct.unionByName(ranged).unionByName(rest), calendar, "date")
+    return resolve.year_status_counts(rows, "date", "status", ["direct", "range", "fallback"])

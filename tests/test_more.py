@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from panelwright.plans import more, registry  # noqa: F401
 from panelwright.operators import history, screen, valuation
 from panelwright.sources import io
 
@@ -118,3 +119,12 @@ def test_sinks_keep_null_dates_and_every_row(spark, tmp_path):
     assert got == {DAY: (1.0, 2024), DAY + dt.timedelta(366): (None, 2025), None: (3.0, None)}
     io.write_audit(rows.where("value = 3").select("value"), str(tmp_path / "audit"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "audit")).collect()] == ['{"value":3.0}']
+
+
+def test_resolving_reads_orders_of_every_priority(spark):
+    sf = "/root/testdata/sf0.001"
+    found = [registry.QUERIES[f"{n}_whole"](spark, sf) for n in ("unanimous_targets", "same_day_conflicts")]
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    groups = orders.select(F.col("o_orderdate").cast("date"), "o_orderpriority").distinct().count()
+    assert sum(f.count() for f in found) == groups
+    assert {r[0] for f in found for r in f.selectExpr("substr(day, 12)").distinct().collect()} == {r[0] for r in orders.select("o_orderpriority").distinct().collect()}

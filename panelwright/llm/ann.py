@@ -50,8 +50,8 @@ def nearest(
 
     A vector is represented by all pivots in order of nearness and posted in the
     inverted files of its ``post`` nearest ones. A query reads the files of its ``probe`` nearest
-    pivots. A file is kept in blocks of about ``block`` rows, dealt by a hash of the
-    id, so a file of any length, or of copies of one vector, is spread over tasks. In each block the
+    pivots. A file is kept in blocks of about ``block`` rows, dealt by a hash of
+    id and vector, so a file of any length, or of copies of one vector, is spread over tasks. Rows that repeat both are merged first. In each block the
     candidates are ranked by the footrule distance of the permutations, the first ``rerank``
     share (``4 * k`` at least) gets the exact cosine, and the block's ``k`` best go
     on. The pivots are a bounded sample of distinct vectors; every vector is posted.
@@ -62,6 +62,7 @@ def nearest(
     """
     base = vectors.select(F.col(id_col).cast("long").alias("_id"), F.col(vec_col).cast("array<double>").alias("_vec"), queries.alias("_query"))
     base = base.where(F.col("_id").isNotNull() & valid(F.col("_vec"))).withColumn("_hash", F.xxhash64("_vec"))
+    base = base.groupBy("_id", "_hash").agg(F.first("_vec").alias("_vec"), F.coalesce(F.max("_query"), F.lit(False)).alias("_query"))
     pivot = pivots_of(base, pivots, seed)
     spark = vectors.sparkSession
     out = "query_id long, vec_id long, score double"
@@ -82,8 +83,8 @@ def nearest(
     blocks = {r["_pivot"]: -(-r["count"] // block) for r in lists.collect()}
     many = F.create_map(*[F.lit(v) for p, b in sorted(blocks.items()) for v in (int(p), int(b))])
 
-    posted = ordered.select("_id", "_place", "_x", F.lit(False).alias("_asks"), F.explode(F.slice("_perm", 1, post)).alias("_pivot"))
-    posted = posted.withColumn("_block", F.pmod(F.xxhash64("_id"), many[F.col("_pivot")]).cast("int"))
+    posted = ordered.select("_id", "_hash", "_place", "_x", F.lit(False).alias("_asks"), F.explode(F.slice("_perm", 1, post)).alias("_pivot"))
+    posted = posted.withColumn("_block", F.pmod(F.xxhash64("_id", "_hash"), many[F.col("_pivot")]).cast("int"))
     asked = ordered.where("_query").select("_id", "_place", "_x", F.lit(True).alias("_asks"), F.explode(F.slice("_perm", 1, probe)).alias("_pivot"))
     asked = asked.where(many[F.col("_pivot")].isNotNull()).withColumn("_block", F.explode(F.sequence(F.lit(0), many[F.col("_pivot")] - 1)))
 
@@ -106,7 +107,7 @@ def nearest(
                 found += [(q, ids[first[i]], cos[i]) for i in best]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    near = posted.unionByName(asked).groupBy("_pivot", "_block").applyInPandas(search, out)
+    near = posted.drop("_hash").unionByName(asked).groupBy("_pivot", "_block").applyInPandas(search, out)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     near = near.distinct().withColumn("rank", rank).where(F.col("rank") <= k)
     return near.select("query_id", "rank", "vec_id", "score")

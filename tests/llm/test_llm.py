@@ -283,6 +283,13 @@ def test_nearest_recall_and_awkward_rows(spark):
     assert ann.nearest(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_counts_a_repeated_id_once(spark):
+    data = [(0, [1.0, 0.0])] + [(1, [1.0, 0.01])] * 30 + [(2, [1.0, 0.02])] * 12 + [(i, [1.0, 0.1 * i]) for i in range(3, 9)]
+    table = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    found = [(r["rank"], r["vec_id"]) for r in ann.nearest(table, F.col("vec_id") == 0, k=5).collect()]
+    assert sorted(found) == [(i, i) for i in range(1, 6)]
+
+
 def test_mix_comes_near_targets_and_repeats(spark):
     random.seed(8)
     data = [(i, " ".join(["w"] * random.randint(0, 40)), random.choice(["a", "b", "c", None])) for i in range(600)] + [(None, "x y", "a"), (5, None, "b"), (5, None, "b")]

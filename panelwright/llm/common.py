@@ -87,11 +87,13 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields:
 
     Batches have ``ROWS`` rows at most and are cut to about 8 MB, so that a run of very long
     texts stays within memory, and a task gives its memory back at its end, as its worker
-    outlives it. ``drop`` names input columns that only ``make`` needs.
+    outlives it. ``drop`` names input columns that only ``make`` needs; a column that has the name of a
+    new one gives way to it.
     """
     small_batches(df.sparkSession)
-    kept = [c for c in df.columns if c not in drop]
     extra = StructType.fromDDL(fields)
+    new = {c.lower() for c in extra.names}
+    kept = [c for c in df.columns if c not in drop and c.lower() not in new]
     schema = StructType(df.select(*kept).schema.fields + extra.fields)
     arrow = to_arrow_schema(schema)
 
@@ -100,8 +102,8 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields:
             rows = max(1, int(batch.num_rows * 8e6 / max(batch.nbytes, 1)))
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                new = make(part)
-                arrays = [part.column(c) for c in kept] + [pa.array(x, arrow.field(len(kept) + i).type) for i, x in enumerate(new)]
+                made = make(part)
+                arrays = [part.column(c) for c in kept] + [pa.array(x, arrow.field(len(kept) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
         give_back()
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, checkpointed, with_columns
@@ -45,11 +45,15 @@ def band_keys(shingles: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(raw[k * size : (k + 1) * size], k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
-def shared_part(a: bytes, b: bytes) -> float:
-    """Jaccard similarity of two sorted sets."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    both = len(np.intersect1d(x, y, assume_unique=True))
-    return both / (len(x) + len(y) - both)
+def shared_parts(left: pa.ListArray, right: pa.ListArray) -> list[float]:
+    """Jaccard similarity of the sets of each row."""
+    out = []
+    sides = [(c.values.to_numpy(), c.offsets.to_numpy()) for c in (left, right)]
+    for k in range(len(left)):
+        x, y = (values[at[k] : at[k + 1]] for values, at in sides)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        out.append(both / max(len(x) + len(y) - both, 1))
+    return out
 
 
 def signed(texts: list[str | None], words: int) -> tuple[list[int], list[list[int]]]:
@@ -62,31 +66,56 @@ def signed(texts: list[str | None], words: int) -> tuple[list[int], list[list[in
     return sizes, bands
 
 
-def similar(pairs: DataFrame, texts: DataFrame, nodes: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The ``pairs`` (``a, b``: hashes) whose texts have at least this Jaccard similarity."""
-    wanted = pairs.select(F.col("a").alias("_want")).union(pairs.select("b")).distinct()
+def sets_of(wanted: DataFrame, texts: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """``_hash, _set`` (shingles) for the texts with the hashes ``_want``, each fetched once."""
     wanted = checkpointed(nodes.join(wanted, F.col("_hash") == F.col("_want"), "left_semi").select(F.col("_hash").alias("_want"), F.col("_id").alias("_least")))
     sent = F.broadcast(wanted) if wanted.count() <= MOST_SENT else wanted
     met = texts.join(sent, (F.col("_hash") == F.col("_want")) & F.col("_id").eqNullSafe(F.col("_least"))).select("_hash", "_text")
-    sets = with_columns(met, lambda batch: [[shingle_set(t, words).tobytes() for t in batch.column("_text").to_pylist()]], "_set binary", drop=("_text",))
-    sets = checkpointed(sets.dropDuplicates(["_hash"]))
-    both = pairs.join(sets.select(F.col("_hash").alias("a"), F.col("_set").alias("_x")), "a").join(sets.select(F.col("_hash").alias("b"), F.col("_set").alias("_y")), "b")
-    parts = with_columns(
-        both.select("a", "b", "_x", "_y"),
-        lambda batch: [[shared_part(x, y) for x, y in zip(batch.column("_x").to_pylist(), batch.column("_y").to_pylist())]],
-        "_part double",
-        drop=("_x", "_y"),
-    )
+    made = lambda batch: [[shingle_set(t, words).view(np.int64) for t in batch.column("_text").to_pylist()]]
+    return checkpointed(with_columns(met, made, "_set array<long>", drop=("_text",)).dropDuplicates(["_hash"]))
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` (``a, b``: hashes) whose sets have at least this Jaccard similarity."""
+    side = lambda c, x: sets.select(F.col("_hash").alias(c), F.col("_set").alias(x))
+    both = pairs.join(side("a", "_x"), "a").join(side("b", "_y"), "b").select("a", "b", "_x", "_y")
+    parts = with_columns(both, lambda batch: [shared_parts(batch.column("_x"), batch.column("_y"))], "_part double", drop=("_x", "_y"))
     return parts.where(F.col("_part") >= similarity - 1e-12).select("a", "b")
 
 
+def rare_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of rows (``_hash, at, _n, _set``) of different classes ``at`` that may reach the similarity; none that does is left out.
+
+    Shingles are put in one order for all texts: first those that only one class has, then rare before frequent ones.
+    Two sets of at least the similarity share a shingle near the start of both, at places from which enough
+    shingles still follow in each. So texts with many shingles of their own meet nobody, however large
+    the group that they were found in.
+    """
+    each = rows.select("_hash", "at", "_n", F.explode("_set").alias("shingle"))
+    shared = each.groupBy("shingle").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("rows")).where("low != high").select("shingle", "rows")
+    by = Window.partitionBy("_hash")
+    placed = each.join(shared, "shingle").withColumn("_at", F.col("_n") - F.count("*").over(by) + F.row_number().over(by.orderBy("rows", "shingle")))
+    least = lambda part: F.ceil(part * F.col("_n") - 1e-9)
+    equal = 2 * similarity / (1 + similarity)
+    start = checkpointed(placed.where(F.col("_at") <= F.col("_n") - least(similarity) + 1).withColumn("_first", F.col("_at") <= F.col("_n") - least(equal) + 1))
+    mixed = start.groupBy("shingle").agg(F.min("at").alias("low"), F.max("at").alias("high")).where("low != high").select("shingle")
+    start = start.join(mixed, "shingle", "left_semi")
+    named = lambda x: [F.col(c).alias(f"{c}{x}") for c in ("_hash", "at", "_n", "_at")]
+    small, large = start.where("_first").select("shingle", *named(1)), start.select("shingle", *named(2))
+    follow = F.least(F.col("_n1") - F.col("_at1"), F.col("_n2") - F.col("_at2")) + 1
+    enough = follow >= F.ceil(equal / 2 * (F.col("_n1") + F.col("_n2")) - 1e-9)
+    ordered = (F.col("_n1") < F.col("_n2")) | ((F.col("_n1") == F.col("_n2")) & (F.col("_hash1") < F.col("_hash2")))
+    met = small.join(large, "shingle").where((F.col("at1") != F.col("at2")) & ordered & (F.col("_n1") >= similarity * F.col("_n2") - 1e-9) & enough)
+    return met.select(F.least("_hash1", "_hash2").alias("a"), F.greatest("_hash1", "_hash2").alias("b")).distinct()
+
+
 def links(texts: DataFrame, signed: DataFrame, near: DataFrame, components: Callable, words: int, similarity: float) -> DataFrame:
     """Links ``a < b`` of fingerprints that join all texts of at least this similarity which ``near`` doesn't join already.
 
     ``texts`` has ``_id, _text, _hash``, ``signed`` also ``fp, _n, _bands``. Distinct texts that share a band
     are candidates unless their classes are one. First each is compared with the first of
-    its bucket, so a large group of near copies costs one comparison a text and bucket; then texts of a bucket that
-    are still in different classes are compared with each other. Comparisons are exact.
+    its bucket, so a large group of near copies costs one comparison a text and bucket. The texts of buckets
+    that still hold different classes are then compared where ``rare_pairs`` leaves a pair possible. Comparisons are exact.
     """
     nodes = checkpointed(signed.where("_n > 0").groupBy("_hash").agg(F.min("_id").alias("_id"), F.first("fp").alias("fp"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
 
@@ -98,17 +127,16 @@ def links(texts: DataFrame, signed: DataFrame, near: DataFrame, components: Call
         first = rows.groupBy("key").agg(F.min(F.struct("_hash", "at", "_n", "fp")).alias("lead"), F.min("at").alias("low"), F.max("at").alias("high"))
         return rows.join(first.where("low != high").drop("low", "high"), "key")
 
-    def compared(pairs: DataFrame) -> DataFrame:
-        pairs = checkpointed(pairs.where(F.least("_n", "n") >= F.greatest("_n", "n") * (similarity - 1e-12)).select(F.least("_hash", "hash").alias("a"), F.greatest("_hash", "hash").alias("b")).distinct())
-        found = similar(pairs, texts, nodes, words, similarity)
+    def of_fingerprints(found: DataFrame) -> DataFrame:
         of = lambda side: nodes.select(F.col("_hash").alias(side), F.col("fp").alias(f"fp_{side}"))
         return found.join(of("a"), "a").join(of("b"), "b").select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
 
     keyed = classed(nodes, near).select("fp", "_hash", "_n", "at", F.explode("_bands").alias("key"))
     members = checkpointed(mixed(keyed))
-    stars = members.where("at != lead.at").select("_hash", "_n", F.col("lead._hash").alias("hash"), F.col("lead._n").alias("n"))
-    edges = checkpointed(compared(stars))
-    left = checkpointed(mixed(classed(members.drop("at", "lead"), near.unionByName(edges))))
-    other = left.select("key", F.col("_hash").alias("hash"), F.col("_n").alias("n"), F.col("at").alias("to"))
-    rest = left.where("_hash != lead._hash").join(other, "key").where((F.col("at") < F.col("to")) & (F.col("hash") != F.col("lead._hash")))
-    return edges.unionByName(checkpointed(compared(rest.select("_hash", "_n", "hash", "n")))).distinct()
+    stars = members.where((F.col("at") != F.col("lead.at")) & (F.least("_n", "lead._n") >= F.greatest("_n", "lead._n") * (similarity - 1e-12)))
+    stars = checkpointed(stars.select(F.least("_hash", "lead._hash").alias("a"), F.greatest("_hash", "lead._hash").alias("b")).distinct())
+    sets = sets_of(members.select(F.col("_hash").alias("_want")).distinct(), texts, nodes, words)
+    edges = checkpointed(of_fingerprints(similar(stars, sets, similarity)))
+    left = mixed(classed(members.drop("at", "lead"), near.unionByName(edges))).select("_hash", "at", "_n").distinct()
+    rest = checkpointed(rare_pairs(left.join(sets, "_hash"), similarity))
+    return edges.unionByName(checkpointed(of_fingerprints(similar(rest, sets, similarity)))).distinct()

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import overlap
-from .common import LOWER, UPPER, checkpointed, with_columns
+from .common import LOWER, UPPER, checkpointed, with_columns, written
 
 SEGMENTS, BITS = 4, 16
 DISTANCE = 3
@@ -108,25 +108,30 @@ def links(fps: DataFrame) -> DataFrame:
     return a.join(b, "key").where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def components(edges: DataFrame, *, most_rounds: int = 60) -> DataFrame:
-    """``node, root``: the smallest node reachable over the links ``a, b``.
+def components(edges: DataFrame) -> DataFrame:
+    """``node, root`` for the nodes of the links ``a, b``; nodes that links join, however far apart, have one root.
 
-    Each round takes the smallest root among a node and its neighbours and then the root
-    of that root, until nothing changes; rounds grow with the logarithm of the longest path.
-    Every round is cut off in the shared folder.
+    By local contraction: each round puts the nodes in a new order, that of a hash, and merges every node into the
+    first node within two links; links between merged nodes go on to the next round. The last of a round's
+    nodes in that order always goes, so it ends, and as the order is random most nodes go, even on a long path:
+    rounds grow with the logarithm of the nodes. Every round is written to the shared folder; a checkpoint would carry
+    on the constraints of the plans before it, which multiply from round to round.
     """
-    edges = checkpointed(edges.select("a", "b").union(edges.select("b", "a")))
-    roots = checkpointed(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("root")))
-    for _ in range(most_rounds):
-        heard = edges.join(roots.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("heard"))
-        lower = roots.join(heard, "node").select("node", "root", F.least("root", "heard").alias("low"))
-        above = roots.select(F.col("node").alias("low"), F.col("root").alias("above"))
-        new = checkpointed(lower.join(above, "low").select("node", F.least("low", "above").alias("root"), F.col("root").alias("was")))
-        moved = new.where("root != was").limit(1).count()
-        roots = new.select("node", "root")
-        if not moved:
-            return roots
-    raise RuntimeError(f"no end after {most_rounds} rounds")
+    links = edges.where("a != b").select("a", "b")
+    ends = written(links.union(links.select("b", "a")).distinct())
+    roots = ends.select(F.col("a").alias("node")).distinct().withColumn("root", F.col("node"))
+    number = 0
+    while ends.limit(1).count():
+        number += 1
+        place = F.struct(F.xxhash64(F.lit(number), "b").alias("order"), F.col("b").alias("node"))
+        own = F.struct(F.xxhash64(F.lit(number), "a").alias("order"), F.col("a").alias("node"))
+        near = ends.groupBy("a").agg(F.min(place).alias("near")).select(F.col("a").alias("b"), F.least("near", own).alias("near"))
+        into = written(ends.join(near, "b").groupBy("a").agg(F.min("near")["node"].alias("into")))
+        moved = ends.join(into, "a").select(F.col("into").alias("from"), "b").join(into.withColumnsRenamed({"a": "b"}), "b")
+        ends = written(moved.where("from != into").select(F.col("from").alias("a"), F.col("into").alias("b")).distinct())
+        known = into.withColumnRenamed("a", "root")
+        roots = written(roots.join(known, "root", "left").select("node", F.coalesce("into", "root").alias("root")))
+    return roots
 
 
 def near_duplicates(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -15,6 +16,14 @@ from .common import checkpointed, hash_share, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 4
+#: Words of a run that is tagged as one chain; a longer text is several runs.
+RUN = 512
+
+
+def words_of(text: str | None) -> list[str]:
+    """Lower-cased runs of letters. Where lower case changes the length, words are found in the text as it is."""
+    low = (text or "").lower()
+    return WORD.findall(low) if len(low) == len(text or "") else [w.lower() for w in WORD.findall(text)]
 
 
 def features(word: str) -> tuple[str, ...]:
@@ -30,6 +39,24 @@ def association(pos: int, neg: int, all_pos: int, all_neg: int) -> tuple[float,
     return odds, 2 * sum(o * math.log(o * n / (r * c)) for o, r, c in cells if o)
 
 
+class Emissions(dict):
+    """Scores of words for the toxic state, computed once each."""
+
+    def __init__(self, weights: dict[str, float], bias: float):
+        super().__init__()
+        self.weights, self.bias = weights, bias
+
+    def __missing__(self, word: str) -> float:
+        get = self.weights.get
+        e = self[word] = self.bias + sum(get(f, 0.0) for f in features(word))
+        return e
+
+    def of(self, words: list[str]) -> np.ndarray:
+        if len(self) > 300_000:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.float64, len(words))
+
+
 class Crf:
     """Two states, clean (0) and toxic (1); word features score state 1, transitions the change.
 
@@ -40,21 +67,32 @@ class Crf:
     def __init__(self, weights: dict[str, float], bias: float, trans: np.ndarray):
         self.weights, self.bias, self.trans = weights, bias, trans
         self.calibration = np.array([0.0, 1.0, 1.0])
-        self.cache: dict[str, float] = {}
-
-    def emission(self, word: str) -> float:
-        if (e := self.cache.get(word)) is None:
-            if len(self.cache) > 300_000:
-                self.cache.clear()
-            get = self.weights.get
-            e = self.cache[word] = self.bias + sum(get(f, 0.0) for f in features(word))
-        return e
-
-    def marginals(self, words: list[str]) -> np.ndarray:
-        """Forward-backward probability of the toxic state at each word."""
-        if not words:
-            return np.zeros(0)
-        return forward_backward(np.array([self.emission(w) for w in words])[None, :], np.array([len(words)]), self.trans)[0][0]
+        self.emissions = Emissions(weights, bias)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"emissions": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.emissions = Emissions(self.weights, self.bias)
+
+    def marginals(self, docs: list[list[str]], width: int = 4096) -> list[np.ndarray]:
+        """Forward-backward probability of the toxic state at each word of each document, in runs of ``RUN`` words."""
+        out, runs = [], []
+        for words in docs:
+            scored = self.emissions.of(words)
+            out.append(np.zeros(len(words)))
+            runs += [(out[-1][at : at + RUN], scored[at : at + RUN]) for at in range(0, len(words), RUN)]
+        runs.sort(key=lambda r: len(r[1]))
+        for at in range(0, len(runs), width):
+            part = runs[at : at + width]
+            n = np.array([len(e) for _, e in part])
+            padded = np.zeros((len(part), n[-1]))
+            for row, (_, e) in zip(padded, part):
+                row[: len(e)] = e
+            for (found, e), p in zip(part, forward_backward(padded, n, self.trans)[0]):
+                found[:] = p[: len(e)]
+        return out
 
     def scores(self, tops: np.ndarray, sums: np.ndarray) -> np.ndarray:
         """Documents' scores from their highest and summed marginals."""
@@ -94,16 +132,16 @@ def forward_backward(emit: np.ndarray, lengths: np.ndarray, trans: np.ndarray, c
     return p.T, expected
 
 
-def train(texts: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0)) -> Crf | None:
-    """A field from document labels; None if one of the labels is missing.
+def train(texts: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0), clean_runs: int = 10_000) -> Crf | None:
+    """A field from document labels, in the order of ``texts``; None if one of the labels is missing.
 
     Scores are calibrated on every second document by a field that the others give, so that
     words known by heart don't count; ``weight`` is how many documents one of either label stands for.
     """
-    docs = [(WORD.findall(t.lower()), y) for t, y in texts]
-    model = fitted(docs)
+    docs = [(words_of(t), y) for t, y in texts]
+    model = fitted(docs, clean_runs=clean_runs)
     if model:
-        half = fitted(docs[::2]) or model
+        half = fitted(docs[::2], clean_runs=clean_runs) or model
         rest = docs[1::2] if any(y for _, y in docs[1::2]) else docs
         y = np.array([y for _, y in rest], float)
         model.calibration = calibrated(doc_features(*doc_marginals(half, [w for w, _ in rest])), y, np.where(y > 0, weight[1], weight[0]))
@@ -111,14 +149,15 @@ def train(texts: list[tuple[str, int]], weight: tuple[float, float] = (1.0, 1.0)
 
 
 def fitted(
-    docs: list[tuple[list[str], int]], *, rounds: int = 60, seq: int = 48, most_seqs: int = 20_000,
+    docs: list[tuple[list[str], int]], *, rounds: int = 60, seq: int = 48, clean_runs: int = 10_000,
     least_ratio: float = 20.0, least_odds: float = 3.0, least_share: float = 0.02,
 ) -> Crf | None:
     """Weights of the field, without calibration.
 
     A token of a toxic document is labelled toxic if one of its features goes with toxic
     documents by log odds and likelihood ratio and is in ``least_share`` of them; all other
-    tokens are labelled clean. Gradients are expected less observed counts over sequences of ``seq`` words.
+    tokens are labelled clean. Gradients are expected less observed counts over sequences of ``seq`` words:
+    every one with a toxic token, and of the clean ones about ``clean_runs``, chosen by a hash of their words.
     """
     all_pos = sum(y for _, y in docs)
     all_neg = len(docs) - all_pos
@@ -134,17 +173,11 @@ def fitted(
             strong.add(f)
     kept = {f for f in strong} | {f for f, n in (pos + neg).items() if n >= 10}
     ids = {f: i for i, f in enumerate(sorted(kept))}
-    seqs: list[tuple[list[str], list[int]]] = []
-    clean = 0
-    for words, y in docs:
-        for at in range(0, len(words), seq):
-            part = words[at : at + seq]
-            tags = [int(bool(y) and not strong.isdisjoint(features(w))) for w in part]
-            if any(tags) or clean < most_seqs // 2:
-                clean += not any(tags)
-                seqs.append((part, tags))
-        if len(seqs) >= most_seqs:
-            break
+    parts = [(words[at : at + seq], y) for words, y in docs for at in range(0, len(words), seq)]
+    tagged = [(part, [int(bool(y) and not strong.isdisjoint(features(w))) for w in part]) for part, y in parts]
+    clean = sum(not any(t) for _, t in tagged)
+    share = int(min(1.0, clean_runs / max(clean, 1)) * (1 << 32))
+    seqs = [(part, t) for part, t in tagged if any(t) or zlib.crc32(" ".join(part).encode("utf-8", "replace")) <= share]
     n = len(seqs)
     lengths = np.array([len(p) for p, _ in seqs])
     tags = np.zeros((n, seq))
@@ -190,11 +223,11 @@ def calibrated(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 3
     return beta
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", most_docs: int = 3000, chars: int = 4000) -> Crf | None:
+def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", most_docs: int = 3000, chars: int = 4000, clean_runs: int = 10_000) -> Crf | None:
     """A field from ``docs`` (id, text) and ``labels`` (id, label): about ``most_docs`` different texts of either label.
 
     Texts are chosen by their hash, each once for a label however many copies it has, and a slice of ``chars`` of each
-    is used. Only ids and hashes meet the labels; the texts of the chosen ids are then fetched by a
+    is used; of what holds no toxic token, about ``clean_runs`` sequences, chosen by a hash (``fitted``). Only ids and hashes meet the labels; the texts of the chosen ids are then fetched by a
     broadcast of about twice ``most_docs`` rows. Null ids and texts and other labels are left out.
     """
     texts = docs.select(F.col(id_col).alias("_id"), "text", F.xxhash64("text").alias("_hash")).where("_id is not null and text is not null")
@@ -208,50 +241,44 @@ def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", most_do
     start = (F.pmod("_hash", F.greatest(F.length("text") - chars, F.lit(1))) + 1).cast("int")
     fetched = texts.join(F.broadcast(chosen), (F.col("_id") == F.col("_chosen")) & (F.col("_hash") == F.col("_text")))
     sample = fetched.select("_hash", "label", F.substring("text", start, F.lit(chars)).alias("text")).groupBy("_hash", "label").agg(F.min("text").alias("text"))
-    return train(sorted((r["text"], r["label"]) for r in sample.collect()), (1 / shares[0], 1 / shares[1]))
-
-
-def doc_marginals(model: Crf, docs: list[list[str]], width: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """The highest marginal and the sum of those from 0.25 of each document, in rows of like length."""
-    tops, sums = np.zeros(len(docs)), np.zeros(len(docs))
-    emit = model.emission
-    scored = [np.array([emit(w) for w in words]) for words in docs]
-    order = sorted((i for i in range(len(docs)) if len(scored[i])), key=lambda i: len(scored[i]))
-    at = 0
-    while at < len(order):
-        part = order[at : at + width]
-        part = part[: max(1, 2_000_000 // len(scored[part[-1]]))]
-        at += len(part)
-        n = np.array([len(scored[i]) for i in part])
-        e = np.zeros((len(part), n.max()))
-        for r, i in enumerate(part):
-            e[r, : n[r]] = scored[i]
-        p = forward_backward(e, n, model.trans)[0]
-        p[np.arange(p.shape[1])[None, :] >= n[:, None]] = 0.0
-        tops[part], sums[part] = p.max(axis=1), np.where(p >= 0.25, p, 0.0).sum(axis=1)
-    return tops, sums
-
-
-def spans_of(model: Crf, text: str, least: float = 0.5) -> list[dict]:
-    """Runs of words whose marginal is ``least`` or more, as character offsets with the highest marginal."""
+    rows = sorted(sample.collect(), key=lambda r: (r["_hash"], r["label"]))
+    return train([(r["text"], r["label"]) for r in rows], (1 / shares[0], 1 / shares[1]), clean_runs)
+
+
+def doc_marginals(model: Crf, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The highest marginal and the sum of those from 0.25 of each document."""
+    return summed(model.marginals(docs))
+
+
+def summed(marginals: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    tops = np.array([p.max() if len(p) else 0.0 for p in marginals])
+    return tops, np.array([p[p >= 0.25].sum() for p in marginals])
+
+
+def spans_of(p: np.ndarray, text: str, least: float = 0.5) -> list[dict]:
+    """Runs of words whose marginal is ``least`` or more, as character offsets in the text with the highest marginal."""
+    if not (p >= least).any():
+        return []
     found = list(WORD.finditer(text.lower()))
-    p = model.marginals([m[0] for m in found])
+    found = found if len(found) == len(p) and len(text.lower()) == len(text) else list(WORD.finditer(text))
     out: list[dict] = []
-    for k, m in enumerate(found):
-        if p[k] >= least:
-            if out and out[-1]["_k"] == k - 1:
-                out[-1] |= {"to": m.end(), "p": max(out[-1]["p"], float(p[k])), "_k": k}
-            else:
-                out.append({"from": m.start(), "to": m.end(), "p": float(p[k]), "_k": k})
-    return [{x: s[x] for x in ("from", "to", "p")} for s in out]
+    last = -2
+    for k in np.flatnonzero(p >= least).tolist():
+        if last == k - 1:
+            out[-1] |= {"to": found[k].end(), "p": max(out[-1]["p"], float(p[k]))}
+        else:
+            out.append({"from": found[k].start(), "to": found[k].end(), "p": float(p[k])})
+        last = k
+    return out
 
 
 def score(docs: DataFrame, model: Crf | None, *, keep: list[str], text_col: str = "text", threshold: float = 0.3) -> DataFrame:
     """The columns ``keep`` of each row with ``score``, ``predicted`` and ``spans``.
 
-    ``spans`` are the character ranges in the lower-cased text whose words are marked toxic, for rows
-    with a score of ``threshold`` or more. A null or empty text, and any text when
-    nothing was learnt, scores as one without a toxic word. Repeated rows score alike.
+    ``spans`` are the character ranges in the text, counted from 0 in code points, whose words are marked toxic, for rows
+    with a score of ``threshold`` or more. A text is read whole, in chains of ``RUN`` words. A null or empty text, and any text when
+    nothing was learnt, scores as one without a toxic word (0 when nothing was learnt). Repeated rows score alike, an empty
+    table gives an empty one. A kept column with a result's name gives way to the result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     df = docs.select(*keep, F.col(text_col).alias("_judged"))
@@ -260,7 +287,8 @@ def score(docs: DataFrame, model: Crf | None, *, keep: list[str], text_col: str
         field, texts = sent.value, batch.column("_judged").to_pylist()
         if field is None:
             return [[0.0] * len(texts), [0] * len(texts), [[] for _ in texts]]
-        scores = field.scores(*doc_marginals(field, [WORD.findall(t.lower()) if t else [] for t in texts])).tolist()
-        return [scores, [int(s >= threshold) for s in scores], [spans_of(field, t) if s >= threshold and t else [] for t, s in zip(texts, scores)]]
+        found = field.marginals([words_of(t) for t in texts])
+        scores = field.scores(*summed(found)).tolist()
+        return [scores, [int(s >= threshold) for s in scores], [spans_of(p, t) if s >= threshold and t else [] for t, s, p in zip(texts, scores, found)]]
 
     return with_columns(df, make, "score double, predicted int, spans array<struct<from:int,to:int,p:double>>", drop=("_judged",))

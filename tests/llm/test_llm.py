@@ -118,10 +118,14 @@ def test_toxicity_learns_marked_words(spark):
     words = ["tree", "house", "river", "stone", "cloud", "bread"]
     texts = [(" ".join(random.choices(words, k=30)) + (" foulword " + random.choice(words) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
     model = toxicity.train(texts)
-    docs = rows(spark, [*ODD, "river foulword stone"]).drop("score")
-    got = {r["doc_id"]: r for r in toxicity.score(docs, model, keep=["doc_id"]).collect()}
-    assert [got[i]["predicted"] for i in range(9)] == [0] * 8 + [1]
-    assert [(s["from"], s["to"]) for s in got[8]["spans"]] == [(6, 14)]
+    docs = rows(spark, [*ODD, "river foulword stone", "\u0130\u0130 \u0130 foulword stone", LONG + " FOULWORD Foulword. " + LONG])
+    got = {r["doc_id"]: r for r in toxicity.score(docs, model, keep=["doc_id", "score", "key"]).collect()}
+    assert [got[i]["predicted"] for i in range(11)] == [0] * 8 + [1, 1, 1]
+    assert [(s["from"], s["to"]) for s in got[8]["spans"]] == [(6, 14)] and [(s["from"], s["to"]) for s in got[9]["spans"]] == [(5, 13)]
+    assert [(s["from"] - len(LONG), s["to"] - len(LONG)) for s in got[10]["spans"]] == [(1, 18)]
+    assert 0 <= got[0]["score"] == got[1]["score"] < 0.3 and got[8]["key"] == "k"
+    assert toxicity.score(docs.limit(0), model, keep=["doc_id"]).count() == 0
+    assert {r["score"] for r in toxicity.score(docs, None, keep=["doc_id"]).collect()} == {0.0}
     assert toxicity.train([("a", 0)]) is None
 
 
@@ -131,7 +135,7 @@ def test_toxicity_sample_takes_a_text_once(spark):
     docs = spark.createDataFrame(odd + bad + good + [(5000 + i, f"foulword cloud {i}") for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i < 1000 or i >= 5000)) for i, _ in bad + good] + [(5000 + i, 1) for i in range(20)] + [(None, 1), (2, None), (77777, 1)], "doc_id long, label int")
     seen = []
-    real, toxicity.train = toxicity.train, lambda texts, weight: seen.extend(texts)
+    real, toxicity.train = toxicity.train, lambda texts, weight, runs: seen.extend(texts)
     try:
         toxicity.learn(docs, labels)
         assert sorted(seen) == sorted([("foulword stone", 1)] + [(t, 0) for _, t in good] + [(f"foulword cloud {i}", 1) for i in range(20)])

@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import with_columns, written
 
 #: Bytes of words: digits, A-Z (as a-z), a-z and all of a non-ASCII character; others part words.
 _WORDS = bytes(
@@ -136,17 +136,18 @@ class ItemAutomaton:
                 spans.append((a, i))
 
 
-def blocks_of_items(items: DataFrame, id_col: str, text_col: str, window: int, most_words: int) -> list[ItemAutomaton]:
-    """Automata of at most about ``most_words`` words each, built as the items stream by."""
-    out, block, n = [], [], 0
-    rows = items.where(f"{id_col} is not null and {text_col} is not null").select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+def blocks_of_items(items: DataFrame, id_col: str, text_col: str, window: int, most_words: int) -> Iterator[ItemAutomaton]:
+    """Automata of at most about ``most_words`` words each, built as the items stream by; one at least."""
+    block, n, some = [], 0, False
+    rows = items.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
     for r in rows.toLocalIterator():
         block.append((r["id"], words := words_of(r["text"])))
         n += len(words)
         if n >= most_words:
-            out.append(ItemAutomaton(block, window))
-            block, n = [], 0
-    return [*out, ItemAutomaton(block, window)] if block or not out else out
+            yield ItemAutomaton(block, window)
+            block, n, some = [], 0, True
+    if block or not some:
+        yield ItemAutomaton(block, window)
 
 
 def contamination(
@@ -166,14 +167,18 @@ def contamination(
     ``_spans`` are the merged word ranges inside occurrences of windows, ``_items`` the ids,
     sorted as strings, of the items whose windows occur. Words are lower-cased in A-Z.
     Null texts have no words; items with null id, null text or no words are left out; items
-    that share an id count once; repeated rows are judged alike. Items are taken in blocks of
-    ``most_words``, one automaton and one pass over the texts for each block, so that what
-    is sent to the executors is bounded. With ``cut``, the last pass puts ``_cut string``, the text
-    without its spans, in place of the text.
+    that share an id count once; repeated rows are judged alike, very long texts are read whole; without items nothing is hit;
+    an empty table gives an empty one. Columns of ``docs`` that have the name of a result give way to it.
+
+    Items are taken in blocks of ``most_words``, one automaton and one pass over the texts for each block. Between
+    blocks the table is written to the shared folder, so that the driver and every task hold one automaton
+    at a time. With ``cut``, the last pass puts ``_cut string``, the text without its spans, in place of the text.
     """
     blocks = blocks_of_items(items, item_id, item_text, window, most_words)
-    for at, automaton in enumerate(blocks):
-        first, cuts = at == 0, cut and at == len(blocks) - 1
+    automaton, first = next(blocks), True
+    while automaton is not None:
+        following = next(blocks, None)
+        cuts = cut and following is None
         sent = docs.sparkSession.sparkContext.broadcast(automaton)
 
         def make(batch: pa.RecordBatch, sent=sent, first=first, cuts=cuts) -> list:
@@ -192,13 +197,12 @@ def contamination(
                     texts.append(cut_spans(text, spans) if spans else text)
             return [n_words, all_spans, all_items, *([texts] if cuts else [])]
 
-        drop = (text_col,) if cuts else ()
-        last = ", _cut string" if cuts else ""
-        if first:
-            docs = with_columns(docs, make, f"_n_words long, _spans array<array<long>>, _items array<string>{last}", drop=drop)
-        else:
-            more = with_columns(docs, make, f"_w long, _s array<array<long>>, _i array<string>{last}", drop=("_n_words", "_spans", "_items", *drop))
-            docs = more.withColumnsRenamed({"_w": "_n_words", "_s": "_spans", "_i": "_items"})
+        fields = "_n_words long, _spans array<array<long>>, _items array<string>" + (", _cut string" if cuts else "")
+        docs = with_columns(docs, make, fields, drop=(text_col,) if cuts else ())
+        if following is not None:
+            docs = written(docs)
+            sent.unpersist()
+        automaton, first = following, False
     return docs
 
 
@@ -240,8 +244,9 @@ def cut_spans(text: str, spans: list) -> str:
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, text_col: str = "text", most_covered: float = 0.5, **options) -> DataFrame:
     """``docs`` without benchmark passages: hit spans are cut out of the texts, and rows of
-    which more than ``most_covered`` of the words are hit are dropped. Clean rows stay as they are.
+    which more than ``most_covered`` of the words are hit are dropped. Clean rows stay as they are, whatever their columns are called.
     """
-    found = contamination(docs, items, text_col=text_col, cut=True, **options)
+    rows = docs.select(F.col(text_col).alias("_text"), *[F.col(c).alias(f"_in_{c}") for c in docs.columns if c != text_col])
+    found = contamination(rows, items, text_col="_text", cut=True, **options)
     found = found.where(hit_words(F.col("_spans")) <= F.lit(most_covered) * F.col("_n_words"))
-    return found.withColumn(text_col, F.col("_cut")).select(*docs.columns)
+    return found.select(*[F.col("_cut" if c == text_col else f"_in_{c}").alias(c) for c in docs.columns])

@@ -132,8 +132,9 @@ class Sparse:
         return np.where(at >= self.end, self.end, np.where(self.keys[i] == at, self.to[i], 0))
 
 
-def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int = 2000, chars_per_lang: int = 16_000) -> Automata:
-    """Automata from a bounded sample of ``text, lang``: at most ``chars_per_lang`` of each.
+def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int = 2000, chars_per_lang: int = 16_000, most_langs: int = 500) -> Automata:
+    """Automata from a bounded sample of ``text, lang``: at most ``chars_per_lang`` of each, for the
+    ``most_langs`` values of ``lang`` with the most distinct texts (of equal ones the first by name).
 
     Distinct texts of a language are taken in the order of a hash: of each a slice of ``chars_per_doc`` is used, until
     ``chars_per_lang`` is filled or the language has no more. The share drawn first holds about ``docs_per_lang`` of
@@ -143,7 +144,8 @@ def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int =
     rows = labelled.select("text", "lang").where("text is not null and lang is not null")
     key = hash_share([F.col("text")], "langid")
     hashed = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
-    counts = {r["lang"]: r["count"] for r in hashed.groupBy("lang").count().collect()}
+    most = hashed.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     start = (F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - chars_per_doc, F.lit(1))) + 1).cast("int")
     piece = F.substring("text", start, F.lit(chars_per_doc)).alias("text")
     texts: dict[str, str] = {}
@@ -162,8 +164,8 @@ def learn(labelled: DataFrame, *, docs_per_lang: int = 120, chars_per_doc: int =
     return Automata(texts)
 
 
-def judge(model: Automata, texts: list[str | None], most_blocks: int = 8192) -> tuple[list, list, list]:
-    """Language, score and phrases a letter of each text, in blocks of equal length."""
+def judge(model: Automata, texts: list[str | None], most_blocks: int = 8192) -> tuple[list, list, list, list]:
+    """Language, score, phrases a letter and letters of each text, in blocks of equal length."""
     pieces, owner, total = [], [], np.zeros(len(texts), np.int64)
     counts = np.zeros((len(model.langs), len(texts)), np.int64)
 
@@ -179,11 +181,11 @@ def judge(model: Automata, texts: list[str | None], most_blocks: int = 8192) ->
         pieces.clear()
         owner.clear()
 
-    some_letter = [False] * len(texts)
+    letters = [0] * len(texts)
     for i, text in enumerate(texts):
         codes = model.encode(text) if text else np.zeros(0, np.uint8)
-        some_letter[i] = bool(codes.any())
-        if some_letter[i]:
+        letters[i] = int(np.count_nonzero(codes))
+        if letters[i]:
             total[i] = len(codes)
             for at in range(0, len(codes), BLOCK):
                 pieces.append(codes[at : at + BLOCK])
@@ -194,7 +196,7 @@ def judge(model: Automata, texts: list[str | None], most_blocks: int = 8192) ->
     langs, scores, rates = [], [], []
     weight = np.array([math.log2(n + 2) for n in model.sizes])
     for i in range(len(texts)):
-        if not some_letter[i] or not model.langs:
+        if not letters[i] or not model.langs:
             langs.append("und")
             scores.append(0.0)
             rates.append(None)
@@ -206,23 +208,22 @@ def judge(model: Automata, texts: list[str | None], most_blocks: int = 8192) ->
         langs.append(model.langs[best])
         scores.append(float(min(1.0, second / max(second + cost[best], 1e-12))))
         rates.append(float(counts[best, i] / total[i]))
-    return langs, scores, rates
+    return langs, scores, rates, letters
 
 
 def identify(docs: DataFrame, model: Automata, *, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns ``keep`` of each row with ``lang_pred``, ``score`` and ``phrase_rate``.
+    """The columns ``keep`` of each row with ``lang_pred``, ``score``, ``phrase_rate`` and ``letters``.
 
     The language whose text needs the fewest phrases wins, each phrase weighing the
     logarithm of that language's sample size; equal costs go to the first name. A text is
     parsed whole, starting afresh every 1,024 letters. ``score`` is the runner-up's share of
     both costs. ``phrase_rate`` is phrases per letter. A null text, one without a letter, and any
-    text when nothing was learnt are ``und`` with score 0. Repeated rows are judged alike.
+    text when nothing was learnt are ``und`` with score 0. Repeated rows are judged alike, an empty table gives an
+    empty one. A kept column with a result's name gives way to the result.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    df = docs.select(*keep, F.col(text_col).alias("_parsed"))
-    return with_columns(
-        df,
-        lambda batch: judge(sent.value, batch.column("_parsed").to_pylist()),
-        "lang_pred string, score double, phrase_rate double",
-        drop=("_parsed",),
-    )
+    results = "lang_pred string, score double, phrase_rate double, letters int"
+    stays = text_col in keep and text_col not in results
+    source = text_col if stays else "_parsed"
+    df = docs.select(*keep, *([] if stays else [F.col(text_col).alias(source)]))
+    return with_columns(df, lambda batch: judge(sent.value, batch.column(source).to_pylist()), results, drop=() if stays else (source,))

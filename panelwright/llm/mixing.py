@@ -66,16 +66,20 @@ def mix(
     one longest document. The position within a source comes from a range partitioning by
     source, size and id: the place in the partition plus the totals of the partitions
     before, so a source of any size is spread over tasks. Those totals, at most a row for each partition
-    and one for each source, are broadcast up to ``MOST_PARTS`` rows and joined by shuffle beyond. A null source is one
-    of the sources; rows without words count with size 0; equal rows may swap places.
+    and one for each source, are broadcast up to ``MOST_PARTS`` rows and joined by shuffle beyond. The targets are
+    worked out in one task over a row for each source. A null source is one
+    of the sources; rows without words count with size 0; equal rows may swap places; a text counts whole; an empty table gives
+    an empty one. A kept column with a result's name gives way to the result.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c.lower() not in ("_size", "_source_size", "_target", "_copies")]
     rows = docs.select(
         *[F.col(c).alias(f"_in_{c}") for c in keep], F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size")
     )
     order = [F.col("_source").asc_nulls_last(), F.col("_size").asc(), F.col("_id").asc_nulls_last()]
+    narrow = all("string" not in docs.schema[c].dataType.simpleString() for c in keep)
+    # The range bounds are sampled from the rows: of a narrow table words are counted once, not twice.
+    rows = checkpointed(rows) if narrow else rows
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    narrow = all(docs.schema[c].dataType.simpleString() != "string" for c in keep)
     placed = (checkpointed if narrow else written)(placed.withColumn("_part", F.shiftright("_at", 33)))
 
     parts = checkpointed(
@@ -104,5 +108,6 @@ def mix(
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as many times as the mix takes it."""
-    taken = mix(docs, keep=docs.columns, **options)
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).where("_copies > 0").select(*docs.columns)
+    held = docs.select(*docs.columns, F.struct("*").alias("_row"))
+    taken = mix(held, keep=["_row"], **options)
+    return taken.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, checkpointed, written
+from .common import LOWER, UPPER, ascii_lower, written
 
 MALE = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н")
 FEMALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа")
@@ -28,12 +30,21 @@ PATTERNS = {
     "secret": r"(?<=[=:\"']|[=:]\s|[=:]\s\s)(?<=\b(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{8,}",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
-    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "card": r"(?<![\d\-])(?:\d{4}[ \-]?){3}\d{1,7}(?![\d\-])|(?<![\d\-])3\d{3}[ \-]?\d{6}[ \-]?\d{5}(?![\d\-])",
-    "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
+    "phone": r"(?<![\w+])\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}(?!\d)|(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\w.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\w\-])",
     "name": rf"(?<!\p{{L}})(?:{'|'.join((*MALE, *FEMALE))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Surrogates may not be entities of the corpus for so many attempts; after more than the others, none is looked for.
+STRICT, ATTEMPTS = 12, 60
+
+
+def may_match(text: Column) -> Column:
+    """False only for texts without what every pattern needs: a cheap look before the patterns themselves."""
+    titled = [text.contains(t + end) for t in (*MALE, *FEMALE) for end in (" ", ". ")]
+    secret = (text.contains("=") | text.contains(":")) & text.rlike(r"(?i:password|passwd|pwd|secret|token|api_key|apikey)\s{0,2}[=:]")
+    return reduce(lambda a, b: a | b, [text.rlike("[0-9]"), text.contains("@"), text.contains("AKIA"), *titled, secret])
 
 
 def kind_of(found: Column) -> Column:
@@ -43,7 +54,7 @@ def kind_of(found: Column) -> Column:
         .when(found.rlike(r"^AKIA[0-9A-Z]{16}$"), "key")
         .when(found.rlike(rf"^{PATTERNS['ip'].replace('(?<![\\d.])', '').replace('(?!\\.?\\d)', '')}$"), "ip")
         .when(found.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(found.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}$"), "iban")
+        .when(found.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"), "iban")
         .when(found.rlike(r"^(?:\d{4}[ \-]?){3}\d{1,7}$|^3\d{3}[ \-]?\d{6}[ \-]?\d{5}$"), "card")
         .when(found.rlike(r"^\+\d|^\(\d{3}\)|^\d{3}[.\-]\d{3}[.\-]\d{4}$"), "phone")
         .when(found.rlike(rf"^(?:{'|'.join((*MALE, *FEMALE))})\.? \p{{Lu}}"), "name")
@@ -60,7 +71,8 @@ def entities_of(found: Column) -> Column:
     """``type|entity`` strings of a match: what is written in other ways is one entity.
 
     E-mails count without case, numbers without separators; a name's last word is a
-    surname and the word before it a given name of the title's gender.
+    surname and the word before it a given name of the title's gender. A run of digits or an account number whose check
+    digits are wrong is no entity.
     """
     kind = kind_of(found)
     gender = F.when(found.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m")
@@ -68,8 +80,11 @@ def entities_of(found: Column) -> Column:
     surname = F.concat(F.lit("surname|"), F.lower(F.element_at(words, -1)))
     given = F.concat(F.lit("given-"), gender, F.lit("|"), F.lower(F.element_at(words, 1)))
     plain = F.when(kind == "email", ascii_lower(found)).when(kind.isin("card", "phone", "ssn", "iban"), F.regexp_replace(found, "[^0-9A-Za-z]", "")).otherwise(found)
+    none = F.array().cast("array<string>")
     return (
-        F.when(kind != "name", F.array(F.concat(kind, F.lit("|"), plain)))
+        F.when((kind == "card") & (luhn(plain, F.length(plain)) != 0), none)
+        .when((kind == "iban") & (account_rest(plain) != 1), none)
+        .when(kind != "name", F.array(F.concat(kind, F.lit("|"), plain)))
         .when(F.size(words) > 1, F.array(surname, given))
         .otherwise(F.array(surname))
     )
@@ -126,6 +141,18 @@ def luhn(digits: Column, n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10
 
 
+def account_rest(text: Column) -> Column:
+    """An account number modulo 97, its first four characters moved to the end and letters counted from 10: 1 if its check digits are right."""
+    turned = F.concat(F.substr(text, F.lit(5), F.length(text)), F.substr(text, F.lit(1), F.lit(4)))
+
+    def add(acc: Column, i: Column) -> Column:
+        c = F.substr(turned, i, F.lit(1))
+        digit = c.between("0", "9")
+        return F.when(digit, acc * 10 + c.try_cast("int")).otherwise(acc * 100 + F.ascii(c) - 55) % 97
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), add)
+
+
 def from_list(words: tuple[str, ...], h: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in words]), h % len(words) + 1)
 
@@ -133,8 +160,10 @@ def from_list(words: tuple[str, ...], h: Column) -> Column:
 def surrogate() -> Column:
     """The replacement, from the columns of ``drawn_from``: of the same type and form, another one for each attempt.
 
-    A card number keeps its first digit and its Luhn remainder, a phone number its first two digits, an
-    address its private range, a key its prefix, a hexadecimal secret stays so,
+    Later attempts lengthen names, e-mail addresses and secrets, so that short ones don't run out.
+
+    A card number keeps its first digit and its Luhn remainder, a phone number its first two digits, a public
+    address stays public, an account number keeps its country and has right check digits, a key keeps its prefix, a hexadecimal secret stays so,
     an e-mail's domain changes as one and keeps its ending. Names keep gender and script.
     """
     kind, text, stream, domain, attempt = (F.col(c) for c in ("kind", "text", "stream", "domain", "attempt"))
@@ -143,22 +172,26 @@ def surrogate() -> Column:
 
     ending = F.substring_index(domain, ".", -1)
     inner = F.substr(domain, F.lit(1), F.length(domain) - F.length(ending))
-    email = F.concat(like(stream, F.substring_index(text, "@", 1)), F.lit("@"), like(F.col("domain_stream"), inner), ending)
+    longer = F.substr(stream, F.lit(65), F.greatest(attempt - 3, F.lit(0)))
+    email = F.concat(like(stream, F.substring_index(text, "@", 1)), longer, F.lit("@"), like(F.col("domain_stream"), inner), ending)
 
-    octets = F.split(text, r"\.")
-    private = F.when(octets[0] == "10", 1).when(text.startswith("192.168."), 2).when(octets[0] == "127", 1).otherwise(0)
-    octet = lambda i: F.when(private > i, octets[i]).otherwise((h[i] % 254 + 1).cast("string"))
-    ip = F.concat_ws(".", F.when(private > 0, octets[0]).otherwise((h[0] % 90 + 11).cast("string")), octet(1), octet(2), octet(3))
+    octet = lambda i: (h[i] % 254 + 1).cast("string")
+    ip = F.concat_ws(".", (h[0] % 90 + 11).cast("string"), octet(1), octet(2), octet(3))
 
     body = F.concat(F.substr(like(stream, text, 1), F.lit(1), n - 1), F.lit("0"))
     card = F.concat(F.substr(body, F.lit(1), n - 1), ((luhn(text, n) - luhn(body, n) + 10) % 10).cast("string"))
 
+    inside = F.substr(like(stream, text, 4), F.lit(5), n)
+    country = F.substr(text, F.lit(1), F.lit(2))
+    iban = F.concat(country, F.lpad((98 - account_rest(F.concat(country, F.lit("00"), inside))).cast("string"), 2, "0"), inside)
+
     script = F.when(text.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     by_script = lambda make: F.when(script == "cyrillic", make("cyrillic")).otherwise(make("latin"))
-    more = F.when(attempt > 0, 1).otherwise(0)
-    surname = by_script(lambda s: F.initcap(F.concat(*[from_list(SYLLABLES[s], x) for x in h[:4]], F.when(more > 0, from_list(SYLLABLES[s], h[4])).otherwise(""))))
+    syllables = lambda s, n: F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: from_list(SYLLABLES[s], drawn(stream, i - 1))), "")
+    more = F.least(attempt, F.lit(20))
+    surname = by_script(lambda s: F.initcap(syllables(s, more + 4)))
     given = lambda g: by_script(
-        lambda s: F.concat(from_list(GIVEN[g, s], h[0]), F.when(more > 0, F.concat(F.lit("-"), F.initcap(F.concat(*[from_list(SYLLABLES[s], x) for x in h[1:4]])))).otherwise(""))
+        lambda s: F.concat(from_list(GIVEN[g, s], h[0]), F.when(more > 0, F.concat(F.lit("-"), F.initcap(syllables(s, more + 2)))).otherwise(""))
     )
     return (
         F.when(kind == "email", email)
@@ -166,11 +199,11 @@ def surrogate() -> Column:
         .when(kind == "card", card)
         .when(kind == "phone", like(stream, text, 2))
         .when(kind == "key", like(stream, text, 4))
-        .when(kind == "iban", like(stream, text, 2))
+        .when(kind == "iban", iban)
         .when(kind == "surname", surname)
         .when(kind == "given-m", given("m"))
         .when(kind == "given-f", given("f"))
-        .otherwise(like(stream, text, 0, text.rlike("^[0-9a-f]+$")))
+        .otherwise(F.concat(like(stream, text, 0, text.rlike("^[0-9a-f]+$")), longer))
     )
 
 
@@ -189,57 +222,97 @@ def dressed(found: Column, plain: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(found)), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step)["out"]
 
 
-def surrogates(key: str, entities: DataFrame, most: int = 12) -> DataFrame:
+PRIVATE = r"^ip\|(?:10|127|192\.168)\."
+
+
+def private_address(key: str, entity: Column) -> Column:
+    """The surrogate of a private address: the next one of its range in a keyed order of all of them.
+
+    The order is a Feistel network over what the range leaves open, 16 or 24 bits; so addresses keep apart however many there are
+    and none stays itself, but a surrogate may be an address that the corpus has as well.
+    """
+    octets = F.transform(F.split(F.substring_index(entity, "|", -1), r"\."), lambda o: o.cast("int"))
+    wide = F.when(entity.startswith("ip|192.168."), 8).otherwise(12)
+    range_ = F.when(wide == 8, F.lit("192.168")).otherwise(F.split(F.substring_index(entity, "|", -1), r"\.")[0])
+    size = F.when(wide == 8, 256).otherwise(4096)
+
+    def mark(number: Column, half: Column) -> Column:
+        text = F.concat_ws("|", F.lit(key), range_, number.cast("string"), half.cast("string"))
+        return F.conv(F.substr(F.sha2(text, 256), F.lit(1), F.lit(4)), 16, 10).cast("int") % size
+
+    def once(value: Column, use) -> Column:
+        return F.element_at(F.transform(F.array(value), use), 1)
+
+    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    there = lambda at, k: pair(at["b"], at["a"].bitwiseXOR(mark(k, at["b"])))
+    back = lambda at, k: pair(at["b"].bitwiseXOR(mark(k, at["a"])), at["a"])
+    start = once(octets, lambda o: F.when(wide == 8, o[2] * 256 + o[3]).otherwise((o[1] * 256 + o[2]) * 256 + o[3]))
+    halves = lambda n: pair(n / size, n % size)
+    after = once(once(start, lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(3)), halves(n), there)), lambda at: (at["a"] * size + at["b"] + 1) % (size * size))
+    found = once(once(after, lambda n: F.aggregate(F.sequence(F.lit(3), F.lit(0), F.lit(-1)), halves(n), back)), lambda at: at["a"] * size + at["b"])
+    last = lambda n: F.concat_ws(".", range_, *[F.when((wide == 12) | F.lit(i < 2), (F.shiftright(n, 8 * i) % 256).cast("string")) for i in (2, 1, 0)])
+    return once(found, last)
+
+
+def surrogates(key: str, entities: DataFrame) -> DataFrame:
     """``entity, made`` with a surrogate of its own for each of the corpus's entities.
 
-    A surrogate is taken if it is itself one of the corpus's entities of its type or belongs to
-    an entity before it (in order of attempt and entity); then the next attempt is made.
+    An entity goes on to its next attempt if its surrogate belongs to another entity already, by an earlier attempt
+    or as the first by name, or is itself one of the corpus's entities of its type. After ``STRICT`` attempts only the
+    former counts. Only entities that are still open are tried again. Private addresses need no attempts (``private_address``).
     """
-    real = entities.select(F.col("entity").alias("taken"))
-    state = entities.withColumn("attempt", F.lit(0))
-    for _ in range(most):
+    lan = F.col("entity").rlike(PRIVATE)
+    done = [entities.where(lan).select("entity", private_address(key, F.col("entity")).alias("made"), F.lit(None).cast("string").alias("form"))]
+    open_ = entities.where(~lan).withColumn("attempt", F.lit(0))
+    for number in range(ATTEMPTS):
         lowered = F.when(F.col("kind").isin("surname", "given-m", "given-f"), F.lower("made")).otherwise(F.col("made"))
-        made = drawn_from(key, state).withColumn("made", surrogate())
-        state = checkpointed(made.select("entity", "attempt", "made", F.concat("kind", F.lit("|"), lowered).alias("form")))
-        owner = state.groupBy("form").agg(F.min_by("entity", F.struct("attempt", "entity")).alias("owner"), F.count("*").alias("rows"))
-        late = state.join(owner.where("rows > 1").select("form", "owner"), "form").where("entity != owner").select("entity")
-        late = checkpointed(late.unionByName(state.join(real, F.col("form") == F.col("taken"), "left_semi").select("entity")).distinct())
-        if not late.limit(1).count():
-            return state.select("entity", "made")
-        again = state.join(late.withColumnRenamed("entity", "again"), F.col("entity") == F.col("again"), "left")
-        state = again.select("entity", (F.col("attempt") + F.when(F.col("again").isNotNull(), 1).otherwise(0)).alias("attempt"))
-    raise RuntimeError(f"surrogates still clash after {most} attempts")
+        made = drawn_from(key, open_).withColumn("made", surrogate())
+        made = written(made.select("entity", "attempt", "made", F.concat("kind", F.lit("|"), lowered).alias("form")))
+        taken = [d.select(F.col("form").alias("taken")) for d in done[1:]] + ([entities.select(F.col("entity").alias("taken"))] if number < STRICT else [])
+        free = made.groupBy("form").agg(F.min("entity").alias("owner"))
+        for forms in taken:
+            free = free.join(forms, F.col("form") == F.col("taken"), "left_anti")
+        done.append(written(made.join(free, "form").where("entity = owner").select("entity", "made", "form")))
+        open_ = written(made.join(done[-1].select(F.col("entity").alias("settled")), F.col("entity") == F.col("settled"), "left_anti").select("entity", (F.col("attempt") + 1).alias("attempt")))
+        if not open_.limit(1).count():
+            return reduce(DataFrame.unionByName, done).select("entity", "made")
+    raise RuntimeError(f"surrogates still clash after {ATTEMPTS} attempts")
 
 
 def replace_pii(docs: DataFrame, key: str, *, keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns ``keep`` of each row with ``_text`` and ``_found`` (the number of matches).
 
-    Every match of ``PATTERNS`` gives way to a surrogate that depends on the key and the entity alone, so one
-    entity has one surrogate in all documents and in all its spellings. Surrogates are
-    checked against each other and against the entities of the whole corpus; those that
-    clash get a later attempt. Only rows with a match are shuffled: their distinct
+    Every match of ``PATTERNS`` gives way to a surrogate that depends on the key, on the entity and, where surrogates
+    clash, on the corpus; one entity has one surrogate in all documents and in all its spellings. Surrogates are
+    checked against each other and against the entities of the whole corpus (``surrogates``). Texts are searched once: the
+    table is written to the shared folder with what was found. Only rows with a match are shuffled: their distinct
     entities are joined to their surrogates, gathered by row and put in place. Null texts
-    stay null; texts without a match stay as they are; repeated rows are changed alike.
+    stay null; texts without a match stay as they are, very long ones are read whole; repeated rows are changed alike; an empty
+    table gives an empty one. A kept column with a result's name gives way to the result.
     """
+    keep = [c for c in keep if c.lower() not in ("_text", "_found")]
     rows = docs.select(*[F.col(c).alias(f"_in_{c}") for c in keep], F.col(text_col).alias("_text"))
-    has = F.coalesce(F.col("_text").rlike(ANY), F.lit(False))
-    marked = rows.where(has).withColumn("_m", F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
-    marked = written(marked.withColumn("_e", F.transform("_m", entities_of)).withColumn("_row", F.monotonically_increasing_id()))
+    none = F.array().cast("array<string>")
+    found = F.when(may_match(F.col("_text")), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
+    rows = written(rows.withColumn("_m", F.coalesce(found, none)).withColumn("_row", F.monotonically_increasing_id()))
+    marked = rows.where(F.size("_m") > 0).withColumn("_e", F.transform("_m", entities_of)).withColumn("_n", F.size(F.filter("_e", lambda e: F.size(e) > 0)))
 
     own = marked.select("_row", F.explode(F.array_distinct(F.flatten("_e"))).alias("entity"))
-    made = surrogates(key, checkpointed(own.select("entity").distinct()))
+    made = surrogates(key, written(own.select("entity").distinct()))
     pairs = own.join(made, "entity").groupBy(F.col("_row").alias("_of")).agg(F.map_from_entries(F.collect_list(F.struct("entity", "made"))).alias("_made"))
-    found = marked.join(pairs, F.col("_row") == F.col("_of"))
+    found = marked.where("_n > 0").join(pairs, F.col("_row") == F.col("_of"))
 
     def placed(match: Column, ids: Column) -> Column:
-        kind = F.substring_index(ids[0], "|", 1)
-        first, title = F.element_at("_made", ids[0]), F.regexp_extract(match, r"^(\S+ )", 1)
-        given = F.when(F.size(ids) > 1, F.concat(F.element_at("_made", F.element_at(ids, -1)), F.lit(" "))).otherwise("")
-        return F.when(kind == "surname", F.concat(title, given, first)).when(kind.isin("email", "card", "phone", "ssn", "iban"), dressed(match, first)).otherwise(first)
+        kind = F.substring_index(F.get(ids, 0), "|", 1)
+        first, title = F.element_at("_made", F.get(ids, 0)), F.regexp_extract(match, r"^(\S+ )", 1)
+        given = F.when(F.size(ids) > 1, F.concat(F.element_at("_made", F.try_element_at(ids, F.lit(-1))), F.lit(" "))).otherwise("")
+        alike = kind.isin("email", "card", "phone", "ssn", "iban") & ((kind != "email") | (F.length(first) == F.length(match)))
+        return F.when(F.size(ids) == 0, match).when(kind == "surname", F.concat(title, given, first)).when(alike, dressed(match, first)).otherwise(first)
 
     parts = F.split("_text", ANY, -1)
     found = found.withColumn("_new", F.zip_with("_m", "_e", placed))
     text = F.array_join(F.zip_with(parts, F.col("_new"), lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
     names = [F.col(f"_in_{c}").alias(c) for c in keep]
-    changed = found.select(*names, text.alias("_text"), F.size("_m").alias("_found"))
-    return rows.where(~has).select(*names, "_text", F.lit(0).alias("_found")).unionByName(changed)
+    changed = found.select(*names, text.alias("_text"), F.col("_n").alias("_found"))
+    same = rows.where(F.size("_m") == 0).unionByName(marked.where("_n = 0").select(*rows.columns))
+    return same.select(*names, "_text", F.lit(0).alias("_found")).unionByName(changed)

@@ -13,6 +13,8 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import checkpointed, give_back, small_batches, written
 
 OVERHEAD = 8
+#: A table of partitions with more rows than this isn't broadcast but joined by shuffle.
+MOST_PARTS = 100_000
 
 
 def byte_size(text: Column) -> Column:
@@ -57,10 +59,11 @@ def assign(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", k
     ``shards`` equal parts of all bytes. Equal texts lie side by side and go by where
     their first row starts, up to ``whole`` of a shard's bytes, so they stay together
     unless they are too many for that. ``_slot`` counts from 0 in each shard. Null texts weigh 8 bytes
-    and count as empty ones; equal rows may swap slots; no rows give no shards. Only a row for
-    each partition reaches the driver.
+    and count as empty ones; equal rows may swap slots; no rows give no shards. A kept column with a result's name gives
+    way to the result. Only a row for each partition reaches the driver; their number is that of
+    ``spark.sql.shuffle.partitions``, and the table of them is broadcast up to ``MOST_PARTS`` rows.
     """
-    keep = keep or [id_col]
+    keep = [c for c in keep or [id_col] if c.lower() not in ("_size", "_crc", "_shard", "_slot")]
     small_batches(docs.sparkSession)
     spark, text = docs.sparkSession, F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
@@ -71,9 +74,11 @@ def assign(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", k
         F.xxhash64(text).alias("_hash"),
     )
     order = [F.col("_crc").asc(), F.col("_hash").asc(), F.col("_id").asc_nulls_last()]
+    narrow = all(docs.schema[c].dataType.simpleString() != "string" for c in keep)
+    # The range bounds are sampled from the rows: of a narrow table texts are read and hashed once, not twice.
+    rows = checkpointed(rows) if narrow else rows
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     schema = StructType([*placed.schema.fields, StructField("_before", LongType()), StructField("_start", LongType())])
-    narrow = all(docs.schema[c].dataType.simpleString() != "string" for c in keep)
     placed = (checkpointed if narrow else written)(placed.mapInArrow(running, schema).withColumn("_part", F.shiftright("_at", 33)))
 
     key = F.struct("_crc", "_hash")
@@ -82,7 +87,7 @@ def assign(docs: DataFrame, *, text_col: str = "text", id_col: str = "doc_id", k
     )
     total, known = offsets(totals.collect())
     parts = spark.createDataFrame(known, "_p int, _rows long, _bytes long, _lead long, _lead_crc long, _lead_hash long")
-    joined = placed.join(F.broadcast(parts), F.col("_part") == F.col("_p"))
+    joined = placed.join(F.broadcast(parts) if len(known) <= MOST_PARTS else parts, F.col("_part") == F.col("_p"))
     leads = (F.col("_crc") == F.col("_lead_crc")) & (F.col("_hash") == F.col("_lead_hash"))
     start = F.when(leads, F.col("_lead")).otherwise(F.col("_bytes") + F.col("_start"))
     limit = int(whole * total / shards)

@@ -141,7 +141,8 @@ def near_duplicates(
 
     Rows with equal fingerprints are linked, so a repeated row is in one class with itself, and null,
     empty and blank texts (fingerprint 0) are one class. A null id is a row like
-    any other but never names a class, unless it has no other row. Other columns are ignored.
+    any other but never names a class, unless it has no other row. Other columns are ignored, texts are read whole, and
+    an empty table gives an empty one.
     With ``similarity``, texts whose sets of ``overlap_words``-word shingles have at least that Jaccard
     similarity are linked as well (``overlap``).
     """
@@ -181,10 +182,11 @@ def keep_one(
     A class without any id keeps one row of each text.
     """
     found = checkpointed(near_duplicates(docs, id_col=id_col, text_col=text_col, words=words, similarity=similarity, overlap_words=overlap_words))
-    named = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_kept")).agg(F.count("*").alias("_rows"))
-    same = F.col(id_col) == F.col("_kept")
-    kept = docs.join(named, same, "left_semi")
-    twice = named.where("_rows > 1")
+    kept_id = next(f"_kept{'_' * k}" for k in range(99) if f"_kept{'_' * k}" not in {c.lower() for c in docs.columns})
+    named = found.where(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(kept_id)).agg(F.count("*").alias("_rows"))
+    same = F.col(id_col) == F.col(kept_id)
+    kept = docs.join(named.select(kept_id), same, "left_semi")
+    twice = named.where("_rows > 1").select(kept_id)
     if twice.limit(1).count():
         kept = kept.join(twice, same, "left_anti").unionByName(docs.join(twice, same, "left_semi").dropDuplicates([id_col]))
     if found.where("component_id is null").limit(1).count():

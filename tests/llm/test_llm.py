@@ -344,11 +344,49 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert names[2] == names[3] != names[4] and names[1] in pii.GIVEN["f", "latin"]
 
 
-def test_clashing_surrogates_get_another(spark, monkeypatch):
-    table = spark.createDataFrame([(f"secret|{c}{d}",) for c in "ab" for d in "0123456789"], "entity string")
-    got = [r["made"] for r in pii.surrogates("k", spark.createDataFrame([(f"given-m|n{i}",) for i in range(30)], "entity string")).collect()]
-    assert len(set(got)) == 30
-    assert table.count() == 20
+def test_numbers_with_wrong_check_digits_stay(spark):
+    texts = ["card 4111 1111 1111 1112 or 4111111111111111.", "pay GB82 WEST 1234 5698 7654 32 not GB83 WEST 1234 5698 7654 32", "only 1234567812345678", "+1 (843) 555-7672 170 left"]
+    got = {r["doc_id"]: (r["_text"], r["_found"]) for r in pii.replace_pii(rows(spark, texts), "k", keep=["doc_id"]).collect()}
+    assert [got[i][1] for i in range(4)] == [1, 1, 0, 1] and got[2][0] == texts[2] and got[3][0].endswith(" 170 left")
+    assert got[0][0].startswith("card 4111 1111 1111 1112 or 4") and "4111111111111111" not in got[0][0]
+    made = re.match(r"pay (GB.*?) not GB83 WEST 1234 5698 7654 32$", got[1][0])[1].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in made[4:] + made[:4])) % 97 == 1 and made != "GB82WEST12345698765432"
+
+
+def test_surrogates_never_run_out(spark):
+    lan = [f"ip|192.168.{i // 256}.{i % 256}" for i in range(0, 65536)]
+    short = [f"email|{a}@{b}.com" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    names = [f"given-m|n{i}" for i in range(300)] + [f"surname|s{i}" for i in range(300)]
+    got = {r["entity"]: r["made"] for r in pii.surrogates("k", spark.createDataFrame([(e,) for e in lan + short + names], "entity string")).collect()}
+    assert len(got) == len(lan + short + names) and len({(k.split("|")[0], v.lower()) for k, v in got.items()}) == len(got)
+    assert sorted(got[e] for e in lan) == sorted(e[3:] for e in lan) and all(got[e] != e[3:] for e in lan)
+    assert not {f"email|{got[e]}" for e in short} & set(short)
+    again = {r["entity"]: r["made"] for r in pii.surrogates("k", spark.createDataFrame([(lan[7],), (names[0],)], "entity string")).collect()}
+    assert again[lan[7]] == got[lan[7]]
+    other = {r["entity"]: r["made"] for r in pii.surrogates("K", spark.createDataFrame([(lan[7],)], "entity string")).collect()}
+    assert other[lan[7]] != got[lan[7]]
+
+
+def brute_surrogates(texts, made):
+    """Texts with every entity replaced by a plain search for the written forms of its kind."""
+    out = []
+    for text in texts:
+        for entity, new in made.items():
+            text = text.replace(entity, new)
+        out.append(text)
+    return out
+
+
+def test_surrogates_of_whole_texts_against_plain_replacement(spark):
+    mails, addresses, keys = ["kim@a.example", "lou.b@b.example"], ["8.8.4.4", "192.168.0.7", "10.0.0.1"], ["AKIA" + "Z9" * 8]
+    random.seed(9)
+    texts = [" ".join(random.choice([*mails, *addresses, *keys, "word", "12", "x-y"]) for _ in range(n)) for n in [0, 1, 5, 40, 40, 40, 5000]] * 2
+    got = sorted(pii.replace_pii(rows(spark, texts).withColumn("_text", F.lit(1)), "k", keep=["doc_id", "_text"]).collect(), key=lambda r: r["doc_id"])
+    entities = [f"email|{m}" for m in mails] + [f"ip|{a}" for a in addresses] + [f"key|{k}" for k in keys]
+    made = {r["entity"].split("|")[1]: r["made"] for r in pii.surrogates("k", spark.createDataFrame([(e,) for e in entities], "entity string")).collect()}
+    assert [r["_text"] for r in got] == brute_surrogates(texts, made)
+    assert [r["_found"] for r in got] == [sum(t.split().count(e) for e in made) for t in texts]
+    assert pii.replace_pii(rows(spark, texts).limit(0), "k", keep=["doc_id"]).count() == 0
 
 
 def test_pipeline_against_its_operators(spark):

@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-The others rest on trained models, XXH64 or CRC-32, which it lacks; tests hold them against
-brute-force versions and held-out labels.
+The others rest on trained models, XXH64 or CRC-32, which it lacks; ``tests/llm`` holds them against
+brute-force versions, and classifiers against held-out labels as well.
 """
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"

@@ -48,7 +48,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
     model = toxicity.learn(docs.where(~out), labels)
     scored = toxicity.score(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"))
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted", F.size("spans").alias("n_spans"), "spans")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,8 @@ from .common import ascii_lower, checkpointed, hash_share
 
 #: Host levels whose label statistics are features: last label, last two, last three.
 SUFFIX_LEVELS = (1, 2, 3)
+#: A table of suffix or path statistics with more rows than this isn't broadcast but joined by shuffle.
+MOST_SENT = 100_000
 
 
 @dataclass(frozen=True)
@@ -114,19 +116,21 @@ def judge_urls(
     """``page_id, host, path, rule, verdict, score`` for every row of ``pages``.
 
     ``labelled`` has ``url`` and ``label`` (1.0: block). Statistics of host suffixes and
-    first path parts cover all labelled rows; a row's own label is left out of what it
-    learns from. The trees are fitted on about ``max_train`` labelled rows, chosen by a hash
-    of the url. ``score`` is the trees' probability of block; the rule's verdict wins.
+    first path parts cover all labelled urls; a url's own label is left out of what it
+    learns from. The trees are fitted on about ``max_train`` labelled urls, half of them of either label if
+    there are so many, chosen by a hash and weighted by how many they stand for. A url that is repeated with the same label
+    counts once in all of this. ``score`` is the trees' probability of block; the rule's verdict wins.
 
     Null urls and urls without ``://`` have an empty host and path and get the trees'
-    verdict. Repeated rows are judged alike. Without labelled rows of both kinds, the
-    verdict is the one kind there is, or allow. Other columns of ``pages`` are ignored.
+    verdict. Repeated rows are judged alike, an empty table gives an empty one. Without labelled urls of both kinds, the
+    verdict is the one kind there is, or allow. Very long urls are read whole. Other columns of ``pages`` are ignored.
     """
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     base = base.select("page_id", "url", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    known = labelled.select("url", F.col("label").cast("double").alias("label")).where("url is not null and label is not null")
+    known = labelled.select("url", F.col("label").cast("double").alias("label")).where("url is not null and label is not null").distinct()
     known = known.select("url", "label", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
 
+    known = checkpointed(known)
     n, blocked = known.agg(F.count("*"), F.sum("label")).first()
     prior = (blocked or 0.0) / n if n else 0.0
     base = base.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
@@ -136,24 +140,27 @@ def judge_urls(
         stats = checkpointed(
             known.select(keys.alias("g"), "label").groupBy("g.kind", "g.key").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
         )
+        sizes = {r["kind"]: r["count"] for r in stats.groupBy("kind").count().collect()}
         names = [*lexical(F.lit(""), F.lit(""), F.lit("")), *groups]
 
         def featured(df: DataFrame, own: bool) -> DataFrame:
             df = df.withColumns(lexical(F.col("url"), F.col("host"), F.col("path")))
             for g, c in groups.items():
                 one = stats.where(F.col("kind") == g).select(F.col("key").alias("_key"), F.col("n").alias("_n"), F.col("blocked").alias("_b"))
+                one = F.broadcast(one) if sizes.get(g, 0) <= MOST_SENT else one
                 df = df.withColumn("_g", c).join(one, F.col("_g") == F.col("_key"), "left")
                 less_n, less_b = (F.lit(1), F.col("label")) if own else (F.lit(0), F.lit(0.0))
                 rate = (F.coalesce("_b", F.lit(0.0)) - less_b + smoothing * prior) / (F.coalesce("_n", F.lit(0)) - less_n + smoothing)
                 df = df.withColumn(g, rate).drop("_g", "_key", "_n", "_b")
             return df
 
-        share = min(1.0, max_train / n)
+        shares = [min(1.0, max_train / 2 / m) for m in (n - blocked, blocked)]
+        share = F.when(F.col("label") == 1, shares[1]).otherwise(shares[0])
         sample = known.where(hash_share([F.col("url")], f"urls{seed}") < share)
         pack = VectorAssembler(inputCols=names, outputCol="features")
-        fitted = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=seed).fit(
-            pack.transform(checkpointed(featured(sample, True).select("label", *names))).select("features", "label")
-        )
+        rows = checkpointed(featured(sample, True).select("label", (1 / share).alias("weight"), *names))
+        trees_of = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=seed, weightCol="weight")
+        fitted = trees_of.fit(pack.transform(rows).select("features", "label", "weight"))
         scored = fitted.transform(pack.transform(featured(base, False)))
         scored = scored.withColumn("score", vector_to_array("probability")[1])
     else:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +13,8 @@ from pyspark.sql import functions as F
 ARTICLE_MARKER = "指数估值数据"
 GLOBAL_MARKER = "美股指数估值数据"
 CURRENT_CUES = ("截止到收盘", "截至收盘", "截止收盘", "今天大盘", "今日大盘", "今天市场", "今日市场", "目前", "当前", "今天回到", "今日回到", "又回到", "回到")
-HISTORICAL_CUES = ("当时", "比如", "例如", "历史", "此前", "之前", "曾经", "过去", "熊市", *[f"{y}年" for y in range(2012, 2025)])
+HISTORICAL_CUES = ("当时", "比如", "例如", "历史", "此前", "之前", "曾经", "过去", "熊市",
+    "2012年", "2013年", "2014年", "2015年", "2016年", "2017年", "2018年", "2019年", "2020年", "2021年", "2022年", "2023年", "2024年")
 BOILERPLATE_CUES = ("1星为泡沫阶段", "5星为投资价值最高阶段", "不同星级代表的含义", "5星级-5.9星级", "4星级-4.9星级", "3星级-3.9星级")
 NONCURRENT_CUES = (
     "上周", "上个月", "昨天", "昨日", "前天", "此前", "之前", "当时", "曾经", "历史", "最低点", "最高点", "距离", "还没有出现", "没有出现", "如果",
@@ -37,6 +40,14 @@ REALTIME_PATTERNS = (
     ("current_state_statement", r"(?:目前|当前)(?:还是|仍然|仍|依然)?(?:在|处于)\s*" + PRECISE, 0.992),
     ("opening_state_statement", r"(?:还在|回到|回到了|重回|达到|涨到|上涨到|摸到|摸到了)\s*" + PRECISE, 0.99),
 )
+#: Words of which a text needs one for a pattern to match.
+NEEDED = {
+    "closing_statement": ("收盘",),
+    "fine_current_statement": ("目前", "当前"),
+    "today_market_statement": ("今天", "今日"),
+    "current_state_statement": ("目前", "当前"),
+    "opening_state_statement": ("还在", "回到", "达到", "涨到", "摸到"),
+}
 APPROX_RANGE = r"([1-5](?:\.\d)?)\s*[–—~～至到-]\s*([1-5](?:\.\d)?)\s*星(?:级)?"
 NEAR_THRESHOLD = r"距离\s*([1-5](?:\.\d)?)\s*星(?:级)?\s*很接近"
 MARKET_CLOSED = r"A股没有交易[^。！？\n]{0,60}"
@@ -62,19 +73,25 @@ def squeezed(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used: a lambda's argument isn't copied by the optimizer."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches as (start, found), start counted from 0: the lengths of what stands between them add up to it."""
     pattern = f"(?U){pattern}"
-    found, parts = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    empty = F.array().cast("array<struct<start:int,found:string>>")
 
-    def step(acc: Column, i: Column) -> Column:
-        start = acc["at"] + F.length(F.element_at(parts, i))
-        one = F.element_at(found, i)
-        return F.struct((start + F.length(one)).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), one.alias("found")))).alias("out"))
+    def step(acc: Column, one: Column) -> Column:
+        start = acc["at"] + F.length(one["between"])
+        return F.struct((start + F.length(one["found"])).alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), one["found"].alias("found")))).alias("out"))
 
-    empty = F.array().cast("array<struct<start:int,found:string>>")
-    walked = F.aggregate(F.sequence(F.lit(1), F.size(found)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
-    return F.when(F.size(found) > 0, walked).otherwise(empty)
+    def walked(found: Column) -> Column:
+        pairs = F.zip_with(found, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), lambda f, b: F.struct(f.alias("found"), b.alias("between")))
+        return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]).otherwise(empty)
+
+    return once(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), walked)
 
 
 def star_value(pattern: str, found: Column) -> Column:
@@ -86,8 +103,8 @@ def star_value(pattern: str, found: Column) -> Column:
     return (numeral if pattern.startswith("chinese") else group.try_cast("double")) + (0.5 if pattern.endswith("half") else 0.0)
 
 
-def relation(title: Column, context: Column, location: str, vocabulary: Vocabulary) -> Column:
-    titled = F.lit(location == "title") & title.contains(vocabulary.marker) & title.contains("回到")
+def relation(title: Column, context: Column, in_title: Column, vocabulary: Vocabulary) -> Column:
+    titled = in_title & title.contains(vocabulary.marker) & title.contains("回到")
     return (
         F.when(any_of(F.concat_ws(" ", title, context), BOILERPLATE_CUES) | context.rlike(f"(?U){RANGE}"), "range_or_rule")
         .when(titled, "realtime")
@@ -97,8 +114,8 @@ def relation(title: Column, context: Column, location: str, vocabulary: Vocabula
     )
 
 
-def confidence(title: Column, context: Column, location: str, kind: Column, vocabulary: Vocabulary) -> Column:
-    titled = F.lit(location == "title") & title.contains(vocabulary.marker) & title.contains("回到")
+def confidence(title: Column, context: Column, in_title: Column, kind: Column, vocabulary: Vocabulary) -> Column:
+    titled = in_title & title.contains(vocabulary.marker) & title.contains("回到")
     joined = F.concat_ws(" ", title, context)
     return (
         F.when(kind == "range_or_rule", 0.20)
@@ -116,23 +133,48 @@ def confidence(title: Column, context: Column, location: str, kind: Column, voca
 
 
 def candidates(articles: DataFrame, vocabulary: Vocabulary = Vocabulary(), *, least: float = 1.0, most: float = 6.0) -> DataFrame:
-    """Every rating mention in titles and texts of ``article_id, publish_date, title, text``, with relation and confidence."""
-    out = []
+    """Every rating mention in titles and texts of ``article_id, publish_date, title, text``, with relation and confidence.
+
+    If the articles say which of them are canonical (``is_canonical`` or ``duplicate_of``), others are left out. One scan: the mentions of
+    an article are an array until its repetitions are gone. ``ranked`` puts the table in its order.
+    """
+    if known := [c for c in ("is_canonical", "duplicate_of") if c in articles.columns]:
+        articles = articles.where(is_canonical(*[F.col(c) if c in known else F.lit(None) for c in ("is_canonical", "duplicate_of")]))
     base = articles.select("article_id", "publish_date", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
-    for location, patterns in (("title", BODY_PATTERNS | TITLE_PATTERN), ("text", BODY_PATTERNS)):
-        for name, pattern in patterns.items():
-            rows = base.select("*", F.inline(matches(F.col(location), pattern))).withColumn("star", star_value(name, F.col("found")))
-            rows = rows.where(F.col("star").between(least, most))
-            end = F.col("start") + F.length("found")
-            left = F.greatest(F.col("start") - vocabulary.context, F.lit(0))
-            context = F.trim("title") if location == "title" else squeezed(F.substr("text", left + 1, end + vocabulary.context - left))
-            rows = rows.withColumn("context", context).withColumn("relation", relation(F.col("title"), F.col("context"), location, vocabulary))
-            rows = rows.withColumn("confidence", confidence(F.col("title"), F.col("context"), location, F.col("relation"), vocabulary))
-            out.append(rows.select("article_id", "publish_date", "title", F.lit(location).alias("location"), F.lit(name).alias("pattern"), "start", end.alias("end"), "star", "context", "relation", "confidence"))
-    all_rows = out[0]
-    for rows in out[1:]:
-        all_rows = all_rows.unionByName(rows)
-    return all_rows.dropDuplicates(["article_id", "location", "start", "end", "star"])
+
+    def mentions(location: str, name: str, pattern: str) -> Column:
+        def one(m: Column) -> Column:
+            end = m["start"] + F.length(m["found"])
+            return F.struct(F.lit(location).alias("location"), F.lit(name).alias("pattern"), m["start"].alias("start"), end.alias("end"), star_value(name, m["found"]).alias("star"))
+
+        found = F.transform(matches(F.col(location), pattern), one)
+        return F.when(F.col(location).contains("星"), F.filter(found, lambda m: F.coalesce(m["star"].between(least, most), F.lit(False)))).otherwise(F.filter(found, lambda m: F.lit(False)))
+
+    key = lambda m: F.struct(m["location"], m["start"], m["end"], m["star"])
+    every = F.concat(*[mentions(where, n, p) for where, patterns in (("title", BODY_PATTERNS | TITLE_PATTERN), ("text", BODY_PATTERNS)) for n, p in patterns.items()])
+    first = once(every, lambda found: once(F.transform(found, key), lambda keys: F.filter(found, lambda m, i: F.array_position(keys, key(m)) == i + 1)))
+    rows = base.select("*", F.inline(first))
+    left = F.greatest(F.col("start") - vocabulary.context, F.lit(0))
+    titled = F.col("location") == "title"
+    around = squeezed(F.substr("text", left + 1, F.col("end") + vocabulary.context - left))
+
+    def judged(context: Column) -> Column:
+        kind = relation(F.col("title"), context, titled, vocabulary)
+        return once(kind, lambda k: F.struct(context.alias("context"), k.alias("relation"), confidence(F.col("title"), context, titled, k, vocabulary).alias("confidence")))
+
+    # Out of an array, so that a filter on what is judged isn't moved before it and judges twice.
+    details = F.inline(F.array(once(F.when(titled, F.trim("title")).otherwise(around), judged)))
+    return rows.select("article_id", "publish_date", "title", "location", "pattern", "start", "end", "star", details)
+
+
+def ranked(found: DataFrame) -> DataFrame:
+    """Candidates by date, null last, then the most confident, then by article and place."""
+    return found.orderBy(F.asc_nulls_last("publish_date"), F.desc("confidence"), "article_id", "location", "start")
+
+
+def is_canonical(flag: Column, duplicate_of: Column) -> Column:
+    """The flag where there is one, else whether the article is no duplicate."""
+    return F.coalesce(flag.cast("boolean"), F.coalesce(duplicate_of.cast("string"), F.lit("")) == "")
 
 
 def is_daily(title: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
@@ -155,12 +197,15 @@ def is_valid(prefix: Column, method: str, published: Column) -> Column:
     return valid if method == "closing_statement" else valid & ~any_of(prefix, INTRADAY_CUES)
 
 
-def valid_match(head: Column, method: str, published: Column):
-    def test(m: Column) -> Column:
+def valid_matches(head: Column, method: str, pattern: str, published: Column) -> Column:
+    """The valid matches in order; the sentence up to each is worked out once."""
+
+    def with_prefix(m: Column) -> Column:
         before = F.regexp_extract(F.substr(head, F.lit(1), m["start"]), r"[^。！？\n]*$", 0)
-        return is_valid(squeezed(F.concat(before, m["found"])), method, published)
+        return F.struct(m["found"].alias("found"), squeezed(F.concat(before, m["found"])).alias("prefix"))
 
-    return test
+    found = F.transform(matches(head, pattern), with_prefix)
+    return F.filter(found, lambda m: is_valid(m["prefix"], method, published))
 
 
 def observation(title: Column, text: Column, published: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
@@ -168,19 +213,37 @@ def observation(title: Column, text: Column, published: Column, vocabulary: Voca
 
     Patterns are tried in order of strength; the last valid match of a pattern counts, of
     the weakest the first. A dated statement anywhere counts last, if it names the article's own date.
+    A pattern is only searched for in texts that hold a word it needs. Filter rows by ``observed``: a plain
+    filter on this column would be moved before it and work it out twice.
     """
-    head = opening(text, vocabulary)
     number = lambda found: F.regexp_extract(found, r"([1-5](?:\.\d)?)(?:\s*星(?:级)?)?$", 1).try_cast("double")
-    tried = []
-    for method, pattern, sure in REALTIME_PATTERNS:
-        valid = F.filter(matches(head, pattern), valid_match(head, method, published))
-        one = F.try_element_at(valid, F.lit(1 if method == "opening_state_statement" else -1))
-        tried.append(F.when(one.isNotNull(), F.struct(number(one["found"]).alias("star"), squeezed(one["found"]).alias("evidence"), F.lit(method).alias("method"), F.lit(sure).alias("confidence"))))
+
+    def made(method: str, sure: float):
+        return lambda m: F.struct(number(m["found"]).alias("star"), squeezed(m["found"]).alias("evidence"), F.lit(method).alias("method"), F.lit(sure).alias("confidence"))
+
+    def picked(valid: Column, method: str, sure: float, place: int, needed: Column) -> Column:
+        return F.when(needed, F.try_element_at(F.transform(F.slice(valid, place, 1), made(method, sure)), F.lit(1)))
+
+    def tried(head: Column) -> list[Column]:
+        out = []
+        for method, pattern, sure in REALTIME_PATTERNS:
+            words = NEEDED[method]
+            needed = reduce(lambda a, b: a | b, [head.contains(w) for w in words])
+            needed = needed if method == "fine_current_statement" else needed & head.contains("星")
+            out.append(picked(valid_matches(head, method, pattern, published), method, sure, 1 if method == "opening_state_statement" else -1, needed))
+        return out
+
     part = lambda m, i: F.regexp_extract(m["found"], r"目前\s*(\d{4})年(\d{1,2})月(\d{1,2})日", i).try_cast("int")
     own = lambda m: F.coalesce((part(m, 1) == F.year(published)) & (part(m, 2) == F.month(published)) & (part(m, 3) == F.dayofmonth(published)), F.lit(False))
-    dated = F.try_element_at(F.filter(matches(F.coalesce(text, F.lit("")), DATED), own), F.lit(1))
-    tried.append(F.when(dated.isNotNull(), F.struct(number(dated["found"]).alias("star"), squeezed(dated["found"]).alias("evidence"), F.lit("dated_current_statement").alias("method"), F.lit(0.985).alias("confidence"))))
-    return F.when(is_daily(title, vocabulary), F.coalesce(*tried))
+    whole = F.coalesce(text, F.lit(""))
+    dated = picked(F.filter(matches(whole, DATED), own), "dated_current_statement", 0.985, 1, whole.contains("市场在"))
+    return F.when(is_daily(title, vocabulary), F.coalesce(once(opening(text, vocabulary), lambda head: F.coalesce(*tried(head))), dated))
+
+
+def observed(articles: DataFrame, keep: list[str], vocabulary: Vocabulary = Vocabulary()) -> DataFrame:
+    """``keep`` with ``star, evidence, method, confidence`` of the articles (``title, text, publish_date``) that have an exact rating."""
+    one = observation(F.col("title"), F.col("text"), F.col("publish_date"), vocabulary)
+    return articles.select(*keep, F.inline(F.array_compact(F.array(one))))
 
 
 def review(title: Column, text: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:

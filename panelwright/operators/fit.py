@@ -6,7 +6,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -96,3 +96,59 @@ def largest_with_ties(rows: DataFrame, c: str, n: int) -> DataFrame:
     sized = rows.withColumn("_abs", F.abs(c)).where("_abs is not null")
     least = sized.orderBy(F.desc("_abs")).limit(n).agg(F.min("_abs")).first()[0]
     return sized.where(F.col("_abs") >= F.lit(least)).drop("_abs")
+
+
+def mean_and_scale(rows: DataFrame, features: list[str], weight: str) -> DataFrame:
+    """One row for each feature: weighted mean and population scale over the rows without a null; a scale of 0 is an error when used.
+
+    The means are fetched first, so that deviations are summed and not differences of large squares.
+    """
+    full = rows.where(" and ".join(f"{c} is not null" for c in [*features, weight]))
+    w = F.col(weight)
+    means = full.agg(*[(F.sum(w * F.col(c)) / F.sum(w)).alias(c) for c in features]).first()
+    spread = full.agg(*[F.sqrt(F.sum(w * (F.col(c) - F.lit(means[c])) ** 2) / F.sum(w)).alias(c) for c in features])
+    found = spread.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.lit(means[c]).alias("mean"), F.col(c).alias("scale")) for c in features])))
+    return found.withColumn("scale", F.when(F.col("scale") > 0, F.col("scale")).otherwise(F.raise_error(F.concat(F.lit("no variance in "), F.col("feature")))))
+
+
+def verdict(scores: DataFrame, core: str, baseline: str, *, model: str = "model", by: str = "exact_mae") -> DataFrame:
+    """One row: whether the core model's error is under the baseline's, both errors and their ratio."""
+    of = lambda m: F.max(F.when(F.col(model) == m, F.col(by)))
+    both = scores.agg(of(core).alias("core_error"), of(baseline).alias("baseline_error"))
+    said = F.when(F.col("core_error") < F.col("baseline_error"), "core_model_beats_baseline").otherwise("core_model_does_not_beat_baseline")
+    return both.select(said.alias("verdict"), "core_error", "baseline_error", F.try_divide("core_error", "baseline_error").alias("ratio"))
+
+
+def signs_hold(models: DataFrame, signs: list[int]) -> Column:
+    """Whether a model's coefficients have their directions or are 0."""
+    return F.forall(F.zip_with("coefs", F.array(*[F.lit(s) for s in signs]), lambda c, s: c * s >= -1e-12), lambda x: x)
+
+
+def anchors(rows: DataFrame, period: str, y: str, x: str, slope: Column) -> DataFrame:
+    """The level that each row implies at a slope, by period: count, mean, population spread, least and most."""
+    level = F.col(y) - slope * F.col(x)
+    return rows.groupBy(period).agg(
+        F.count(level).alias("n"), F.avg(level).alias("anchor_mean"), F.stddev_pop(level).alias("anchor_std"), F.min(level).alias("anchor_min"), F.max(level).alias("anchor_max")
+    )
+
+
+def changes(rows: DataFrame, key: str, date: str, y: str, x: str, most_gap: int = 7) -> DataFrame:
+    """Changes of ``y`` and ``x`` since the key's row before, over gaps of 1 to ``most_gap`` days."""
+    by = Window.partitionBy(key).orderBy(date)
+    since = lambda c: F.col(c) - F.lag(c).over(by)
+    found = rows.select(key, date, since(y).alias("y_change"), since(x).alias("x_change"), F.datediff(F.col(date), F.lag(date).over(by)).alias("gap"))
+    return found.where(F.col("gap").between(1, most_gap) & F.col("y_change").isNotNull() & F.col("x_change").isNotNull())
+
+
+def change_study(pairs: DataFrame, key: str, date: str, split: int, least: float = 0.05) -> DataFrame:
+    """By key: a line of ``y_change`` on ``x_change`` up to the year ``split``, its error after it, and how often a change moves against ``x``."""
+    train = F.year(date) <= split
+    line = pairs.where(train).groupBy(key).agg(F.count("*").alias("train_pairs"), F.regr_slope("y_change", "x_change").alias("slope"), F.regr_intercept("y_change", "x_change").alias("intercept"))
+    tested = pairs.where(~train).join(line, key)
+    residual = F.abs(F.col("y_change") - F.col("intercept") - F.col("slope") * F.col("x_change"))
+    moved = (F.abs("y_change") >= least) & (F.abs("x_change") > 1e-12)
+    against = F.when(moved, (F.signum("y_change") == -F.signum("x_change")).cast("double"))
+    return tested.groupBy(key).agg(
+        F.first("train_pairs").alias("train_pairs"), F.count("*").alias("holdout_pairs"), F.count_if(F.abs("y_change") >= least).alias("changed"),
+        F.first("intercept").alias("intercept"), F.first("slope").alias("slope"), F.avg(residual).alias("change_mae"), F.avg(against).alias("against_share"),
+    )

@@ -99,3 +99,13 @@ def gap_fill(legacy: DataFrame, covered: list[DataFrame], *, date: str = "date",
     status = F.when(exact, F.col("status")).otherwise(F.raise_error(F.concat(F.lit("legacy row is not exact on "), F.coalesce(F.col(date).cast("string"), F.lit("null")))))
     fixed = {"status": status, "weight": F.lit(weight), "confidence": F.lit(weight), "source_priority": F.lit("legacy_only_gap_fill")}
     return legacy.withColumns(fixed)
+
+
+def in_years(articles: DataFrame, date: str, first: int, last: int) -> DataFrame:
+    """Articles dated in ``first`` to ``last``; what is no date goes."""
+    day = F.try_to_date(F.col(date).cast("string"))
+    return articles.withColumn(date, day).where(F.year(date).between(first, last))
+
+
+def year_counts(articles: DataFrame, date: str) -> DataFrame:
+    return articles.groupBy(F.year(date).alias("year")).agg(F.count("*").alias("articles"))

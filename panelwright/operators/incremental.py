@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.operators import panels
+
 
 def date_windows(start: Column, end: Column, years: int = 10) -> Column:
     """Windows of ``years`` years from ``start`` on, as an array of (start, end); none if it is after ``end``.
@@ -41,8 +43,30 @@ def coalesce_latest(loads: DataFrame, keys: list[str], sequence: str) -> DataFra
     return loads.groupBy(*keys).agg(*newest)
 
 
-def consolidate(loads: DataFrame, keys: list[str], sequence: str, preferred: list[str]) -> DataFrame:
-    """``coalesce_latest`` with the preferred columns first and the others by name."""
+def consolidate(
+    loads: DataFrame, keys: list[str], sequence: str, preferred: list[str], *, existing: DataFrame | None = None, code: str | None = None, date: str | None = None,
+) -> DataFrame:
+    """``coalesce_latest`` with the preferred columns first and the others by name.
+
+    ``existing`` is a table of an earlier run, older than every load; ``code`` is padded and ``date`` made a local day first.
+    """
+    if existing is not None:
+        loads = loads.unionByName(existing.withColumn(sequence, F.lit(None).cast(loads.schema[sequence].dataType)), allowMissingColumns=True)
+        loads = loads.withColumn(sequence, F.struct(F.col(sequence).isNotNull().alias("new"), F.col(sequence).alias("at")))
+    if code:
+        loads = loads.withColumn(code, panels.padded_code(F.col(code)))
+    if date:
+        loads = loads.withColumn(date, panels.local_date(F.col(date)))
     merged = coalesce_latest(loads, keys, sequence)
     first = [c for c in preferred if c in merged.columns]
     return merged.select(*first, *sorted(c for c in merged.columns if c not in first))
+
+
+def decade_windows(start_year: Column, end: Column, years: int = 10) -> Column:
+    """Windows of whole calendar years as an array of (from_date, to_date): each starts on 1 January, the last one ends on ``end``."""
+    last = F.year(end)
+    first = lambda i: start_year + i * years
+    to = lambda i: F.when(first(i) + years - 1 >= last, end).otherwise(F.make_date(first(i) + years - 1, F.lit(12), F.lit(31)))
+    window = lambda i: F.struct(F.make_date(first(i), F.lit(1), F.lit(1)).alias("from_date"), to(i).alias("to_date"))
+    some = F.transform(F.sequence(F.lit(0), F.floor((last - start_year) / years).cast("int")), window)
+    return F.when(start_year <= last, some).otherwise(F.array().cast("array<struct<from_date:date,to_date:date>>"))

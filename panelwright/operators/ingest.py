@@ -48,21 +48,23 @@ class Page(HTMLParser):
         self.meta: dict[str, str] = {}
         self.heads: dict[str, str] = {}
         self.parts: list[str] = []
-        self.skip, self.inside = 0, ""
+        self.skip, self.inside, self.done = 0, "", set()
 
     def handle_starttag(self, tag, attrs):
         pairs = dict(attrs)
         if tag == "meta":
-            name = pairs.get("property") or pairs.get("name") or ""
-            self.meta.setdefault(name, pairs.get("content") or "")
+            for kind in ("property", "name"):
+                if pairs.get(kind) and pairs.get("content"):
+                    self.meta.setdefault(f"{kind}={pairs[kind]}", pairs["content"])
         self.skip += tag in ("script", "style", "noscript")
-        if tag in ("h1", "title"):
+        if tag in ("h1", "title") and tag not in self.done:
             self.inside = tag
 
     def handle_endtag(self, tag):
         self.skip -= tag in ("script", "style", "noscript") and self.skip > 0
         if tag == self.inside:
             self.inside = ""
+            self.done.add(tag)
 
     def handle_data(self, data):
         if not self.skip and (text := data.strip()):
@@ -76,8 +78,9 @@ def parse_page(html: str | None) -> tuple:
     try:
         page.feed(html or "")
         page.close()
-        title = next((t for t in (page.meta.get("og:title"), page.meta.get("twitter:title"), page.heads.get("h1"), page.heads.get("title")) if t), None)
-        return title, page.meta.get("og:url") or None, "\n".join(page.parts), None
+        named = [page.meta.get(k) for k in ("property=og:title", "property=twitter:title", "name=twitter:title")]
+        title = next((t for t in (*named, page.heads.get("h1"), page.heads.get("title")) if t), None)
+        return title, page.meta.get("property=og:url"), "\n".join(page.parts), None
     except Exception as e:  # a page that can't be parsed is kept and marked
         return None, None, f"[PARSE_ERROR] {e}", str(e)
 
@@ -107,13 +110,14 @@ def parsed(files: DataFrame) -> DataFrame:
     h1 = F.nullif(F.regexp_extract("raw", r"(?m)^\s*#\s+(.+?)\s*$", 1), F.lit(""))
     day = F.regexp_extract_all(F.substring("raw", 1, 1500), F.lit(r"(\d{4})[年-](\d{2})[月-](\d{2})"), F.lit(0))
     md_date = F.regexp_replace(F.try_element_at(day, F.lit(1)), "[年月]", "-")
-    text = F.when(js, F.coalesce(first_json(F.col("raw"), ("text", "content", "body", "article")), F.col("raw"))).otherwise(F.coalesce("_text", "raw"))
+    broken = js & F.try_parse_json("raw").isNull()
+    text = F.when(broken, "[PARSE_ERROR] malformed JSON").when(js, F.coalesce(first_json(F.col("raw"), ("text", "content", "body", "article")), F.col("raw"))).otherwise(F.coalesce("_text", "raw"))
     return rows.select(
         "article_id", article_key(F.col("stem")).alias("article_key"), "relative_path", "suffix", "size_bytes", "sha256",
         F.coalesce(F.when(md, md_date), F.when(js, first_json(F.col("raw"), ("publish_date", "date", "published_at", "time"))), path_date(F.col("stem")), path_date(parent)).alias("publish_date"),
         F.coalesce(F.when(md, h1), F.when(js, first_json(F.col("raw"), ("title", "name"))), F.col("_title"), path_title(F.col("stem")), F.col("stem")).alias("title"),
         text.alias("text"), F.coalesce(F.when(js, first_json(F.col("raw"), ("source_url", "url", "link"))), F.col("_url")).alias("source_url"),
-        F.col("_error").isNotNull().alias("failed"),
+        (F.col("_error").isNotNull() | broken).alias("failed"),
     )
 
 
@@ -123,8 +127,10 @@ def canonical(articles: DataFrame) -> DataFrame:
     A later file with the same hash points to the first in path order. Of one key, the row
     without a parse error, with the best suffix, that is no duplicate and comes first by path is canonical.
     """
-    first = F.first("article_id").over(Window.partitionBy("sha256").orderBy(F.split("relative_path", "/")))
-    rows = articles.withColumn("duplicate_of", F.when(first != F.col("article_id"), first))
+    # Only hashes that occur more than once are joined, and they are combined before the shuffle: any number of files may be alike.
+    same = articles.groupBy(F.col("sha256").alias("_hash")).agg(F.count("*").alias("_n"), F.min_by("article_id", F.split("relative_path", "/")).alias("_first")).where("_n > 1")
+    rows = articles.join(same.drop("_n"), F.col("sha256") == F.col("_hash"), "left").drop("_hash")
+    rows = rows.withColumn("duplicate_of", F.when(F.col("_first") != F.col("article_id"), F.col("_first"))).drop("_first")
     order = F.when(F.col("suffix") == ".md", 0).when(F.col("suffix").isin(".html", ".htm"), 1).when(F.col("suffix") == ".json", 2).otherwise(3)
     by = Window.partitionBy("article_key")
     ranked = by.orderBy(F.col("failed"), order, F.col("duplicate_of").isNotNull(), "relative_path")
@@ -135,3 +141,10 @@ def canonical(articles: DataFrame) -> DataFrame:
 
 def manifest(articles: DataFrame) -> DataFrame:
     return articles.drop("text")
+
+
+def counts(articles: DataFrame) -> DataFrame:
+    """One row: files, canonical articles and exact duplicates; without a canonical flag all but the duplicates count."""
+    duplicate = F.coalesce(F.col("duplicate_of"), F.lit("")) != ""
+    flag = F.coalesce(F.col("is_canonical"), F.lit(False)) if "is_canonical" in articles.columns else ~duplicate
+    return articles.agg(F.count("*").alias("files"), F.count_if(flag).alias("canonical_articles"), F.count_if(duplicate).alias("exact_duplicates"))

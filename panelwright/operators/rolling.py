@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,19 @@ def row_values(c: str, over: WindowSpec) -> Column:
 def guarded(a: str, b: str) -> Column:
     """a / b where b is positive, else null."""
     return F.when(F.col(b) > 0, F.col(a) / F.col(b))
+
+
+def calendar_rank(rows: DataFrame, key: str, date: str, c: str, years: int, name: str) -> DataFrame:
+    """``rows`` (one for each key and date) with the mid-rank percentile of ``c`` among the last ``years`` calendar years.
+
+    For frames too long to hold as an array in every row: each row meets the calendar years that its window
+    touches, so that a task holds one key's year, and only counts are kept. Null values neither count nor rank.
+    """
+    own = rows.select(F.col(key).alias("_k"), F.col(date).alias("_d"), F.col(c).alias("_v")).where("_v is not null and _d is not null")
+    start = F.add_months("_d", -12 * years)
+    asks = own.withColumn("_from", start).withColumn("_y", F.explode(F.sequence(F.year("_from"), F.year("_d"))))
+    have = own.select(F.col("_k").alias("_hk"), F.year("_d").alias("_hy"), F.col("_d").alias("_hd"), F.col("_v").alias("_hv"))
+    met = asks.join(have, (F.col("_k") == F.col("_hk")) & (F.col("_y") == F.col("_hy")) & F.col("_hd").between(F.col("_from"), F.col("_d")))
+    less, same = F.count_if(F.col("_hv") < F.col("_v")), F.count_if(F.col("_hv") == F.col("_v"))
+    ranks = met.groupBy("_k", "_d").agg(((less + same * F.lit(0.5)) / F.count("*")).alias(name))
+    return rows.join(ranks, F.col(key).eqNullSafe(F.col("_k")) & F.col(date).eqNullSafe(F.col("_d")), "left").drop("_k", "_d")

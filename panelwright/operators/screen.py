@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,3 +77,47 @@ def holdout(rows: DataFrame, *, period: str, base: str, extras: list[str], split
     """Rows after ``split`` with each specification's prediction and residual, fitted on the rows up to it."""
     long = long_rows(rows, period, base, extras, keep)
     return predictions(long, models(long, [(split, split + 1, last)], base_sign))
+
+
+def grid(
+    rows: DataFrame, *, key: str, period: str, specs: dict[str, list[str]], signs: list[int], folds: list[tuple[int, int]],
+) -> DataFrame:
+    """Mean scores over expanding folds (last training period, test period) of every key and specification, best first.
+
+    A specification is a list of features with ``signs``; rows with a null in its features are left out for it alone. The data are
+    summed once by key, period and specification and folds add up those sums; fits are sign-constrained.
+    """
+    width = len(signs)
+    structs = [F.struct(F.lit(n).alias("spec"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fs)]) for n, fs in specs.items()]
+    long = rows.select(F.col(key).alias("key"), F.col(period).alias("period"), *SCORED, F.inline(F.array(*structs)))
+    features = [f"f{i}" for i in range(width)]
+    by_period = fit.moments(long, ["key", "spec", "period"], features, "target_mid", "weight")
+    ends = F.inline(F.array(*[F.struct(F.lit(a).alias("fold"), F.lit(b).alias("test")) for a, b in folds]))
+    sums = by_period.select("*", ends).where("period <= fold").groupBy("key", "spec", "fold", "test").agg(*[F.sum(c).alias(c) for c in by_period.columns[3:]]).where("sw > 0")
+    models = fit.fitted(sums, ["key", "spec", "fold", "test"], features, signs).drop("n").withColumnsRenamed({"key": "_key", "spec": "_spec"})
+    tested = long.join(F.broadcast(models), (F.col("key") == F.col("_key")) & (F.col("spec") == F.col("_spec")) & (F.col("period") == F.col("test")))
+    scored = fit.scores(tested.withColumn("prediction", fit.predicted(features)), ["key", "spec", "fold"])
+    names = ("exact_mae", "interval_mae", "within_tenth", "regime_accuracy")
+    return scored.groupBy("key", "spec").agg(*[F.avg(c).alias(c) for c in names]).orderBy("exact_mae", "interval_mae", "key", "spec")
+
+
+def model_table(rows: DataFrame, *, period: str, features: list[str], isotonic: list[str], split: int, least_train: int = 100) -> DataFrame:
+    """Scores after ``split`` of a weighted line on each feature and, for ``isotonic`` ones, of a decreasing isotonic fit, best first.
+
+    A feature with fewer than ``least_train`` complete training rows is left out. An isotonic fit pools equal values, is
+    read off linearly between its steps and held at its ends.
+    """
+    train, test = rows.where(F.col(period) <= split), rows.where(F.col(period) > split)
+    weighed = F.col("weight").isNotNull() & F.col("target_mid").isNotNull()
+    enough = train.agg(*[F.count_if(F.col(f).isNotNull() & weighed).alias(f) for f in features]).first()
+    features = [f for f in features if enough[f] >= least_train]
+    long = lambda df: df.select(*SCORED, F.inline(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])))
+    lines = fit.fitted(fit.moments(long(train), ["feature"], ["x"], "target_mid", "weight"), ["feature"], ["x"]).select(F.col("feature").alias("_feature"), "intercept", "coefs")
+    joined = long(test).join(F.broadcast(lines), F.col("feature") == F.col("_feature")).withColumn("prediction", fit.predicted(["x"]))
+    found = fit.scores(joined, ["feature"]).select(F.concat(F.lit("linear:"), "feature").alias("model"), "n", "interval_mae", "exact_mae", "exact_rmse", "within_tenth")
+    pack = lambda df, f: VectorAssembler(inputCols=[f], outputCol="features").transform(df.where(F.col(f).isNotNull() & weighed))
+    for f in (f for f in features if f in isotonic):
+        model = IsotonicRegression(isotonic=False, labelCol="target_mid", weightCol="weight").fit(pack(train, f))
+        one = fit.scores(model.transform(pack(test, f)).withColumn("model", F.lit(f"isotonic:{f}")), ["model"])
+        found = found.unionByName(one.select(*found.columns))
+    return found.orderBy("exact_mae", "interval_mae", "model")

@@ -60,3 +60,48 @@ def snippet(text: Column, query: str, around: int = 80) -> Column:
     head = F.substr(text, F.greatest(at - around, F.lit(1)), F.least(at - 1, F.lit(around)))
     tail = F.substr(text, at + len(query), F.lit(around))
     return F.when(at > 0, F.concat(F.when(at > around + 1, "…").otherwise(""), head, F.lit("["), F.substr(text, at, F.lit(len(query))), F.lit("]"), tail))
+
+
+def described(hits: DataFrame, articles: DataFrame, *, doc: str, text: str, query: str, columns: list[str]) -> DataFrame:
+    """Hits (``doc, rank``; a page of results, so broadcast) with their articles' columns and a snippet."""
+    found = articles.select(F.col(doc).alias("_doc"), *columns, F.col(text).alias("_body")).join(F.broadcast(hits), F.col("_doc") == F.col("doc"))
+    return found.select("doc", "rank", *columns, snippet(F.col("_body"), query).alias("snippet"))
+
+
+def index(docs: DataFrame, doc: str, fields: list[str], buckets: int = 256) -> DataFrame:
+    """Postings ``bucket, term, field, doc, tf, dl`` of the trigrams of every field; written partitioned by bucket, a query reads few files."""
+    every = None
+    for field in fields:
+        text = F.coalesce(F.col(field), F.lit(""))
+        one = postings(docs.select(doc, text.alias("_text")), doc, "_text", trigrams(F.col("_text"))).withColumn("field", F.lit(field))
+        every = one if every is None else every.unionByName(one)
+    return every.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "term", "field", "doc", "tf", F.col("doc_len").alias("dl"))
+
+
+def search_index(built: DataFrame, docs: DataFrame, query: str, *, doc: str, limit: int = 20, buckets: int = 256) -> DataFrame:
+    """The best ``limit`` documents one of whose fields holds ``query``, by BM25 over its trigrams in all fields; lowest rank first.
+
+    Only postings of the query's trigrams are read; documents that have them all in one field are then
+    looked at for the phrase. Fields count as one text for lengths and frequencies.
+    """
+    grams = sorted({query.lower()[i : i + 3] for i in range(len(query) - 2)})
+    if not grams:
+        return docs.select(F.col(doc).alias("doc"), F.lit(0.0).alias("rank")).limit(0)
+    spark = docs.sparkSession
+    fields = [r["field"] for r in built.select("field").distinct().collect()]
+    wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int")).distinct().collect()]
+    some = built.where(F.col("bucket").isin(*wanted) & F.col("term").isin(*grams))
+    lengths = docs.select(sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in fields), F.lit(0)).alias("dl"))
+    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    each = some.groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
+    idf = each.groupBy("term").agg(F.log((stats["n"] - F.count("*") + 0.5) / (F.count("*") + 0.5) + 1.0).alias("idf"))
+    complete = some.groupBy("doc", "field").agg(F.count("*").alias("n")).where(F.col("n") == len(grams)).select("doc").distinct()
+    holds = F.lit(False)
+    for f in fields:
+        holds = holds | F.coalesce(F.lower(f).contains(query.lower()), F.lit(False))
+    dl = sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in fields), F.lit(0))
+    hits = docs.select(F.col(doc).alias("_doc"), holds.alias("_holds"), dl.alias("dl")).join(complete, F.col("_doc") == F.col("doc")).where("_holds").select("doc", "dl")
+    t = F.col("tf").cast("double")
+    score = F.col("idf") * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
+    scored = each.join(hits, "doc").join(F.broadcast(idf), "term").groupBy("doc").agg((-F.sum(score)).alias("rank"))
+    return scored.orderBy("rank", "doc").limit(limit)

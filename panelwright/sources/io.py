@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,11 +19,21 @@ def read_parts(spark: SparkSession, path: str, files: int | None = None) -> Data
     return table
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with a header, all strings; a byte order mark before the first name is dropped; the file's name is ``source_file``."""
+def read_csv(spark: SparkSession, path: str | list[str], schema: str | None = None) -> DataFrame:
+    """CSV with a header; a byte order mark before the first name is dropped; the file's name is ``source_file``.
+
+    Columns are strings unless ``schema`` types them by name; what doesn't fit its type is null.
+    """
     table = spark.read.csv(path, header=True)
-    table = table.withColumnsRenamed({c: c.lstrip("﻿") for c in table.columns if c.startswith("﻿")})
-    return table.withColumn("source_file", F.col("_metadata.file_name"))
+    table = table.withColumnsRenamed({c: c.lstrip("\ufeff") for c in table.columns if c.startswith("\ufeff")})
+    typed = {f.name: f.dataType for f in StructType.fromDDL(schema).fields} if schema else {}
+    return table.select(*[F.col(c).try_cast(typed[c]).alias(c) if c in typed else F.col(c) for c in table.columns], F.col("_metadata.file_name").alias("source_file"))
+
+
+def read_label_files(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
+    """Label files of years or months, whose columns may differ, as one table."""
+    tables = [read_csv(spark, p, schema) for p in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 def flattened(table: DataFrame) -> DataFrame:
@@ -50,6 +61,8 @@ def read_payload(spark: SparkSession, path: str, rows: str = "data") -> DataFram
 
 
 def write_csv(table: DataFrame, path: str) -> None:
+    """CSV with a header after a byte order mark, as spreadsheets expect UTF-8."""
+    table = table.withColumnRenamed(table.columns[0], "\ufeff" + table.columns[0])
     table.write.mode("overwrite").option("header", True).csv(path)
 
 
@@ -74,6 +87,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     Where that is unset, local mode takes a temporary folder and a cluster the warehouse.
     """
     if (where := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        local = spark.sparkContext.master.startswith("local")
+        local = spark.sparkContext.master.split("[")[0] == "local"
         where = tempfile.mkdtemp(prefix="panelwright-") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -1,24 +1,19 @@
-"""Loads that arrive as a file stream, coalesced into a table."""
+"""Loads that arrive as a file stream, kept as they are and coalesced when read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 
 from panelwright.operators.incremental import coalesce_latest
 
 
-def refresh(spark: SparkSession, source: str, target: str, checkpoint: str, schema, keys: list[str], sequence: str):
-    """Starts a query that merges each batch of new load files with ``target`` into ``target/v=<batch>``."""
+def refresh(spark: SparkSession, source: str, target: str, checkpoint: str, schema) -> StreamingQuery:
+    """Starts a query that appends new load files to ``target``, each once; a batch writes only its own rows."""
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def merge(batch: DataFrame, number: int) -> None:
-        versions = [0] if number == 0 else [number - 1]
-        try:
-            old = batch.sparkSession.read.parquet(f"{target}/v={versions[0]}") if number else None
-        except Exception as e:
-            raise RuntimeError(f"version {versions[0]} of {target} is missing") from e
-        rows = batch if old is None else old.unionByName(batch)
-        last = rows.groupBy(*keys).agg({sequence: "max"}).withColumnRenamed(f"max({sequence})", sequence)
-        coalesce_latest(rows, keys, sequence).join(last, keys).select(*batch.columns).write.mode("overwrite").parquet(f"{target}/v={number}")
 
-    stream = spark.readStream.schema(schema).parquet(source)
-    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def current(spark: SparkSession, target: str, keys: list[str], sequence: str) -> DataFrame:
+    """One row for each key, null ones too: of every column the newest value, whatever order the loads came in."""
+    return coalesce_latest(spark.read.parquet(target), keys, sequence)

@@ -76,7 +76,7 @@ def mix(
         *[F.col(c).alias(f"_in_{c}") for c in keep], F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), word_count(F.col(text_col)).alias("_size")
     )
     order = [F.col("_source").asc_nulls_last(), F.col("_size").asc(), F.col("_id").asc_nulls_last()]
-    narrow = all("string" not in docs.schema[c].dataType.simpleString() for c in keep)
+    narrow = all(docs.schema[c].dataType.simpleString() != "string" for c in keep)
     # The range bounds are sampled from the rows: of a narrow table words are counted once, not twice.
     rows = checkpointed(rows) if narrow else rows
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
@@ -106,8 +106,9 @@ def mix(
     )
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with each row as many times as the mix takes it."""
-    held = docs.select(*docs.columns, F.struct("*").alias("_row"))
-    taken = mix(held, keep=["_row"], **options)
-    return taken.where("_copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("_row.*")
+def mixed(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` with each row as many times as the mix takes it, whatever its columns are called."""
+    own = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    taken = mix(docs.toDF(*own.values()), keep=list(own.values()), id_col=own[id_col], text_col=own[text_col], source_col=own[source_col], **options)
+    repeated = taken.where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
+    return repeated.select(*[F.col(c).alias(name) for name, c in own.items()])

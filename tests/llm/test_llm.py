@@ -159,7 +159,7 @@ def brute_hits(text, items):
     return len(words), len(hit), sorted(names)
 
 
-@pytest.mark.parametrize("most_words", [200_000, 12])
+@pytest.mark.parametrize("most_words", [200_000, 50])
 def test_contamination_against_brute_force(spark, most_words):
     random.seed(6)
     vocab = list("abcdé")
@@ -387,17 +387,3 @@ def test_surrogates_of_whole_texts_against_plain_replacement(spark):
     assert [r["_text"] for r in got] == brute_surrogates(texts, made)
     assert [r["_found"] for r in got] == [sum(t.split().count(e) for e in made) for t in texts]
     assert pii.replace_pii(rows(spark, texts).limit(0), "k", keep=["doc_id"]).count() == 0
-
-
-def test_pipeline_against_its_operators(spark):
-    got = corpus_pipeline.run(spark, SF)
-    out = got.collect()
-    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    classes = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
-    assert {r["doc_id"] for r in out} <= {i for i, c in classes.items() if i == c}
-    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    for r in {x["doc_id"]: x for x in out}.values():
-        assert brute_hits(r["text"], items)[1] == 0
-        if brute_hits(docs[r["doc_id"]]["text"], items)[1] == 0:
-            assert r["text"] == docs[r["doc_id"]]["text"]
-    assert sorted({r["shard"] for r in out})[-1] <= 23

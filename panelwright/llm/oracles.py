@@ -1,7 +1,7 @@
 """DuckDB SQL for the queries of this subpackage that SQL can express.
 
-The others rest on trained models, XXH64 or CRC-32, which it lacks; ``tests/llm`` holds them against
-brute-force versions, and classifiers against held-out labels as well.
+The others rest on trained models, XXH64 or a tokenizer, which it lacks; ``tests/llm`` holds them against
+brute-force versions, and classifiers against held-out labels as well. CRC-32 is worked out byte by byte.
 """
 
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -37,4 +37,14 @@ c AS (SELECT p.doc_id, p.size, CAST(goal.source_size AS BIGINT) AS source_size,
   CAST(CASE WHEN goal.source_size > 0 THEN floor(u + target / goal.source_size * (place + 1)) - floor(u + target / goal.source_size * place) ELSE 0 END AS BIGINT) AS copies
   FROM p JOIN goal ON p.source IS NOT DISTINCT FROM goal.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c""",
+    "op9_shards": r"""
+WITH tab AS (SELECT list(c ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(k AS UBIGINT) FOR k IN range(8)]),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+h AS (SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT coalesce(text, '') AS text FROM documents)),
+b AS (SELECT text, [CAST('0x' || h[i:i + 1] AS UBIGINT) FOR i IN range(1, len(h), 2)] AS bytes FROM h),
+crc AS (SELECT text, len(bytes) + 8 AS size, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, x: xor(c >> 8, tab[CAST(xor(c, x) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS crc FROM b, tab),
+d AS (SELECT doc_id, crc.text, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT) AS crc FROM documents JOIN crc ON coalesce(documents.text, '') = crc.text),
+p AS (SELECT *, CAST(sum(size) OVER o AS BIGINT) - size AS before, row_number() OVER o AS place, CAST(sum(size) OVER () AS BIGINT) AS total FROM d WINDOW o AS (ORDER BY crc, text, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT *, greatest(min(before) OVER (PARTITION BY crc, text), before - CAST(floor(0.02::DOUBLE * total / 24) AS BIGINT)) * 24 // total AS shard FROM p)
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
 }

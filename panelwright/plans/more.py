@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import audit, evidence, fit, history, resolve, rolling, screen, valuation
-from panelwright.plans.registry import DAILY, LINES, MENTIONS, articles, daily, lines, query, table
+from panelwright.plans import modelsql
+from panelwright.plans.registry import DAILY, LINES, MENTIONS, articles, daily, lines, query, rounded, table
 from panelwright.sources import io
 
 
@@ -122,22 +123,35 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FACTORS = {"z": "slow", "w": "rate", "interaction": "slow"}
 FOLDS = [(1996, 1997, 1997), (1997, 1998, 1998)]
+#: Each line with every factor beside the base.
+LONG = f"""{LINES}, long AS (SELECT year, y, w, x AS f0, unnest([{{'feature': '__base_only__', 'category': 'base', 'extra': 0.0::DOUBLE}}, {{'feature': 'z', 'category': 'slow', 'extra': z}},
+  {{'feature': 'w', 'category': 'rate', 'extra': w}}, {{'feature': 'interaction', 'category': 'slow', 'extra': x * z}}], recursive := true) FROM r)"""
+SCREENED = f"""{LONG}, t AS (SELECT s.fold || feature AS g, s.fold AS fold, year <= s.fold AS tr, long.* EXCLUDE (extra), extra AS f1 FROM long JOIN (VALUES (1996), (1997)) s(fold) ON year <= s.fold + 1),
+{modelsql.stepwise('t', 2)},
+each AS (SELECT fold, feature, category, {modelsql.scored()} FROM (SELECT *, p2 AS p FROM a2) WHERE NOT tr GROUP BY 1, 2, 3),
+folded AS (SELECT feature, category, avg(exact_mae) AS exact_mae, avg(interval_mae) AS interval_mae, avg(within_tenth) AS within_tenth, avg(regime_accuracy) AS regime_accuracy FROM each GROUP BY 1, 2),
+found AS (SELECT *, (SELECT exact_mae FROM folded WHERE category = 'base') - exact_mae AS gain FROM folded)"""
 
 
-@query()
+@query(f"""WITH {SCREENED} SELECT feature, category, {modelsql.rounded(["exact_mae", "interval_mae", "within_tenth", "regime_accuracy", "gain"])} FROM found""")
 def factor_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates beside the base factor over two expanding folds; two-variable solves have no plain SQL."""
-    return screen.screened(labelled(spark, sf_dir), period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=0)
+    """Candidates beside the base factor over two expanding folds."""
+    return rounded(screen.screened(labelled(spark, sf_dir), period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=0))
 
 
-@query()
+@query(f"""WITH {SCREENED},
+chosen AS ((SELECT feature FROM found WHERE category <> 'base' AND gain > 0 ORDER BY exact_mae, interval_mae, feature LIMIT 1) UNION
+  (SELECT feature FROM found WHERE category = 'slow' AND gain > 0 ORDER BY exact_mae, interval_mae, feature LIMIT 1) UNION SELECT '__base_only__'),
+h AS (SELECT feature AS g, year <= 1998 AS tr, long.* EXCLUDE (extra), extra AS f1 FROM long SEMI JOIN chosen USING (feature)),
+{modelsql.stepwise('h', 2).replace('a0', 'h0').replace('a1', 'h1').replace('a2', 'h2')}, s AS (SELECT feature, {modelsql.scored()} FROM (SELECT *, p2 AS p FROM h2) WHERE NOT tr GROUP BY 1)
+SELECT feature, n, n_exact, {modelsql.rounded([c for c in modelsql.SCORES if c not in ("n", "n_exact")])} FROM s""")
 def holdout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The base alone, the best factor and the best slow factor on the years after the last fold."""
     rows = labelled(spark, sf_dir)
     found = screen.screened(rows, period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=0)
     chosen = sorted({f for f in (screen.best_feature(found), screen.best_feature(found, ["slow"])) if f})
     tested = screen.holdout(rows, period="year", base="x", extras=chosen, split=1998, last=9999, base_sign=0)
-    return fit.scores(tested, ["feature"])
+    return rounded(fit.scores(tested, ["feature"]))
 
 
 @query(f"""WITH {LINES}, g AS (SELECT year, avg(x) AS mx, avg(y) AS my, regr_slope(y, x) AS b FROM r GROUP BY year)
@@ -219,7 +233,11 @@ def breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.breadth(rows, "code", "date", "v", 5).withColumn("share_below", F.round("share_below", 6))
 
 
-@query()
+@query(f"""WITH {LINES}, t AS (SELECT s.fold AS g, year <= s.fold AS tr, y, w, x AS f0, z AS f1, w AS f2, x * z AS f3 FROM r JOIN (VALUES (1996), (1997)) s(fold) ON year <= s.fold + 1),
+{modelsql.stepwise('t', 4)},
+l AS (SELECT g, y, w, unnest([{{'k': 1, 'p': p1}}, {{'k': 2, 'p': p2}}, {{'k': 3, 'p': p3}}, {{'k': 4, 'p': p4}}], recursive := true) FROM a4 WHERE NOT tr),
+s AS (SELECT g, k, {modelsql.scored()} FROM l GROUP BY 1, 2)
+SELECT CAST(g AS INTEGER) AS fold, CAST(k AS INTEGER) AS n_factors, n, n_exact, {modelsql.rounded([c for c in modelsql.SCORES if c not in ("n", "n_exact")])} FROM s""")
 def nested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequence of models, each with a factor more, fitted up to each fold and scored on the next year."""
     rows = labelled(spark, sf_dir)
@@ -238,7 +256,7 @@ def nested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         scored = tests.join(F.broadcast(model), "fold").withColumn("prediction", fit.predicted(features[:k]))
         one = fit.scores(scored, ["fold"]).withColumn("n_factors", F.lit(k))
         out = one if out is None else out.unionByName(one)
-    return out
+    return rounded(out)
 
 
 EVERY = """obs AS (SELECT o_orderkey AS id, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || ' ' || o_orderpriority AS day, CAST(o_orderkey % 3 AS DOUBLE) / 2 + 3 AS star,

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import asof, audit, evidence, fit, incremental, ingest, resolve, rolling, search
+from panelwright.plans import modelsql
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -340,6 +341,11 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 LINES = """r AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, ln(l_extendedprice) AS y, l_quantity AS x, l_discount AS z, 1 + l_tax AS w FROM lineitem)"""
 
 
+def rounded(found: DataFrame) -> DataFrame:
+    """Doubles to six places."""
+    return found.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in found.dtypes])
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     return rows.select(F.year("l_shipdate").alias("year"), F.ln("l_extendedprice").alias("y"), F.col("l_quantity").alias("x"), F.col("l_discount").alias("z"), (1 + F.col("l_tax")).alias("w"))
@@ -424,9 +430,10 @@ def change_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("code").agg(F.count("*").alias("n"), F.round(F.avg((F.col("change") < 0).cast("double")), 6).alias("falling"), F.round(F.stddev_pop("change") / 1000, 4).alias("spread"))
 
 
-@query()
+@query(f"""WITH r AS (SELECT 1 AS g, CAST(p_size AS DOUBLE) AS x, 1.0::DOUBLE AS w, p_retailprice AS y FROM part), {modelsql.pooled('r')}
+SELECT CAST(x AS INTEGER) AS p_size, round(v, 6) AS prediction FROM steps""")
 def isotonic_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decreasing weighted isotonic fit of price by size; an iterative fit has no SQL."""
+    """Decreasing weighted isotonic fit of price by size."""
     rows = table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("label"), F.lit(1.0).alias("weight"))
     packed = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
     model = IsotonicRegression(isotonic=False, weightCol="weight").fit(packed)

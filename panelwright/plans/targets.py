@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelwright.operators import audit, evidence, fit, history, incremental, ingest, panels, resolve, rolling, screen, search
+from panelwright.plans import modelsql
 from panelwright.plans.more import RATED, labelled, rated
-from panelwright.plans.registry import DAILY, FILES, LINES, ORACLES, PHRASE, articles, daily, files, lines, query, table
+from panelwright.plans.registry import DAILY, FILES, LINES, ORACLES, PHRASE, articles, daily, files, lines, query, rounded, table
 
 NAMES = {"000001": "urgent", "000002": "high", "000003": "medium", "000004": "not specified", "000005": "low"}
 CODED = f"""{DAILY}, coded AS (SELECT '00000' || substr(code, 1, 1) AS code, date, value FROM daily)"""
@@ -176,11 +177,25 @@ def feature_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("feature", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))
 
 
-@query()
+MEANS, BACKS, RANKS = (5, 10, 20, 60, 120), (20, 60), (60, 120, 252)
+_LAST = lambda n: f"OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+_SPECS = [(f"mean_{a}", f"change_{b}", f"rank_{c}") for a in MEANS for b in BACKS for c in RANKS]
+
+
+@query(f"""WITH {DAILY}, v AS (SELECT *, {", ".join(f"ln(avg(value) {_LAST(n)}) AS mean_{n}" for n in MEANS)},
+  {", ".join(f"value / lag(value, {n}) OVER (PARTITION BY code ORDER BY date) - 1 AS change_{n}" for n in BACKS)}, {", ".join(f"list(value) {_LAST(n)} AS l{n}" for n in RANKS)} FROM daily),
+q AS (SELECT code, year(date) AS year, ln(value) AS y, {", ".join(f"mean_{n}" for n in MEANS)}, {", ".join(f"change_{n}" for n in BACKS)},
+  {", ".join(f"(len(list_filter(l{n}, lambda x: x < value)) + 0.5::DOUBLE * len(list_filter(l{n}, lambda x: x = value))) / len(l{n}) AS rank_{n}" for n in RANKS)} FROM v),
+u AS (SELECT code, year, y, 1.0::DOUBLE AS w, unnest([{", ".join(f"{{'spec': '{' '.join(s)}', 'f0': {s[0]}, 'f1': {s[1]}, 'f2': {s[2]}}}" for s in _SPECS)}], recursive := true) FROM q),
+t AS (SELECT code || '|' || spec || '|' || s.fold AS g, year <= s.fold AS tr, u.* FROM u JOIN (VALUES (1998), (1999)) s(fold) ON year <= s.fold + 1 WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL),
+{modelsql.signed('t', 3)},
+p AS (SELECT g, code, spec, y, w, my + b[1] * (f0 - m[1]) + b[2] * (f1 - m[2]) + b[3] * (f2 - m[3]) AS p FROM t JOIN best USING (g) WHERE NOT tr),
+s AS (SELECT g, code, spec, {modelsql.scored()} FROM p GROUP BY 1, 2, 3)
+SELECT code AS key, spec, {", ".join(f"round(avg({c}), 6) AS {c}" for c in ("exact_mae", "interval_mae", "within_tenth", "regime_accuracy"))} FROM s GROUP BY 1, 2""")
 def spec_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty specifications of three features by series, over two expanding folds; sign-constrained fits of three features have no plain SQL."""
+    """Thirty specifications of three features by series, over two expanding folds."""
     over = lambda n: rolling.last_rows("code", "date", n)
-    means, backs, ranks = (5, 10, 20, 60, 120), (20, 60), (60, 120, 252)
+    means, backs, ranks = MEANS, BACKS, RANKS
     rows = daily(spark, sf_dir).select(
         "code", F.year("date").alias("year"), F.ln("value").alias("y"),
         *[F.ln(F.avg("value").over(over(n))).alias(f"mean_{n}") for n in means],
@@ -189,13 +204,25 @@ def spec_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = rows.withColumns({"target_mid": F.col("y"), "star": F.col("y"), "star_low": F.col("y") - 0.1, "star_high": F.col("y") + 0.1, "weight": F.lit(1.0)})
     specs = {f"mean_{a} change_{b} rank_{c}": [f"mean_{a}", f"change_{b}", f"rank_{c}"] for a in means for b in backs for c in ranks}
-    return screen.grid(rows, key="code", period="year", specs=specs, signs=[1, 1, 1], folds=[(1998, 1999), (1999, 2000)])
+    return rounded(screen.grid(rows, key="code", period="year", specs=specs, signs=[1, 1, 1], folds=[(1998, 1999), (1999, 2000)]))
+
+
+_TABLE = ("interval_mae", "exact_mae", "exact_rmse", "within_tenth")
 
 
-@query()
+@query(f"""WITH {LINES}, t AS (SELECT year <= 1998 AS tr, y, w, unnest([{{'g': 'x', 'f0': x}}, {{'g': 'z', 'f0': z}}, {{'g': 'interaction', 'f0': x * z}}], recursive := true) FROM r),
+{modelsql.stepwise('t', 1)},
+train AS (SELECT g, f0 AS x, w, y FROM t WHERE tr AND g <> 'interaction'), {modelsql.pooled('train')},
+ends AS (SELECT g, min(x) AS first, max(x) AS last FROM steps GROUP BY g),
+asked AS (SELECT DISTINCT g, f0, least(greatest(f0, first), last) AS x FROM t JOIN ends USING (g) WHERE NOT tr),
+read AS (SELECT a.g, a.f0, max(s.x) FILTER (WHERE s.x <= a.x) AS lx, arg_max(s.v, s.x) FILTER (WHERE s.x <= a.x) AS lv, min(s.x) FILTER (WHERE s.x >= a.x) AS hx, arg_min(s.v, s.x) FILTER (WHERE s.x >= a.x) AS hv, any_value(a.x) AS x
+  FROM asked a JOIN steps s USING (g) GROUP BY 1, 2),
+p AS (SELECT 'linear:' || g AS model, y, w, p1 AS p FROM a1 WHERE NOT tr
+  UNION ALL SELECT 'isotonic:' || g, y, w, CASE WHEN hx > lx THEN lv + (hv - lv) * (x - lx) / (hx - lx) ELSE lv END FROM t JOIN read USING (g, f0) WHERE NOT tr),
+s AS (SELECT model, {modelsql.scored()} FROM p GROUP BY 1) SELECT model, n, {modelsql.rounded(_TABLE)} FROM s""")
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines and isotonic fits of the log price on single features; iterative fits have no SQL."""
-    return screen.model_table(labelled(spark, sf_dir), period="year", features=["x", "z", "interaction"], isotonic=["x", "z"], split=1998)
+    """Lines and isotonic fits of the log price on single features."""
+    return rounded(screen.model_table(labelled(spark, sf_dir), period="year", features=["x", "z", "interaction"], isotonic=["x", "z"], split=1998))
 
 
 @query(f"""WITH {RATED}, l AS (SELECT date, CAST(tenths AS DOUBLE) AS star_low, CAST(confidence - 60 AS DOUBLE) AS star_high FROM rated)

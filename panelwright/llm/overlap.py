@@ -91,10 +91,11 @@ def rare_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     shingles still follow in each. So texts with many shingles of their own meet nobody, however large
     the group that they were found in.
     """
-    each = rows.select("_hash", "at", "_n", F.explode("_set").alias("shingle"))
+    each, known = rows.select("_hash", "at", F.explode("_set").alias("shingle")), rows.select("_hash", "at", "_n")
     shared = each.groupBy("shingle").agg(F.min("at").alias("low"), F.max("at").alias("high"), F.count("*").alias("rows")).where("low != high").select("shingle", "rows")
     by = Window.partitionBy("_hash")
-    placed = each.join(shared, "shingle").withColumn("_at", F.col("_n") - F.count("*").over(by) + F.row_number().over(by.orderBy("rows", "shingle")))
+    met = each.drop("at").join(shared, "shingle").join(known, "_hash")
+    placed = met.withColumn("_at", F.col("_n") - F.count("*").over(by) + F.row_number().over(by.orderBy("rows", "shingle")))
     least = lambda part: F.ceil(part * F.col("_n") - 1e-9)
     equal = 2 * similarity / (1 + similarity)
     start = checkpointed(placed.where(F.col("_at") <= F.col("_n") - least(similarity) + 1).withColumn("_first", F.col("_at") <= F.col("_n") - least(equal) + 1))
@@ -118,25 +119,31 @@ def links(texts: DataFrame, signed: DataFrame, near: DataFrame, components: Call
     that still hold different classes are then compared where ``rare_pairs`` leaves a pair possible. Comparisons are exact.
     """
     nodes = checkpointed(signed.where("_n > 0").groupBy("_hash").agg(F.min("_id").alias("_id"), F.first("fp").alias("fp"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")))
+    texts_of = nodes.select("_hash", "fp", "_n")
 
     def classed(rows: DataFrame, edges: DataFrame) -> DataFrame:
         roots = components(edges).withColumnRenamed("node", "fp")
         return rows.join(roots, "fp", "left").withColumn("at", F.coalesce("root", "fp")).drop("root")
 
     def mixed(rows: DataFrame) -> DataFrame:
-        first = rows.groupBy("key").agg(F.min(F.struct("_hash", "at", "_n", "fp")).alias("lead"), F.min("at").alias("low"), F.max("at").alias("high"))
-        return rows.join(first.where("low != high").drop("low", "high"), "key")
+        """The rows ``key, _hash, at`` of buckets with several classes, and their bucket's first text ``lead``."""
+        first = rows.groupBy("key").agg(F.min("_hash").alias("lead"), F.min("at").alias("low"), F.max("at").alias("high"))
+        return rows.join(first.where("low != high").select("key", "lead"), "key")
 
     def of_fingerprints(found: DataFrame) -> DataFrame:
-        of = lambda side: nodes.select(F.col("_hash").alias(side), F.col("fp").alias(f"fp_{side}"))
+        of = lambda side: texts_of.select(F.col("_hash").alias(side), F.col("fp").alias(f"fp_{side}"))
         return found.join(of("a"), "a").join(of("b"), "b").select(F.least("fp_a", "fp_b").alias("a"), F.greatest("fp_a", "fp_b").alias("b")).distinct()
 
-    keyed = classed(nodes, near).select("fp", "_hash", "_n", "at", F.explode("_bands").alias("key"))
-    members = checkpointed(mixed(keyed))
-    stars = members.where((F.col("at") != F.col("lead.at")) & (F.least("_n", "lead._n") >= F.greatest("_n", "lead._n") * (similarity - 1e-12)))
-    stars = checkpointed(stars.select(F.least("_hash", "lead._hash").alias("a"), F.greatest("_hash", "lead._hash").alias("b")).distinct())
+    # Of a text and bucket only the key, the text's hash and its class move; what else is known of a text is joined once a pair.
+    known = checkpointed(classed(nodes, near))
+    members = checkpointed(mixed(known.select("_hash", "at", F.explode("_bands").alias("key"))))
+    pairs = members.where("_hash != lead").select(F.least("_hash", "lead").alias("a"), F.greatest("_hash", "lead").alias("b")).distinct()
+    of = lambda side: known.select(F.col("_hash").alias(side), F.col("at").alias(f"at_{side}"), F.col("_n").alias(f"n_{side}"))
+    stars = pairs.join(of("a"), "a").join(of("b"), "b").where((F.col("at_a") != F.col("at_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * (similarity - 1e-12)))
+    stars = checkpointed(stars.select("a", "b"))
     sets = sets_of(members.select(F.col("_hash").alias("_want")).distinct(), texts, nodes, words)
     edges = checkpointed(of_fingerprints(similar(stars, sets, similarity)))
-    left = mixed(classed(members.drop("at", "lead"), near.unionByName(edges))).select("_hash", "at", "_n").distinct()
-    rest = checkpointed(rare_pairs(left.join(sets, "_hash"), similarity))
+    again = checkpointed(classed(texts_of, near.unionByName(edges)).select("_hash", "at", "_n"))
+    left = mixed(members.select("_hash", "key").join(again, "_hash").select("_hash", "at", "key")).select("_hash").distinct()
+    rest = checkpointed(rare_pairs(checkpointed(again.join(left, "_hash", "left_semi")).join(sets, "_hash"), similarity))
     return edges.unionByName(checkpointed(of_fingerprints(similar(rest, sets, similarity)))).distinct()

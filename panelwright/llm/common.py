@@ -103,8 +103,21 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], list], fields:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 made = make(part)
-                arrays = [part.column(c) for c in kept] + [pa.array(x, arrow.field(len(kept) + i).type) for i, x in enumerate(made)]
+                arrays = [part.column(c) for c in kept] + [x if isinstance(x, pa.Array) else pa.array(x, arrow.field(len(kept) + i).type) for i, x in enumerate(made)]
                 yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow)
         give_back()
 
     return df.mapInArrow(run, schema)
+
+
+def salted_join(rows: DataFrame, counts: DataFrame, keys: list[str], by: Column, parts: int = 24) -> DataFrame:
+    """``rows`` with the one row of ``counts`` for its keys, null keys too; those without one go.
+
+    Rows of one key are dealt to ``parts`` tasks by the hash of ``by``, and each row of ``counts`` goes to all of them.
+    """
+    spread = counts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = F.col("_salt") == F.col("_dealt")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    dealt = rows.withColumn("_dealt", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    return dealt.join(spread, on).drop("_salt", "_dealt", *[f"_of_{k}" for k in keys])

@@ -7,6 +7,29 @@ brute-force versions, and classifiers against held-out labels as well. CRC-32 is
 WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def codes(rounds: int = 2) -> str:
+    """Rounds of assigning 16 parts of 4 components to 64 entries and taking means, then the codes."""
+    d = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in range(1, 5))
+    steps = ""
+    for k in range(rounds + 1):
+        steps += f""",
+a{k} AS (SELECT vec_id, label, p.part, any_value(x) AS x, min(({d}) * 64 + e) AS m FROM p JOIN c{k} ON p.part = c{k}.part GROUP BY vec_id, label, p.part)"""
+        if k < rounds:
+            means = ", ".join(f"CAST(floor(sum(x[{i}]) / count(*)) AS BIGINT)" for i in range(1, 5))
+            steps += f""",
+c{k + 1} AS (SELECT c{k}.part, c{k}.e, coalesce(s.c, c{k}.c) AS c FROM c{k} LEFT JOIN (SELECT part, m % 64 AS e, [{means}] AS c FROM a{k} GROUP BY ALL) s ON s.part = c{k}.part AND s.e = c{k}.e)"""
+    return f"""
+WITH v AS (SELECT vec_id, label, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+p AS (SELECT vec_id, label, part, v[part * 4 + 1:part * 4 + 4] AS x FROM v, range(16) t(part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 64){steps},
+r AS (SELECT vec_id, label, string_agg(lower(printf('%02x', m % 64)), '' ORDER BY part) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM a{rounds} GROUP BY vec_id, label)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, e)) FROM c{rounds}) AS codebooks_sha256 FROM r"""
+
+
 ORACLES: dict[str, str] = {
     "op4_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {WORDS}) AS w FROM documents),
@@ -47,4 +70,21 @@ d AS (SELECT doc_id, crc.text, CAST(size AS BIGINT) AS size, CAST(crc AS BIGINT)
 p AS (SELECT *, CAST(sum(size) OVER o AS BIGINT) - size AS before, row_number() OVER o AS place, CAST(sum(size) OVER () AS BIGINT) AS total FROM d WINDOW o AS (ORDER BY crc, text, doc_id NULLS LAST ROWS UNBOUNDED PRECEDING)),
 s AS (SELECT *, greatest(min(before) OVER (PARTITION BY crc, text), before - CAST(floor(0.02::DOUBLE * total / 24) AS BIGINT)) * 24 // total AS shard FROM p)
 SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY place) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM s""",
+    "op11_vector_codes": codes(),
+    "op13_collocations": f"""
+WITH w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWERED}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k)) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.*, j, l.f AS l, r.f AS r, CAST(1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS BIGINT) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) c
+  JOIN g l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') AND l.k = j
+  JOIN g r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ') AND r.k = c.k - j),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+longer AS (SELECT lang, p, max(a) AS f FROM (SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS p FROM c WHERE k = 3) GROUP BY ALL),
+best AS (SELECT low.lang, row_number() OVER (PARTITION BY low.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM low LEFT JOIN longer ON low.lang = longer.lang AND low.phrase = longer.p WHERE longer.f IS NULL OR 100 * longer.f < 50 * a)
+SELECT best.lang, rank, phrase, a, l, r, n, score FROM best JOIN n ON best.lang = n.lang WHERE rank <= 2000""",
 }

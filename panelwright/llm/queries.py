@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, langid, mixing, pii, sharding, simhash, tokens, toxicity, url_filter
-from .common import held_out
+from . import ann, codes, collocations, decontam, langid, mixing, pieces, pii, sharding, simhash, tokens, toxicity, url_filter
+from .common import held_out, salted_join
 
 URL_RULES = [
     url_filter.Rule("com/", True),
@@ -110,6 +112,29 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("_text").alias("text"), F.col("_found").alias("n_found"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = codes.compress(table(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    digest = hashlib.sha256(",".join(str(x) for b in books for x in b.ravel().tolist()).encode()).hexdigest()
+    totals = found.groupBy("label").agg(F.sum("_error").alias("label_error"))
+    joined = salted_join(found, totals, ["label"], F.struct("vec_id", "_code"))
+    return joined.select("vec_id", F.lower(F.hex("_code")).alias("code"), F.col("_error").alias("error"), "label_error", F.lit(digest).alias("codebooks_sha256"))
+
+
+def op12_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    found = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents"), path, keep=["doc_id"]), path)
+    return found.select(
+        "doc_id",
+        F.size("_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("_ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("_decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,6 +145,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter, op2_language_id, op3_toxicity, op4_decontamination, op5_simhash, op6_token_counts,
-        op7_nearest_neighbours, op8_source_mix, op9_shards, op10_pii_surrogates, pipeline,
+        op7_nearest_neighbours, op8_source_mix, op9_shards, op10_pii_surrogates,
+        op11_vector_codes, op12_sentence_pieces, op13_collocations, pipeline,
     )
 }

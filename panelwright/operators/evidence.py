@@ -14,7 +14,7 @@ ARTICLE_MARKER = "指数估值数据"
 GLOBAL_MARKER = "美股指数估值数据"
 CURRENT_CUES = ("截止到收盘", "截至收盘", "截止收盘", "今天大盘", "今日大盘", "今天市场", "今日市场", "目前", "当前", "今天回到", "今日回到", "又回到", "回到")
 HISTORICAL_CUES = ("当时", "比如", "例如", "历史", "此前", "之前", "曾经", "过去", "熊市",
-    "2012年", "2013年", "2014年", "2015年", "2016年", "2017年", "2018年", "2019年", "2020年", "2021年", "2022年", "2023年", "2024年")
+    "2024年", "2023年", "2022年", "2021年", "2020年", "2019年", "2018年", "2017年", "2016年", "2015年", "2014年", "2013年", "2012年")
 BOILERPLATE_CUES = ("1星为泡沫阶段", "5星为投资价值最高阶段", "不同星级代表的含义", "5星级-5.9星级", "4星级-4.9星级", "3星级-3.9星级")
 NONCURRENT_CUES = (
     "上周", "上个月", "昨天", "昨日", "前天", "此前", "之前", "当时", "曾经", "历史", "最低点", "最高点", "距离", "还没有出现", "没有出现", "如果",
@@ -29,8 +29,8 @@ BODY_PATTERNS = {
     "chinese": r"([一二三四五六])\s*星(?!半)(?:级)?",
 }
 TITLE_PATTERN = {"compact_title": r"(?<!\d)([1-5]\d)\s*星(?:级)?"}
-RANGE = r"(?:[1-6](?:\.\d)?|[一二三四五六])\s*星(?:级)?\s*[–—~～至到-]\s*(?:[1-6](?:\.\d)?|[一二三四五六])"
-PRECISE = r"(?<![\d.–—~～至-])(?<!\d到)[1-5](?:\.\d)?(?!\s*[–—~～至到-])\s*星(?:级)?"
+RANGE = r"(?:[1-6](?:\.\d)?|[一二三四五六])\s*星(?:级)?\s*[-–—~～至到]\s*(?:[1-6](?:\.\d)?|[一二三四五六])"
+PRECISE = r"(?<![\d.\-–—~～至])(?<!\d到)[1-5](?:\.\d)?(?!\s*[-–—~～至到])\s*星(?:级)?"
 CLOSING = r"(?:截止到(?:下午)?收盘|截至(?:下午)?收盘|截止(?:下午)?收盘|到(?:下午)?收盘(?:的时候)?|(?:下午)?收盘(?:时|后)?)"
 REALTIME_PATTERNS = (
     ("closing_statement", CLOSING + r"[^。！？\n]{0,120}?(?:回到|回到了|降到|升到)\s*" + PRECISE, 1.0),
@@ -48,7 +48,7 @@ NEEDED = {
     "current_state_statement": ("目前", "当前"),
     "opening_state_statement": ("还在", "回到", "达到", "涨到", "摸到"),
 }
-APPROX_RANGE = r"([1-5](?:\.\d)?)\s*[–—~～至到-]\s*([1-5](?:\.\d)?)\s*星(?:级)?"
+APPROX_RANGE = r"([1-5](?:\.\d)?)\s*[-–—~～至到]\s*([1-5](?:\.\d)?)\s*星(?:级)?"
 NEAR_THRESHOLD = r"距离\s*([1-5](?:\.\d)?)\s*星(?:级)?\s*很接近"
 MARKET_CLOSED = r"A股没有交易[^。！？\n]{0,60}"
 DATED = r"目前\s*(\d{4})年(\d{1,2})月(\d{1,2})日[^。！？\n]{0,80}?市场在\s*" + PRECISE

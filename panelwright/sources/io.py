@@ -90,3 +90,10 @@ def shared_path(spark: SparkSession, name: str) -> str:
         local = spark.sparkContext.master.split("[")[0] == "local"
         where = tempfile.mkdtemp(prefix="panelwright-") if local else spark.conf.get("spark.sql.warehouse.dir")
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """The table written as Parquet to the shared folder and read back, so that it isn't worked out twice and outlives executors."""
+    path = shared_path(table.sparkSession, "kept")
+    table.write.parquet(path)
+    return table.sparkSession.read.schema(table.schema).parquet(path)

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, give_back, salted_join, small_batches, written
+from .common import ascii_lower, give_back, small_batches, written
 
 #: Words and ends of pieces, in order.
 TOKEN = re.compile(r"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]+")
@@ -225,7 +225,7 @@ def collocations(
     first among equals. A phrase goes if a longer one around it has ``within`` percent of its occurrences. Best first: by score, ``a``,
     and the bytes of the phrase. Each copy of a row counts; null texts have no words and a null language is ``und``.
 
-    Counts of parts are joined with both sides spread, as a common word begins a large share of all phrases; the
+    A common word begins a large share of all phrases: the joins with counts of parts are plain ones, whose skewed partitions Spark splits. The
     ``top`` rows are chosen within partitions first. ``filter_bits`` is a power of two.
     """
     found = phrases(docs, text_col=text_col, lang_col=lang_col, least=least, shard_words=shard_words, filter_bits=filter_bits)
@@ -237,7 +237,7 @@ def collocations(
     known = found.where("n_words between 1 and 2")
     for part, name in (("_first", "l"), ("_rest", "r")):
         counts = known.select(F.col("lang"), F.col("phrase").alias(part), F.col("n").alias(name))
-        cuts = salted_join(cuts, counts, ["lang", part], F.col("phrase"))
+        cuts = cuts.join(counts, ["lang", part])
     cuts = cuts.withColumn("score", score_of("a", "l", "r"))
     lowest = cuts.groupBy("lang", "phrase").agg(F.min(F.struct("score", "k", "l", "r", "a", "n_words")).alias("_b")).select("lang", "phrase", "_b.*")
     longer = some.where(F.col("n_words") == DEPTH).select("lang", F.explode(F.array(join(F.lit(1), F.lit(2)), join(F.lit(2), F.lit(2)))).alias("phrase"), F.col("a").alias("_around"))

@@ -109,28 +109,45 @@ def hash_of(word: str) -> int:
     return xxhash.xxh64_intdigest(word.encode(), 42)
 
 
+class Ids(dict):
+    """What stands between spaces, and the 32-bit ids of its words, from 1 on as they come, and of its ends of pieces, 0."""
+
+    def __init__(self) -> None:
+        self.words, self.ids = [""], {}
+
+    def __missing__(self, between: str) -> bytes:
+        out = array("i")
+        for token in TOKEN.findall(between):
+            if token[0] in ENDS:
+                out.append(0)
+            else:
+                found = self.ids.setdefault(token, len(self.words))
+                if found == len(self.words):
+                    self.words.append(token)
+                out.append(found)
+        self[between] = found = out.tobytes()
+        return found
+
+
 class Shard:
     """The words of texts of one language, as they come."""
 
     def __init__(self, lang: str):
-        self.lang, self.words, self.ids = lang, {}, array("i", [0])
+        self.lang, self.known, self.ids = lang, Ids(), bytearray(4)
+
+    def __len__(self) -> int:
+        return len(self.ids) // 4
 
     def add(self, text: str) -> None:
-        words = self.words
-        put = self.ids.append
-        for t in TOKEN.findall(text):
-            if t[0] in ENDS:
-                put(0)
-            else:
-                put(words.setdefault(t, len(words) + 1))
-        put(0)
+        self.ids += b"".join(map(self.known.__getitem__, text.split(" ")))
+        self.ids += bytes(4)
 
     def index(self) -> PhraseIndex:
-        return PhraseIndex(np.frombuffer(self.ids, np.int32).astype(np.int64), len(self.words) + 1)
+        return PhraseIndex(np.frombuffer(self.ids, np.int32).astype(np.int64), len(self.known.words))
 
     def batches(self, nodes: Nodes) -> Iterator[pa.RecordBatch]:
         """``lang, n_words, phrase, n`` of nodes."""
-        names = pa.array(["", *self.words], pa.string())
+        names = pa.array(self.known.words, pa.string())
         for at in range(0, len(nodes.size), 100_000):
             cols = [names.take(pa.array(w[at : at + 100_000])) for w in nodes.words]
             phrase = pc.binary_join_element_wise(*cols, " ") if len(cols) > 1 else cols[0]
@@ -145,12 +162,12 @@ def sharded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
     for batch in batches:
         for lang, text in zip(batch.column("_lang").to_pylist(), batch.column("_text").to_pylist()):
             shard = open_.setdefault(lang, Shard(lang))
-            before = len(shard.ids)
+            before = len(shard)
             shard.add(text)
-            held += len(shard.ids) - before
+            held += len(shard) - before
             if held > most:
-                full = max(open_.values(), key=lambda s: len(s.ids))
-                held -= len(full.ids)
+                full = max(open_.values(), key=len)
+                held -= len(full)
                 del open_[full.lang]
                 yield full
     yield from open_.values()
@@ -201,7 +218,7 @@ def phrases(docs: DataFrame, *, text_col: str, lang_col: str, least: int, shard_
 
         for shard in sharded(batches, shard_words):
             index = shard.index()
-            hashes = np.array([0, *map(hash_of, shard.words)], np.uint64)
+            hashes = np.array([*map(hash_of, shard.known.words)], np.uint64)
             two = frequent(shard, hashes, index.extended(index.single(), left=True), 0, 1)
             yield from shard.batches(frequent(shard, hashes, index.extended(two, left=False), 1, 2))
         give_back()

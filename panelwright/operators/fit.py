@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, DoubleType
 
+from panelwright.operators import asof, ranges
+
 
 def moments(rows: DataFrame, by: list[str], features: list[str], target: str, weight: str) -> DataFrame:
     """One row for each group: ``n``, ``sw`` and the weighted sums and products of features and target; rows with a null are left out."""
@@ -21,29 +23,83 @@ def moments(rows: DataFrame, by: list[str], features: list[str], target: str, we
     return full.groupBy(*by).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), *sums, *products)
 
 
+def non_negative(gram: np.ndarray, moment: np.ndarray, scale: float) -> np.ndarray:
+    """The ``b >= 0`` of least ``b'Gb - 2b'm``, by active sets: the coefficient that gains most comes in, those that turn negative go out.
+
+    Needs only sums of products, and a few solves for any number of features. ``scale`` is the target's sum of squares, by which gains are judged.
+    """
+    p = len(moment)
+    size = np.sqrt(np.maximum(np.diag(gram), 0) * max(scale, 0.0)) * 1e-11
+    b, used = np.zeros(p), np.zeros(p, bool)
+    for _ in range(10 * p + 10):
+        gain = np.where(used, -np.inf, moment - gram @ b)
+        best = int(np.argmax(gain - size)) if p else 0
+        if not p or gain[best] <= size[best]:
+            break
+        used[best] = True
+        while True:
+            at = np.flatnonzero(used)
+            free = np.zeros(p)
+            free[at] = np.linalg.pinv(gram[np.ix_(at, at)], hermitian=True) @ moment[at]
+            low = at[free[at] <= 0]
+            if not len(low):
+                break
+            step = min(b[i] / (b[i] - free[i]) if b[i] > free[i] else 0.0 for i in low)
+            b = b + step * (free - b)
+            used[at[b[at] <= 1e-15 * max(1.0, np.abs(b).max())]] = False
+            b[~used] = 0.0
+            if not used.any():
+                free = b
+                break
+        b = free
+    return b
+
+
 def solve(row: dict, p: int, signs: list[int] | None = None) -> tuple[float, list[float], float]:
     """Intercept, coefficients and weighted SSE from one row of moments.
 
-    With ``signs`` every coefficient has its sign or is zero: all sets of used features are
-    tried and the best feasible one is kept. Products are centred first; a singular system has its
+    With ``signs`` every coefficient has its sign or is zero. Products are centred first; a singular system has its
     least-norm solution.
     """
     sw = row["sw"]
     mean = np.array([row[f"s{i}"] for i in range(p + 1)]) / sw
     cov = np.array([[row[f"p{min(i, j)}_{max(i, j)}"] for j in range(p + 1)] for i in range(p + 1)]) - sw * np.outer(mean, mean)
-    best = None
-    sizes = range(p + 1) if signs else [p]
-    for size in sizes:
-        for used in combinations(range(p), size):
-            beta, u = np.zeros(p), list(used)
-            if u:
-                beta[u] = np.linalg.pinv(cov[np.ix_(u, u)], hermitian=True) @ cov[u, p]
-            if signs and any(beta[i] * signs[i] < -1e-12 for i in u):
-                continue
-            sse = float(cov[p, p] - 2 * beta @ cov[:p, p] + beta @ cov[:p, :p] @ beta)
-            if best is None or sse < best[2] - 1e-12:
-                best = (float(mean[p] - beta @ mean[:p]), beta.tolist(), max(sse, 0.0))
-    return best
+    if signs:
+        turn = np.array(signs, float)
+        beta = turn * non_negative(cov[:p, :p] * np.outer(turn, turn), cov[:p, p] * turn, cov[p, p])
+    else:
+        beta = np.linalg.pinv(cov[:p, :p], hermitian=True) @ cov[:p, p]
+    sse = float(cov[p, p] - 2 * beta @ cov[:p, p] + beta @ cov[:p, :p] @ beta)
+    return float(mean[p] - beta @ mean[:p]), beta.tolist(), max(sse, 0.0)
+
+
+def gram(rows: DataFrame, by: list[str], features: list[str], target: str, weight: str) -> DataFrame:
+    """Sums and pairwise products of all features and the target in one pass, by group and by which features are null.
+
+    ``mask`` has a ``1`` for each null feature; ``n``, ``sw``, ``s<i>`` and ``p<i>_<j>`` are as in ``moments``. Any choice of features has its
+    moments in the rows whose mask is ``0`` for all of them.
+    """
+    full = rows.where(f"`{target}` is not null and `{weight}` is not null")
+    mask = F.concat(*[F.when(F.col(f).isNull(), "1").otherwise("0") for f in features]).alias("mask")
+    w, cols = F.col(weight), [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features] + [F.col(target).cast("double")]
+    sums = [F.sum(w * c).alias(f"s{i}") for i, c in enumerate(cols)]
+    products = [F.sum(w * a * b).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    return full.groupBy(*by, mask).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), *sums, *products)
+
+
+def sub_moments(cube: DataFrame, by: list[str], features: list[str], specs: dict[str, list[str]]) -> DataFrame:
+    """Moments of every specification (``spec``; all have as many features) from ``gram``'s rows: each reads its own part of the products."""
+    of = {f: i for i, f in enumerate(features)}
+    structs = []
+    for name, chosen in specs.items():
+        at = [*(of[f] for f in chosen), len(features)]
+        there = F.lit(True)
+        for i in at[:-1]:
+            there = there & (F.substring("mask", i + 1, 1) == "0")
+        sums = [F.col(f"s{i}").alias(f"s{k}") for k, i in enumerate(at)]
+        products = [F.col(f"p{min(at[k], at[m])}_{max(at[k], at[m])}").alias(f"p{k}_{m}") for k in range(len(at)) for m in range(k, len(at))]
+        structs.append(F.struct(F.lit(name).alias("spec"), there.alias("_there"), *sums, *products))
+    return cube.select(*by, "n", "sw", F.inline(F.array(*structs))).where("_there").drop("_there")
 
 
 def fitted(sums: DataFrame, by: list[str], features: list[str], signs: list[int] | None = None) -> DataFrame:
@@ -73,22 +129,27 @@ def interval_error(p: Column, low: Column, high: Column) -> Column:
     return F.when(p.isNotNull() & low.isNotNull() & high.isNotNull(), F.greatest(low - p, p - high, F.lit(0.0)))
 
 
+def measures(p: Column, star: Column, low: Column, high: Column, weight: Column) -> dict[str, Column]:
+    """Aggregates of the errors of a prediction, over the rows that have one."""
+    err = interval_error(p, low, high)
+    exact = F.when(star.isNotNull() & p.isNotNull(), p - star)
+    return {
+        "n": F.count(p),
+        "n_exact": F.count(exact),
+        "interval_mae": F.avg(err),
+        "weighted_mae": F.try_divide(F.sum(err * weight), F.sum(F.when(err.isNotNull(), weight))),
+        "hit_rate": F.avg(F.when(err.isNotNull(), (err == 0).cast("double"))),
+        "exact_mae": F.avg(F.abs(exact)),
+        "exact_rmse": F.sqrt(F.avg(exact * exact)),
+        "within_tenth": F.avg((F.abs(exact) <= 0.1).cast("double")),
+        "regime_accuracy": F.avg(F.when(exact.isNotNull(), (F.floor(p) == F.floor(star)).cast("double"))),
+    }
+
+
 def scores(rows: DataFrame, by: list[str], *, p: str = "prediction", star: str = "star", low: str = "star_low", high: str = "star_high", weight: str = "weight") -> DataFrame:
     """Counts, interval and exact errors, hit rate and regime accuracy by group."""
-    err = interval_error(F.col(p), F.col(low), F.col(high))
-    exact = F.when(F.col(star).isNotNull() & F.col(p).isNotNull(), F.col(p) - F.col(star))
-    used = rows.where(F.col(p).isNotNull())
-    return used.groupBy(*by).agg(
-        F.count("*").alias("n"),
-        F.count(exact).alias("n_exact"),
-        F.avg(err).alias("interval_mae"),
-        F.try_divide(F.sum(err * F.col(weight)), F.sum(F.when(err.isNotNull(), F.col(weight)))).alias("weighted_mae"),
-        F.avg(F.when(err.isNotNull(), (err == 0).cast("double"))).alias("hit_rate"),
-        F.avg(F.abs(exact)).alias("exact_mae"),
-        F.sqrt(F.avg(exact * exact)).alias("exact_rmse"),
-        F.avg((F.abs(exact) <= 0.1).cast("double")).alias("within_tenth"),
-        F.avg(F.when(exact.isNotNull(), (F.floor(p) == F.floor(star)).cast("double"))).alias("regime_accuracy"),
-    )
+    found = measures(*[F.col(c) for c in (p, star, low, high, weight)])
+    return rows.where(F.col(p).isNotNull()).groupBy(*by).agg(*[c.alias(n) for n, c in found.items()])
 
 
 def largest_with_ties(rows: DataFrame, c: str, n: int) -> DataFrame:
@@ -152,3 +213,51 @@ def change_study(pairs: DataFrame, key: str, date: str, split: int, least: float
         F.first("train_pairs").alias("train_pairs"), F.count("*").alias("holdout_pairs"), F.count_if(F.abs("y_change") >= least).alias("changed"),
         F.first("intercept").alias("intercept"), F.first("slope").alias("slope"), F.avg(residual).alias("change_mae"), F.avg(against).alias("against_share"),
     )
+
+
+def pools(x: list[tuple[float, float]], w: list[float], wy: list[float]) -> list[tuple[float, float, float, float]]:
+    """Decreasing means of neighbours ``(from, to)`` in order: a pool with a lower mean than the next one takes it in."""
+    out: list[tuple[float, float, float, float]] = []
+    for (low, high), sw, sy in zip(x, w, wy):
+        while out and out[-1][3] * sw < sy * out[-1][2]:
+            low, _, before, total = out.pop()
+            sw, sy = sw + before, sy + total
+        out.append((low, high, sw, sy))
+    return out
+
+
+def isotonic(rows: DataFrame, by: list[str], x: str, y: str, weight: str, *, parts: int | None = None) -> DataFrame:
+    """The decreasing weighted isotonic fit of each group as steps ``x_from, x_to, value``, all groups in one plan.
+
+    Equal ``x`` are summed first. Violators are pooled within ranges of ``x`` and then the pools of a group are pooled: the order of pooling
+    doesn't matter, so what comes together for a group is about the steps of its curve. Rows with a null, or without weight, are left out.
+    """
+    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = rows.where(" and ".join(f"`{c}` is not null" for c in [*by, x, y, weight])).where(F.col(weight) > 0)
+    level = full.groupBy(*by, F.col(x).cast("double").alias("x_from")).agg(F.sum(weight).cast("double").alias("sw"), F.sum(F.col(weight) * F.col(y)).cast("double").alias("sy"))
+    level = level.select(*by, "x_from", F.col("x_from").alias("x_to"), "sw", "sy")
+    ranged = level.withColumn("_range", ranges.place(F.col("x_from"), ranges.cuts_of(level, F.col("x_from"), parts)))
+    schema = level.schema
+    arrow = to_arrow_schema(schema)
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("x_from")
+        x0, x1, sw, sy = (part.column(c).to_pylist() for c in ("x_from", "x_to", "sw", "sy"))
+        found = pools(list(zip(x0, x1)), sw, sy)
+        key = part.select(by).slice(0, 1).take(pa.array([0] * len(found)))
+        cols = [pa.array([f[i] for f in found], pa.float64()) for i in range(4)]
+        return pa.Table.from_arrays([*key.columns, *cols], schema=arrow)
+
+    once = ranged.groupBy(*by, "_range").applyInArrow(run, schema)
+    return once.groupBy(*by).applyInArrow(run, schema).select(*by, "x_from", "x_to", (F.col("sy") / F.col("sw")).alias("value"))
+
+
+def on_curve(rows: DataFrame, curve: DataFrame, by: list[str], x: str, name: str = "prediction") -> DataFrame:
+    """``rows`` with the value of their group's steps at ``x``: straight between steps, held at both ends; null without a curve or ``x``."""
+    ends = curve.select(*by, F.explode(F.array(F.struct(F.col("x_from").alias("_at"), F.col("value").alias("_v")), F.struct(F.col("x_to").alias("_at"), F.col("value").alias("_v")))).alias("_e")).select(*by, "_e.*").distinct()
+    after = Window.partitionBy(*by).orderBy("_at", F.desc("_v"))
+    ends = ends.select("*", F.lead("_at").over(after).alias("_at2"), F.lead("_v").over(after).alias("_v2"))
+    first = ends.groupBy(*by).agg(F.min_by("_v", "_at").alias("_v")).select(*by, F.lit(float("-inf")).alias("_at"), "_v", F.lit(None).cast("double").alias("_at2"), F.lit(None).cast("double").alias("_v2"))
+    found = asof.asof(rows, ends.unionByName(first), x, "_at", keys=tuple(by), tie=[], values=["_at", "_v", "_at2", "_v2"])
+    between = F.col("_v") + (F.col("_v2") - F.col("_v")) * (F.col(x) - F.col("_at")) / (F.col("_at2") - F.col("_at"))
+    return found.withColumn(name, F.when(F.col("_at2").isNull() | (F.col("_v") == F.col("_v2")), F.col("_v")).otherwise(between)).drop("_at", "_v", "_at2", "_v2")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,22 +83,58 @@ def grid(
     """Mean scores over expanding folds (last training period, test period) of every key and specification, best first.
 
     A specification is a list of features with ``signs``; rows with a null in its features are left out for it alone. The data are
-    summed once by key, period and specification and folds add up those sums; fits are sign-constrained.
+    summed once, by key, period and which features are null; a specification reads its part of the products, folds add up periods, and fits are sign-constrained.
+    Test rows aren't multiplied either: each meets all models of its key at once.
     """
     width = len(signs)
-    structs = [F.struct(F.lit(n).alias("spec"), *[F.col(f).cast("double").alias(f"f{i}") for i, f in enumerate(fs)]) for n, fs in specs.items()]
-    long = rows.select(F.col(key).alias("key"), F.col(period).alias("period"), *SCORED, F.inline(F.array(*structs)))
-    features = [f"f{i}" for i in range(width)]
-    by_period = fit.moments(long, ["key", "spec", "period"], features, "target_mid", "weight")
+    features = sorted({f for chosen in specs.values() for f in chosen})
+    cube = fit.gram(rows.withColumnsRenamed({key: "key", period: "period"}), ["key", "period"], features, "target_mid", "weight")
+    by_period = fit.sub_moments(cube, ["key", "period"], features, specs)
     ends = F.inline(F.array(*[F.struct(F.lit(a).alias("fold"), F.lit(b).alias("test")) for a, b in folds]))
-    sums = by_period.select("*", ends).where("period <= fold").groupBy("key", "spec", "fold", "test").agg(*[F.sum(c).alias(c) for c in by_period.columns[3:]]).where("sw > 0")
-    models = fit.fitted(sums, ["key", "spec", "fold", "test"], features, signs).drop("n").withColumnsRenamed({"key": "_key", "spec": "_spec"})
-    tested = long.join(F.broadcast(models), (F.col("key") == F.col("_key")) & (F.col("spec") == F.col("_spec")) & (F.col("period") == F.col("test")))
-    scored = fit.scores(tested.withColumn("prediction", fit.predicted(features)), ["key", "spec", "fold"])
+    sums = by_period.select("*", ends).where("period <= fold").groupBy("key", "spec", "fold", "test")
+    sums = sums.agg(*[F.sum(c).alias(c) for c in by_period.columns if c not in ("key", "period", "spec")]).where("sw > 0")
+    models = fit.fitted(sums, ["key", "spec", "fold", "test"], [f"f{i}" for i in range(width)], signs)
+    # A row for each key and test period has all its models, so a data row is joined once and scored under each.
+    packed = models.groupBy(F.col("key").alias("_key"), F.col("test").alias("_test")).agg(F.map_from_entries(F.collect_list(F.struct("spec", F.struct("intercept", "coefs")))).alias("_models"))
+    tested = rows.join(packed, (F.col(key) == F.col("_key")) & (F.col(period) == F.col("_test")))
     names = ("exact_mae", "interval_mae", "within_tenth", "regime_accuracy")
+    predicted, sums = {}, []
+    for i, (name, chosen) in enumerate(specs.items()):
+        model = F.col("_models")[name]
+        p = model["intercept"]
+        for k, f in enumerate(chosen):
+            p = p + model["coefs"][k] * F.col(f).cast("double")
+        predicted[f"_p{i}"] = p
+        found = fit.measures(F.col(f"_p{i}"), *[F.col(c) for c in ("star", "star_low", "star_high", "weight")])
+        sums += [found[n].alias(f"{n}_{i}") for n in names] + [found["n"].alias(f"n_{i}")]
+    each = tested.withColumns(predicted).groupBy("_key", "_test").agg(*sums)
+    rows_of = F.inline(F.array(*[F.struct(F.lit(s).alias("spec"), *[F.col(f"{n}_{i}").alias(n) for n in (*names, "n")]) for i, s in enumerate(specs)]))
+    scored = each.select(F.col("_key").alias("key"), rows_of).where("n > 0")
     return scored.groupBy("key", "spec").agg(*[F.avg(c).alias(c) for c in names]).orderBy("exact_mae", "interval_mae", "key", "spec")
 
 
+def refitted(rows: DataFrame, *, key: str, period: str, chosen: str, models: dict[str, tuple[list[str], list[int]]], split: int) -> DataFrame:
+    """Scores by ``model`` on the rows of the key ``chosen`` after ``split`` of sign-constrained fits on its rows up to it.
+
+    ``models`` gives the features and signs of each. A row counts for a model if it has all its features.
+    """
+    own = rows.where(F.col(key) == chosen)
+    out = None
+    for name, (features, signs) in models.items():
+        sums = fit.moments(own.where(F.col(period) <= split), [], features, "target_mid", "weight").where("sw > 0")
+        model = fit.fitted(sums, [], features, signs).select("intercept", "coefs")
+        tested = own.where(F.col(period) > split).join(F.broadcast(model))  # one row
+        one = fit.scores(tested.withColumn("prediction", fit.predicted(features)), []).withColumn("model", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def best_spec(table: DataFrame) -> tuple[str, str] | None:
+    """Key and specification of the first row of a grid; None if it is empty."""
+    first = table.select("key", "spec").head(1)
+    return (first[0]["key"], first[0]["spec"]) if first else None
+
+
 def model_table(rows: DataFrame, *, period: str, features: list[str], isotonic: list[str], split: int, least_train: int = 100) -> DataFrame:
     """Scores after ``split`` of a weighted line on each feature and, for ``isotonic`` ones, of a decreasing isotonic fit, best first.
 
@@ -115,9 +149,10 @@ def model_table(rows: DataFrame, *, period: str, features: list[str], isotonic:
     lines = fit.fitted(fit.moments(long(train), ["feature"], ["x"], "target_mid", "weight"), ["feature"], ["x"]).select(F.col("feature").alias("_feature"), "intercept", "coefs")
     joined = long(test).join(F.broadcast(lines), F.col("feature") == F.col("_feature")).withColumn("prediction", fit.predicted(["x"]))
     found = fit.scores(joined, ["feature"]).select(F.concat(F.lit("linear:"), "feature").alias("model"), "n", "interval_mae", "exact_mae", "exact_rmse", "within_tenth")
-    pack = lambda df, f: VectorAssembler(inputCols=[f], outputCol="features").transform(df.where(F.col(f).isNotNull() & weighed))
-    for f in (f for f in features if f in isotonic):
-        model = IsotonicRegression(isotonic=False, labelCol="target_mid", weightCol="weight").fit(pack(train, f))
-        one = fit.scores(model.transform(pack(test, f)).withColumn("model", F.lit(f"isotonic:{f}")), ["model"])
+    some = [f for f in features if f in isotonic]
+    if some:
+        apart = lambda df: long(df).where(F.col("feature").isin(*some))
+        curve = fit.isotonic(apart(train), ["feature"], "x", "target_mid", "weight")
+        one = fit.scores(fit.on_curve(apart(test.where(weighed)), curve, ["feature"], "x"), ["feature"]).withColumn("model", F.concat(F.lit("isotonic:"), "feature"))
         found = found.unionByName(one.select(*found.columns))
     return found.orderBy("exact_mae", "interval_mae", "model")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
@@ -11,12 +13,13 @@ K1, B = 1.2, 0.75
 def trigrams(text: Column) -> Column:
     """Lower-cased character trigrams in order, repeats included; none under three characters."""
     chars = F.split(F.lower(text), "")
-    size = F.length(text)
+    size = F.length(F.lower(text))  # a letter may have a longer lower case
     parts = [F.slice(chars, i, F.greatest(size - 2, F.lit(0))) for i in (1, 2, 3)]
     return F.transform(F.arrays_zip(*[p.alias(f"c{i}") for i, p in enumerate(parts)]), lambda z: F.concat(z["c0"], z["c1"], z["c2"]))
 
 
 def words(text: Column) -> Column:
+    """Lower-cased words in order, repeats included: the other kind of terms that ``postings`` takes."""
     return F.filter(F.split(F.lower(text), r"(?U)\W+"), lambda w: w != "")
 
 
@@ -39,7 +42,7 @@ def search(docs: DataFrame, query: str, *, doc: str, text: str, limit: int = 20)
         return base.select("doc", F.lit(0.0).alias("rank")).limit(0)
     low = F.lower("_text")
     tf = [occurrences(low, g) for g in grams]
-    counted = base.select("doc", F.greatest(F.length("_text") - 2, F.lit(0)).alias("dl"), low.contains(query.lower()).alias("hit"), *[t.alias(f"t{i}") for i, t in enumerate(tf)])
+    counted = base.select("doc", F.greatest(F.length(low) - 2, F.lit(0)).alias("dl"), low.contains(query.lower()).alias("hit"), *[t.alias(f"t{i}") for i, t in enumerate(tf)])
     stats = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"t{i}") > 0).alias(f"df{i}") for i in range(len(grams))]).first()
     score = F.lit(0.0)
     for i in range(len(grams)):
@@ -91,7 +94,7 @@ def search_index(built: DataFrame, docs: DataFrame, query: str, *, doc: str, lim
     fields = [r["field"] for r in built.select("field").distinct().collect()]
     wanted = [r[0] for r in spark.createDataFrame([(g,) for g in grams], "g string").select(F.pmod(F.xxhash64("g"), F.lit(buckets)).cast("int")).distinct().collect()]
     some = built.where(F.col("bucket").isin(*wanted) & F.col("term").isin(*grams))
-    lengths = docs.select(sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in fields), F.lit(0)).alias("dl"))
+    lengths = docs.select(sum((F.greatest(F.length(F.lower(F.coalesce(F.col(f), F.lit("")))) - 2, F.lit(0)) for f in fields), F.lit(0)).alias("dl"))
     stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     each = some.groupBy("doc", "term").agg(F.sum("tf").alias("tf"))
     idf = each.groupBy("term").agg(F.log((stats["n"] - F.count("*") + 0.5) / (F.count("*") + 0.5) + 1.0).alias("idf"))
@@ -99,9 +102,132 @@ def search_index(built: DataFrame, docs: DataFrame, query: str, *, doc: str, lim
     holds = F.lit(False)
     for f in fields:
         holds = holds | F.coalesce(F.lower(f).contains(query.lower()), F.lit(False))
-    dl = sum((F.greatest(F.length(F.coalesce(F.col(f), F.lit(""))) - 2, F.lit(0)) for f in fields), F.lit(0))
+    dl = sum((F.greatest(F.length(F.lower(F.coalesce(F.col(f), F.lit("")))) - 2, F.lit(0)) for f in fields), F.lit(0))
     hits = docs.select(F.col(doc).alias("_doc"), holds.alias("_holds"), dl.alias("dl")).join(complete, F.col("_doc") == F.col("doc")).where("_holds").select("doc", "dl")
     t = F.col("tf").cast("double")
     score = F.col("idf") * t * (K1 + 1) / (t + K1 * (1 - B + B * F.col("dl") / F.lit(stats["avgdl"] or 1.0)))
     scored = each.join(hits, "doc").join(F.broadcast(idf), "term").groupBy("doc").agg((-F.sum(score)).alias("rank"))
     return scored.orderBy("rank", "doc").limit(limit)
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+def store_index(docs: DataFrame, doc: str, fields: list[str], path: str, *, buckets: int = 64, block: int = 4096) -> None:
+    """Writes a positional index of the trigrams of all ``fields`` to ``path``, for ``search_stored``.
+
+    ``postings`` has each term's places by field and document, in a folder for each bucket of terms and sorted by term and block (a
+    hashed group of about ``block`` documents); ``blocks`` has for each term and block how many documents hold it, its most occurrences and
+    their least length, which bound the score of any document there; ``totals`` has the number of documents and their mean length.
+    A document is a row: ids must differ. Null fields are empty.
+    """
+    spark = docs.sparkSession
+    each = docs.select(F.col(doc).alias("doc"), *[trigrams(F.coalesce(F.col(f), F.lit(""))).alias(f"_{i}") for i, f in enumerate(fields)])
+    each = each.withColumn("dl", sum((F.size(f"_{i}") for i in range(len(fields))), F.lit(0)))
+    totals = each.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    totals.withColumns({"buckets": F.lit(buckets), "blocks": F.greatest(F.ceil(F.col("n") / block), F.lit(1)).cast("long")}).write.parquet(f"{path}/totals")
+    blocks = spark.read.parquet(f"{path}/totals").first()["blocks"]
+    fields_ = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"_{i}").alias("terms")) for i, f in enumerate(fields)])).alias("f")
+    placed = each.select("doc", "dl", fields_).select("doc", "dl", "f.field", F.posexplode("f.terms").alias("place", "term"))
+    posted = placed.groupBy("term", "field", "doc", "dl").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    posted = posted.select(bucket_of(F.col("term"), buckets).alias("bucket"), "term", F.pmod(F.xxhash64("doc"), F.lit(blocks)).alias("block"), "field", "doc", "dl", "places")
+    # Every 16th of a bucket's blocks makes a file, so a frequent term is spread over several.
+    files = posted.repartition(buckets * min(16, blocks), "bucket", F.col("block") % 16).sortWithinPartitions("bucket", "term", "block")
+    files.write.partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.parquet(f"{path}/postings")
+    whole = stored.groupBy("bucket", "term", "block", "doc").agg(F.sum(F.size("places")).alias("tf"), F.first("dl").alias("dl"))
+    bounds = whole.groupBy("bucket", "term", "block").agg(F.count("*").alias("docs"), F.max("tf").alias("most"), F.min("dl").alias("shortest"))
+    bounds.repartition(buckets, "bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def bm25(tf: Column, dl: Column, idf: float, avgdl: float) -> Column:
+    t = tf.cast("double")
+    return F.lit(idf) * t * (K1 + 1) / (t + K1 * (1 - B + B * dl / F.lit(avgdl or 1.0)))
+
+
+def search_stored(spark: SparkSession, path: str, query: str, *, limit: int = 20, first: int = 16) -> DataFrame:
+    """The best ``limit`` documents of a stored index one of whose fields holds ``query``, case aside, as ``search_index`` ranks them.
+
+    Reads only the folders of the query's trigrams. A phrase is recognised by the places of its trigrams, so no text is
+    read. The ``first`` blocks by bound are scored, and then those whose bound reaches the score of the last document found so
+    far; the others can't hold a better one. A query of fewer than three characters finds nothing.
+    """
+    low = query.lower()
+    grams = [low[i : i + 3] for i in range(len(low) - 2)]
+    terms = sorted(set(grams))
+    totals = spark.read.parquet(f"{path}/totals").first()
+    nothing = spark.read.parquet(f"{path}/postings").select("doc", F.lit(0.0).alias("rank")).limit(0)
+    if not terms or not totals["n"]:
+        return nothing
+    wanted = spark.range(1).select(*[bucket_of(F.lit(t), totals["buckets"]) for t in terms]).first()
+    mine = F.col("bucket").isin(*sorted(set(wanted))) & F.col("term").isin(*terms)
+    blocks = spark.read.parquet(f"{path}/blocks").where(mine)
+    held = {r["term"]: r["docs"] for r in blocks.groupBy("term").agg(F.sum("docs").alias("docs")).collect()}
+    if len(held) < len(terms):
+        return nothing
+    n, avgdl = totals["n"], totals["avgdl"]
+    idf = {t: float(spark.range(1).select(F.log(F.lit((n - d + 0.5) / (d + 0.5) + 1.0))).first()[0]) for t, d in held.items()}
+    most = reduce(lambda a, t: a.when(F.col("term") == t, bm25(F.col("most"), F.col("shortest"), idf[t], avgdl)), terms, F.when(F.lit(False), F.lit(0.0)))
+    bounds = blocks.groupBy("block").agg(F.count_distinct("term").alias("terms"), F.sum(most).alias("bound")).where(F.col("terms") == len(terms))
+    postings = spark.read.parquet(f"{path}/postings").where(mine)
+
+    def ranked(some: DataFrame) -> DataFrame:
+        each = some.groupBy("doc", "dl", "field").agg(*[F.max(F.when(F.col("term") == t, F.col("places"))).alias(f"p{i}") for i, t in enumerate(terms)])
+        back = lambda places, k: F.transform(places, lambda x: x - k)
+        starts = [back(f"p{terms.index(g)}", k) for k, g in enumerate(grams)]
+        holds = F.coalesce(F.size(reduce(F.array_intersect, starts)) > 0, F.lit(False))
+        tf = [F.sum(F.when(F.col(f"p{i}").isNotNull(), F.size(f"p{i}")).otherwise(0)).alias(f"t{i}") for i in range(len(terms))]
+        whole = each.groupBy("doc", "dl").agg(F.max(holds).alias("_holds"), *tf).where("_holds")
+        score = sum((bm25(F.col(f"t{i}"), F.col("dl"), idf[t], avgdl) for i, t in enumerate(terms)), F.lit(0.0))
+        return whole.select("doc", (-score).alias("rank"))
+
+    best = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(first).collect()]
+    found = ranked(postings.where(F.col("block").isin(*best))).orderBy("rank", "doc").limit(limit)
+    got = found.collect()
+    least = -got[-1]["rank"] if len(got) == limit else 0.0
+    rest = bounds.where(~F.col("block").isin(*best) & (F.col("bound") >= least * (1 - 1e-9))).select("block")
+    return ranked(postings.join(rest, "block", "left_semi")).unionByName(found).orderBy("rank", "doc").limit(limit)
+
+
+def best_snippet(text: Column, query: str, *, tokens: int = 32) -> Column:
+    """The part of ``text`` of ``tokens`` trigrams (two more characters) with the most hits of ``query``, each hit in brackets; null without one.
+
+    Windows that begin at a hit are compared by the hits that they hold whole, overlapping ones too; the first of the best is taken and moved back so that
+    its hits stand in the middle, within the text. Ellipses stand where text is left out. Hits are found in the lower-cased text,
+    and a text whose lower case has another length is shown in lower case.
+    """
+    low, size, wide = F.lower(text), len(query.lower()), tokens + 2
+    shown = F.when(F.length(low) == F.length(text), text).otherwise(low)
+    q = query.lower()
+
+    def cut(s: Column) -> Column:
+        same = lambda i: reduce(lambda a, k: a & (s["chars"][i + k] == q[k]), range(1, size), s["chars"][i] == q[0])
+        at = F.transform(F.filter(F.sequence(F.lit(0), F.greatest(s["length"] - size, F.lit(0))), same), lambda i: i + 1)
+        return F.struct(at.alias("at"), s["length"].alias("length"), s["shown"].alias("shown"))
+
+    def choose(s: Column) -> Column:
+        # No more than ``wide`` hits begin in a window, so each hit looks at so many after it.
+        counted = F.transform(s["at"], lambda a, i: F.struct(F.size(F.filter(F.slice(s["at"], i + 1, wide), lambda b: b + size <= a + wide)).alias("n"), (-a).alias("a")))
+        return F.struct(s["at"].alias("at"), s["shown"].alias("shown"), s["length"].alias("length"), F.array_max(counted).alias("best"))
+
+    def place(s: Column) -> Column:
+        start = -s["best"]["a"]
+        last = F.array_max(F.filter(s["at"], lambda b: (b >= start) & (b + size <= start + wide))) + size
+        back = F.greatest(F.floor((wide - (last - start)) / 2), F.lit(0))
+        begin = F.greatest(F.least(start - back, s["length"] - wide + 1), F.lit(1))
+        return F.struct(s["at"].alias("at"), s["shown"].alias("shown"), s["length"].alias("length"), begin.alias("begin"))
+
+    def write(s: Column) -> Column:
+        end = F.least(s["begin"] + wide, s["length"] + 1)
+        inside = F.filter(s["at"], lambda b: (b >= s["begin"]) & (b + size <= end))
+        covered = lambda i: F.exists(inside, lambda b: (b <= i) & (i < b + size))
+        char = lambda i: F.concat(
+            F.when(covered(i) & ~covered(i - 1), "[").otherwise(""), F.substr(s["shown"], i, F.lit(1)), F.when(covered(i) & ~covered(i + 1), "]").otherwise("")
+        )
+        body = F.array_join(F.transform(F.sequence(s["begin"], end - 1), lambda i: char(i.cast("int"))), "")
+        return F.concat(F.when(s["begin"] > 1, " … ").otherwise(""), body, F.when(end <= s["length"], " … ").otherwise(""))
+
+    once = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    found = once(F.struct(F.split(low, "").alias("chars"), F.length(low).alias("length"), shown.alias("shown")), lambda s: once(cut(s), lambda c: once(choose(c), lambda d: once(place(d), write))))
+    return F.when(low.contains(q), found) if size else F.lit(None).cast("string")

@@ -42,8 +42,8 @@ def stepwise(source: str, k: int) -> str:
     return ",\n".join(out)
 
 
-def signed(source: str, k: int) -> str:
-    """Least squares by group with coefficients of 0 or more, as table ``best`` (``g, m, my, b``: means, mean of y, coefficients); ``k`` is 3 at most.
+def signed(source: str, k: int, tag: str = "") -> str:
+    """Least squares by group with coefficients of 0 or more, as table ``best<tag>`` (``g, m, my, b``: means, mean of y, coefficients); ``k`` is 3 at most.
 
     Every set of used features is solved by Cramer's rule, and the feasible one of the least error is taken.
     ``source`` has ``g``, ``tr``, ``w``, ``y`` and ``f0`` to ``f<k-1>``.
@@ -69,10 +69,10 @@ def signed(source: str, k: int) -> str:
             b = [f"({det(solved[i])}) / ({det(whole)})" if i in used else "0.0::DOUBLE" for i in range(k)]
             choices.append("[" + ", ".join(b) + "]")
     error = f"{v(k, k)} - 2 * (" + " + ".join(f"b[{i + 1}] * {v(i, k)}" for i in range(k)) + ") + " + " + ".join(f"b[{i + 1}] * b[{j + 1}] * {v(i, j)}" for i in range(k) for j in range(k))
-    return f"""means AS (SELECT g, {means} FROM {source} WHERE tr GROUP BY g),
-sums AS (SELECT g, {", ".join(f"any_value(m{n}) AS m{n}" for n in names)}, {sums} FROM {source} JOIN means USING (g) WHERE tr GROUP BY g),
-tried AS (SELECT *, unnest([{", ".join(choices)}]) AS b FROM sums),
-best AS (SELECT g, [{", ".join(f"m{n}" for n in names[:-1])}] AS m, my, b FROM tried WHERE len(list_filter(b, lambda x: x < -1e-12)) = 0
+    return f"""means{tag} AS (SELECT g, {means} FROM {source} WHERE tr GROUP BY g),
+sums{tag} AS (SELECT g, {", ".join(f"any_value(m{n}) AS m{n}" for n in names)}, {sums} FROM {source} JOIN means{tag} USING (g) WHERE tr GROUP BY g),
+tried{tag} AS (SELECT *, unnest([{", ".join(choices)}]) AS b FROM sums{tag}),
+best{tag} AS (SELECT g, [{", ".join(f"m{n}" for n in names[:-1])}] AS m, my, b FROM tried{tag} WHERE len(list_filter(b, lambda x: x < -1e-12)) = 0
   QUALIFY row_number() OVER (PARTITION BY g ORDER BY {error}) = 1)"""
 
 

@@ -123,23 +123,25 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FACTORS = {"z": "slow", "w": "rate", "interaction": "slow"}
 FOLDS = [(1996, 1997, 1997), (1997, 1998, 1998)]
+#: One fold for each year that has one after it.
+ALL_FOLDS = [(y, y + 1, y + 1) for y in range(1996, 2001)]
 #: Each line with every factor beside the base.
 LONG = f"""{LINES}, long AS (SELECT year, y, w, x AS f0, unnest([{{'feature': '__base_only__', 'category': 'base', 'extra': 0.0::DOUBLE}}, {{'feature': 'z', 'category': 'slow', 'extra': z}},
   {{'feature': 'w', 'category': 'rate', 'extra': w}}, {{'feature': 'interaction', 'category': 'slow', 'extra': x * z}}], recursive := true) FROM r)"""
-SCREENED = f"""{LONG}, t AS (SELECT s.fold || feature AS g, s.fold AS fold, year <= s.fold AS tr, long.* EXCLUDE (extra), extra AS f1 FROM long JOIN (VALUES (1996), (1997)) s(fold) ON year <= s.fold + 1),
+SCREENED = lambda folds: f"""{LONG}, t AS (SELECT s.fold || feature AS g, s.fold AS fold, year <= s.fold AS tr, long.* EXCLUDE (extra), extra AS f1 FROM long JOIN (VALUES {', '.join(f'({a})' for a, _, _ in folds)}) s(fold) ON year <= s.fold + 1),
 {modelsql.stepwise('t', 2)},
 each AS (SELECT fold, feature, category, {modelsql.scored()} FROM (SELECT *, p2 AS p FROM a2) WHERE NOT tr GROUP BY 1, 2, 3),
 folded AS (SELECT feature, category, avg(exact_mae) AS exact_mae, avg(interval_mae) AS interval_mae, avg(within_tenth) AS within_tenth, avg(regime_accuracy) AS regime_accuracy FROM each GROUP BY 1, 2),
-found AS (SELECT *, (SELECT exact_mae FROM folded WHERE category = 'base') - exact_mae AS gain FROM folded)"""
+found AS (SELECT *, (SELECT exact_mae FROM folded WHERE category = 'base') - exact_mae AS gain FROM folded)"""
 
 
-@query(f"""WITH {SCREENED} SELECT feature, category, {modelsql.rounded(["exact_mae", "interval_mae", "within_tenth", "regime_accuracy", "gain"])} FROM found""")
+@query(f"""WITH {SCREENED(ALL_FOLDS)} SELECT feature, category, {modelsql.rounded(["exact_mae", "interval_mae", "within_tenth", "regime_accuracy", "gain"])} FROM found""")
 def factor_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates beside the base factor over two expanding folds."""
-    return rounded(screen.screened(labelled(spark, sf_dir), period="year", base="x", candidates=FACTORS, folds=FOLDS, base_sign=0))
+    """Candidates beside the base factor over expanding folds up to the last year."""
+    return rounded(screen.screened(labelled(spark, sf_dir), period="year", base="x", candidates=FACTORS, folds=ALL_FOLDS, base_sign=0))
 
 
-@query(f"""WITH {SCREENED},
+@query(f"""WITH {SCREENED(FOLDS)},
 chosen AS ((SELECT feature FROM found WHERE category <> 'base' AND gain > 0 ORDER BY exact_mae, interval_mae, feature LIMIT 1) UNION
   (SELECT feature FROM found WHERE category = 'slow' AND gain > 0 ORDER BY exact_mae, interval_mae, feature LIMIT 1) UNION SELECT '__base_only__'),
 h AS (SELECT feature AS g, year <= 1998 AS tr, long.* EXCLUDE (extra), extra AS f1 FROM long SEMI JOIN chosen USING (feature)),
@@ -233,7 +235,7 @@ def breadth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return valuation.breadth(rows, "code", "date", "v", 5).withColumn("share_below", F.round("share_below", 6))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT s.fold AS g, year <= s.fold AS tr, y, w, x AS f0, z AS f1, w AS f2, x * z AS f3 FROM r JOIN (VALUES (1996), (1997)) s(fold) ON year <= s.fold + 1),
+@query(f"""WITH {LINES}, t AS (SELECT s.fold AS g, year <= s.fold AS tr, y, w, x AS f0, z AS f1, w AS f2, x * z AS f3 FROM r JOIN generate_series(1996, 2000) s(fold) ON year <= s.fold + 1),
 {modelsql.stepwise('t', 4)},
 l AS (SELECT g, y, w, unnest([{{'k': 1, 'p': p1}}, {{'k': 2, 'p': p2}}, {{'k': 3, 'p': p3}}, {{'k': 4, 'p': p4}}], recursive := true) FROM a4 WHERE NOT tr),
 s AS (SELECT g, k, {modelsql.scored()} FROM l GROUP BY 1, 2)
@@ -241,7 +243,7 @@ SELECT CAST(g AS INTEGER) AS fold, CAST(k AS INTEGER) AS n_factors, n, n_exact,
 def nested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sequence of models, each with a factor more, fitted up to each fold and scored on the next year."""
     rows = labelled(spark, sf_dir)
-    folds = spark.range(1996, 1998).select(F.col("id").cast("int").alias("fold"))
+    folds = spark.range(1996, 2001).select(F.col("id").cast("int").alias("fold"))
     features = ["x", "z", "w", "interaction"]
     # Sums of all features once; each model solves a leading part of them.
     by_year = fit.moments(rows, ["year"], features, "target_mid", "weight")

@@ -387,7 +387,7 @@ def monotone_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("year", "n", F.round(F.col("coefs")[0], 6).alias("quantity"), F.round(F.col("coefs")[1], 6).alias("discount"), F.round("intercept", 6).alias("intercept"))
 
 
-@query(f"""WITH {LINES}, t AS (SELECT f AS g, r.* FROM r JOIN generate_series(1997, 1999) s(f) ON year <= f), {SOLVED},
+@query(f"""WITH {LINES}, t AS (SELECT f AS g, r.* FROM r JOIN generate_series(1997, 2000) s(f) ON year <= f), {SOLVED},
 p AS (SELECT g AS fold, 'quantity' AS spec, my - xy / xx * mx + xy / xx * x AS p, y, r.w FROM r JOIN b ON r.year = g + 1
   UNION ALL SELECT g, 'quantity and discount', my - bx * mx - bz * mz + bx * x + bz * z, y, r.w FROM r JOIN b ON r.year = g + 1)
 SELECT CAST(fold AS INTEGER) AS fold, spec, count(*) AS n, round(avg(greatest(y - 0.1 - p, p - y - 0.1, 0.0)), 6) AS interval_mae, round(avg(abs(p - y)), 6) AS exact_mae,
@@ -396,7 +396,7 @@ def expanding_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two specifications fitted on the years up to each fold and scored on the next one; the data are summed once by year."""
     rows = lines(spark, sf_dir)
     tests = rows.withColumn("fold", F.col("year") - 1)
-    ends = F.explode(F.sequence(F.lit(1997), F.lit(1999))).alias("fold")
+    ends = F.explode(F.sequence(F.lit(1997), F.lit(2000))).alias("fold")
     out = None
     for name, features in (("quantity", ["x"]), ("quantity and discount", ["x", "z"])):
         by_year = fit.moments(rows, ["year"], features, "y", "w")

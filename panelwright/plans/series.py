@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from panelwright.operators import asof, ranges, rolling
 from panelwright.plans.registry import query, table
+from panelwright.sources import io
+from panelwright.streaming import refresh
 
 SERIES = """s AS (SELECT l_shipdate AS at, l_orderkey, l_linenumber, l_extendedprice AS v, row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_extendedprice) AS i FROM lineitem)"""
 ORDER = ["at", "l_orderkey", "l_linenumber", "v"]
@@ -69,3 +71,37 @@ def series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     found = ranges.over_chunks(line_series(spark, sf_dir), [], ORDER, 252, columns)
     return found.drop("at")
+
+
+def event_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as loads of a user's day: each brings a value or a property, and sets its sequence."""
+    events = table(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k").cast("long")
+    return events.select(
+        "user_id", F.to_date("ts").alias("date"), F.col("event_id").alias("load"),
+        F.when(F.col("event_type") != "click", F.col("value")).alias("value"), F.when(F.col("event_id") % 3 == 0, k).alias("k"), F.when(F.col("event_type") == "purchase", F.col("event_type")).alias("kind"),
+    )
+
+
+@query("""WITH e AS (SELECT user_id, CAST(ts AS DATE) AS date, event_id AS load, CASE WHEN event_type <> 'click' THEN value END AS value,
+  CASE WHEN event_id % 3 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE WHEN event_type = 'purchase' THEN event_type END AS kind FROM events)
+SELECT user_id, date, arg_max(value, load) FILTER (WHERE value IS NOT NULL) AS value, arg_max(k, load) FILTER (WHERE k IS NOT NULL) AS k, arg_max(kind, load) FILTER (WHERE kind IS NOT NULL) AS kind
+FROM e GROUP BY user_id, date""")
+def merged_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loads merged batch by batch, late ones first and some of them twice, into a target of which each batch rewrites what it touches."""
+    loads = event_loads(spark, sf_dir)
+    target = io.shared_path(spark, "loads")
+    for batch in (loads.where("load % 4 = 3"), loads.where("load % 4 < 2"), loads.where("load % 2 = 1"), loads.where("load % 4 = 2")):
+        refresh.merge_batch(target, batch, ["user_id", "date"], "load", parts=16)
+    return refresh.merged(spark, target)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'high' ELSE CAST(event_id % 100 AS VARCHAR) END AS level, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS "body.k",
+  event_type AS "body.type" FROM events""")
+def variant_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON payloads of which some lack a field and some have another type for one, flattened."""
+    events = table(spark, sf_dir, "events")
+    k = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"k": '), F.get_json_object("props", "$.k"), F.lit(", "))).otherwise("")
+    level = F.when(F.col("event_id") % 5 == 0, F.lit('"high"')).otherwise((F.col("event_id") % 100).cast("string"))
+    text = F.concat(F.lit('{"data": [{"level": '), level, F.lit(', "body": {'), k, F.lit('"type": "'), "event_type", F.lit('"}}]}'))
+    return io.flattened_variant(io.variant_rows(events.select("event_id", text.alias("text")), "text", "data"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelwright.operators import audit, evidence, fit, history, incremental, ingest, panels, resolve, rolling, screen, search
+from panelwright.operators import audit, evidence, fit, history, incremental, ingest, panels, resolve, rolling, screen, search, valuation
 from panelwright.plans import modelsql
 from panelwright.plans.more import RATED, labelled, rated
 from panelwright.plans.registry import DAILY, FILES, LINES, ORACLES, PHRASE, articles, daily, files, lines, query, rounded, table
+from panelwright.sources import io
 
 NAMES = {"000001": "urgent", "000002": "high", "000003": "medium", "000004": "not specified", "000005": "low"}
 CODED = f"""{DAILY}, coded AS (SELECT '00000' || substr(code, 1, 1) AS code, date, value FROM daily)"""
@@ -179,21 +180,36 @@ def feature_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MEANS, BACKS, RANKS = (5, 10, 20, 60, 120), (20, 60), (60, 120, 252)
 _LAST = lambda n: f"OVER (PARTITION BY code ORDER BY date ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+GRID = ["exact_mae", "interval_mae", "within_tenth", "regime_accuracy"]
+SPECS = {f"mean_{a} change_{b} rank_{c}": [f"mean_{a}", f"change_{b}", f"rank_{c}"] for a in MEANS for b in BACKS for c in RANKS}
 _SPECS = [(f"mean_{a}", f"change_{b}", f"rank_{c}") for a in MEANS for b in BACKS for c in RANKS]
 
 
-@query(f"""WITH {DAILY}, v AS (SELECT *, {", ".join(f"ln(avg(value) {_LAST(n)}) AS mean_{n}" for n in MEANS)},
+#: Each day of a series with each specification's features.
+SPEC_LONG = f"""{DAILY}, v AS (SELECT *, {", ".join(f"ln(avg(value) {_LAST(n)}) AS mean_{n}" for n in MEANS)},
   {", ".join(f"value / lag(value, {n}) OVER (PARTITION BY code ORDER BY date) - 1 AS change_{n}" for n in BACKS)}, {", ".join(f"list(value) {_LAST(n)} AS l{n}" for n in RANKS)} FROM daily),
 q AS (SELECT code, year(date) AS year, ln(value) AS y, {", ".join(f"mean_{n}" for n in MEANS)}, {", ".join(f"change_{n}" for n in BACKS)},
   {", ".join(f"(len(list_filter(l{n}, lambda x: x < value)) + 0.5::DOUBLE * len(list_filter(l{n}, lambda x: x = value))) / len(l{n}) AS rank_{n}" for n in RANKS)} FROM v),
-u AS (SELECT code, year, y, 1.0::DOUBLE AS w, unnest([{", ".join(f"{{'spec': '{' '.join(s)}', 'f0': {s[0]}, 'f1': {s[1]}, 'f2': {s[2]}}}" for s in _SPECS)}], recursive := true) FROM q),
-t AS (SELECT code || '|' || spec || '|' || s.fold AS g, year <= s.fold AS tr, u.* FROM u JOIN (VALUES (1998), (1999)) s(fold) ON year <= s.fold + 1 WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL),
+u AS (SELECT code, year, y, 1.0::DOUBLE AS w, unnest([{", ".join(f"{{'spec': '{' '.join(s)}', 'f0': {s[0]}, 'f1': {s[1]}, 'f2': {s[2]}}}" for s in _SPECS)}], recursive := true) FROM q)"""
+
+
+def grid_sql(folds: list[int]) -> str:
+    """Table ``grid`` (``key``, ``spec`` and mean scores) over folds that end with these years."""
+    return f"""t AS (SELECT code || '|' || spec || '|' || s.fold AS g, year <= s.fold AS tr, u.* FROM u JOIN (VALUES {', '.join(f'({f})' for f in folds)}) s(fold) ON year <= s.fold + 1 WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL),
 {modelsql.signed('t', 3)},
 p AS (SELECT g, code, spec, y, w, my + b[1] * (f0 - m[1]) + b[2] * (f1 - m[2]) + b[3] * (f2 - m[3]) AS p FROM t JOIN best USING (g) WHERE NOT tr),
-s AS (SELECT g, code, spec, {modelsql.scored()} FROM p GROUP BY 1, 2, 3)
-SELECT code AS key, spec, {", ".join(f"round(avg({c}), 6) AS {c}" for c in ("exact_mae", "interval_mae", "within_tenth", "regime_accuracy"))} FROM s GROUP BY 1, 2""")
+s AS (SELECT g, code, spec, {modelsql.scored()} FROM p GROUP BY 1, 2, 3),
+grid AS (SELECT code AS key, spec, {", ".join(f"avg({c}) AS {c}" for c in GRID)} FROM s GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {SPEC_LONG}, {grid_sql([1998, 1999, 2000])} SELECT key, spec, {modelsql.rounded(GRID)} FROM grid""")
 def spec_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thirty specifications of three features by series, over two expanding folds."""
+    """Thirty specifications of three features by series, over expanding folds up to the last year."""
+    return rounded(screen.grid(spec_rows(spark, sf_dir), key="code", period="year", specs=SPECS, signs=[1, 1, 1], folds=[(1998, 1999), (1999, 2000), (2000, 2001)]))
+
+
+def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily series with the features of all specifications."""
     over = lambda n: rolling.last_rows("code", "date", n)
     means, backs, ranks = MEANS, BACKS, RANKS
     rows = daily(spark, sf_dir).select(
@@ -202,9 +218,7 @@ def spec_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
         *[rolling.change("value", "code", "date", n).alias(f"change_{n}") for n in backs],
         *[rolling.mid_rank("value", rolling.row_values("value", over(n))).alias(f"rank_{n}") for n in ranks],
     )
-    rows = rows.withColumns({"target_mid": F.col("y"), "star": F.col("y"), "star_low": F.col("y") - 0.1, "star_high": F.col("y") + 0.1, "weight": F.lit(1.0)})
-    specs = {f"mean_{a} change_{b} rank_{c}": [f"mean_{a}", f"change_{b}", f"rank_{c}"] for a in means for b in backs for c in ranks}
-    return rounded(screen.grid(rows, key="code", period="year", specs=specs, signs=[1, 1, 1], folds=[(1998, 1999), (1999, 2000)]))
+    return rows.withColumns({"target_mid": F.col("y"), "star": F.col("y"), "star_low": F.col("y") - 0.1, "star_high": F.col("y") + 0.1, "weight": F.lit(1.0)})
 
 
 _TABLE = ("interval_mae", "exact_mae", "exact_rmse", "within_tenth")
@@ -257,3 +271,134 @@ def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = search.index(docs, "doc_id", ["title", "text"])
     found = search.search_index(built, docs, PHRASE, doc="doc_id")
     return found.select("doc", F.round("rank", 6).alias("rank"))
+
+
+@query(ORACLES["ranked_search"])
+def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The phrase of ``ranked_search``, answered from a stored index: the folders of its trigrams, places instead of texts, and bounds of blocks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("").alias("title"), "text")
+    path = io.shared_path(spark, "index")
+    search.store_index(docs, "doc_id", ["title", "text"], path, block=256)
+    return search.search_stored(spark, path, PHRASE).select("doc", F.round("rank", 6).alias("rank"))
+
+
+#: Rows of a word that occurs often, with every window that begins at a hit.
+WORD = "the"
+_WIDE, _SIZE = 34, len(WORD)
+
+
+@query(f"""WITH d AS (SELECT doc_id AS doc, text, length(text) AS n, lower(text) AS t FROM documents WHERE contains(lower(text), '{WORD}') AND length(lower(text)) = length(text)),
+h AS (SELECT doc, list_filter(list_transform(range(1, n - {_SIZE} + 2), lambda i: CASE WHEN t[i:i + {_SIZE - 1}] = '{WORD}' THEN i END), lambda i: i IS NOT NULL) AS spots, text, n FROM d),
+w AS (SELECT doc, spots, text, n, unnest(spots) AS a FROM h), k AS (SELECT *, len(list_filter(spots, lambda b: b >= a AND b + {_SIZE} <= a + {_WIDE})) AS hits FROM w QUALIFY row_number() OVER (PARTITION BY doc ORDER BY hits DESC, a) = 1),
+l AS (SELECT *, list_max(list_filter(spots, lambda b: b >= a AND b + {_SIZE} <= a + {_WIDE})) + {_SIZE} AS last FROM k),
+b AS (SELECT doc, text, n, spots, greatest(least(a - greatest(({_WIDE} - (last - a)) // 2, 0), n - {_WIDE} + 1), 1) AS begin FROM l),
+e AS (SELECT *, least(begin + {_WIDE}, n + 1) AS until, list_filter(spots, lambda x: x >= begin AND x + {_SIZE} <= least(begin + {_WIDE}, n + 1)) AS inside FROM b),
+c AS (SELECT doc, begin, until, n, i, text[i] AS ch, len(list_filter(inside, lambda x: x <= i AND i < x + {_SIZE})) > 0 AS cov, len(list_filter(inside, lambda x: x <= i - 1 AND i - 1 < x + {_SIZE})) > 0 AS was,
+  len(list_filter(inside, lambda x: x <= i + 1 AND i + 1 < x + {_SIZE})) > 0 AS will FROM (SELECT *, unnest(range(begin, until)) AS i FROM e))
+SELECT doc, CASE WHEN begin > 1 THEN ' … ' ELSE '' END || string_agg(CASE WHEN cov AND NOT was THEN '[' ELSE '' END || ch || CASE WHEN cov AND NOT will THEN ']' ELSE '' END, '' ORDER BY i) ||
+  CASE WHEN until <= n THEN ' … ' ELSE '' END AS snippet FROM c GROUP BY doc, begin, until, n""")
+def best_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of each document with the most hits of a word."""
+    docs = table(spark, sf_dir, "documents").where(F.length(F.lower("text")) == F.length("text"))
+    return docs.select(F.col("doc_id").alias("doc"), search.best_snippet(F.col("text"), WORD).alias("snippet")).where("snippet is not null")
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\w\p{L}\p{M}\p{N}_]+'), lambda x: x <> '') AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM p GROUP BY term""")
+def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and occurrences of each word."""
+    posted = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text", search.words(F.col("text")))
+    return posted.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+
+
+@query(f"""WITH {SPEC_LONG}, {grid_sql([1998, 1999])},
+pick AS (SELECT key AS code, spec FROM grid ORDER BY round(exact_mae, 9), round(interval_mae, 9), key, spec LIMIT 1),
+h AS (SELECT u.*, u.year <= 2000 AS tr FROM u JOIN pick ON u.code = pick.code AND u.spec = pick.spec WHERE f0 IS NOT NULL),
+c3 AS (SELECT 'core' AS g, tr, y, w, f0, f1, f2 FROM h WHERE f1 IS NOT NULL AND f2 IS NOT NULL), c1 AS (SELECT 'baseline' AS g, tr, y, w, f0 FROM h),
+{modelsql.signed('c3', 3, '3')},
+{modelsql.signed('c1', 1, '1')},
+e AS (SELECT 'core' AS model, avg(abs(my + b[1] * (f0 - m[1]) + b[2] * (f1 - m[2]) + b[3] * (f2 - m[3]) - y)) AS mae FROM c3, best3 WHERE NOT tr
+  UNION ALL SELECT 'baseline', avg(abs(my + b[1] * (f0 - m[1]) - y)) FROM c1, best1 WHERE NOT tr),
+two AS (SELECT max(mae) FILTER (WHERE model = 'core') AS core, max(mae) FILTER (WHERE model = 'baseline') AS base FROM e)
+SELECT code, spec, CASE WHEN core < base THEN 'core_model_beats_baseline' ELSE 'core_model_does_not_beat_baseline' END AS verdict, round(core, 6) AS core_error, round(base, 6) AS baseline_error,
+  round(core / base, 6) AS ratio FROM two, pick""")
+def fitted_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid's best specification on early folds, fitted up to 2000 beside its first feature alone, and which is better afterwards."""
+    rows = io.kept(spec_rows(spark, sf_dir))
+    grid = screen.grid(rows, key="code", period="year", specs=SPECS, signs=[1, 1, 1], folds=[(1998, 1999), (1999, 2000)])
+    best = screen.best_spec(grid.orderBy(F.round("exact_mae", 9), F.round("interval_mae", 9), "key", "spec"))
+    if best is None:
+        return spark.createDataFrame([], "code string, spec string, verdict string, core_error double, baseline_error double, ratio double")
+    features = SPECS[best[1]]
+    models = {"core": (features, [1, 1, 1]), "baseline": (features[:1], [1])}
+    found = fit.verdict(screen.refitted(rows, key="code", period="year", chosen=best[0], models=models, split=2000), "core", "baseline")
+    return rounded(found).select(F.lit(best[0]).alias("code"), F.lit(best[1]).alias("spec"), "*")
+
+
+@query(f"""WITH s AS (SELECT l_suppkey AS g, l_quantity AS x, 1.0::DOUBLE AS w, ln(l_extendedprice / l_quantity) AS y FROM lineitem), {modelsql.pooled('s')}
+SELECT CAST(g AS BIGINT) AS l_suppkey, x AS quantity, round(v, 5) AS price FROM steps""")
+def supplier_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decreasing curve of the log unit price by quantity for each supplier, read off at each quantity that it has sold."""
+    price = F.ln(F.col("l_extendedprice") / F.col("l_quantity")).alias("y")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_quantity").alias("quantity"), price, F.lit(1.0).alias("w"))
+    curve = fit.isotonic(rows, ["l_suppkey"], "quantity", "y", "w")
+    found = fit.on_curve(rows.select("l_suppkey", "quantity").distinct(), curve, ["l_suppkey"], "quantity", "price")
+    return found.withColumn("price", F.round("price", 5))
+
+
+@query("".join((f"""WITH {LINES}, """, ", ".join(
+    f"""t{k} AS (SELECT s.fold AS g, year <= s.fold AS tr, y, w, x AS f0{", z AS f1" if k > 1 else ""}{", x * z AS f2" if k > 2 else ""} FROM r JOIN generate_series(1996, 2000) s(fold) ON year <= s.fold + 1),
+{modelsql.signed(f"t{k}", k, str(k))}"""
+    for k in (1, 2, 3)), ", e AS (", " UNION ALL ".join(
+    f"SELECT g, {k} AS k, y, w, my + {' + '.join(f'b[{i + 1}] * (f{i} - m[{i + 1}])' for i in range(k))} AS p FROM t{k} JOIN best{k} USING (g) WHERE NOT tr" for k in (1, 2, 3)),
+    f"""), s AS (SELECT g, k, {modelsql.scored()} FROM e GROUP BY 1, 2)
+SELECT CAST(g AS INTEGER) AS fold, CAST(k AS INTEGER) AS n_factors, n, {modelsql.rounded(["interval_mae", "exact_mae", "exact_rmse"])} FROM s""")))
+def signed_nested_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sequence of models whose coefficients can't be negative, each with a factor more, from one cube of products."""
+    rows = labelled(spark, sf_dir)
+    features = ["x", "z", "interaction"]
+    cube = io.kept(fit.gram(rows, ["year"], features, "target_mid", "weight"))
+    tests = rows.withColumn("fold", F.col("year") - 1)
+    out = None
+    for k in range(1, len(features) + 1):
+        by_year = fit.sub_moments(cube, ["year"], features, {"all": features[:k]}).drop("spec")
+        sums = by_year.select("*", F.explode(F.sequence(F.lit(1996), F.lit(2000))).alias("fold")).where("year <= fold").groupBy("fold")
+        model = fit.fitted(sums.agg(*[F.sum(c).alias(c) for c in by_year.columns[1:]]), ["fold"], features[:k], [1] * k).drop("n")
+        one = fit.scores(tests.join(F.broadcast(model), "fold").withColumn("prediction", fit.predicted(features[:k])), ["fold"]).withColumn("n_factors", F.lit(k))
+        out = one if out is None else out.unionByName(one)
+    return rounded(out.select("fold", "n_factors", "n", "interval_mae", "exact_mae", "exact_rmse"))
+
+
+@query("""WITH v AS (SELECT l_suppkey AS code, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS cap, l_extendedprice * (l_discount - 0.035) AS profit FROM lineitem),
+s AS (SELECT l_suppkey AS code, l_returnflag AS idx, CASE WHEN l_suppkey % 5 = 0 THEN NULL ELSE CAST(quantile_disc(l_shipdate, 0.2) AS DATE) END AS since,
+  CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE CAST(quantile_disc(l_shipdate, 0.7) AS DATE) END AS until FROM lineitem GROUP BY l_suppkey, l_returnflag),
+m AS (SELECT idx, year(date) AS year, cap AS c, profit AS p, CASE WHEN profit <> 0 THEN cap / profit END AS pe FROM v JOIN s ON v.code = s.code AND (since IS NULL OR date >= since) AND (until IS NULL OR date < until))
+SELECT idx AS "index", CAST(year AS INTEGER) AS year, count(pe) AS members, round(sum(c) / nullif(sum(p), 0), 4) AS cap_weighted, round(avg(pe) FILTER (WHERE pe > 0), 4) AS positive_mean, round(median(pe), 4) AS median_pe FROM m GROUP BY 1, 2""")
+def members_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Valuation of indices whose members come and go: suppliers belong to an index from its first fifth of shipping dates to its last three tenths, some from ever or for ever."""
+    lines_ = table(spark, sf_dir, "lineitem")
+    price = F.col("l_extendedprice")
+    values = lines_.select(F.col("l_suppkey").alias("code"), F.col("l_shipdate").cast("date").alias("date"), price.alias("cap"), (price * (F.col("l_discount") - 0.035)).alias("profit"))
+    ends = lines_.groupBy(F.col("l_suppkey").alias("code"), F.col("l_returnflag").alias("index")).agg(F.expr("percentile_disc(0.2) within group (order by unix_date(cast(l_shipdate as date)))").alias("a"), F.expr("percentile_disc(0.7) within group (order by unix_date(cast(l_shipdate as date)))").alias("b"))
+    day = lambda c: F.date_from_unix_date(F.col(c).cast("int"))
+    spans = ends.select("code", "index", F.when(F.col("code") % 5 != 0, day("a")).alias("since"), F.when(F.col("code") % 3 != 0, day("b")).alias("until"))
+    found = valuation.members_at(values, spans, key="code", group="index", date="date", start="since", end="until").withColumn("year", F.year("date"))
+    out = valuation.index_valuation(found, ["index", "year"], "cap", "profit")
+    return out.select("index", "year", "members", *[F.round(c, 4).alias(c) for c in ("cap_weighted", "positive_mean", "median_pe")])
+
+
+@query("""WITH p AS (SELECT l_suppkey, CAST(year(l_shipdate) AS INTEGER) AS year, round(sum(l_extendedprice), 2) AS mc, round(sum(l_extendedprice * (l_discount - 0.05)), 2) AS gdp, round(avg(l_tax) - 0.04, 6) AS bond,
+  round(sum(l_extendedprice) / nullif(round(sum(l_extendedprice * (l_discount - 0.05)), 2), 0), 6) AS pe, round(sum(l_quantity), 2) AS fb FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, year, round(CASE WHEN gdp > 0 THEN mc / gdp END, 6) AS mc_to_gdp, round(CASE WHEN pe > 0 THEN 1 / pe END, 6) AS earnings_yield_all, round(CASE WHEN pe > 0 AND bond > 0 THEN 1 / pe / bond END, 4) AS equity_bond_ratio_all,
+  round(CASE WHEN pe > 0 AND bond > 0 THEN 1 / pe - bond END, 6) AS equity_bond_spread_all, round(fb / mc, 8) AS balance_to_mc FROM p""")
+def valuation_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table of valuation ratios by supplier and year."""
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.year("l_shipdate").alias("year"))
+    profit = F.round(F.sum(F.col("l_extendedprice") * (F.col("l_discount") - 0.05)), 2)
+    rows = rows.agg(
+        F.round(F.sum("l_extendedprice"), 2).alias("mc"), profit.alias("gdp"), F.round(F.avg("l_tax") - 0.04, 6).alias("bond"),
+        F.round(F.try_divide(F.sum("l_extendedprice"), profit), 6).alias("pe"), F.round(F.sum("l_quantity"), 2).alias("fb"),
+    )
+    found = valuation.derived_ratios(rows, gdp="gdp", bond="bond", caps={"mc_to_gdp": "mc"}, earnings={"all": "pe"}, balances={"balance_to_mc": ("fb", "mc")})
+    digits = {"mc_to_gdp": 6, "earnings_yield_all": 6, "equity_bond_ratio_all": 4, "equity_bond_spread_all": 6, "balance_to_mc": 8}
+    return found.select("l_suppkey", "year", *[F.round(c, d).alias(c) for c, d in digits.items()])

@@ -60,6 +60,58 @@ def read_payload(spark: SparkSession, path: str, rows: str = "data") -> DataFram
     return flattened(table.select(F.explode(rows).alias("_r")).select("_r.*"))
 
 
+def read_variant(spark: SparkSession, path: str, rows: str = "data") -> DataFrame:
+    """Each row of an array inside JSON documents as a variant column ``row``; files may disagree on fields and types. A document that is no JSON, or lacks the array, gives none."""
+    text = spark.read.text(path, wholetext=True)
+    return variant_rows(text, "value", rows)
+
+
+def variant_rows(table: DataFrame, c: str, rows: str | None = None) -> DataFrame:
+    """The JSON texts of a column, or the rows of an array in each, as a variant column ``row`` beside the other columns."""
+    value = F.try_parse_json(F.col(c))
+    others = [x for x in table.columns if x != c]
+    if rows is None:
+        return table.select(*others, value.alias("row")).where("row is not null")
+    return table.select(*others, F.explode(F.try_variant_get(value, f"$.{rows}", "array<variant>")).alias("row"))
+
+
+def variant_fields(table: DataFrame, c: str = "row") -> dict[str, str]:
+    """Dotted names of all fields that the variants have, and the type of each that holds all its values; text where they disagree."""
+    found = table.agg(F.schema_of_variant_agg(c)).first()[0]
+    if not found or not found.startswith("OBJECT<"):
+        return {}
+
+    def leaves(text: str, path: str) -> dict[str, str]:
+        out: dict[str, str] = {}
+        depth, start, parts = 0, 0, []
+        for i, ch in enumerate(text):
+            depth += (ch == "<" or ch == "(") - (ch == ">" or ch == ")")
+            if ch == "," and not depth:
+                parts.append(text[start:i])
+                start = i + 1
+        for part in filter(str.strip, [*parts, text[start:]]):
+            name, kind = (x.strip() for x in part.split(":", 1))
+            name = f"{path}.{name.strip('`')}" if path else name.strip("`")
+            if kind.startswith("OBJECT<"):
+                out |= leaves(kind[7:-1], name)
+            else:
+                out[name] = "string" if kind in ("VARIANT", "VOID") or kind.startswith("ARRAY") else kind.lower()
+        return out
+
+    return leaves(found[7:-1], "")
+
+
+def flattened_variant(table: DataFrame, c: str = "row", fields: dict[str, str] | None = None) -> DataFrame:
+    """The variant's fields as columns with dotted names, nulls where a row lacks one; ``fields`` is ``variant_fields`` unless given.
+
+    A field whose values differ in type is text, and so is an array.
+    """
+    fields = variant_fields(table, c) if fields is None else fields
+    path = lambda name: "$" + "".join(f'["{p}"]' for p in name.split("."))
+    taken = [F.try_variant_get(c, path(n), k).alias(n) for n, k in fields.items()]
+    return table.select(*[x for x in table.columns if x != c], *taken)
+
+
 def write_csv(table: DataFrame, path: str) -> None:
     """CSV with a header after a byte order mark, as spreadsheets expect UTF-8."""
     table = table.withColumnRenamed(table.columns[0], "\ufeff" + table.columns[0])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 
@@ -64,3 +64,46 @@ def model_rows(panel: DataFrame, target: DataFrame, key: str, date: str = "date"
     if n["n_rows"] != n["expected"]:
         raise ValueError(f"expected {n['expected']} labelled rows, found {n['n_rows']}")
     return panel.where(F.col(status).isNotNull())
+
+
+def write_checked(table: DataFrame, path: str, wrong: dict[str, Column], *, helpers: tuple[str, ...] = ()) -> DataFrame:
+    """Writes ``table`` without ``helpers`` to ``path`` and reads it back; an error if any count in ``wrong`` (aggregates by what they count) isn't 0.
+
+    The counts are taken while the rows are written, so a check costs no job of its own. After an error the files stay, for a look at them.
+    """
+    seen = Observation()
+    table.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in wrong.items()]).drop(*helpers).write.parquet(path)
+    found = {n: v for n, v in seen.get.items() if v}
+    if found:
+        raise ValueError("; ".join(f"{n}: {v}" for n, v in found.items()))
+    return table.sparkSession.read.parquet(path)
+
+
+def write_series(rows: DataFrame, names: dict[str, str], path: str, *, code: str = "code", date: str = "date", name: str = "name") -> DataFrame:
+    """What ``named_series`` gives, written to ``path`` and checked on the way; null dates of a code count as one."""
+    rows = rows.withColumns({date: local_date(F.col(date)), code: padded_code(F.col(code))})
+    pick = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    nth = F.row_number().over(Window.partitionBy(code, date).orderBy(F.lit(0)))
+    marked = rows.withColumns({name: F.try_element_at(pick, F.col(code)), "_nth": nth})
+    return write_checked(marked, path, {"rows of an unknown code": F.count_if(F.col(name).isNull()), "rows of a repeated date": F.count_if(F.col("_nth") > 1)}, helpers=("_nth",))
+
+
+def write_model_rows(panel: DataFrame, target: DataFrame, path: str, key: str, date: str = "date", *, status: str = "status", prefix: str = "target_") -> DataFrame:
+    """The rows of ``panel`` with a label of their date, written to ``path``.
+
+    What ``with_target`` and ``model_rows`` check by jobs is counted on the way: several labels of a date, and labelled rows other than one for
+    each label's date and key. Rows of a null key are no rows of a panel.
+    """
+    values = [c for c in target.columns if c != date]
+    dates, several = Observation(), F.count_if(F.col("_labels") > 1)
+    one = target.groupBy(date).agg(F.count("*").alias("_labels"), *[F.first(c).alias(c) for c in values]).observe(dates, F.count(date).alias("dates"), several.alias("several"))
+    labelled = panel.join(prefixed(one, prefix, [date]), date).where(F.col(f"{prefix}{status}").isNotNull() & F.col(key).isNotNull()).drop(f"{prefix}_labels")
+    first = F.row_number().over(Window.partitionBy(key).orderBy(date)) == 1
+    rows = Observation()
+    labelled.withColumn("_first", first).observe(rows, F.count("*").alias("rows"), F.count_if("_first").alias("keys")).drop("_first").write.parquet(path)
+    got, of = rows.get, dates.get
+    if of["several"]:
+        raise ValueError(f"{of['several']} dates have several labels")
+    if got["rows"] != got["keys"] * of["dates"]:
+        raise ValueError(f"expected {got['keys'] * of['dates']} labelled rows, found {got['rows']}")
+    return panel.sparkSession.read.parquet(path)

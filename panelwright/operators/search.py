@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import log
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -167,7 +168,7 @@ def search_stored(spark: SparkSession, path: str, query: str, *, limit: int = 20
     if len(held) < len(terms):
         return nothing
     n, avgdl = totals["n"], totals["avgdl"]
-    idf = {t: float(spark.range(1).select(F.log(F.lit((n - d + 0.5) / (d + 0.5) + 1.0))).first()[0]) for t, d in held.items()}
+    idf = {t: log((n - d + 0.5) / (d + 0.5) + 1.0) for t, d in held.items()}
     most = reduce(lambda a, t: a.when(F.col("term") == t, bm25(F.col("most"), F.col("shortest"), idf[t], avgdl)), terms, F.when(F.lit(False), F.lit(0.0)))
     bounds = blocks.groupBy("block").agg(F.count_distinct("term").alias("terms"), F.sum(most).alias("bound")).where(F.col("terms") == len(terms))
     postings = spark.read.parquet(f"{path}/postings").where(mine)

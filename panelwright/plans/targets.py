@@ -402,3 +402,13 @@ def valuation_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = valuation.derived_ratios(rows, gdp="gdp", bond="bond", caps={"mc_to_gdp": "mc"}, earnings={"all": "pe"}, balances={"balance_to_mc": ("fb", "mc")})
     digits = {"mc_to_gdp": 6, "earnings_yield_all": 6, "equity_bond_ratio_all": 4, "equity_bond_spread_all": 6, "balance_to_mc": 8}
     return found.select("l_suppkey", "year", *[F.round(c, d).alias(c) for c, d in digits.items()])
+
+
+@query(f"""WITH {CODED}, {LABEL}, full_days AS (SELECT date FROM coded GROUP BY date HAVING count(*) = 5)
+SELECT code, date, value, CASE code WHEN '000001' THEN 'urgent' WHEN '000002' THEN 'high' WHEN '000003' THEN 'medium' WHEN '000004' THEN 'not specified' ELSE 'low' END AS name,
+  star AS target_star, status AS target_status FROM coded JOIN full_days USING (date) JOIN label USING (date)""")
+def checked_model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Named series and their labels on days that all series have, checked while they are written."""
+    named = panels.write_series(coded(spark, sf_dir).withColumn("date", F.col("date").cast("string")), NAMES, io.shared_path(spark, "series"))
+    whole = named.groupBy("date").agg(F.count("*").alias("n")).where(F.col("n") == len(NAMES)).select("date")
+    return panels.write_model_rows(named.join(whole, "date"), label(spark, sf_dir).join(whole, "date"), io.shared_path(spark, "model"), "code").select("code", "date", "value", "name", "target_star", "target_status")

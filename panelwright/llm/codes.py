@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import contextlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, StructType
 
-from .common import give_back, written
+from .common import give_back, rows_of_a_batch, written
 
 #: Components count as at most this far from zero, so that squared distances are exact in 64 bits.
 FARTHEST = 1 << 24
@@ -197,18 +196,6 @@ def owned(tree: Tree, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return code, n, total
 
 
-@contextlib.contextmanager
-def rows_of_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
-    """Within it, jobs send so many rows at once to Python."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(n))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 def cuts(dim: int, parts: int) -> list[slice]:
     """Consecutive parts of equal width, or of widths one apart."""
     return [slice(p * dim // parts, (p + 1) * dim // parts) for p in range(parts)]

@@ -14,11 +14,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, give_back, small_batches, written
+from .common import ascii_lower, give_back, rows_of_a_batch, small_batches, written
 
 #: Words and ends of pieces, in order.
 TOKEN = re.compile(r"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]+")
 ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
+#: How far a phrase's hash turns the hash of each of its words.
+TURNS = (7, 23)
 #: Longest phrase, and so how many words of context an index sorts by.
 DEPTH = 3
 
@@ -94,15 +96,21 @@ class PhraseIndex:
         return found.take(word > 0)
 
 
-def phrase_hash(lang: Column, first: Column, second: Column) -> Column:
-    """A number of two words that tasks work out from the hashes of words alone."""
+def phrase_hash(lang: Column, *words: Column) -> Column:
+    """A number of one or two words that tasks work out from the hashes of words alone."""
     turned = lambda h, n: F.shiftleft(h, n).bitwiseOR(F.shiftrightunsigned(h, 64 - n))
-    return F.xxhash64(lang).bitwiseXOR(turned(F.xxhash64(first), 7)).bitwiseXOR(turned(F.xxhash64(second), 23))
+    out = F.xxhash64(lang)
+    for word, turn in zip(words, TURNS):
+        out = out.bitwiseXOR(turned(F.xxhash64(word), turn))
+    return out
 
 
-def pair_hashes(lang: int, words: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    turned = lambda h, n: (h << np.uint64(n)) | (h >> np.uint64(64 - n))
-    return np.uint64(lang) ^ turned(words[first], 7) ^ turned(words[second], 23)
+def mixed(lang: str, hashes: np.ndarray, *words: np.ndarray) -> np.ndarray:
+    """``phrase_hash`` of phrases by the ids of their words."""
+    out = np.full(len(words[0]), hash_of(lang), np.uint64)
+    for word, turn in zip(words, TURNS):
+        out ^= (hashes[word] << np.uint64(turn)) | (hashes[word] >> np.uint64(64 - turn))
+    return out
 
 
 def hash_of(word: str) -> int:
@@ -142,20 +150,40 @@ class Shard:
         self.ids += b"".join(map(self.known.__getitem__, text.split(" ")))
         self.ids += bytes(4)
 
-    def index(self) -> PhraseIndex:
-        return PhraseIndex(np.frombuffer(self.ids, np.int32).astype(np.int64), len(self.known.words))
+    def row(self) -> pa.RecordBatch:
+        ids = np.frombuffer(self.ids, np.int32)
+        counts = np.bincount(ids, minlength=len(self.known.words))[1:].tolist()
+        cols = [pa.array([self.lang]), pa.array([bytes(self.ids)], pa.binary()), pa.array([self.known.words[1:]], pa.list_(pa.string())), pa.array([counts], pa.list_(pa.int64()))]
+        return pa.RecordBatch.from_arrays(cols, names=["lang", "ids", "words", "counts"])
+
+
+@dataclass
+class Kept:
+    """A shard as it was kept."""
+
+    lang: str
+    names: pa.Array
+    index: PhraseIndex
+    hashes: np.ndarray
+
+    @staticmethod
+    def read(row: dict) -> Kept:
+        words = ["", *row["words"]]
+        return Kept(row["lang"], pa.array(words, pa.string()), PhraseIndex(np.frombuffer(row["ids"], np.int32).astype(np.int64), len(words)), np.array([*map(hash_of, words)], np.uint64))
+
+    def frequent(self, bits: np.ndarray, nodes: Nodes, *at: int) -> Nodes:
+        """Nodes whose words at these places have their bit set."""
+        place = (mixed(self.lang, self.hashes, *[nodes.words[i] for i in at]) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+        return nodes.take((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
 
     def batches(self, nodes: Nodes) -> Iterator[pa.RecordBatch]:
-        """``lang, n_words, phrase, n`` of nodes."""
-        names = pa.array(self.known.words, pa.string())
+        """``lang, phrase, n`` of nodes."""
         for at in range(0, len(nodes.size), 100_000):
-            cols = [names.take(pa.array(w[at : at + 100_000])) for w in nodes.words]
-            phrase = pc.binary_join_element_wise(*cols, " ") if len(cols) > 1 else cols[0]
-            n = len(phrase)
-            yield pa.RecordBatch.from_arrays([pa.repeat(self.lang, n), pa.repeat(pa.scalar(len(cols), pa.int32()), n), phrase, pa.array(nodes.size[at : at + n], pa.int64())], names=["lang", "n_words", "phrase", "n"])
+            phrase = pc.binary_join_element_wise(*[self.names.take(pa.array(w[at : at + 100_000])) for w in nodes.words], " ")
+            yield pa.RecordBatch.from_arrays([pa.repeat(self.lang, len(phrase)), phrase, pa.array(nodes.size[at : at + len(phrase)], pa.int64())], names=["lang", "phrase", "n"])
 
 
-def sharded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
+def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Texts gathered by language into shards of about ``most`` words; while several languages share the bound the largest one goes first."""
     open_: dict[str, Shard] = {}
     held = 0
@@ -169,61 +197,68 @@ def sharded(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[Shard]:
                 full = max(open_.values(), key=len)
                 held -= len(full)
                 del open_[full.lang]
-                yield full
-    yield from open_.values()
+                yield full.row()
+    yield from (shard.row() for shard in open_.values())
+    give_back()
+
 
+def bits_of(rows: DataFrame, hash_: Column, n: int) -> np.ndarray:
+    """A set of ``n`` bits with one set for each row's hash."""
+    places = rows.select((hash_.bitwiseAND(F.lit(n - 1)) + 1).alias("_p"))
+    parts = places.groupBy(F.bitmap_bucket_number("_p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("bits"))
+    bits = np.zeros(n // 8, np.uint8)
+    for r in parts.collect():
+        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
 
-def phrases(docs: DataFrame, *, text_col: str, lang_col: str, least: int, shard_words: int, filter_bits: int) -> DataFrame:
-    """``lang, n_words, phrase, n`` of all words and phrases of two and three with ``n`` of at least ``least``, and as ``n_words`` 0 each language's words.
 
-    Each task indexes its texts in shards, and the counts of shards are added up. Words of three are
-    enumerated from the middle one, to the left and then to the right, and only where either pair of neighbours can have
-    ``least``: a bit for each frequent pair's hash, in a set of fixed size that is sent to the tasks. It lets some
-    others through, and loses none.
+def phrases(docs: DataFrame, *, text_col: str, lang_col: str, least: int, shard_words: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+    """``lang, n_words, phrase, n`` of all words and phrases of two and three with ``n`` of at least ``least``, and ``lang, n`` of all words.
+
+    Texts are read once: each task gathers them in shards of word ids, which are kept. The counts of words are added up, then those of pairs
+    and then of three words, from an index of each shard. Phrases are enumerated only where all their words, and of three
+    words either pair, can have ``least``: for each frequent word's and pair's hash a bit is set in a set of fixed size that is sent to
+    the tasks. It lets some others through, and loses none. Three words are enumerated from the middle one, to the left and then to the right.
     """
     spark = docs.sparkSession
     small_batches(spark)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("_lang"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    fields = "lang string, n_words int, phrase string, n long"
+    shards = written(rows.mapInArrow(lambda batches: gathered(batches, shard_words), "lang string, ids binary, words array<string>, counts array<long>"), group_bytes=16 << 20)
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in sharded(batches, shard_words):
-            index = shard.index()
-            single = index.single()
-            total = np.array([single.size.sum()])
-            yield pa.RecordBatch.from_arrays([pa.array([shard.lang]), pa.array([0], pa.int32()), pa.array([""]), pa.array(total, pa.int64())], names=["lang", "n_words", "phrase", "n"])
-            yield from shard.batches(single)
-            yield from shard.batches(index.extended(single, left=False))
-        give_back()
+    def summed(found: DataFrame, n_words: int) -> DataFrame:
+        by = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+        return written(by.select("lang", F.lit(n_words).alias("n_words"), "phrase", "n"))
 
-    def summed(found: DataFrame) -> DataFrame:
-        by = found.groupBy("lang", "n_words", "phrase").agg(F.sum("n").alias("n"))
-        return by.where((F.col("n") >= least) | (F.col("n_words") == 0))
+    counted = shards.select("lang", F.inline(F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("n"))))
+    totals = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
+    one = summed(counted, 1)
+    first = spark.sparkContext.broadcast(bits_of(one, phrase_hash(F.col("lang"), F.col("phrase")), filter_bits))
 
-    short = written(summed(rows.mapInArrow(pairs, fields)))
-    word = F.split("phrase", " ")
-    place = phrase_hash(F.col("lang"), word[0], word[1]).bitwiseAND(F.lit(filter_bits - 1)) + 1
-    parts = short.where("n_words = 2").select(place.alias("_p"))
-    parts = parts.groupBy(F.bitmap_bucket_number("_p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_p")).alias("bits"))
-    bits = np.zeros(filter_bits // 8, np.uint8)
-    for r in parts.collect():
-        bits[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
-    sent = spark.sparkContext.broadcast(bits)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Kept.read(row)
+                single = shard.frequent(first.value, shard.index.single(), 0)
+                yield from shard.batches(shard.frequent(first.value, shard.index.extended(single, left=False), 1))
+        give_back()
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def frequent(shard: Shard, hashes: np.ndarray, nodes: Nodes, a: int, b: int) -> Nodes:
-            place = (pair_hashes(hash_of(shard.lang), hashes, nodes.words[a], nodes.words[b]) & np.uint64(filter_bits - 1)).astype(np.int64)
-            return nodes.take((sent.value[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
-
-        for shard in sharded(batches, shard_words):
-            index = shard.index()
-            hashes = np.array([*map(hash_of, shard.known.words)], np.uint64)
-            two = frequent(shard, hashes, index.extended(index.single(), left=True), 0, 1)
-            yield from shard.batches(frequent(shard, hashes, index.extended(two, left=False), 1, 2))
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Kept.read(row)
+                single = shard.frequent(first.value, shard.index.single(), 0)
+                two = shard.frequent(second.value, shard.index.extended(single, left=True), 0, 1)
+                yield from shard.batches(shard.frequent(second.value, shard.index.extended(two, left=False), 1, 2))
         give_back()
 
-    return short.unionByName(written(summed(rows.mapInArrow(triples, fields))))
+    kept = shards.select("lang", "ids", "words")
+    with rows_of_a_batch(spark, 1):
+        two = summed(kept.mapInArrow(pairs, "lang string, phrase string, n long"), 2)
+        word = F.split("phrase", " ")
+        second = spark.sparkContext.broadcast(bits_of(two, phrase_hash(F.col("lang"), word[0], word[1]), filter_bits))
+        three = summed(kept.mapInArrow(triples, "lang string, phrase string, n long"), 3)
+    return one.unionByName(two).unionByName(three), totals
 
 
 def score_of(a: str, left: str, right: str) -> Column:
@@ -245,13 +280,13 @@ def collocations(
     A common word begins a large share of all phrases: the joins with counts of parts are plain ones, whose skewed partitions Spark splits. The
     ``top`` rows are chosen within partitions first. ``filter_bits`` is a power of two.
     """
-    found = phrases(docs, text_col=text_col, lang_col=lang_col, least=least, shard_words=shard_words, filter_bits=filter_bits)
+    found, totals = phrases(docs, text_col=text_col, lang_col=lang_col, least=least, shard_words=shard_words, filter_bits=filter_bits)
     some = found.where("n_words > 1").select("lang", "n_words", "phrase", F.col("n").alias("a"))
     word = F.split("phrase", " ")
     join = lambda i, n: F.array_join(F.slice(word, i, n), " ")
     k = F.explode(F.sequence(F.lit(1), F.col("n_words") - 1)).alias("k")
     cuts = some.select("*", k).select("*", join(F.lit(1), F.col("k")).alias("_first"), join(F.col("k") + 1, F.col("n_words") - F.col("k")).alias("_rest"))
-    known = found.where("n_words between 1 and 2")
+    known = found.where("n_words < 3")
     for part, name in (("_first", "l"), ("_rest", "r")):
         counts = known.select(F.col("lang"), F.col("phrase").alias(part), F.col("n").alias(name))
         cuts = cuts.join(counts, ["lang", part])
@@ -262,5 +297,4 @@ def collocations(
     free = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("_around").isNull() | (F.col("_around") * 100 < F.col("a") * within))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     best = free.withColumn("rank", rank.cast("long")).where(F.col("rank") <= top)
-    totals = found.where("n_words = 0").select("lang", F.col("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

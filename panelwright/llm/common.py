@@ -46,10 +46,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a table with texts: Parquet in the shared folder, read back."""
+def written(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
+    """Cuts the lineage of a table with texts: Parquet in the shared folder, read back; ``group_bytes`` sets the size of row groups, of which a task holds one."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,6 +74,18 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(ROWS))
 
 
+@contextlib.contextmanager
+def rows_of_a_batch(spark: SparkSession, n: int) -> Iterator[None]:
+    """Within it, jobs send so many rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def give_back() -> None:
     """Returns what a finished task leaves unused in its Python worker to the system."""
     gc.collect()

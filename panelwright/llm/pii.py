@@ -36,8 +36,10 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{'|'.join((*MALE, *FEMALE))})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Surrogates may not be entities of the corpus for so many attempts; after more than the others, none is looked for.
-STRICT, ATTEMPTS = 12, 60
+#: Types whose surrogates have the same length and signs in the same places, so that there are only so many.
+FIXED = ("card", "phone", "ssn", "iban", "key")
+#: A form of these that has more entities than its possible surrogates by this is crowded.
+ROOM = 8
 
 
 def may_match(text: Column) -> Column:
@@ -67,17 +69,20 @@ def name_words(found: Column) -> Column:
     return F.split(F.regexp_extract(found, r"^\S+ (.+)$", 1), " ")
 
 
-def entities_of(found: Column) -> Column:
+def entities_of(found: Column, cut: Column | None = None) -> Column:
     """``type|entity`` strings of a match: what is written in other ways is one entity.
 
     E-mails count without case, numbers without separators; a name's last word is a
-    surname and the word before it a given name of the title's gender. A run of digits or an account number whose check
+    surname and the word before it a given name of the title's gender. Of a name in ``cut`` (lower-cased words) the first word is a
+    surname, and the second isn't part of it. A run of digits or an account number whose check
     digits are wrong is no entity.
     """
     kind = kind_of(found)
     gender = F.when(found.rlike(rf"^(?:{'|'.join(FEMALE)})\.? "), "f").otherwise("m")
     words = name_words(found)
-    surname = F.concat(F.lit("surname|"), F.lower(F.element_at(words, -1)))
+    whole = F.lit(True) if cut is None else ~F.array_contains(cut, F.lower(F.array_join(words, " ")))
+    last = F.when(whole, F.element_at(words, -1)).otherwise(F.element_at(words, 1))
+    surname = F.concat(F.lit("surname|"), F.lower(last))
     given = F.concat(F.lit("given-"), gender, F.lit("|"), F.lower(F.element_at(words, 1)))
     plain = F.when(kind == "email", ascii_lower(found)).when(kind.isin("card", "phone", "ssn", "iban"), F.regexp_replace(found, "[^0-9A-Za-z]", "")).otherwise(found)
     none = F.array().cast("array<string>")
@@ -85,24 +90,50 @@ def entities_of(found: Column) -> Column:
         F.when((kind == "card") & (luhn(plain, F.length(plain)) != 0), none)
         .when((kind == "iban") & (account_rest(plain) != 1), none)
         .when(kind != "name", F.array(F.concat(kind, F.lit("|"), plain)))
-        .when(F.size(words) > 1, F.array(surname, given))
+        .when((F.size(words) > 1) & whole, F.array(surname, given))
         .otherwise(F.array(surname))
     )
 
 
+def surnames_before_words(matches: DataFrame) -> DataFrame:
+    """``pair`` (lower-cased) of the names of two words whose first is a surname followed by another word that begins a sentence or is a noun.
+
+    The corpus tells: the first word stands alone after a title somewhere, and the second never does; and the first is no
+    known given name. ``matches`` has ``match``. Each distinct pair is looked at once.
+    """
+    names = matches.where(kind_of(F.col("match")) == "name").select(F.lower(F.array_join(name_words(F.col("match")), " ")).alias("pair")).distinct()
+    alone = names.where(~F.col("pair").contains(" ")).select(F.col("pair").alias("alone"))
+    known = sorted({w.lower() for some in GIVEN.values() for w in some})
+    two = names.where(F.col("pair").contains(" ")).withColumn("_a", F.substring_index("pair", " ", 1)).withColumn("_b", F.substring_index("pair", " ", -1)).where(~F.col("_a").isin(*known))
+    return two.join(alone, F.col("_a") == F.col("alone"), "left_semi").join(alone, F.col("_b") == F.col("alone"), "left_anti").select("pair")
+
+
 def digest(key: str, entity: Column, attempt: Column) -> Column:
     return F.sha2(F.concat(F.lit(key + "|"), attempt.cast("string"), F.lit("|"), entity), 512)
 
 
+def kept_in_front(kind: Column) -> Column:
+    """Characters of the ``FIXED`` types that stay, or are check digits made anew."""
+    return F.when(kind == "card", 1).when(kind == "phone", 2).when(kind.isin("iban", "key"), 4).otherwise(0)
+
+
 def drawn_from(key: str, entities: DataFrame) -> DataFrame:
-    """``entity, attempt`` with what their surrogates are made of."""
-    kind, text = F.substring_index("entity", "|", 1), F.expr("substr(entity, instr(entity, '|') + 1)")
+    """``entity, attempt`` with what their surrogates are made of.
+
+    ``moved`` is the next one of the form after the open part of a ``FIXED`` type, or after an e-mail's domain without its ending.
+    """
+    rows = entities.select("entity", "attempt", F.substring_index("entity", "|", 1).alias("kind"), F.expr("substr(entity, instr(entity, '|') + 1)").alias("text"))
+    kind, text = F.col("kind"), F.col("text")
     domain = F.substring_index(text, "@", -1)
-    return entities.select(
-        "entity", "attempt", kind.alias("kind"), text.alias("text"), domain.alias("domain"),
-        digest(key, F.col("entity"), F.col("attempt")).alias("stream"),
-        digest(key, F.concat(F.lit("domain|"), domain), F.lit(0)).alias("domain_stream"),
-    )
+    ending = F.substring_index(domain, ".", -1)
+    kept = kept_in_front(kind)
+    size = F.length(text) - kept - F.when(kind == "card", 1).otherwise(0)
+    mail = kind == "email"
+    open_ = F.when(mail, F.substr(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)).when(kind.isin(*FIXED), F.substr(text, kept + 1, size))
+    # A domain is replaced alike in all of its addresses, whatever their attempt.
+    front = F.when(mail, F.concat(F.lit("domain|"), ending)).otherwise(F.concat_ws("|", kind, F.col("attempt").cast("string"), F.substr(text, F.lit(1), kept)))
+    rows = rows.withColumns({"stream": digest(key, F.col("entity"), F.col("attempt")), "domain": domain, "_open": open_, "_front": front})
+    return rows.withColumn("moved", F.when(F.col("_open").isNotNull(), moved_on(key, F.col("_open"), F.col("_front")))).drop("_open", "_front")
 
 
 def drawn(stream: Column, i: Column) -> Column:
@@ -131,6 +162,45 @@ def like(stream: Column, text: Column, skip: Column | int = 0, hexed: Column | b
     return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise("")
 
 
+def turned(text: Column, stream: Column, sign: int) -> Column:
+    """Each digit and letter moved on (or back) among its like by the numbers of a digest; other characters stay."""
+
+    def one(i: Column) -> Column:
+        c, h = F.substr(text, i, F.lit(1)), drawn(stream, i - 1) * sign
+        move = lambda letters: F.substr(F.lit(letters), F.pmod(F.instr(F.lit(letters), c) - 1 + h, F.lit(len(letters))) + 1, F.lit(1))
+        return F.when(c.between("0", "9"), move("0123456789")).when(c.between("a", "z"), move(LOWER)).when(c.between("A", "Z"), move(UPPER)).otherwise(c)
+
+    return F.when(F.length(text) > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.length(text)), one), "")).otherwise("")
+
+
+def once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def moved_on(key: str, text: Column, tweak: Column) -> Column:
+    """The next one after ``text`` in a keyed order of all texts with digits and letters in the same places.
+
+    A Feistel network gives the order: in each round one half is moved by a digest of the other, so two texts never have one successor, none is
+    its own, and there is no search, however many are in use. ``tweak`` gives other orders.
+    """
+    stream = lambda k, half: F.sha2(F.concat_ws("|", F.lit(key), tweak, k.cast("string"), half), 512)
+    pair = lambda a, b: F.struct(a.alias("a"), b.alias("b"))
+    there = lambda at, k: pair(at["b"], turned(at["a"], stream(k, at["b"]), 1))
+    back = lambda at, k: pair(turned(at["b"], stream(k, at["a"]), -1), at["a"])
+    half = F.floor(F.length(text) / 2).cast("int")
+    first = pair(F.substr(text, F.lit(1), half), F.substr(text, half + 1, F.length(text)))
+    next_ = lambda t: F.concat(F.substr(t, F.lit(1), F.length(t) - 1), turned(F.substr(t, F.length(t), F.lit(1)), F.lit("0001"), 1))
+    size = F.length(text) - half
+
+    def end(at: Column) -> Column:
+        # After an even number of rounds the halves are where they were.
+        return once(pair(at["a"], next_(at["b"])), lambda x: F.aggregate(F.sequence(F.lit(3), F.lit(0), F.lit(-1)), x, back))
+
+    found = once(F.aggregate(F.sequence(F.lit(0), F.lit(3)), first, there), end)
+    return F.when(size > 0, once(found, lambda x: F.concat(x["a"], x["b"]))).otherwise(text)
+
+
 def luhn(digits: Column, n: Column) -> Column:
     """The Luhn sum modulo 10 of ``n`` digits, the last of which counts once."""
 
@@ -160,28 +230,26 @@ def from_list(words: tuple[str, ...], h: Column) -> Column:
 def surrogate() -> Column:
     """The replacement, from the columns of ``drawn_from``: of the same type and form, another one for each attempt.
 
-    Later attempts lengthen names, e-mail addresses and secrets, so that short ones don't run out.
+    Later attempts lengthen names, e-mail addresses and secrets, so that short ones don't run out. The types in ``FIXED`` have the next one in a keyed order
+    of their form, so that two of them never have one surrogate at the same attempt.
 
-    A card number keeps its first digit and its Luhn remainder, a phone number its first two digits, a public
-    address stays public, an account number keeps its country and has right check digits, a key keeps its prefix, a hexadecimal secret stays so,
-    an e-mail's domain changes as one and keeps its ending. Names keep gender and script.
+    A card number keeps its first digit and its Luhn remainder, a phone number its first two digits,
+    an account number keeps its country and has right check digits, a key keeps its prefix, a hexadecimal secret stays so,
+    an e-mail's domain keeps its ending and is replaced as one, by one that no other domain has. Names keep gender and script.
     """
     kind, text, stream, domain, attempt = (F.col(c) for c in ("kind", "text", "stream", "domain", "attempt"))
     n = F.length(text)
     h = [drawn(stream, F.lit(i)) for i in range(8)]
 
+    moved = F.col("moved")
     ending = F.substring_index(domain, ".", -1)
-    inner = F.substr(domain, F.lit(1), F.length(domain) - F.length(ending))
     longer = F.substr(stream, F.lit(65), F.greatest(attempt - 3, F.lit(0)))
-    email = F.concat(like(stream, F.substring_index(text, "@", 1)), longer, F.lit("@"), like(F.col("domain_stream"), inner), ending)
+    email = F.concat(like(stream, F.substring_index(text, "@", 1)), longer, F.lit("@"), moved, F.lit("."), ending)
 
-    octet = lambda i: (h[i] % 254 + 1).cast("string")
-    ip = F.concat_ws(".", (h[0] % 90 + 11).cast("string"), octet(1), octet(2), octet(3))
-
-    body = F.concat(F.substr(like(stream, text, 1), F.lit(1), n - 1), F.lit("0"))
+    body = F.concat(F.substr(text, F.lit(1), F.lit(1)), moved, F.lit("0"))
     card = F.concat(F.substr(body, F.lit(1), n - 1), ((luhn(text, n) - luhn(body, n) + 10) % 10).cast("string"))
 
-    inside = F.substr(like(stream, text, 4), F.lit(5), n)
+    inside = moved
     country = F.substr(text, F.lit(1), F.lit(2))
     iban = F.concat(country, F.lpad((98 - account_rest(F.concat(country, F.lit("00"), inside))).cast("string"), 2, "0"), inside)
 
@@ -195,10 +263,10 @@ def surrogate() -> Column:
     )
     return (
         F.when(kind == "email", email)
-        .when(kind == "ip", ip)
         .when(kind == "card", card)
-        .when(kind == "phone", like(stream, text, 2))
-        .when(kind == "key", like(stream, text, 4))
+        .when(kind == "ssn", moved)
+        .when(kind == "phone", F.concat(F.substr(text, F.lit(1), F.lit(2)), moved))
+        .when(kind == "key", F.concat(F.substr(text, F.lit(1), F.lit(4)), moved))
         .when(kind == "iban", iban)
         .when(kind == "surname", surname)
         .when(kind == "given-m", given("m"))
@@ -222,53 +290,87 @@ def dressed(found: Column, plain: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(found)), F.struct(F.lit("").alias("out"), F.lit(0).alias("k")), step)["out"]
 
 
-PRIVATE = r"^ip\|(?:10|127|192\.168)\."
+#: First octets of addresses that are neither private nor special, nor begin a private range.
+PUBLIC = tuple(str(o) for o in range(1, 224) if o not in (10, 127, 169, 172, 192))
 
 
-def private_address(key: str, entity: Column) -> Column:
-    """The surrogate of a private address: the next one of its range in a keyed order of all of them.
+def address(key: str, text: Column) -> Column:
+    """The surrogate of an address: the next one in a keyed order of its range, so that addresses keep apart however many there are.
 
-    The order is a Feistel network over what the range leaves open, 16 or 24 bits; so addresses keep apart however many there are
-    and none stays itself, but a surrogate may be an address that the corpus has as well.
+    10/8, 127/8, 172.16/12, 192.168/16 and 169.254/16 stay within themselves. Of the rest of 169/8, 172/8 and 192/8 the first two octets stay, of
+    0/8 and 224/3 the first. All others are one range of their first octets and the other three.
+    The order is a Feistel network over what the range leaves open. A surrogate may be an address that the corpus has as well.
     """
-    octets = F.transform(F.split(F.substring_index(entity, "|", -1), r"\."), lambda o: o.cast("int"))
-    wide = F.when(entity.startswith("ip|192.168."), 8).otherwise(12)
-    range_ = F.when(wide == 8, F.lit("192.168")).otherwise(F.split(F.substring_index(entity, "|", -1), r"\.")[0])
-    size = F.when(wide == 8, 256).otherwise(4096)
-
-    def mark(number: Column, half: Column) -> Column:
-        text = F.concat_ws("|", F.lit(key), range_, number.cast("string"), half.cast("string"))
-        return F.conv(F.substr(F.sha2(text, 256), F.lit(1), F.lit(4)), 16, 10).cast("int") % size
-
-    def once(value: Column, use) -> Column:
-        return F.element_at(F.transform(F.array(value), use), 1)
-
-    pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
-    there = lambda at, k: pair(at["b"], at["a"].bitwiseXOR(mark(k, at["b"])))
-    back = lambda at, k: pair(at["b"].bitwiseXOR(mark(k, at["a"])), at["a"])
-    start = once(octets, lambda o: F.when(wide == 8, o[2] * 256 + o[3]).otherwise((o[1] * 256 + o[2]) * 256 + o[3]))
-    halves = lambda n: pair(n / size, n % size)
-    after = once(once(start, lambda n: F.aggregate(F.sequence(F.lit(0), F.lit(3)), halves(n), there)), lambda at: (at["a"] * size + at["b"] + 1) % (size * size))
-    found = once(once(after, lambda n: F.aggregate(F.sequence(F.lit(3), F.lit(0), F.lit(-1)), halves(n), back)), lambda at: at["a"] * size + at["b"])
-    last = lambda n: F.concat_ws(".", range_, *[F.when((wide == 12) | F.lit(i < 2), (F.shiftright(n, 8 * i) % 256).cast("string")) for i in (2, 1, 0)])
-    return once(found, last)
+    octets = F.transform(F.split(text, r"\."), lambda o: o.cast("int"))
+
+    def found(o: Column) -> Column:
+        twelve = (o[0] == 172) & o[1].between(16, 31)
+        bits = F.when(twelve, 20).when(o[0].isin(169, 172, 192), 16).otherwise(24)
+        range_ = F.when(twelve, F.lit("172.16")).when(o[0].isin(169, 172, 192), F.concat_ws(".", o[0].cast("string"), o[1].cast("string")))
+        range_ = range_.when(o[0].isin(*map(int, PUBLIC)), F.lit("public")).otherwise(o[0].cast("string"))
+        number = F.when(bits == 20, ((o[1] - 16) * 256 + o[2]) * 256 + o[3]).when(bits == 16, o[2] * 256 + o[3]).otherwise((o[1] * 256 + o[2]) * 256 + o[3])
+        size = F.when(bits == 20, 1024).when(bits == 16, 256).otherwise(4096)
+        return once(F.struct(o.alias("o"), bits.alias("bits"), range_.alias("range"), number.alias("n"), size.alias("size")), moved)
+
+    def moved(x: Column) -> Column:
+        size = x["size"]
+
+        def mark(number: Column, half: Column) -> Column:
+            text = F.concat_ws("|", F.lit(key), x["range"], number.cast("string"), half.cast("string"))
+            return F.conv(F.substr(F.sha2(text, 256), F.lit(1), F.lit(4)), 16, 10).cast("int") % size
+
+        pair = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+        there = lambda at, k: pair(at["b"], at["a"].bitwiseXOR(mark(k, at["b"])))
+        back = lambda at, k: pair(at["b"].bitwiseXOR(mark(k, at["a"])), at["a"])
+        halves = lambda n: pair(n / size, n % size)
+        after = once(F.aggregate(F.sequence(F.lit(0), F.lit(3)), halves(x["n"]), there), lambda at: (at["a"] * size + at["b"] + 1) % (size * size))
+        new = once(once(after, lambda n: F.aggregate(F.sequence(F.lit(3), F.lit(0), F.lit(-1)), halves(n), back)), lambda at: at["a"] * size + at["b"])
+        return once(new, lambda n: shown(x, n))
+
+    def shown(x: Column, n: Column) -> Column:
+        octet = lambda i: (F.shiftright(n, 8 * i) % 256).cast("string")
+        o, places = x["o"], F.array(*[F.lit(p) for p in PUBLIC])
+        turn = F.conv(F.substr(F.sha2(F.concat_ws("|", F.lit(key), F.lit("first"), n.cast("string")), 256), F.lit(1), F.lit(4)), 16, 10).cast("int")
+        first = F.when(x["range"] == "public", F.get(places, F.pmod(F.array_position(places, o[0].cast("string")).cast("int") - 1 + turn, F.lit(len(PUBLIC))))).otherwise(o[0].cast("string"))
+        second = F.when(x["bits"] == 16, o[1].cast("string")).when(x["bits"] == 20, (F.shiftright(n, 16) + 16).cast("string")).otherwise(octet(2))
+        return F.concat_ws(".", first, second, octet(1), octet(0))
+
+    return once(octets, found)
+
+
+def crowded(entities: DataFrame) -> DataFrame:
+    """``entity`` of the ``FIXED`` types whose form has more than one entity for ``ROOM`` possible surrogates."""
+    kind, text = F.substring_index("entity", "|", 1), F.expr("substr(entity, instr(entity, '|') + 1)")
+    kept = kept_in_front(kind)
+    mask = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, "[0-9]", "0"), "[a-z]", "a"), "[A-Z]", "A")
+    open_ = F.substr(mask, kept + 1, F.length(mask) - kept - F.when(kind == "card", 1).otherwise(0))
+    start = F.when(kind == "iban", F.substr(text, F.lit(1), F.lit(2))).otherwise(F.substr(text, F.lit(1), kept))
+    places = F.exp(F.length(F.regexp_replace(open_, "[^0]", "")) * F.log(F.lit(10.0)) + F.length(F.regexp_replace(open_, "[^aA]", "")) * F.log(F.lit(26.0)))
+    forms = entities.where(kind.isin(*FIXED)).select("entity", F.concat_ws("|", kind, start, open_).alias("form"), places.alias("places"))
+    full = forms.groupBy("form").agg(F.count("*").alias("n"), F.first("places").alias("places")).where(F.col("n") * ROOM > F.col("places")).select("form")
+    return forms.join(full, "form", "left_semi").select("entity")
 
 
 def surrogates(key: str, entities: DataFrame) -> DataFrame:
     """``entity, made`` with a surrogate of its own for each of the corpus's entities.
 
     An entity goes on to its next attempt if its surrogate belongs to another entity already, by an earlier attempt
-    or as the first by name, or is itself one of the corpus's entities of its type. After ``STRICT`` attempts only the
-    former counts. Only entities that are still open are tried again. Private addresses need no attempts (``private_address``).
+    or as the first by name, or is itself one of the corpus's entities of its type. Only entities that are still open are tried again.
+    Addresses (``address``) and entities of crowded forms need no attempts and no such check: an order of all of their form gives each its own. In other
+    forms at most a quarter of the possible surrogates is ever in use, and names, e-mails and secrets grow longer, so each attempt
+    settles most of what is open, and the rounds grow with the logarithm of the entities.
     """
-    lan = F.col("entity").rlike(PRIVATE)
-    done = [entities.where(lan).select("entity", private_address(key, F.col("entity")).alias("made"), F.lit(None).cast("string").alias("form"))]
-    open_ = entities.where(~lan).withColumn("attempt", F.lit(0))
-    for number in range(ATTEMPTS):
+    kind = F.substring_index("entity", "|", 1)
+    full = written(crowded(entities))
+    made = drawn_from(key, full.withColumn("attempt", F.lit(0))).select("entity", surrogate().alias("made"))
+    done = [entities.where(kind == "ip").select("entity", address(key, F.substring_index("entity", "|", -1)).alias("made"), F.lit(None).cast("string").alias("form"))]
+    done.append(made.withColumn("form", F.lit(None).cast("string")))
+    open_ = entities.where(kind != "ip").join(full, "entity", "left_anti").withColumn("attempt", F.lit(0))
+    while True:
         lowered = F.when(F.col("kind").isin("surname", "given-m", "given-f"), F.lower("made")).otherwise(F.col("made"))
         made = drawn_from(key, open_).withColumn("made", surrogate())
         made = written(made.select("entity", "attempt", "made", F.concat("kind", F.lit("|"), lowered).alias("form")))
-        taken = [d.select(F.col("form").alias("taken")) for d in done[1:]] + ([entities.select(F.col("entity").alias("taken"))] if number < STRICT else [])
+        taken = [d.select(F.col("form").alias("taken")) for d in done[2:]] + [entities.select(F.col("entity").alias("taken"))]
         free = made.groupBy("form").agg(F.min("entity").alias("owner"))
         for forms in taken:
             free = free.join(forms, F.col("form") == F.col("taken"), "left_anti")
@@ -276,7 +378,6 @@ def surrogates(key: str, entities: DataFrame) -> DataFrame:
         open_ = written(made.join(done[-1].select(F.col("entity").alias("settled")), F.col("entity") == F.col("settled"), "left_anti").select("entity", (F.col("attempt") + 1).alias("attempt")))
         if not open_.limit(1).count():
             return reduce(DataFrame.unionByName, done).select("entity", "made")
-    raise RuntimeError(f"surrogates still clash after {ATTEMPTS} attempts")
 
 
 def replace_pii(docs: DataFrame, key: str, *, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -295,7 +396,13 @@ def replace_pii(docs: DataFrame, key: str, *, keep: list[str], text_col: str = "
     none = F.array().cast("array<string>")
     found = F.when(may_match(F.col("_text")), F.regexp_extract_all("_text", F.lit(ANY), F.lit(0)))
     rows = written(rows.withColumn("_m", F.coalesce(found, none)).withColumn("_row", F.monotonically_increasing_id()))
-    marked = rows.where(F.size("_m") > 0).withColumn("_e", F.transform("_m", entities_of)).withColumn("_n", F.size(F.filter("_e", lambda e: F.size(e) > 0)))
+    hit = rows.where(F.size("_m") > 0)
+    # Names of two words whose second isn't part of them, by row.
+    named = hit.select("_row", F.explode("_m").alias("match")).where(kind_of(F.col("match")) == "name")
+    cuts = written(surnames_before_words(named))
+    of_row = named.select("_row", F.lower(F.array_join(name_words(F.col("match")), " ")).alias("pair")).distinct().join(cuts, "pair").groupBy(F.col("_row").alias("_cut_row")).agg(F.collect_set("pair").alias("_cut"))
+    marked = hit.join(of_row, F.col("_row") == F.col("_cut_row"), "left").drop("_cut_row").withColumn("_cut", F.coalesce("_cut", none))
+    marked = marked.withColumn("_e", F.transform("_m", lambda m: entities_of(m, F.col("_cut")))).withColumn("_n", F.size(F.filter("_e", lambda e: F.size(e) > 0)))
 
     own = marked.select("_row", F.explode(F.array_distinct(F.flatten("_e"))).alias("entity"))
     made = surrogates(key, written(own.select("entity").distinct()))
@@ -306,8 +413,9 @@ def replace_pii(docs: DataFrame, key: str, *, keep: list[str], text_col: str = "
         kind = F.substring_index(F.get(ids, 0), "|", 1)
         first, title = F.element_at("_made", F.get(ids, 0)), F.regexp_extract(match, r"^(\S+ )", 1)
         given = F.when(F.size(ids) > 1, F.concat(F.element_at("_made", F.try_element_at(ids, F.lit(-1))), F.lit(" "))).otherwise("")
+        rest = F.when((F.size(ids) == 1) & (F.size(name_words(match)) > 1), F.concat(F.lit(" "), F.element_at(name_words(match), -1))).otherwise("")
         alike = kind.isin("email", "card", "phone", "ssn", "iban") & ((kind != "email") | (F.length(first) == F.length(match)))
-        return F.when(F.size(ids) == 0, match).when(kind == "surname", F.concat(title, given, first)).when(alike, dressed(match, first)).otherwise(first)
+        return F.when(F.size(ids) == 0, match).when(kind == "surname", F.concat(title, given, first, rest)).when(alike, dressed(match, first)).otherwise(first)
 
     parts = F.split("_text", ANY, -1)
     found = found.withColumn("_new", F.zip_with("_m", "_e", placed))

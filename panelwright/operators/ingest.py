@@ -24,12 +24,14 @@ def scan(spark: SparkSession, root: str, suffixes: tuple[str, ...] = SUFFIXES) -
     )
 
 
-def path_date(name: Column) -> Column:
-    return F.nullif(F.regexp_extract(name, r"(\d{4}-\d{2}-\d{2})", 1), F.lit(""))
+#: A date in brackets, maybe with a time, and the title after it. Fixed value.
+DATED_NAME = r"\[(\d{4}-\d{2}-\d{2})(?:-\d{4})?\](.+)"
 
 
-def path_title(name: Column) -> Column:
-    return F.nullif(F.trim(F.regexp_replace(name, r"^\[?\d{4}-\d{2}-\d{2}[^\]]*\]?", "")), F.lit(""))
+def path_parts(stem: Column, parent: Column) -> tuple[Column, Column]:
+    """Date and title from a file's name, or else from its folder's; a file of neither has no date, and its name as the title."""
+    name = F.when(stem.rlike(DATED_NAME), stem).when(parent.rlike(DATED_NAME), parent)
+    return F.regexp_extract(name, DATED_NAME, 1), F.coalesce(F.trim(F.regexp_extract(name, DATED_NAME, 2)), F.trim(stem))
 
 
 def article_key(stem: Column) -> Column:
@@ -106,16 +108,17 @@ def parsed(files: DataFrame) -> DataFrame:
     pages = pages.select(F.col("relative_path").alias("_path"), F.col("title").alias("_title"), F.col("source_url").alias("_url"), F.col("text").alias("_text"), F.col("error").alias("_error"))
     rows = files.join(pages, F.col("relative_path") == F.col("_path"), "left")
     parent = F.regexp_extract("relative_path", r"([^/]+)/[^/]+$", 1)
-    md, js = F.col("suffix") == ".md", F.col("suffix") == ".json"
+    path_date, path_title = path_parts(F.col("stem"), parent)
+    md, js = F.col("suffix").isin(".md", ".markdown"), F.col("suffix") == ".json"
     h1 = F.nullif(F.regexp_extract("raw", r"(?m)^\s*#\s+(.+?)\s*$", 1), F.lit(""))
-    day = F.regexp_extract_all(F.substring("raw", 1, 1500), F.lit(r"(\d{4})[年-](\d{2})[月-](\d{2})"), F.lit(0))
-    md_date = F.regexp_replace(F.try_element_at(day, F.lit(1)), "[年月]", "-")
+    day = F.regexp_extract_all(F.substring("raw", 1, 1500), F.lit(r"\d{4}年\d{2}月\d{2}日"), F.lit(0))
+    md_date = F.translate(F.try_element_at(day, F.lit(1)), "年月日", "--")
     broken = js & F.try_parse_json("raw").isNull()
     text = F.when(broken, "[PARSE_ERROR] malformed JSON").when(js, F.coalesce(first_json(F.col("raw"), ("text", "content", "body", "article")), F.col("raw"))).otherwise(F.coalesce("_text", "raw"))
     return rows.select(
         "article_id", article_key(F.col("stem")).alias("article_key"), "relative_path", "suffix", "size_bytes", "sha256",
-        F.coalesce(F.when(md, md_date), F.when(js, first_json(F.col("raw"), ("publish_date", "date", "published_at", "time"))), path_date(F.col("stem")), path_date(parent)).alias("publish_date"),
-        F.coalesce(F.when(md, h1), F.when(js, first_json(F.col("raw"), ("title", "name"))), F.col("_title"), path_title(F.col("stem")), F.col("stem")).alias("title"),
+        F.coalesce(F.when(md, md_date), F.when(js, first_json(F.col("raw"), ("publish_date", "date", "published_at", "time"))), path_date).alias("publish_date"),
+        F.coalesce(F.when(md, h1), F.when(js, first_json(F.col("raw"), ("title", "name"))), F.col("_title"), path_title).alias("title"),
         text.alias("text"), F.coalesce(F.when(js, first_json(F.col("raw"), ("source_url", "url", "link"))), F.col("_url")).alias("source_url"),
         (F.col("_error").isNotNull() | broken).alias("failed"),
     )
@@ -131,7 +134,7 @@ def canonical(articles: DataFrame) -> DataFrame:
     same = articles.groupBy(F.col("sha256").alias("_hash")).agg(F.count("*").alias("_n"), F.min_by("article_id", F.split("relative_path", "/")).alias("_first")).where("_n > 1")
     rows = articles.join(same.drop("_n"), F.col("sha256") == F.col("_hash"), "left").drop("_hash")
     rows = rows.withColumn("duplicate_of", F.when(F.col("_first") != F.col("article_id"), F.col("_first"))).drop("_first")
-    order = F.when(F.col("suffix") == ".md", 0).when(F.col("suffix").isin(".html", ".htm"), 1).when(F.col("suffix") == ".json", 2).otherwise(3)
+    order = F.when(F.col("suffix").isin(".md", ".markdown"), 0).when(F.col("suffix").isin(".html", ".htm"), 1).when(F.col("suffix") == ".json", 2).otherwise(3)
     by = Window.partitionBy("article_key")
     ranked = by.orderBy(F.col("failed"), order, F.col("duplicate_of").isNotNull(), "relative_path")
     rows = rows.withColumn("is_canonical", F.row_number().over(ranked) == 1).withColumn("canonical_article_id", F.first("article_id").over(ranked))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.operators import asof, ranges, rolling
+from panelwright.operators import asof, ingest, ranges, rolling
 from panelwright.plans.registry import query, table
 from panelwright.sources import io
 from panelwright.streaming import refresh
@@ -105,3 +105,54 @@ def variant_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     level = F.when(F.col("event_id") % 5 == 0, F.lit('"high"')).otherwise((F.col("event_id") % 100).cast("string"))
     text = F.concat(F.lit('{"data": [{"level": '), level, F.lit(', "body": {'), k, F.lit('"type": "'), "event_type", F.lit('"}}]}'))
     return io.flattened_variant(io.variant_rows(events.select("event_id", text.alias("text")), "text", "data"))
+
+
+BODY = "translate(coalesce(text, ''), '0123456789#', '')"
+
+
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 5 AS kind, '2022-03-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS day, {BODY} AS body FROM documents)
+SELECT CASE kind WHEN 0 THEN 'y/[2021-01-05-0930]t ' || doc_id || '.md' WHEN 1 THEN 'a/[2020-05-06]x/t' || doc_id || '.md' WHEN 2 THEN 'a/[2021-01-05]t' || doc_id || '.json' WHEN 3 THEN 'a/[2020-05-06-1200] folder /t' || doc_id || '.json'
+    ELSE 'a/2019-12-31 note ' || doc_id || '.txt' END AS relative_path,
+  CASE kind WHEN 0 THEN '[2021-01-05-0930]t' || doc_id WHEN 1 THEN 't' || doc_id WHEN 2 THEN '[2021-01-05]t' || doc_id WHEN 3 THEN 't' || doc_id ELSE '2019-12-31note' || doc_id END AS article_key,
+  CASE kind WHEN 0 THEN day WHEN 2 THEN day WHEN 4 THEN NULL ELSE '2020-05-06' END AS publish_date,
+  CASE kind WHEN 0 THEN 'Head ' || doc_id WHEN 1 THEN 'x' WHEN 2 THEN 'Name ' || doc_id WHEN 3 THEN 'folder' ELSE '2019-12-31 note ' || doc_id END AS title,
+  sha256(CASE kind WHEN 0 THEN '# Head ' || doc_id || chr(10) || '_' || substr(day, 1, 4) || '年' || substr(day, 6, 2) || '月' || substr(day, 9, 2) || '日 09:30_' || chr(10) || body WHEN 3 THEN '[PARSE_ERROR] malformed JSON' ELSE body END) AS text_sha256,
+  CASE WHEN kind = 2 THEN 'u' || doc_id END AS source_url, kind = 3 AS failed FROM d""")
+def parsed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of all kinds, some broken, as articles: titles and dates from within, else from the path or its folder."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("d"), (F.col("doc_id") % 5).alias("kind"), F.expr(BODY).alias("body"), F.concat(F.lit("2022-03-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")).alias("day"))
+    of = lambda *some: F.when(F.col("kind") == 0, some[0]).when(F.col("kind") == 1, some[1]).when(F.col("kind") == 2, some[2]).when(F.col("kind") == 3, some[3]).otherwise(some[4])
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    path = of(text("y/[2021-01-05-0930]t ", F.col("d"), ".md"), text("a/[2020-05-06]x/t", F.col("d"), ".md"), text("a/[2021-01-05]t", F.col("d"), ".json"), text("a/[2020-05-06-1200] folder /t", F.col("d"), ".json"), text("a/2019-12-31 note ", F.col("d"), ".txt"))
+    part = lambda at, n: F.substring("day", at, n)
+    head = text("# Head ", F.col("d"), "\n_", part(1, 4), "年", part(6, 2), "月", part(9, 2), "日 09:30_\n", F.col("body"))
+    good = F.to_json(F.struct(F.col("day").alias("date"), text("Name ", F.col("d")).alias("name"), F.col("body").alias("article"), text("u", F.col("d")).alias("link")))
+    files = d.select(path.alias("relative_path"), of(head, F.col("body"), good, F.lit('{"title": '), F.col("body")).alias("raw"))
+    files = files.select(
+        "relative_path", F.lower(F.regexp_extract("relative_path", r"(\.[^./]+)$", 1)).alias("suffix"), F.regexp_extract("relative_path", r"([^/]+?)\.[^./]+$", 1).alias("stem"),
+        F.octet_length("raw").cast("long").alias("size_bytes"), F.sha2("raw", 256).alias("sha256"), F.sha1(F.col("relative_path").cast("binary")).alias("article_id"), "raw",
+    )
+    found = ingest.parsed(files).withColumn("text_sha256", F.sha2("text", 256))
+    return ingest.manifest(found).select("relative_path", "article_key", "publish_date", "title", "text_sha256", "source_url", "failed")
+
+
+@query("""SELECT o_orderkey, o_totalprice AS price, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS status, CASE WHEN o_orderkey % 2 = 1 THEN o_orderstatus END AS note, o_orderkey % 2 AS half FROM orders""")
+def label_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two label files with a byte order mark and different columns, written and read as one table."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"), F.col("o_orderpriority").alias("status"), F.col("o_orderstatus").alias("note"))
+    paths = []
+    for half, gone in ((0, "note"), (1, "status")):
+        paths.append(io.shared_path(spark, f"labels{half}"))
+        io.write_csv(orders.where(F.col("o_orderkey") % 2 == half).drop(gone), paths[-1])
+    found = io.read_label_files(spark, paths, "o_orderkey bigint, price double")
+    return found.select("o_orderkey", "price", "status", "note", (F.col("o_orderkey") % 2).alias("half"))
+
+
+@query("""SELECT c_custkey, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN c_acctbal END AS balance, CASE WHEN c_custkey % 3 <> 0 THEN c_mktsegment END AS segment FROM customer""")
+def differing_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet parts of which some lack a column, as one table."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    path = io.shared_path(spark, "parts")
+    rows.where("c_custkey % 3 = 0").drop("segment").write.parquet(path)
+    rows.where("c_custkey % 3 <> 0").drop("balance").write.mode("append").parquet(path)
+    return io.read_parts(spark, path).select("c_custkey", "name", "balance", "segment")

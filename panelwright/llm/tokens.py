@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import small_batches, with_columns, written
 
 SPACE = "▁"
+#: Longer pre-tokens, in characters, are never sent to all tasks nor counted on the way to it.
+LONGEST = 48
 
 
 def pre_tokens(text: str) -> list[str]:
@@ -62,9 +64,9 @@ def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text_col: str =
     """The columns ``keep`` of each row with ``_bytes`` (UTF-8) and ``_tokens``.
 
     ``path`` is the model's, the same on every machine. Each distinct pre-token is encoded
-    once. Those that some task meets ``least`` times, the ``common`` most frequent of them
-    at most, are sent to all tasks, so their size is bounded, and are summed where the
-    text is read. All others go, with the row and how often it has them, to the task that holds the
+    once. Those of ``LONGEST`` characters at most that some task meets ``least`` times, the ``common`` most frequent of them
+    at most, are sent to all tasks, which is 38 MB of text at most (200,000 of 48 characters of 4 bytes), and are summed where the
+    text is read. All others, long runs without a space among them, go, with the row and how often it has them, to the task that holds the
     pre-token; there each is encoded once, and the products are summed by row. A row
     is told apart by its place in the input, so repeated rows and null ids are counted
     each for itself. Null and empty texts have 0 bytes and 0 tokens.
@@ -75,10 +77,10 @@ def count_tokens(docs: DataFrame, path: str, *, keep: list[str], text_col: str =
         for batch in batches:
             for text in batch.column("_text").to_pylist():
                 if text:
-                    seen.update(pre_tokens(text))
-            if len(seen) > 1_000_000:
-                yield counted(seen)
-                seen = Counter()
+                    seen.update(p for p in pre_tokens(text) if len(p) <= LONGEST)
+                if len(seen) > 500_000:
+                    yield counted(seen)
+                    seen = Counter()
         yield counted(seen)
 
     def counted(seen: Counter) -> pa.RecordBatch:

@@ -227,3 +227,19 @@ def test_hashes_of_phrases_are_the_engine_s(spark):
     hashes = np.array([collocations.hash_of(w) for p in pairs for w in p], np.uint64)
     mine = collocations.mixed("en", hashes, np.array([0, 2, 4]), np.array([1, 3, 5]))
     assert [int(h) for h in mine.astype(np.int64)] == got
+
+
+def test_long_pre_tokens_are_counted_and_not_sent(spark, model, monkeypatch):
+    from pyspark import SparkContext
+
+    from panelwright.llm import tokens
+
+    random.seed(7)
+    long_ = ["".join(chr(random.randrange(0x4E00, 0x9FA0)) for _ in range(20_000)) for _ in range(4)]
+    texts = [t for t in long_ for _ in range(9)] + ["the cat sat"] * 9 + [None, ""]
+    sent = []
+    real = SparkContext.broadcast
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(value) or real(self, value))
+    got = tokens.count_tokens(rows(spark, texts), PATH, keep=["doc_id"]).collect()
+    assert {r["doc_id"]: r["_tokens"] for r in got} == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
+    assert [k for k in sent if isinstance(k, dict)] == [{"the": 1, "cat": 1, "sat": 1}]

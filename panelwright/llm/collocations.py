@@ -224,7 +224,7 @@ def phrases(docs: DataFrame, *, text_col: str, lang_col: str, least: int, shard_
     small_batches(spark)
     lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
     rows = docs.select(lang.alias("_lang"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
-    shards = written(rows.mapInArrow(lambda batches: gathered(batches, shard_words), "lang string, ids binary, words array<string>, counts array<long>"), group_bytes=16 << 20)
+    shards = written(rows.mapInArrow(lambda batches: gathered(batches, shard_words), "lang string, ids binary, words array<string>, counts array<long>"), group_bytes=4 << 20)
 
     def summed(found: DataFrame, n_words: int) -> DataFrame:
         by = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
@@ -269,7 +269,7 @@ def score_of(a: str, left: str, right: str) -> Column:
 
 def collocations(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 10, top: int = 2000, within: int = 50,
-    shard_words: int = 500_000, filter_bits: int = 1 << 26,
+    shard_words: int = 400_000, filter_bits: int = 1 << 26,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of two or three words of each language.
 

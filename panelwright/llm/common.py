@@ -47,9 +47,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, group_bytes: int | None = None) -> DataFrame:
-    """Cuts the lineage of a table with texts: Parquet in the shared folder, read back; ``group_bytes`` sets the size of row groups, of which a task holds one."""
+    """Cuts the lineage of a table with texts: Parquet in the shared folder, read back; ``group_bytes`` sets the size of row groups, of which a task holds one, for rows that are large."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
-    (df.write.option("parquet.block.size", group_bytes) if group_bytes else df.write).parquet(path)
+    # Else a group's size is looked at after a hundred rows only.
+    sized = {"parquet.block.size": group_bytes, "parquet.page.size.row.check.min": 1} if group_bytes else {}
+    df.write.options(**sized).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -13,13 +15,20 @@ from pyspark.sql.types import ArrayType, DoubleType
 from panelwright.operators import asof, ranges
 
 
-def moments(rows: DataFrame, by: list[str], features: list[str], target: str, weight: str) -> DataFrame:
-    """One row for each group: ``n``, ``sw`` and the weighted sums and products of features and target; rows with a null are left out."""
+def centres(rows: DataFrame, cols: list[str]) -> dict[str, float]:
+    """Means of columns, 0 without values: what ``moments`` and ``gram`` may subtract, so that columns far from 0 keep their digits in the products."""
+    found = rows.agg(*[F.coalesce(F.avg(F.col(c).cast("double")), F.lit(0.0)).alias(str(i)) for i, c in enumerate(cols)]).first()
+    return dict(zip(cols, found))
+
+
+def moments(rows: DataFrame, by: list[str], features: list[str], target: str, weight: str, shift: dict[str, float] | None = None) -> DataFrame:
+    """One row for each group: ``n``, ``sw`` and the weighted sums and products of features and target, less their ``shift``; rows with a null are left out."""
     cols = [*features, target]
     full = rows.where(" and ".join(f"{c} is not null" for c in [*cols, weight]))
     w = F.col(weight)
-    sums = [F.sum(w * F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]
-    products = [F.sum(w * F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
+    less = [F.col(c) - F.lit(shift[c]) if shift else F.col(c) for c in cols]
+    sums = [F.sum(w * c).alias(f"s{i}") for i, c in enumerate(less)]
+    products = [F.sum(w * a * b).alias(f"p{i}_{j}") for i, a in enumerate(less) for j, b in enumerate(less) if i <= j]
     return full.groupBy(*by).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), *sums, *products)
 
 
@@ -73,7 +82,7 @@ def solve(row: dict, p: int, signs: list[int] | None = None) -> tuple[float, lis
     return float(mean[p] - beta @ mean[:p]), beta.tolist(), max(sse, 0.0)
 
 
-def gram(rows: DataFrame, by: list[str], features: list[str], target: str, weight: str) -> DataFrame:
+def gram(rows: DataFrame, by: list[str], features: list[str], target: str, weight: str, shift: dict[str, float] | None = None) -> DataFrame:
     """Sums and pairwise products of all features and the target in one pass, by group and by which features are null.
 
     ``mask`` has a ``1`` for each null feature; ``n``, ``sw``, ``s<i>`` and ``p<i>_<j>`` are as in ``moments``. Any choice of features has its
@@ -81,7 +90,8 @@ def gram(rows: DataFrame, by: list[str], features: list[str], target: str, weigh
     """
     full = rows.where(f"`{target}` is not null and `{weight}` is not null")
     mask = F.concat(*[F.when(F.col(f).isNull(), "1").otherwise("0") for f in features]).alias("mask")
-    w, cols = F.col(weight), [F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features] + [F.col(target).cast("double")]
+    less = lambda c: F.col(c).cast("double") - F.lit(shift[c] if shift else 0.0)
+    w, cols = F.col(weight), [F.coalesce(less(f), F.lit(0.0)) for f in features] + [less(target)]
     sums = [F.sum(w * c).alias(f"s{i}") for i, c in enumerate(cols)]
     products = [F.sum(w * a * b).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
     return full.groupBy(*by, mask).agg(F.count("*").alias("n"), F.sum(w).alias("sw"), *sums, *products)
@@ -102,13 +112,26 @@ def sub_moments(cube: DataFrame, by: list[str], features: list[str], specs: dict
     return cube.select(*by, "n", "sw", F.inline(F.array(*structs))).where("_there").drop("_there")
 
 
-def fitted(sums: DataFrame, by: list[str], features: list[str], signs: list[int] | None = None) -> DataFrame:
-    """A model for each row of moments: ``intercept double, coefs array<double>, sse double``."""
+def fitted(
+    sums: DataFrame, by: list[str], features: list[str], signs: list[int] | None = None, shift: Callable[[dict], list[float]] | None = None,
+) -> DataFrame:
+    """A model for each row of moments: ``intercept double, coefs array<double>, sse double``.
+
+    ``shift`` gives what was subtracted from the features and the target of a row's moments; the model is of columns as they are.
+    """
+
+    def moved(row: dict) -> tuple[float, list[float], float]:
+        intercept, coefs, sse = solve(row, len(features), signs)
+        if shift:
+            *x, y = shift(row)
+            intercept += y - sum(c * v for c, v in zip(coefs, x))
+        return intercept, coefs, sse
+
     schema = sums.select(*by, "n").schema.add("intercept", "double").add("coefs", ArrayType(DoubleType())).add("sse", "double")
 
     def run(batches):
         for batch in batches:
-            out = [solve(r, len(features), signs) for r in batch.to_dict("records")]
+            out = [moved(r) for r in batch.to_dict("records")]
             frame = batch[[*by, "n"]].copy()
             frame["intercept"], frame["coefs"], frame["sse"] = [x[0] for x in out], pd.Series([x[1] for x in out], dtype=object, index=frame.index), [x[2] for x in out]
             yield frame

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def unanimous(rows: DataFrame, date: str, value: str, order: list[Column]) -> DataFrame:
     """The first row by ``order`` of each date whose rows agree on the value; null dates are one group."""
-    by = Window.partitionBy(date)
-    agree = F.size(F.collect_set(value).over(by)) == 1
-    ranked = rows.withColumn("_agree", agree).withColumn("_n", F.row_number().over(by.orderBy(*order)))
-    return ranked.where("_agree and _n = 1").drop("_agree", "_n")
+    # The first row is chosen within partitions first, and agreement is two aggregates: no task holds all rows of a date.
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(date).orderBy(*order))).where("_n = 1").drop("_n")
+    agreed = rows.groupBy(F.col(date).alias("_date")).agg(F.min(value).alias("_low"), F.max(value).alias("_high")).where("_low = _high")
+    return first.join(agreed, F.col(date).eqNullSafe(F.col("_date"))).drop("_date", "_low", "_high")
 
 
 def conflicts(rows: DataFrame, date: str, value: str, ids: str) -> DataFrame:

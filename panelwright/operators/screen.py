@@ -24,11 +24,12 @@ def models(long: DataFrame, folds: list[tuple[int, int, int]], base_sign: int) -
     The data are summed once by period; folds add up those sums. A base coefficient
     without ``base_sign`` is an error as soon as the model is used; 0 takes either sign.
     """
-    by_period = fit.moments(long, ["period", "feature"], ["base", "extra"], "target_mid", "weight")
+    shift = fit.centres(long, ["base", "extra", "target_mid"])
+    by_period = fit.moments(long, ["period", "feature"], ["base", "extra"], "target_mid", "weight", shift)
     ends = F.inline(F.array(*[F.struct(F.lit(a).alias("fold"), F.lit(b).alias("test_from"), F.lit(c).alias("test_to")) for a, b, c in folds]))
     spread = by_period.select("*", ends).where("period <= fold")
     sums = spread.groupBy("fold", "test_from", "test_to", "feature").agg(*[F.sum(c).alias(c) for c in by_period.columns[2:]]).where("sw > 0")
-    found = fit.fitted(sums, ["fold", "test_from", "test_to", "feature"], ["base", "extra"])
+    found = fit.fitted(sums, ["fold", "test_from", "test_to", "feature"], ["base", "extra"], shift=lambda _: list(shift.values()))
     if not base_sign:
         return found.withColumnRenamed("n", "n_train")
     right = F.element_at("coefs", 1) * base_sign > 0
@@ -88,12 +89,14 @@ def grid(
     """
     width = len(signs)
     features = sorted({f for chosen in specs.values() for f in chosen})
-    cube = fit.gram(rows.withColumnsRenamed({key: "key", period: "period"}), ["key", "period"], features, "target_mid", "weight")
+    shift = fit.centres(rows, [*features, "target_mid"])
+    cube = fit.gram(rows.withColumnsRenamed({key: "key", period: "period"}), ["key", "period"], features, "target_mid", "weight", shift)
     by_period = fit.sub_moments(cube, ["key", "period"], features, specs)
     ends = F.inline(F.array(*[F.struct(F.lit(a).alias("fold"), F.lit(b).alias("test")) for a, b in folds]))
     sums = by_period.select("*", ends).where("period <= fold").groupBy("key", "spec", "fold", "test")
     sums = sums.agg(*[F.sum(c).alias(c) for c in by_period.columns if c not in ("key", "period", "spec")]).where("sw > 0")
-    models = fit.fitted(sums, ["key", "spec", "fold", "test"], [f"f{i}" for i in range(width)], signs)
+    of = lambda row: [shift[f] for f in (*specs[row["spec"]], "target_mid")]
+    models = fit.fitted(sums, ["key", "spec", "fold", "test"], [f"f{i}" for i in range(width)], signs, of)
     # A row for each key and test period has all its models, so a data row is joined once and scored under each.
     packed = models.groupBy(F.col("key").alias("_key"), F.col("test").alias("_test")).agg(F.map_from_entries(F.collect_list(F.struct("spec", F.struct("intercept", "coefs")))).alias("_models"))
     tested = rows.join(packed, (F.col(key) == F.col("_key")) & (F.col(period) == F.col("_test")))
@@ -121,8 +124,10 @@ def refitted(rows: DataFrame, *, key: str, period: str, chosen: str, models: dic
     own = rows.where(F.col(key) == chosen)
     out = None
     for name, (features, signs) in models.items():
-        sums = fit.moments(own.where(F.col(period) <= split), [], features, "target_mid", "weight").where("sw > 0")
-        model = fit.fitted(sums, [], features, signs).select("intercept", "coefs")
+        train = own.where(F.col(period) <= split)
+        shift = fit.centres(train, [*features, "target_mid"])
+        sums = fit.moments(train, [], features, "target_mid", "weight", shift).where("sw > 0")
+        model = fit.fitted(sums, [], features, signs, lambda _, shift=shift: list(shift.values())).select("intercept", "coefs")
         tested = own.where(F.col(period) > split).join(F.broadcast(model))  # one row
         one = fit.scores(tested.withColumn("prediction", fit.predicted(features)), []).withColumn("model", F.lit(name))
         out = one if out is None else out.unionByName(one)

@@ -205,7 +205,7 @@ grid AS (SELECT code AS key, spec, {", ".join(f"avg({c}) AS {c}" for c in GRID)}
 @query(f"""WITH {SPEC_LONG}, {grid_sql([1998, 1999, 2000])} SELECT key, spec, {modelsql.rounded(GRID)} FROM grid""")
 def spec_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thirty specifications of three features by series, over expanding folds up to the last year."""
-    return rounded(screen.grid(spec_rows(spark, sf_dir), key="code", period="year", specs=SPECS, signs=[1, 1, 1], folds=[(1998, 1999), (1999, 2000), (2000, 2001)]))
+    return rounded(screen.grid(io.kept(spec_rows(spark, sf_dir)), key="code", period="year", specs=SPECS, signs=[1, 1, 1], folds=[(1998, 1999), (1999, 2000), (2000, 2001)]))
 
 
 def spec_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

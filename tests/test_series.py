@@ -259,3 +259,16 @@ def test_the_best_of_a_grid_is_refitted_and_judged(spark):
     tested = screen.refitted(rows, key="k", period="y", chosen=key, models={"core": (["a", "c"], [1, 1]), "baseline": (["b"], [1])}, split=2002)
     said = fit.verdict(tested, "core", "baseline").first()
     assert said["verdict"] == "core_model_beats_baseline" and said["ratio"] < 0.2
+
+
+def test_columns_far_from_zero_keep_their_digits(spark):
+    rng = np.random.RandomState(16)
+    x, z = 1e9 + rng.rand(300), 5e8 + rng.rand(300)
+    y = 3e9 + 2 * x - 1.5 * z + rng.randn(300) * 1e-3
+    rows = spark.createDataFrame([(1, float(a), float(b), float(c), 1.0 + i % 2) for i, (a, b, c) in enumerate(zip(x, z, y))], "g int, x double, z double, y double, w double")
+    shift = fit.centres(rows, ["x", "z", "y"])
+    model = fit.fitted(fit.moments(rows, ["g"], ["x", "z"], "y", "w", shift), ["g"], ["x", "z"], shift=lambda _: list(shift.values()))
+    assert np.allclose(model.first()["coefs"], [2, -1.5], atol=2e-3)
+    cube = fit.sub_moments(fit.gram(rows, ["g"], ["x", "z"], "y", "w", shift), ["g"], ["x", "z"], {"zx": ["z", "x"]})
+    model = fit.fitted(cube, ["g", "spec"], ["f0", "f1"], [-1, 1], lambda row: [shift["z"], shift["x"], shift["y"]]).withColumns({"f0": F.lit(float(z[0])), "f1": F.lit(float(x[0]))})
+    assert np.allclose(model.first()["coefs"], [-1.5, 2], atol=2e-3) and abs(model.select(fit.predicted(["f0", "f1"])).first()[0] - y[0]) < 0.01

@@ -269,7 +269,7 @@ def score_of(a: str, left: str, right: str) -> Column:
 
 def collocations(
     docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", least: int = 10, top: int = 2000, within: int = 50,
-    shard_words: int = 400_000, filter_bits: int = 1 << 26,
+    shard_words: int = 600_000, filter_bits: int = 1 << 26,
 ) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of two or three words of each language.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -66,6 +67,14 @@ def model_rows(panel: DataFrame, target: DataFrame, key: str, date: str = "date"
     return panel.where(F.col(status).isNotNull())
 
 
+def counted(seen: Observation) -> dict[str, int] | None:
+    """What an observation saw; None if the optimizer left it out together with an empty table."""
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:
+        return None
+
+
 def write_checked(table: DataFrame, path: str, wrong: dict[str, Column], *, helpers: tuple[str, ...] = ()) -> DataFrame:
     """Writes ``table`` without ``helpers`` to ``path`` and reads it back; an error if any count in ``wrong`` (aggregates by what they count) isn't 0.
 
@@ -73,7 +82,7 @@ def write_checked(table: DataFrame, path: str, wrong: dict[str, Column], *, help
     """
     seen = Observation()
     table.observe(seen, *[F.coalesce(c, F.lit(0)).alias(n) for n, c in wrong.items()]).drop(*helpers).write.parquet(path)
-    found = {n: v for n, v in seen.get.items() if v}
+    found = {n: v for n, v in (counted(seen) or {}).items() if v}
     if found:
         raise ValueError("; ".join(f"{n}: {v}" for n, v in found.items()))
     return table.sparkSession.read.parquet(path)
@@ -101,7 +110,8 @@ def write_model_rows(panel: DataFrame, target: DataFrame, path: str, key: str, d
     first = F.row_number().over(Window.partitionBy(key).orderBy(date)) == 1
     rows = Observation()
     labelled.withColumn("_first", first).observe(rows, F.count("*").alias("rows"), F.count_if("_first").alias("keys")).drop("_first").write.parquet(path)
-    got, of = rows.get, dates.get
+    got = counted(rows) or {"rows": 0, "keys": 0}
+    of = counted(dates) or target.groupBy(date).agg(F.count("*").alias("_labels")).agg(F.count(date).alias("dates"), several.alias("several")).first()
     if of["several"]:
         raise ValueError(f"{of['several']} dates have several labels")
     if got["rows"] != got["keys"] * of["dates"]:

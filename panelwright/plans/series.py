@@ -96,15 +96,16 @@ def merged_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refresh.merged(spark, target)
 
 
-@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'high' ELSE CAST(event_id % 100 AS VARCHAR) END AS level, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS "body.k",
-  event_type AS "body.type" FROM events""")
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'high' ELSE CAST(event_id % 100 AS VARCHAR) END AS level, CASE WHEN event_id % 2 = 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS body_k,
+  event_type AS body_type FROM events""")
 def variant_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON payloads of which some lack a field and some have another type for one, flattened."""
     events = table(spark, sf_dir, "events")
     k = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"k": '), F.get_json_object("props", "$.k"), F.lit(", "))).otherwise("")
     level = F.when(F.col("event_id") % 5 == 0, F.lit('"high"')).otherwise((F.col("event_id") % 100).cast("string"))
     text = F.concat(F.lit('{"data": [{"level": '), level, F.lit(', "body": {'), k, F.lit('"type": "'), "event_type", F.lit('"}}]}'))
-    return io.flattened_variant(io.variant_rows(events.select("event_id", text.alias("text")), "text", "data"))
+    found = io.flattened_variant(io.variant_rows(events.select("event_id", text.alias("text")), "text", "data"))
+    return found.withColumnsRenamed({c: c.replace(".", "_") for c in found.columns})
 
 
 BODY = "translate(coalesce(text, ''), '0123456789#', '')"

@@ -225,6 +225,10 @@ def test_checks_are_counted_while_tables_are_written(spark, tmp_path):
         panels.write_model_rows(panel, target.union(target), str(tmp_path / "e"), "code")
     with pytest.raises(ValueError, match="expected 4"):
         panels.write_model_rows(panel, target.union(spark.createDataFrame([(dt.date(2024, 1, 2), 4.0, "exact")], target.schema)), str(tmp_path / "f"), "code")
+    assert panels.write_series(rows.limit(0), names, str(tmp_path / "g")).count() == 0
+    assert panels.write_model_rows(panel.limit(0), target, str(tmp_path / "h"), "code").count() == 0
+    with pytest.raises(ValueError, match="several labels"):
+        panels.write_model_rows(panel.limit(0), target.union(target), str(tmp_path / "i"), "code")
 
 
 def test_payloads_whose_fields_differ(spark, tmp_path):

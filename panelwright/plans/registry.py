@@ -337,8 +337,8 @@ def ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(cs) - 1, 1)), lambda i: cs[i] || cs[i + 1] || cs[i + 2])) AS term FROM c)
 SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM p GROUP BY term""")
 def trigram_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posted = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text", search.trigrams(F.col("text")))
-    return posted.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+    docs = table(spark, sf_dir, "documents")
+    return search.term_counts(docs, "doc_id", search.postings(docs, "doc_id", "text"))
 
 
 @query("""SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events""")

@@ -307,8 +307,8 @@ def best_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM w) SELECT term, count(DISTINCT doc_id) AS docs, count(*) AS occurrences FROM p GROUP BY term""")
 def word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and occurrences of each word."""
-    posted = search.postings(table(spark, sf_dir, "documents"), "doc_id", "text", search.words(F.col("text")))
-    return posted.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"))
+    docs = table(spark, sf_dir, "documents")
+    return search.term_counts(docs, "doc_id", search.postings(docs, "doc_id", "text", search.words(F.col("text"))))
 
 
 @query(f"""WITH {SPEC_LONG}, {grid_sql([1998, 1999])},

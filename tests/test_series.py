@@ -276,3 +276,34 @@ def test_columns_far_from_zero_keep_their_digits(spark):
     cube = fit.sub_moments(fit.gram(rows, ["g"], ["x", "z"], "y", "w", shift), ["g"], ["x", "z"], {"zx": ["z", "x"]})
     model = fit.fitted(cube, ["g", "spec"], ["f0", "f1"], [-1, 1], lambda row: [shift["z"], shift["x"], shift["y"]]).withColumns({"f0": F.lit(float(z[0])), "f1": F.lit(float(x[0]))})
     assert np.allclose(model.first()["coefs"], [-1.5, 2], atol=2e-3) and abs(model.select(fit.predicted(["f0", "f1"])).first()[0] - y[0]) < 0.01
+
+
+def test_postings_and_stored_blocks_of_odd_texts(spark, tmp_path):
+    texts = ["abcabc", None, "", "ab", "ABC İx", "\U0001f600ab\U0001f600ab", "abc" * 400, "abcabc"]
+    docs = spark.createDataFrame([(min(i, 6), t) for i, t in enumerate(texts)], "id long, text string")
+    # Without explode and groupBy as the SQL has it: nothing is shuffled.
+    posted = search.postings(docs, "id", "text")
+    assert "Exchange" not in posted._jdf.queryExecution().executedPlan().toString()
+    low = [(i, docs_text) for i, docs_text in [(r["id"], r["t"]) for r in docs.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("t")).collect()]]
+    want = {}
+    for i, t in low:
+        for k in range(len(t) - 2):
+            ids, n = want.setdefault(t[k : k + 3], (set(), [0]))
+            ids.add(i)
+            n[0] += 1
+    got = {r["term"]: (r["docs"], r["occurrences"]) for r in search.term_counts(docs, "id", posted).collect()}
+    assert got == {t: (len(ids), n[0]) for t, (ids, n) in want.items()}
+    named = search.term_counts(docs, "id", search.postings(docs, "id", "text", search.words(F.col("text")))).where("term = 'abcabc'").first()
+    assert (named["docs"], named["occurrences"]) == (2, 2)
+    # Places come back from the store, and it writes no posting twice.
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    search.store_index(rows, "id", ["text"], str(tmp_path / "index"), buckets=4, block=2)
+    stored = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    ids = {(r["block"], i): d for r in stored.where("bucket = -1").collect() for i, d in enumerate(r["ids"])}
+    places = {(ids[r["block"], r["at"]], r["term"]): r["places"] for r in search.unpacked(stored.where("bucket >= 0")).collect()}
+    every = {}
+    for i, (_, t) in enumerate(low):
+        for k in range(len(t) - 2):
+            every.setdefault((i, t[k : k + 3]), []).append(k)
+    assert places == every and set(ids.values()) == set(range(len(texts)))
+    assert [r["doc"] for r in search.search_stored(spark, str(tmp_path / "index"), "bcab", limit=1, first=1).collect()] == [r["doc"] for r in search.search(rows, "bcab", doc="id", text="text", limit=1).collect()]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -238,15 +238,48 @@ def change_study(pairs: DataFrame, key: str, date: str, split: int, least: float
     )
 
 
-def pools(x: list[tuple[float, float]], w: list[float], wy: list[float]) -> list[tuple[float, float, float, float]]:
-    """Decreasing means of neighbours ``(from, to)`` in order: a pool with a lower mean than the next one takes it in."""
-    out: list[tuple[float, float, float, float]] = []
-    for (low, high), sw, sy in zip(x, w, wy):
-        while out and out[-1][3] * sw < sy * out[-1][2]:
-            low, _, before, total = out.pop()
-            sw, sy = sw + before, sy + total
-        out.append((low, high, sw, sy))
-    return out
+def pool_in(out: list[tuple[float, float, float, float]], low: float, high: float, sw: float, sy: float) -> None:
+    """Adds what comes next to decreasing pools ``(from, to, weight, sum)``: a pool with a lower mean than the next one takes it in."""
+    while out and out[-1][3] * sw < sy * out[-1][2]:
+        low, _, before, total = out.pop()
+        sw, sy = sw + before, sy + total
+    out.append((low, high, sw, sy))
+
+
+def pooled(rows: DataFrame, by: list[str], keep: list[str]) -> DataFrame:
+    """``keep, x_from, x_to, sw, sy`` pooled within each ``by``, whose rows pass in order of ``x_from``.
+
+    A task walks through its sorted rows, whatever number of groups they are of, and holds the pools of one.
+    """
+    ordered = rows.repartition(*by).sortWithinPartitions(*by, "x_from").select(*by, "x_from", "x_to", "sw", "sy")
+    schema = rows.select(*keep, "x_from", "x_to", "sw", "sy").schema
+    arrow = to_arrow_schema(schema)
+    same = lambda v: None if v is None else "nan" if v != v else v
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, open_ = None, []
+        done: list[tuple] = []
+
+        def made() -> pa.RecordBatch:
+            cols = [pa.array([k[i] for k, _ in done], f.type) if i < len(keep) else pa.array([p[i - len(keep)] for _, p in done], f.type) for i, f in enumerate(arrow)]
+            done.clear()
+            return pa.RecordBatch.from_arrays(cols, schema=arrow)
+
+        for batch in batches:
+            cols = [c.to_pylist() for c in batch.columns]
+            for row in zip(*cols):
+                key = tuple(map(same, row[: len(by)]))
+                if key != now:
+                    done += [(own, p) for p in open_]
+                    now, own, open_ = key, row[: len(by)], []
+                pool_in(open_, *row[len(by) :])
+            if done:
+                yield made()
+        done += [(own, p) for p in open_]
+        if done:
+            yield made()
+
+    return ordered.mapInArrow(run, schema)
 
 
 def isotonic(rows: DataFrame, by: list[str], x: str, y: str, weight: str, *, parts: int | None = None) -> DataFrame:
@@ -260,19 +293,8 @@ def isotonic(rows: DataFrame, by: list[str], x: str, y: str, weight: str, *, par
     level = full.groupBy(*by, F.col(x).cast("double").alias("x_from")).agg(F.sum(weight).cast("double").alias("sw"), F.sum(F.col(weight) * F.col(y)).cast("double").alias("sy"))
     level = level.select(*by, "x_from", F.col("x_from").alias("x_to"), "sw", "sy")
     ranged = level.withColumn("_range", ranges.place(F.col("x_from"), ranges.cuts_of(level, F.col("x_from"), parts)))
-    schema = level.schema
-    arrow = to_arrow_schema(schema)
-
-    def run(part: pa.Table) -> pa.Table:
-        part = part.sort_by("x_from")
-        x0, x1, sw, sy = (part.column(c).to_pylist() for c in ("x_from", "x_to", "sw", "sy"))
-        found = pools(list(zip(x0, x1)), sw, sy)
-        key = part.select(by).slice(0, 1).take(pa.array([0] * len(found)))
-        cols = [pa.array([f[i] for f in found], pa.float64()) for i in range(4)]
-        return pa.Table.from_arrays([*key.columns, *cols], schema=arrow)
-
-    once = ranged.groupBy(*by, "_range").applyInArrow(run, schema)
-    return once.groupBy(*by).applyInArrow(run, schema).select(*by, "x_from", "x_to", (F.col("sy") / F.col("sw")).alias("value"))
+    once = pooled(ranged, [*by, "_range"], by)
+    return pooled(once, by, by).select(*by, "x_from", "x_to", (F.col("sy") / F.col("sw")).alias("value"))
 
 
 def on_curve(rows: DataFrame, curve: DataFrame, by: list[str], x: str, name: str = "prediction") -> DataFrame:

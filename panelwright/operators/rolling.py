@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -77,8 +78,8 @@ def order_statistics(
 
     ``stats`` gives for each new column what it is (``"mid"`` or ``"average"`` for the current value's rank as ``mid_rank`` and ``average_rank`` have
     it, or the share of a quantile, 0.5 for the median), how many rows the frame has, and how many values it needs. Nulls take a row of a frame and no
-    place. A key is cut into chunks that overlap by the longest frame; in a chunk the frame's values are kept sorted, so a row
-    costs a search and two moves, whatever the frame's length.
+    place. ``"sum"``, ``"mean"`` and ``"max"`` are of the frame's values, and ``"first"`` is its first row's value where the frame is whole. A key is cut into chunks that overlap by the longest frame; in a chunk the frame's values are kept sorted, so a row
+    costs a search and two moves, whatever the frame's length; sums and maxima cost two steps.
     """
     longest = max(n for _, n, _ in stats.values())
     spread = ranges.with_halos(ranges.numbered(rows, keys, order), "_n", longest, max(chunk, longest))
@@ -90,13 +91,43 @@ def order_statistics(
     def run(part: pa.Table) -> pa.Table:
         part = part.sort_by("_n")
         values = [float("nan") if v is None else float(v) for v in part.column(c).to_pylist()]
+        there = part.column(c).is_valid().to_numpy()
         for name, (kind, n, least) in stats.items():
-            part = part.append_column(name, pa.array(placed(values, kind, n, least), pa.float64()))
+            found = framed(np.array(values), there, kind, n, least) if kind in FRAMED else pa.array(placed(values, kind, n, least), pa.float64())
+            part = part.append_column(name, found)
         return part.filter(part.column("_own")).select(arrow.names).cast(arrow)
 
     return spread.groupBy(*keys, "_chunk").applyInArrow(run, schema)
 
 
+FRAMED = ("sum", "mean", "max", "first")
+
+
+def framed(values: np.ndarray, there: np.ndarray, kind: str, n: int, least: int) -> pa.Array:
+    """Sum, mean, maximum or first value of each row's frame of ``n`` rows, of the values that are ``there``.
+
+    Rows are cut into blocks of ``n``: a frame is the end of one and the beginning of the next, so nothing is taken away again from what was added.
+    """
+    size = len(values)
+    if kind == "first":
+        whole = np.arange(size) >= n - 1
+        from_ = np.maximum(np.arange(size) - n + 1, 0)
+        return pa.array(values[from_], pa.float64(), mask=~(whole & there[from_]))
+    join, nothing = (np.maximum, -np.inf) if kind == "max" else (np.add, 0.0)
+
+    def over(column: np.ndarray, step: np.ufunc) -> np.ndarray:
+        blocks = np.append(column, np.zeros(-size % n, column.dtype)).reshape(-1, n)
+        begun = step.accumulate(blocks, axis=1).ravel()[:size]
+        ended = step.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+        from_ = np.arange(size) - n + 1
+        two = np.flatnonzero((from_ > 0) & (from_ % n != 0))
+        begun[two] = step(begun[two], ended[from_[two]])
+        return begun
+
+    found, many = over(np.where(there, values, nothing), join), over(there.astype(np.int64), np.add)
+    return pa.array(found / np.maximum(many, 1) if kind == "mean" else found, pa.float64(), mask=many < max(least, 1))
+
+
 def placed(values: list[float], kind: str | float, n: int, least: int) -> list[float | None]:
     """One statistic of each value's frame of ``n`` rows; nan stands for null."""
     held: list[float] = []

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelwright.operators import asof, ingest, ranges, rolling
+from panelwright.operators import asof, ingest, rolling
 from panelwright.plans.registry import query, table
 from panelwright.sources import io
 from panelwright.streaming import refresh
@@ -58,19 +58,13 @@ SELECT l_orderkey, l_linenumber, v, round(v / v20 - 1, 6) AS change_20, round(v
   CASE WHEN i >= 120 THEN round(ln(v) - ln(m250), 6) END AS gap_250, round(v / h252 - 1, 6) AS drawdown_252 FROM w""")
 def series_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes, sums, gaps and drawdowns over one series of all line items, by chunks that overlap."""
-
-    def columns(w):
-        last = lambda n: w.rowsBetween(-(n - 1), 0)
-        change = lambda n: F.round(F.try_divide("v", F.lag("v", n).over(w)) - 1, 6)
-        return {
-            "change_20": change(20), "change_60": change(60),
-            "sum_5": F.round(rolling.rolling("v", last(5), 3, "sum"), 2),
-            "gap_250": F.round(F.ln("v") - F.ln(rolling.rolling("v", last(250), 120)), 6),
-            "drawdown_252": F.round(F.col("v") / F.max("v").over(last(252)) - 1, 6),
-        }
-
-    found = ranges.over_chunks(line_series(spark, sf_dir), [], ORDER, 252, columns)
-    return found.drop("at")
+    stats = {"v20": ("first", 21, 21), "v60": ("first", 61, 61), "s5": ("sum", 5, 3), "m250": ("mean", 250, 120), "h252": ("max", 252, 1)}
+    found = rolling.order_statistics(line_series(spark, sf_dir), [], ORDER, "v", stats)
+    change = lambda c: F.round(F.try_divide("v", c) - 1, 6)
+    return found.select(
+        "l_orderkey", "l_linenumber", "v", change("v20").alias("change_20"), change("v60").alias("change_60"), F.round("s5", 2).alias("sum_5"),
+        F.round(F.ln("v") - F.ln("m250"), 6).alias("gap_250"), F.round(F.col("v") / F.col("h252") - 1, 6).alias("drawdown_252"),
+    )
 
 
 def event_loads(spark: SparkSession, sf_dir: str) -> DataFrame:

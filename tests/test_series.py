@@ -307,3 +307,27 @@ def test_postings_and_stored_blocks_of_odd_texts(spark, tmp_path):
             every.setdefault((i, t[k : k + 3]), []).append(k)
     assert places == every and set(ids.values()) == set(range(len(texts)))
     assert [r["doc"] for r in search.search_stored(spark, str(tmp_path / "index"), "bcab", limit=1, first=1).collect()] == [r["doc"] for r in search.search(rows, "bcab", doc="id", text="text", limit=1).collect()]
+
+
+def test_frames_and_pools_of_many_groups_without_a_call_each(spark):
+    random.seed(15)
+    data = [(i, None if random.random() < 0.2 else round(random.uniform(1, 9), 2)) for i in range(60)]
+    rows = spark.createDataFrame(data, "t int, v double")
+    stats = {"f": ("first", 4, 4), "s": ("sum", 5, 3), "m": ("mean", 7, 2), "h": ("max", 6, 1)}
+    got = {r["t"]: r for r in rolling.order_statistics(rows, [], ["t"], "v", stats, chunk=7).collect()}
+    for i in range(60):
+        frame = lambda n: [v for _, v in data[max(i - n + 1, 0) : i + 1] if v is not None]  # noqa: B023, E731
+        want = (data[i - 3][1] if i > 2 else None, sum(frame(5)) if len(frame(5)) >= 3 else None, sum(frame(7)) / len(frame(7)) if len(frame(7)) >= 2 else None, max(frame(6), default=None))
+        assert all((a is None and b is None) or a == pytest.approx(b) for a, b in zip((got[i]["f"], got[i]["s"], got[i]["m"], got[i]["h"]), want))
+    # A group's rows may go on over batches, and a float key may be no number.
+    many = spark.range(4000).select((F.col("id") % 5).cast("double").alias("g"), (F.col("id") % 800).cast("double").alias("x"), F.rand(1).alias("y"), F.lit(1.0).alias("w"))
+    many = many.withColumn("g", F.when(F.col("g") == 4, float("nan")).otherwise(F.col("g")))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    curve = fit.isotonic(many, ["g"], "x", "y", "w", parts=3)
+    assert "FlatMapGroups" not in curve._jdf.queryExecution().executedPlan().toString()
+    steps = curve.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("x_from", "x_to", "value"))).alias("s")).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(steps) == 5
+    for r in steps:
+        values = [s["value"] for s in r["s"]]
+        assert values == sorted(values, reverse=True) and all(a["x_to"] < b["x_from"] for a, b in zip(r["s"], r["s"][1:]))

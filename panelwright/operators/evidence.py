@@ -183,8 +183,9 @@ def is_daily(title: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
 
 def opening(text: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
     """The text after its first line, line ends made alike, cut to the opening's length."""
-    lines = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|[\r\u000b\u000c\u001c-\u001e\u0085  ]", "\n")
-    return F.substring(F.when(lines.contains("\n"), F.regexp_replace(lines, r"^[^\n]*\n", "")).otherwise(""), 1, vocabulary.opening)
+    alike = F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n|[\r\u000b\u000c\u001c-\u001e\u0085  ]", "\n")
+    body = lambda lines: F.when(lines.contains("\n"), F.regexp_replace(lines, r"^[^\n]*\n", "")).otherwise("")
+    return F.substring(once(alike, body), 1, vocabulary.opening)
 
 
 def is_valid(prefix: Column, method: str, published: Column) -> Column:
@@ -213,7 +214,7 @@ def observation(title: Column, text: Column, published: Column, vocabulary: Voca
 
     Patterns are tried in order of strength; the last valid match of a pattern counts, of
     the weakest the first. A dated statement anywhere counts last, if it names the article's own date.
-    A pattern is only searched for in texts that hold a word it needs. Filter rows by ``observed``: a plain
+    A pattern's matches are only gathered in texts that hold a word it needs and match it. Filter rows by ``observed``: a plain
     filter on this column would be moved before it and work it out twice.
     """
     number = lambda found: F.regexp_extract(found, r"([1-5](?:\.\d)?)(?:\s*星(?:级)?)?$", 1).try_cast("double")
@@ -228,7 +229,7 @@ def observation(title: Column, text: Column, published: Column, vocabulary: Voca
         out = []
         for method, pattern, sure in REALTIME_PATTERNS:
             words = NEEDED[method]
-            needed = reduce(lambda a, b: a | b, [head.contains(w) for w in words])
+            needed = reduce(lambda a, b: a | b, [head.contains(w) for w in words]) & head.rlike(f"(?U){pattern}")
             needed = needed if method == "fine_current_statement" else needed & head.contains("星")
             out.append(picked(valid_matches(head, method, pattern, published), method, sure, 1 if method == "opening_state_statement" else -1, needed))
         return out
@@ -246,6 +247,12 @@ def observed(articles: DataFrame, keep: list[str], vocabulary: Vocabulary = Voca
     return articles.select(*keep, F.inline(F.array_compact(F.array(one))))
 
 
+def reason(text: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
+    """The reason of ``review`` alone: the opening is worked out once, and nothing is extracted."""
+    said = lambda head: reduce(lambda a, b: a.when(head.rlike(f"(?U){b[0]}"), b[1]), [(APPROX_RANGE, "approximate_range"), (NEAR_THRESHOLD, "near_threshold_only")], F.when(head.rlike(f"(?U){MARKET_CLOSED}"), "market_closed_no_new_target"))
+    return once(opening(text, vocabulary), lambda head: said(head).otherwise("no_exact_text_evidence"))
+
+
 def review(title: Column, text: Column, vocabulary: Vocabulary = Vocabulary()) -> Column:
     """Why a daily article has no exact value: (reason, range_low, range_high, reference_star, evidence)."""
     head = opening(text, vocabulary)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelwright.plans import more, registry  # noqa: F401
-from panelwright.operators import history, screen, valuation
+from panelwright.operators import evidence, history, screen, valuation
 from panelwright.sources import io
 
 DAY = dt.date(2024, 1, 1)
@@ -128,3 +128,12 @@ def test_resolving_reads_orders_of_every_priority(spark):
     groups = orders.select(F.col("o_orderdate").cast("date"), "o_orderpriority").distinct().count()
     assert sum(f.count() for f in found) == groups
     assert {r[0] for f in found for r in f.selectExpr("substr(day, 12)").distinct().collect()} == {r[0] for r in orders.select("o_orderpriority").distinct().collect()}
+
+
+def test_reasons_alone_and_a_queue_judged_once(spark):
+    texts = [None, "", "# t", "# t\nA股没有交易，休市", "# t\n大约在4.9-5星级", "# t\n距离5.0星很接近", "# t\r\n距离 4 星级很接近，A股没有交易", "A股没有交易", "# t 当前3-4星"]
+    rows = spark.createDataFrame([(i, "t", t) for i, t in enumerate(texts)], "i int, title string, text string")
+    found = rows.select(evidence.reason(F.col("text")).alias("a"), evidence.review(F.col("title"), F.col("text"))["reason"].alias("b")).collect()
+    assert [r["a"] for r in found] == [r["b"] for r in found] and len({r["a"] for r in found}) == 4
+    plan = more.closed_market(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp" not in plan.lower() and "rlike" not in plan.lower()

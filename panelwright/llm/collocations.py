@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, give_back, rows_of_a_batch, small_batches, written
+from .common import ascii_lower, give_back, rows_of_a_batch, small_batches, with_columns, written
 
 #: Words and ends of pieces, in order.
 TOKEN = re.compile(r"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]+")
@@ -23,6 +23,10 @@ ENDS = frozenset(".,;:!?\n\x0b\x0c\r")
 TURNS = (7, 23)
 #: Longest phrase, and so how many words of context an index sorts by.
 DEPTH = 3
+#: Words of a language that have a code, at most: a code takes 16 bits.
+CODES = 1 << 16
+#: What tasks find of phrases, as ``Blocks`` has it.
+FOUND = "lang string, bucket int, heads array<int>, tails array<short>, ns array<int>, phrases array<string>"
 
 
 @dataclass
@@ -176,11 +180,74 @@ class Kept:
         place = (mixed(self.lang, self.hashes, *[nodes.words[i] for i in at]) & np.uint64(8 * len(bits) - 1)).astype(np.int64)
         return nodes.take((bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool))
 
-    def batches(self, nodes: Nodes) -> Iterator[pa.RecordBatch]:
-        """``lang, phrase, n`` of nodes."""
-        for at in range(0, len(nodes.size), 100_000):
-            phrase = pc.binary_join_element_wise(*[self.names.take(pa.array(w[at : at + 100_000])) for w in nodes.words], " ")
-            yield pa.RecordBatch.from_arrays([pa.repeat(self.lang, len(phrase)), phrase, pa.array(nodes.size[at : at + len(phrase)], pa.int64())], names=["lang", "phrase", "n"])
+    def found(self, nodes: Nodes, common: dict[str, pa.Array], blocks: Blocks) -> Iterator[pa.RecordBatch]:
+        """Rows of ``FOUND`` of nodes: phrases of common words only go into blocks, as one number each, the others as they are."""
+        code = np.full(len(self.names), -1)
+        if self.lang in common:
+            code = pc.fill_null(pc.index_in(self.names, value_set=common[self.lang]), -1).to_numpy().astype(np.int64)
+        key, coded = np.zeros(len(nodes.size), np.int64), np.ones(len(nodes.size), bool)
+        for w in nodes.words:
+            key, coded = key << 16 | code[w], coded & (code[w] >= 0)
+        rest = nodes.take(~coded)
+        bucket = blocks.bucket(mixed(self.lang, self.hashes, *rest.words))
+        order = np.argsort(bucket, kind="stable")
+        phrase = pc.binary_join_element_wise(*[self.names.take(pa.array(w[order])) for w in rest.words], " ")
+        yield from blocks.rows(self.lang, bucket[order], rest.size[order], phrases=phrase)
+        yield from blocks.add(self.lang, key[coded], nodes.size[coded])
+
+
+class Blocks:
+    """Counts of phrases of ``n_words`` common words, by the codes of the words, added up over the shards of a task and dealt to buckets.
+
+    A row of ``FOUND`` has a bucket's phrases in arrays: 4 bytes for two codes, 2 for a third one, and the count, instead of the phrase and its language.
+    About ``most`` phrases are held; the language with the most goes first.
+    """
+
+    def __init__(self, n_words: int, buckets: int, most: int):
+        self.n_words, self.buckets, self.most = n_words, buckets, most
+        self.held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bucket(self, hashes: np.ndarray) -> np.ndarray:
+        """Buckets by the hashes' upper half."""
+        return ((hashes >> np.uint64(32)) % np.uint64(self.buckets)).astype(np.uint16)
+
+    def add(self, lang: str, key: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(key):
+            return
+        if lang in self.held:
+            key, n = (np.concatenate(both) for both in zip(self.held.pop(lang), (key, n)))
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        self.held[lang] = key[begin], np.add.reduceat(n[order], begin)
+        while sum(len(k) for k, _ in self.held.values()) > self.most:
+            yield from self.out(max(self.held, key=lambda x: len(self.held[x][0])))
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        for lang in [*self.held]:
+            yield from self.out(lang)
+
+    def out(self, lang: str) -> Iterator[pa.RecordBatch]:
+        key, n = self.held.pop(lang)
+        bucket = self.bucket(key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        order = np.argsort(bucket, kind="stable")
+        key = key[order]
+        tails = (key & 0xFFFF).astype(np.uint16).view(np.int16) if self.n_words == DEPTH else None
+        yield from self.rows(lang, bucket[order], n[order], heads=(key >> 16 * (self.n_words - 2)).astype(np.uint32).view(np.int32), tails=tails)
+
+    def rows(self, lang: str, bucket: np.ndarray, n: np.ndarray, **arrays: np.ndarray | pa.Array | None) -> Iterator[pa.RecordBatch]:
+        """Rows of ``FOUND`` of phrases in the order of their buckets; arrays that are not given are empty."""
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.zeros(0, np.int64)
+        end = np.append(begin[1:], len(bucket))
+        for at in range(0, len(begin), 64):
+            b, e = begin[at : at + 64], end[at : at + 64]
+            cols = [pa.repeat(lang, len(b)), pa.array(bucket[b].astype(np.int32))]
+            for name, type_ in (("heads", pa.int32()), ("tails", pa.int16()), ("ns", pa.int32()), ("phrases", pa.string())):
+                values = n if name == "ns" else arrays.get(name)
+                given = values is not None
+                values = pa.array(values[b[0] : e[-1]], type_) if given else pa.array([], type_)
+                cols.append(pa.ListArray.from_arrays(pa.array(np.append(b, e[-1]) - b[0] if given else np.zeros(len(b) + 1), pa.int32()), values))
+            yield pa.RecordBatch.from_arrays(cols, names=["lang", "bucket", "heads", "tails", "ns", "phrases"])
 
 
 def gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -212,13 +279,47 @@ def bits_of(rows: DataFrame, hash_: Column, n: int) -> np.ndarray:
     return bits
 
 
-def phrases(docs: DataFrame, *, text_col: str, lang_col: str, least: int, shard_words: int, filter_bits: int) -> tuple[DataFrame, DataFrame]:
+def commonest(one: DataFrame, most: int) -> dict[str, pa.Array]:
+    """``most`` of the commonest words or somewhat fewer, by language, at most ``CODES`` of each; a word's place is its code."""
+    level, rank, held = F.floor(F.log2("n") * 8), None, 0
+    for r in sorted(one.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"]):
+        held += r["count"]
+        if held > most:
+            break
+        rank = r["level"]
+    words = one.where(level >= rank if rank is not None else F.lit(False)).select("lang", F.col("phrase").alias("word"), "n").toArrow()
+    words = words.sort_by([("lang", "ascending"), ("n", "descending"), ("word", "ascending")]).combine_chunks()
+    lang = words.column("lang").dictionary_encode().combine_chunks()
+    begin = np.flatnonzero(np.diff(lang.indices.to_numpy(), prepend=-1))
+    end = np.append(begin[1:], len(words))
+    return {of: pa.array(words.column("word").slice(b, min(e - b, CODES)).to_pylist(), pa.string()) for of, b, e in zip(lang.dictionary.to_pylist(), begin, end)}
+
+
+def named(batch: pa.RecordBatch, common: dict[str, pa.Array], n_words: int) -> pa.Array:
+    """The phrases of rows with ``lang, heads, tails, phrases``, whose codes become words."""
+    head, tail = (pc.fill_null(batch.column(c), 0).to_numpy().astype(np.int64) for c in ("heads", "tails"))
+    codes = [head >> 16 & CODES - 1, head & CODES - 1, tail & CODES - 1][:n_words]
+    lang, out = batch.column("lang").dictionary_encode(), batch.column("phrases")
+    for i, of in enumerate(lang.dictionary.to_pylist()):
+        mine = pc.and_(pc.equal(lang.indices, i), batch.column("heads").is_valid())
+        if pc.any(mine).as_py():
+            which = mine.to_numpy(zero_copy_only=False)
+            out = pc.replace_with_mask(out, mine, pc.binary_join_element_wise(*[common[of].take(pa.array(c[which])) for c in codes], " "))
+    return out
+
+
+def phrases(
+    docs: DataFrame, *, text_col: str, lang_col: str, least: int, shard_words: int, filter_bits: int, common_words: int = 1 << 18, buckets: int = 512, merged: int = 1 << 21,
+) -> tuple[DataFrame, DataFrame]:
     """``lang, n_words, phrase, n`` of all words and phrases of two and three with ``n`` of at least ``least``, and ``lang, n`` of all words.
 
     Texts are read once: each task gathers them in shards of word ids, which are kept. The counts of words are added up, then those of pairs
     and then of three words, from an index of each shard. Phrases are enumerated only where all their words, and of three
     words either pair, can have ``least``: for each frequent word's and pair's hash a bit is set in a set of fixed size that is sent to
     the tasks. It lets some others through, and loses none. Three words are enumerated from the middle one, to the left and then to the right.
+
+    Most phrases consist of a language's commonest words. About ``common_words`` of these in all are sent to the tasks and have codes, so that a phrase
+    of them is shuffled as 4 or 6 bytes and its count, after a task has added up about ``merged`` of them; the others are shuffled as they are.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -226,38 +327,54 @@ def phrases(docs: DataFrame, *, text_col: str, lang_col: str, least: int, shard_
     rows = docs.select(lang.alias("_lang"), ascii_lower(F.coalesce(F.col(text_col), F.lit(""))).alias("_text"))
     shards = written(rows.mapInArrow(lambda batches: gathered(batches, shard_words), "lang string, ids binary, words array<string>, counts array<long>"), group_bytes=4 << 20)
 
-    def summed(found: DataFrame, n_words: int) -> DataFrame:
-        by = found.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        return written(by.select("lang", F.lit(n_words).alias("n_words"), "phrase", "n"))
+    def kept_counts(counts: DataFrame, n_words: int) -> DataFrame:
+        return written(counts.where(F.col("n") >= least).select("lang", F.lit(n_words).alias("n_words"), "phrase", "n"))
 
     counted = shards.select("lang", F.inline(F.arrays_zip(F.col("words").alias("phrase"), F.col("counts").alias("n"))))
     totals = shards.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda a, b: a + b)).alias("n"))
-    one = summed(counted, 1)
+    one = kept_counts(counted.groupBy("lang", "phrase").agg(F.sum("n").alias("n")), 1)
     first = spark.sparkContext.broadcast(bits_of(one, phrase_hash(F.col("lang"), F.col("phrase")), filter_bits))
+    common = spark.sparkContext.broadcast(commonest(one, common_words))
+
+    def summed(found: DataFrame) -> DataFrame:
+        # Grouped where the buckets are dealt to: no second shuffle.
+        each = found.repartition("lang", "bucket").select("lang", "bucket", F.inline(F.arrays_zip("heads", "tails", "ns", "phrases")))
+        by = each.groupBy("lang", "bucket", "heads", "tails", "phrases").agg(F.sum("ns").alias("n"))
+        return written(by.where(F.col("n") >= least).drop("bucket"))
+
+    def with_names(counts: DataFrame, n_words: int) -> DataFrame:
+        return kept_counts(with_columns(counts, lambda batch: [named(batch, common.value, n_words)], "phrase string", drop=("heads", "tails", "phrases")), n_words)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(2, buckets, merged)
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Kept.read(row)
                 single = shard.frequent(first.value, shard.index.single(), 0)
-                yield from shard.batches(shard.frequent(first.value, shard.index.extended(single, left=False), 1))
+                yield from shard.found(shard.frequent(first.value, shard.index.extended(single, left=False), 1), common.value, blocks)
+        yield from blocks.rest()
         give_back()
 
     def triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(3, buckets, merged)
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Kept.read(row)
                 single = shard.frequent(first.value, shard.index.single(), 0)
                 two = shard.frequent(second.value, shard.index.extended(single, left=True), 0, 1)
-                yield from shard.batches(shard.frequent(second.value, shard.index.extended(two, left=False), 1, 2))
+                yield from shard.found(shard.frequent(second.value, shard.index.extended(two, left=False), 1, 2), common.value, blocks)
+        yield from blocks.rest()
         give_back()
 
     kept = shards.select("lang", "ids", "words")
     with rows_of_a_batch(spark, 1):
-        two = summed(kept.mapInArrow(pairs, "lang string, phrase string, n long"), 2)
-        word = F.split("phrase", " ")
-        second = spark.sparkContext.broadcast(bits_of(two, phrase_hash(F.col("lang"), word[0], word[1]), filter_bits))
-        three = summed(kept.mapInArrow(triples, "lang string, phrase string, n long"), 3)
+        coded = summed(kept.mapInArrow(pairs, FOUND))
+    two = with_names(coded, 2)
+    word = F.split("phrase", " ")
+    second = spark.sparkContext.broadcast(bits_of(two, phrase_hash(F.col("lang"), word[0], word[1]), filter_bits))
+    with rows_of_a_batch(spark, 1):
+        coded = summed(kept.mapInArrow(triples, FOUND))
+    three = with_names(coded, 3)
     return one.unionByName(two).unionByName(three), totals
 
 

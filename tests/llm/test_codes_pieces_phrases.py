@@ -214,6 +214,39 @@ def test_collocations_equal_a_plain_count(spark, shard_words, filter_bits):
     assert collocations.collocations(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("common_words,merged", [(0, 100), (6, 1), (14, 20), (100, 1 << 21)])
+def test_phrases_of_common_and_of_other_words_are_counted_alike(spark, common_words, merged):
+    random.seed(9)
+    words = ["the", "cat", "sat", "on", "é", "|", "1-5", "x" * 40, "ab"]
+    data = [(random.choice(["en", "de", None]), " ".join(random.choices(words[: random.randint(2, 9)], k=random.randint(0, 60)))) for _ in range(90)]
+    docs = spark.createDataFrame(data, "lang string, text string")
+    found, _ = collocations.phrases(docs, text_col="text", lang_col="lang", least=3, shard_words=300, filter_bits=1 << 15, common_words=common_words, buckets=5, merged=merged)
+    want = []
+    for lang in ("en", "de", "und"):
+        f = plain_counts([t for x, t in data if (x or "und") == lang])
+        want += [(lang, len(p), " ".join(p), n) for p, n in f.items() if n >= 3]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+
+
+def shuffled_bytes(spark, first):
+    """Bytes of the shuffles of stages from ``first`` on, and the number of the next stage."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    each = [(s.stageId(), s.shuffleWriteBytes()) for s in map(stages.apply, range(stages.size()))]
+    return sum(n for i, n in each if i >= first), max([-1, *(i for i, _ in each)]) + 1
+
+
+def test_phrases_of_collocations_are_not_shuffled_as_text(spark):
+    rng = np.random.RandomState(3)
+    words = np.array([f"word{i}" for i in range(250)])
+    texts = [" ".join(words[rng.randint(0, 250, 500)]) for _ in range(500)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string")
+    _, first = shuffled_bytes(spark, 0)
+    collocations.phrases(docs, text_col="text", lang_col="lang", least=2, shard_words=10_000, filter_bits=1 << 26)
+    assert shuffled_bytes(spark, first)[0] < 2 * sum(map(len, texts))
+
+
 def test_scores_are_exact_beyond_64_bits(spark):
     a, l, r = 3_000_000_007, 9_000_000_011, 4_000_000_009
     row = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(collocations.score_of("a", "l", "r")).first()
